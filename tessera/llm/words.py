@@ -57,6 +57,6 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool =
 def grams(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k words from each place on; the last k - 1 places are of no use."""
     out = np.zeros(len(words), np.uint64)
-    for j in range(k):
+    for j in range(min(k, len(words))):
         out[: len(words) - j] = out[: len(words) - j] * BASE + words[j:]
     return mix(out)
