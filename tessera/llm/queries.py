@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import media, neardup, packing, substrings, topk
+import corpus_pipeline
+from tessera.llm import chat, licences, media, mixing, neardup, packing, pii, quality, substrings, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +104,50 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 )
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, scale=64, query_mod=20)
+
+
+@register("op3_mixing")
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), repetitions=corpus_pipeline.REPETITIONS)
+
+
+@register("op4_quality")
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register(
+    "op6_perspectives",
+    """
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations
+), s AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t
+), r AS (
+  SELECT t.*, s.perspective, speaker = perspective AS mine,
+    CASE WHEN speaker = perspective THEN '<|im_start|>assistant' || chr(10) ELSE '<|im_start|>user name=' || speaker || chr(10) END AS head
+  FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
+), g AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM r
+), p AS (
+  SELECT *, coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM g
+)
+SELECT conv_id, perspective, turn, speaker, CASE WHEN mine THEN 'assistant' ELSE 'user' END AS chat_role, segment, start, start + length(segment) AS "end",
+  CASE WHEN mine THEN start + length(head) END AS mask_start, CASE WHEN mine THEN start + length(segment) - 11 END AS mask_end
+FROM p
+""",
+)
+def op6_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+@register("op7_pii")
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+@register("op8_licences")
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -1,0 +1,215 @@
+"""Quality, mixing, chat, personal data, licences and the pipeline, against brute force and planted cases."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tessera.llm import chat, licences, mixing, pii, quality
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long, key string, base string"
+ODD = ["", None, "   ", "x" * 30_000, "a\n" * 4000, "😀 é ß 日本"]
+
+
+def frame(spark, texts, source="s"):
+    return spark.createDataFrame([(i, t, "en", source, len(t or ""), "k", "b") for i, t in enumerate(texts)], DOC).repartition(3)
+
+
+BRUTE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute_spans(text):
+    def good(kind, m):
+        digits = re.sub("[^0-9]", "", m)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in m.split("."))
+        if kind == "card":
+            twice = [int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))]
+            return 13 <= len(digits) <= 19 and sum(twice) % 10 == 0
+        return kind != "phone" or 9 <= len(digits) <= 15
+
+    return [(k, m.start(), m.end()) for k, p in BRUTE.items() for m in re.finditer(p, text) if good(k, m[0])]
+
+
+def check_base(rows, texts):
+    for r in rows:
+        own = brute_spans(texts[r.doc_id] or "")
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x[0] for x in own) for k in BRUTE], texts[r.doc_id]
+        joined = [f"{k}:{a}:{b}" for k, a, b in own]
+        assert r.base_sha256 == hashlib.sha256(",".join(joined).encode()).hexdigest()
+        every = r.spans.split(",") if r.spans else []
+        assert len(every) == len(own) + r.n_added and set(joined) <= set(every)
+
+
+def test_pii_base_is_the_rules(spark):
+    rng = random.Random(4)
+    pieces = ["a", "b1", "@", ".", "..", "-", " ", "+", "%", "_", "(", ")", "1", "12", "255", "256", "0004", "4111 1111 1111 1111", "4111111111111111", "+1 (017) 555-7713", "x@y.co", "@a.b", "😀", "\n", "97.51.17.173", "9.9.9", "Ü@ü.de"]
+    texts = [*ODD, *("".join(rng.choice(pieces) for _ in range(rng.randint(1, 30))) for _ in range(1500)), "a@b" + ".c" * 20_000, "1." * 20_000, "7" * 20_000, "+" + "1 " * 20_000]
+    check_base(pii.find(frame(spark, texts)).collect(), texts)
+
+
+def test_pii_base_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    check_base(pii.find(docs).collect(), {r.doc_id: r.text for r in docs.collect()})
+
+
+def test_redaction(spark):
+    model = pii.Trees(0.0, (), (None,) * 4)
+    texts = ["mail 😀 a.b@c.de or +1 (017) 555-7713, 4111111111111111", None, "", "clean 12"]
+    rows = {r.doc_id: r for r in pii.redact(frame(spark, texts), model).collect()}
+    assert [rows[i].text for i in range(4)] == ["mail 😀 [EMAIL] or [PHONE], [CARD]", None, "", "clean 12"]
+    assert rows[0].n_chars == len(rows[0].text) and rows[0].base == "b"
+    assert pii.redact(frame(spark, [])).collect() == [] and pii.find(frame(spark, [])).collect() == []
+
+
+def test_boosting_finds_the_rule():
+    rng = random.Random(2)
+    cells = []
+    for _ in range(120):
+        x = {f: rng.randrange(n) for f, n in pii.LEVELS.items()}
+        cells.append((x, 100.0, 95.0 if x["digits"] > 3 and x["cue"] else 2.0))
+    prior, trees = pii.boost(cells)
+    model = pii.Trees(prior, trees, (None,) * 4)
+    assert all((model.of(x) > 0) == (p > 50) for x, _, p in cells)
+
+
+def test_quality_learns_and_holds_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.quality_scores(docs, labels).join(labels, "doc_id").collect()
+    out = [r for r in rows if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    assert sum(r.predicted == r.quality for r in out) / len(out) > 0.95
+    assert np.mean([(r.score - r.quality) ** 2 for r in out]) < 0.06
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+
+
+def test_quality_odd_inputs(spark):
+    docs = frame(spark, ODD)
+    labels = spark.createDataFrame([(0, 1), (1, None), (None, 1)], "doc_id long, quality int")
+    assert quality.quality_scores(docs, labels).count() == len(ODD)
+    none = quality.quality_scores(docs, labels.limit(0)).collect()
+    assert {r.score for r in none} == {0.5}
+    assert quality.quality_scores(docs.limit(0), labels).collect() == []
+    kept = quality.keep_good(docs, labels.limit(0))
+    assert kept.columns == docs.columns and kept.count() == len(ODD)
+
+
+def test_pooled_is_isotonic():
+    rng = np.random.default_rng(1)
+    rows = rng.integers(0, 5, 200).astype(float)
+    at, value = quality.pooled(np.minimum(rows, rng.integers(0, 5, 200)), rows, np.arange(200.0))
+    assert (np.diff(value) > 0).all() and (np.diff(at) > 0).all()
+
+
+def sources(spark, sizes, each=40, rng=random.Random(1)):
+    rows, d = [], 0
+    for s, n in sizes.items():
+        for _ in range(n):
+            rows.append((d, " ".join("w" for _ in range(rng.randint(1, each))) + f" d{d}", "en", s, 0, "k", "b"))
+            d += 1
+    return spark.createDataFrame(rows, DOC).repartition(4), rows
+
+
+def test_mixing_meets_its_limit(spark):
+    docs, rows = sources(spark, {"a": 900, "b": 90, "c": 30, None: 60})
+    tokens = {r[0]: len(r[1].split()) for r in rows}
+    got = mixing.mix(docs, repetitions=3.0, block_tokens=500).collect()
+    by, budget = {}, {}
+    for r in got:
+        by.setdefault(r.source, {}).setdefault(r.epoch, []).append(r.doc_id)
+        budget[r.source] = budget.get(r.source, 0) + r.n_tokens
+    total = {s: sum(tokens[r[0]] for r in rows if r[3] == s) for s in by}
+    weight = {r.source: r.weight for r in got}
+    for s, epochs in by.items():
+        last = max(epochs)
+        for e, ids in epochs.items():
+            assert len(ids) == len(set(ids)) and (e == last or len(ids) == sum(r[3] == s for r in rows))
+        assert len(epochs[0]) == sum(r[3] == s for r in rows)  # nothing is dropped
+        wanted = max(total[s], weight[s] / weight["a"] * total["a"])
+        assert wanted - 41 <= budget[s] <= wanted + 1
+    assert abs(max(budget[s] / total[s] for s in by) - 3.0) < 0.05
+    assert abs(sum(weight.values()) - 1) < 1e-9
+    again = mixing.mix(docs.repartition(2), repetitions=3.0, block_tokens=500)
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, got), key=str)
+
+
+def test_mixing_entropy_and_odd_inputs(spark):
+    docs, _ = sources(spark, {"a": 500, "b": 50})
+    weights = {r.source: r.weight for r in mixing.mix(docs, entropy=0.6).collect()}
+    assert abs(-sum(w * math.log(w) for w in weights.values()) - 0.6) < 1e-6
+    assert mixing.mix(docs.limit(0), repetitions=2.0).collect() == []
+    odd = frame(spark, ["", None, " "], source=None)
+    assert mixing.mix(odd, repetitions=2.0).count() == 3
+    kept = mixing.mix(docs, repetitions=1.0, keep=True)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_rotation(spark):
+    rows = [(1, 0, "ann", "hi"), (1, 1, "bob", "yo 😀"), (1, 2, "ann", None), (1, 2, "ann", None), (2, None, None, "q"), (None, 5, "x", "z"), (1, 300, "eve", "far")]
+    conversations = spark.createDataFrame([(*r, "s", 7) for r in rows], "conv_id long, turn long, role string, text string, speaker string, start int").repartition(3)
+    got = chat.rotate(conversations)
+    for r in chat.rendered(got).collect():
+        own = sorted(((t if t is not None else -1), s or "unknown", x or "") for c, t, s, x in rows if c == r.conv_id)
+        want, masks = "", []
+        for _, s, x in own:
+            mine = s == r.perspective
+            head = "<|im_start|>assistant\n" if mine else f"<|im_start|>user name={s}\n"
+            if mine:
+                masks.append((len(want + head), len(want + head + x)))
+            want += head + x + "<|im_end|>\n"
+        assert r.dialogue == want and [tuple(m) for m in r.masks] == masks
+    assert got.count() == 5 * 3 + 1 + 1
+    assert chat.rotate(conversations.limit(0)).collect() == []
+
+
+def test_licences(spark):
+    mit = next(t for n, t in licences.KNOWN if n == "MIT")
+    odd_mit = mit.replace("License", "LICENCE").replace("2000 Someone", "1999-2024 Jane Roe and others").replace(",", " ;")
+    texts = [mit, odd_mit, mit + " more", "prose\nReleased under the MIT  Licence!\nLicensed under CC BY-NC 4.0.", *ODD]
+    rows = {r.doc_id: r for r in licences.scan(frame(spark, texts)).collect()}
+    assert [rows[i].licence_id for i in range(4)] == ["MIT", "MIT", None, None]
+    assert rows[3].notices == "CC-BY-NC-4.0,MIT" and rows[4].notices == ""
+    assert all(rows[i].licence_id is None for i in range(4, len(texts)))
+    assert licences.scan(frame(spark, []).limit(0)).collect() == []
+
+
+def test_pipeline_stages(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert 4 <= len(corpus_pipeline.STAGES) <= 5
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        docs = stage(spark, docs, sf)
+        if name != "packing":
+            assert docs.columns == names
+        if name == "quality":
+            labels = spark.read.parquet(f"{sf}/labels.parquet")
+            good = before.join(labels.where("quality = 1"), "doc_id")
+            assert docs.join(good.select("doc_id"), "doc_id").count() >= 0.9 * good.count()
+        if name == "mixing":
+            assert docs.select("doc_id").distinct().count() == before.count()
+        if name == "pii":
+            assert docs.where(F.col("text").rlike(BRUTE["email"])).isEmpty()
+    assert docs.count() > 0
+    empty = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf).collect() == []
+
+
+@pytest.mark.parametrize("repeated", [True])
+def test_pipeline_dedup_keeps_one_of_each_group(spark, repeated):
+    docs = frame(spark, ["one two three four five six", "One two three four five six", "other words here", None, ""])
+    left = corpus_pipeline.dedup_stage(spark, docs, "")
+    assert sorted(r.doc_id for r in left.collect()) == [0, 2, 3, 4]
