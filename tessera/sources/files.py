@@ -61,7 +61,7 @@ def evaluation_ids(documents: DataFrame) -> DataFrame:
 
 def source_files(spark: SparkSession, root: str, include: list[str], exclude: list[str] = (), order: DataFrame | None = None) -> DataFrame:
     """path (under root), content and topo_rank of text files that the patterns choose; order has (name, topo_rank) of packages."""
-    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
+    read = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
     full: Column = F.col("_metadata.file_path")
     rows = read.select(F.substring_index(full, f"{root.rstrip('/')}/", -1).alias("path"), F.col("value").alias("content"))
     rows = rows.where(text.matches(F.col("path"), list(include), list(exclude))).withColumn("name", F.regexp_extract("path", text.CRATE, 1))
@@ -88,7 +88,7 @@ def _manifest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def manifests(spark: SparkSession, glob: str) -> DataFrame:
     """name, deps of package manifests; deps are packages of the same workspace, without the package itself."""
-    found = spark.read.option("wholetext", True).text(glob).mapInPandas(_manifest, "name string, deps array<string>")
+    found = spark.read.text(glob, wholetext=True).mapInPandas(_manifest, "name string, deps array<string>")
     edges = found.select("name", F.explode("deps").alias("dep")).join(found.select(F.col("name").alias("dep")), "dep", "left_semi").where("name <> dep")
     return found.select("name").join(edges.groupBy("name").agg(F.array_sort(F.collect_set("dep")).alias("deps")), "name", "left").withColumn("deps", F.coalesce("deps", F.array().cast("array<string>")))
 
