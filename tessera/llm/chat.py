@@ -23,23 +23,32 @@ def rotate(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     conversations has conv_id, turn, role, text. Null texts are empty; a null role speaks as "unknown" and null conv_ids are one dialogue.
     Turns are ordered by turn (null first), role and text; equal rows follow each other. Other columns are not looked at.
     """
-    turns = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("speaker"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    turns = turns.groupBy("conv_id", "turn", "speaker", "text").agg(F.count("*").alias("copies"))
-    speakers = turns.select("conv_id", F.col("speaker").alias("perspective")).distinct()
-    same: Column = F.col("s.conv_id").eqNullSafe(F.col("t.conv_id"))
-    rows = turns.alias("t").join(speakers.alias("s"), same).select("t.*", "s.perspective")
-    mine = F.col("speaker") == F.col("perspective")
-    head = F.when(mine, F.lit(f"{OPEN}assistant\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), "speaker", F.lit("\n")))
-    rows = rows.withColumn("mine", mine).withColumn("head", F.char_length(head)).withColumn("segment", F.concat(head, "text", F.lit(CLOSE)))
-    rows = rows.withColumn("size", F.char_length("segment")).withColumn("block", F.expr(f"turn div {block}"))
-    keys = ["conv_id", "perspective"]
-    blocks = rows.groupBy(*keys, "block").agg(F.sum(F.col("size") * F.col("copies")).alias("total"))
+    conv = lambda: F.coalesce(F.concat(F.lit("v"), F.col("conv_id").cast("string")), F.lit("n")).alias("conv")
+    cell = lambda: F.coalesce(F.concat(F.lit("v"), F.expr(f"CAST(turn div {block} AS string)")), F.lit("n")).alias("cell")
+    speaker = F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("speaker")
+    said = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keys = ["conv", "perspective"]
+
+    def head(own: Column, other: Column) -> Column:
+        return F.when(own, F.lit(f"{OPEN}assistant\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), other, F.lit("\n")))
+
+    # what each block comes to in each perspective, from lengths alone
+    light = conversations.select(conv(), cell(), F.expr(f"turn div {block}").alias("block"), speaker, F.char_length(said).alias("size"))
+    light = light.groupBy("conv", "cell", "block", "speaker").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    speakers = light.select("conv", F.col("speaker").alias("perspective")).distinct()
+    sized = light.join(speakers, "conv")
+    per_turn = F.char_length(head(F.col("speaker") == F.col("perspective"), F.col("speaker"))) + len(CLOSE)
+    blocks = sized.groupBy(*keys, "cell", "block").agg(F.sum(F.col("size") + F.col("n") * per_turn).alias("total"))
     over_blocks = Window.partitionBy(*keys).orderBy(F.col("block").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(*keys, "block", F.coalesce(F.sum("total").over(over_blocks), F.lit(0)).alias("base"))
-    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, "block")]
-    rows = rows.alias("r").join(blocks.alias("b"), on[0] & on[1] & on[2]).select("r.*", "b.base")
-    within = Window.partitionBy(*keys, "block").orderBy(F.col("turn").asc_nulls_first(), "speaker", "text").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*keys, "cell", F.coalesce(F.sum("total").over(over_blocks), F.lit(0)).alias("base"))
+    # the texts move once, to their block; all that follows keeps that partitioning
+    turns = conversations.select("conv_id", "turn", speaker, said.alias("text"), conv(), cell()).repartition("conv", "cell")
+    turns = turns.groupBy("conv", "cell", "conv_id", "turn", "speaker", "text").agg(F.count("*").alias("copies"))
+    rows = turns.join(blocks, ["conv", "cell"]).withColumn("mine", F.col("speaker") == F.col("perspective"))
+    rows = rows.withColumn("head", F.char_length(head(F.col("mine"), F.col("speaker")))).withColumn("size", F.col("head") + F.char_length("text") + len(CLOSE))
+    within = Window.partitionBy("conv", "cell", "perspective").orderBy(F.col("turn").asc_nulls_first(), "speaker", "text").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("first", F.col("base") + F.coalesce(F.sum(F.col("size") * F.col("copies")).over(within), F.lit(0)))
+    rows = rows.withColumn("segment", F.concat(head(F.col("mine"), F.col("speaker")), "text", F.lit(CLOSE)))
     rows = rows.select("*", F.explode(F.expr("sequence(0L, copies - 1)")).alias("copy")).withColumn("start", F.col("first") + F.col("copy") * F.col("size"))
     learnt = lambda c: F.when(F.col("mine"), c)
     return rows.select(
