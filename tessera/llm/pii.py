@@ -4,7 +4,8 @@ The base finds e-mail and IP addresses, card and phone numbers by rule. Generato
 candidate has a few small features of its format and of the text before it, without the marks that the rules go by. A table of how often
 each combination of features occurs, and how often it is a base span, over all documents, is what boosted trees of depth two learn from; it has
 at most `CELLS` rows. Half of the documents count for the fit, the others for the calibration: each kind's threshold is the smallest
-score above which at least `PRECISION` of the candidates are base spans. Candidates above it which no base span overlaps are added.
+score that itself means a chance of `PRECISION` and above which at least that share of the candidates are base spans. Candidates above it which
+no base span overlaps are added: so a phone number that a card number follows at once, which the rules take for one match and drop.
 """
 
 from __future__ import annotations
@@ -23,19 +24,21 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Wide patterns: something around an at sign or its spellings; digits with separators.
+#: Wide patterns: something around an at sign or its spellings; digits with separators; digits in groups as phones have them; long runs.
 WIDE = {
     "email": r"(?:\G|(?<![^\s@<>()\[\],;:\x22]))[^\s@<>()\[\],;:\x22]++(?:@|\x20?[\[(]at[\])]\x20?)[^\s@<>()\[\],;:\x22]++",
     "number": r"[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){5,39}",
+    "grouped": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])",
+    "run": r"(?<![0-9A-Za-z])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
-MARKS = {"email": r"@|[\[(]at[\])]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "number": r"[0-9](?:[\x20().-]{0,2}[0-9]){5}"}
+MARKS = {"email": r"@|[\[(]at[\])]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "number": r"[0-9](?:[\x20().-]{0,2}[0-9]){5}", "grouped": r"[0-9]{3}[\x20.-][0-9]{4}", "run": r"[0-9](?:[\x20-]?[0-9]){12}"}
 #: Fixed list: words before a span that speak for personal data.
 CUES = r"(?i)(mail|contact|write|call|phone|tel|fax|mobile|card|visa|account|iban|ip|host|server|address|user|login)[^A-Za-z0-9]{0,4}$"
 BEFORE = 24
 #: Number of values of each feature; a candidate's features are a row of such small integers.
 LEVELS = {"kind": 4, "digits": 7, "separators": 4, "dots": 4, "grouping": 3, "cue": 2, "edge": 2}
 CELLS = math.prod(LEVELS.values())
-ROUNDS, RATE, PRECISION, LEAST = 24, 0.4, 0.98, 20
+ROUNDS, RATE, PRECISION, LEAST = 40, 0.4, 0.98, 20
 
 
 def spans(text: Column, pattern: str, mark: str) -> Column:
@@ -207,10 +210,10 @@ def fit(docs: DataFrame, text: str = "text") -> Trees:
     for k in range(len(KINDS)):
         scored = sorted(((model.of(x), n, p) for x, n, p in cells[1] if x["kind"] == k), key=lambda c: -c[0])
         n = p = 0.0
-        found = None
+        found, sure = None, math.log(PRECISION / (1 - PRECISION))
         for i, (score, rows, good_rows) in enumerate(scored):
             n, p = n + rows, p + good_rows
-            if (i + 1 == len(scored) or scored[i + 1][0] < score - 1e-9) and n >= LEAST and p >= PRECISION * n:
+            if (i + 1 == len(scored) or scored[i + 1][0] < score - 1e-9) and score >= sure and n >= LEAST and p >= PRECISION * n:
                 found = score - 1e-9
         thresholds.append(found)
     return Trees(prior, trees, tuple(thresholds))
