@@ -1,9 +1,9 @@
 """Document quality: random Fourier features of document statistics, ridge scores, isotonic calibration.
 
 Statistics of every whole text are gathered once. Random Fourier features approximate a Gaussian kernel over the standardised statistics; each
-partition of labelled rows sums its part of the normal equations, the sums are added up, and one small system is solved. A fold of
-labelled rows that the fit has not seen calibrates: positives and rows are counted in bins of the raw score, and pooling adjacent violators
-over the bins gives the map from raw scores to probabilities.
+partition of labelled rows sums its part of the normal equations by fold, the sums are added up, and one small system is solved for all folds
+and one without each fold. Rows are calibrated by scores of the solution that has not seen their fold: positives and rows are counted in bins of
+the raw score, and pooling adjacent violators over the bins gives the map from raw scores to probabilities.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +23,8 @@ FEATURES, RIDGE, BINS = 256, 1e-3, 1024
 #: Raw scores in this range are told apart by the calibration.
 RANGE = (-0.5, 1.5)
 THRESHOLD = 0.3
-FOLDS, CALIBRATION_FOLD = 5, 4
-REDUCERS = 8
+#: Folds of doc_id; fold 0 is held out.
+FOLDS = 5
 #: Fixed sets of bytes whose shares are statistics.
 BYTE_SETS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", ".", ",", "|", "#$%&*@^~=+<>\\_/", ";:!?'\"()[]{}-")
 STATISTICS = len(BYTE_SETS) + 15
@@ -114,7 +113,7 @@ def _rows(column: pa.Array) -> np.ndarray:
 
 def fold():
     """crc32 of doc_id as text, by 5; rows without doc_id are in fold 1."""
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS, F.lit(1))
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS, F.lit(1)).cast("long")
 
 
 def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", seed: int = 11) -> Model:
@@ -131,41 +130,48 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", seed: int =
     width = FEATURES + 1
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, n = np.zeros((width, width + 1)), 0
+        a: dict[int, np.ndarray] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                f = model.features(_rows(part.column(0)))
-                a[:, :width] += f.T @ f
-                a[:, width] += f.T @ part.column(1).to_numpy(zero_copy_only=False)
-                n += len(f)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % REDUCERS]), pa.array([a.tobytes()], pa.binary())], names=["part", "sums"])
+                f, own = model.features(_rows(part.column(0))), part.column(2).to_numpy(zero_copy_only=False)
+                y = part.column(1).to_numpy(zero_copy_only=False)
+                for k in np.unique(own).tolist():
+                    x = f[own == k]
+                    a[k] = a.get(k, 0) + x.T @ np.concatenate([x, y[own == k, None]], 1)
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(list(a), pa.int64()), pa.array([x.tobytes() for x in a.values()], pa.binary())], names=["fold", "sums"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = None
+        a: dict[int, np.ndarray] = {}
         for batch in batches:
-            for x in batch.column(1):
-                own = np.frombuffer(x.as_py())
-                a = own if a is None else a + own
-        if a is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([a.tobytes()], pa.binary())], names=["part", "sums"])
-
-    parts = known.where(F.col("fold") != CALIBRATION_FOLD).select("stats", "y").mapInArrow(sums, "part long, sums binary")
-    found = [np.frombuffer(r.sums) for r in parts.repartition(REDUCERS, "part").mapInArrow(total, "part long, sums binary").collect()]  # REDUCERS rows at most
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                a[k] = a.get(k, 0) + np.frombuffer(x.as_py())
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(list(a), pa.int64()), pa.array([x.tobytes() for x in a.values()], pa.binary())], names=["fold", "sums"])
+
+    def solved(a: np.ndarray) -> np.ndarray:
+        penalty = RIDGE * max(1.0, a[-1, width - 1]) * np.eye(width)
+        penalty[-1, -1] = 1e-9
+        return np.linalg.solve(a[:, :width] + penalty, a[:, width])
+
+    parts = known.select("stats", "y", "fold").mapInArrow(sums, "fold long, sums binary")
+    found = {r.fold: np.frombuffer(r.sums).reshape(width, width + 1) for r in parts.repartition(FOLDS, "fold").mapInArrow(total, "fold long, sums binary").collect()}  # a row for each fold
     if not found:
         return model
-    a = sum(found).reshape(width, width + 1)
-    penalty = RIDGE * max(1.0, a[-1, width - 1]) * np.eye(width)
-    penalty[-1, -1] = 1e-9
-    model = Model(centre, scale, weights, phase, np.linalg.solve(a[:, :width] + penalty, a[:, width]), model.at, model.value)
+    a = sum(found.values())
+    without = {k: Model(centre, scale, weights, phase, solved(a - x), model.at, model.value) for k, x in found.items()} if len(found) > 1 else {k: model for k in found}
+    model = Model(centre, scale, weights, phase, solved(a), model.at, model.value)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            where = np.clip((model.raw(_rows(batch.column(0))) - RANGE[0]) / (RANGE[1] - RANGE[0]) * BINS, 0, BINS - 1).astype(np.int64)
+            x, own, raw = _rows(batch.column(0)), batch.column(2).to_numpy(zero_copy_only=False), np.zeros(batch.num_rows)
+            for k in np.unique(own).tolist():
+                raw[own == k] = without[k].raw(x[own == k])
+            where = np.clip((raw - RANGE[0]) / (RANGE[1] - RANGE[0]) * BINS, 0, BINS - 1).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(where), batch.column(1)], names=["bin", "y"])
 
-    bins = known.where(F.col("fold") == CALIBRATION_FOLD).select("stats", "y").mapInArrow(scored, "bin long, y double")
+    bins = known.select("stats", "y", "fold").mapInArrow(scored, "bin long, y double")
     positives, rows = np.zeros(BINS), np.zeros(BINS)
     for r in bins.groupBy("bin").agg(F.sum("y").alias("p"), F.count("*").alias("n")).collect():  # BINS rows at most
         positives[r.bin], rows[r.bin] = r.p, r.n
