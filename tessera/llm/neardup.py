@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from tessera.llm import words
 from tessera.llm.common import binary_array, binary_parts, chunks, long_array, text_bytes, work_folder, written
 
+#: Bytes of text that a task works on at once; its arrays take some sixty times that.
+SLICE_BYTES = 2 << 20
 #: Places of a sketch; one byte each.
 PLACES = 128
 TREES, STAR_TREES = 16, 4
@@ -84,7 +86,7 @@ def sketches(g: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _classes(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in chunks(batch, "raw"):
+            for part, data, offsets in chunks(batch, "raw", SLICE_BYTES):
                 g, at = shingle_sets(data, offsets, k)
                 sketch, roots = sketches(g, at)
                 n = len(at) - 1
@@ -210,7 +212,7 @@ def _pairs(similarity: float):
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in chunks(batch, "raw"):
+            for part, data, offsets in chunks(batch, "raw", SLICE_BYTES):
                 g, at = shingle_sets(data, offsets, k)
                 yield pa.RecordBatch.from_arrays([part.column(0), binary_array(g.view(np.uint8), at * 8)], names=["doc_id", "items"])
 

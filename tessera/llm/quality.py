@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from tessera.llm import words
 from tessera.llm.common import chunks, text_bytes, work_folder, written
 
+#: Bytes of text that a task works on at once; its arrays take some sixty times that.
+SLICE_BYTES = 2 << 20
 FEATURES, RIDGE, BINS = 256, 1e-3, 1024
 #: Raw scores in this range are told apart by the calibration.
 RANGE = (-0.5, 1.5)
@@ -65,7 +67,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, data, offsets in chunks(batch, "raw"):
+        for part, data, offsets in chunks(batch, "raw", SLICE_BYTES):
             x = statistics(data, offsets)
             lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*part.schema.names[:-1], "stats"])
@@ -215,7 +217,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("raw")
-            for part, data, offsets in chunks(batch, "raw"):
+            for part, data, offsets in chunks(batch, "raw", SLICE_BYTES):
                 keep = model.score(statistics(data, offsets).astype(np.float64)) >= threshold
                 part = pa.RecordBatch.from_arrays([c for i, c in enumerate(part.columns) if i != at], names=[x for i, x in enumerate(part.schema.names) if i != at])
                 yield part.filter(pa.array(keep))
