@@ -27,7 +27,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Bytes of a stored image that hold its size and sample format.
 HEADER = 33
 SHARD_BYTES = 256 << 20
-READ_CELL = 4 << 20
+#: Stretches of a shard that go to one task whole, and stored bytes that a task reads in about.
+READ_CELL, TASK_BYTES = 4 << 20, 16 << 20
 REFERENCE_TYPE = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
 
 
@@ -173,8 +174,10 @@ def store(docs: DataFrame, folder: str, text: str = "text", doc_id: str = "doc_i
 
 
 def _near(references: DataFrame) -> DataFrame:
-    """Rows by shard and place, so that each task reads stretches of a few shards."""
-    return references.repartition("shard", F.floor(F.col("offset") / READ_CELL)).sortWithinPartitions("shard", "offset")
+    """Rows by shard and place, so that each task reads stretches of a few shards: as many tasks as the media's bytes ask for."""
+    stored = catalog(references).agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-stored // TASK_BYTES))
+    return references.repartition(tasks, "shard", F.floor(F.col("offset") / READ_CELL)).sortWithinPartitions("shard", "offset")
 
 
 def metadata(references: DataFrame, folder: str) -> DataFrame:
