@@ -1,10 +1 @@
-"""Operators for a training-data pipeline. Nothing else in the library imports this subpackage.
-
-Functions of the library reach the executors by value, so that a job needs no copy of it there.
-"""
-
-from pyspark import cloudpickle
-
-import tessera
-
-cloudpickle.register_pickle_by_value(tessera)
+"""Operators for a training-data pipeline. Nothing else in the library imports this subpackage."""
