@@ -143,7 +143,31 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-@register("op8_licences")
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str, lines: bool = True) -> str:
+    lowered = f"translate({text}, '{licences.UPPER}', '{licences.LOWER}')"
+    if lines:
+        lowered = f"array_to_string(list_filter(string_split({lowered}, chr(10)), lambda x: NOT contains(x, '{licences.COPYRIGHT}') OR contains(x, 'notice') OR contains(x, 'holders')), chr(10))"
+    out = rf"(' ' || regexp_replace(translate({lowered}, {_quoted(licences.PUNCTUATION)}, '{' ' * len(licences.PUNCTUATION)}'), '[\x20\x09-\x0D]+', ' ', 'g') || ' ')"
+    for other, one in licences.SPELLINGS:
+        out = f"replace({out}, ' {other} ', ' {one} ')"
+    return f"trim({out})"
+
+
+LICENCES_SQL = f"""
+WITH known AS (SELECT sha256({_canonical_sql("t")}) AS digest, min(id) AS licence_id FROM (VALUES {", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in licences.KNOWN)}) k(id, t) GROUP BY digest
+), d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
+), l AS (SELECT doc_id, sha256({_canonical_sql("line", lines=False)}) AS digest FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '(?i){"|".join(licences.HINTS)}')
+), n AS (SELECT doc_id, string_agg(DISTINCT licence_id, ',' ORDER BY licence_id) AS notices FROM l JOIN known USING (digest) GROUP BY doc_id
+), c AS (SELECT doc_id, sha256({_canonical_sql("t")}) AS canonical_sha256 FROM d)
+SELECT c.doc_id, canonical_sha256, licence_id, coalesce(notices, '') AS notices FROM c LEFT JOIN known ON canonical_sha256 = digest LEFT JOIN n ON n.doc_id = c.doc_id
+"""
+
+
+@register("op8_licences", LICENCES_SQL)
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
