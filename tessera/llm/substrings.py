@@ -1,12 +1,14 @@
 """Passages that documents share, by prefix-partitioned suffix trees.
 
 A suffix begins at each word that has `window` words from there on in its document; trees are cut at that depth. The path of a suffix goes
-over fingerprints of words: first its landmark, the smallest 6-word hash of the window (64 bits), then the landmark's place and 24 bits
+over fingerprints of words: first its landmark, the smallest 6-word hash of the window (64 bits), then the landmark's place and 40 bits
 of the whole window. Equal windows have equal paths; neighbouring suffixes mostly have the same landmark, which is shipped once for all
-of them, some 6 bytes a suffix. Suffixes are split into groups of at most `group_windows` by prefixes of the path: a count over
-the whole corpus (4,096 cells) tells which landmark prefixes fit together into a group and which are so common that the prefix is
-lengthened by the window's own bits, over which they spread evenly. A task sorts one group's suffixes; each node of full depth
-with leaves of several documents is a repeat, and repeats next to each other make the maximal ones.
+of them, some 8 bytes a suffix. Suffixes are split into groups, a few for each shuffle partition, by prefixes of the path: a count over
+the whole corpus (4,096 cells) tells which landmark prefixes fit together into a group, which need more of the landmark's bits, and
+which hold so common a landmark that the prefix is lengthened by the window's own bits, over which they spread evenly; suffixes there
+carry 56 bits and, by their group, more. A task sorts at most some `group_windows` suffixes of a group at once and takes a larger
+group by longer prefixes, one after another; each node of full depth with leaves of several documents is a repeat, and repeats next to
+each other make the maximal ones.
 
 Within a chunk of text only the smallest document of each path is shipped and the others are marked at once, so that a passage which is in a
 third of all documents comes to a group once a chunk.
@@ -29,8 +31,12 @@ from tessera.llm.common import binary_array, binary_parts, chunks, long_array, t
 LANDMARK = 6
 CELL_BITS = 12
 CELLS = 1 << CELL_BITS
-#: Suffixes that a task sorts at once, and groups for each shuffle partition at least.
+#: Suffixes that a task sorts at once, and groups for each shuffle partition.
 GROUP_WINDOWS, GROUPS_EACH = 1_000_000, 4
+#: A cell with more than this many times both a group's share and the mean of cells holds a common landmark.
+COMMON = 2
+#: Bytes of a window's hash that are shipped, and where the landmark is common.
+PRINT_BYTES, COMMON_BYTES = 5, 7
 
 
 def suffixes(wh: np.ndarray, before: np.ndarray, order: np.ndarray, window: int):
@@ -61,26 +67,32 @@ def _count(window: int):
     return run
 
 
-def plan(counts: np.ndarray, partitions: int, group_windows: int = GROUP_WINDOWS) -> tuple[np.ndarray, np.ndarray]:
-    """For each cell its first group and over how many groups it goes; cells that fit together share one."""
-    budget = max(1, min(group_windows, -(-int(counts.sum()) // (partitions * GROUPS_EACH))))
+def plan(counts: np.ndarray, partitions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each cell its first group, over how many groups it goes, and whether by windows rather than by landmarks.
+
+    Cells that fit together share a group. Landmark hashes spread evenly, so a cell far beyond the mean holds a common landmark, which only
+    the windows' own bits split.
+    """
+    share = max(1, -(-int(counts.sum()) // (partitions * GROUPS_EACH)))
+    common = counts > COMMON * max(share, float(counts.mean()))
     first, parts, group, held = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), 0, 0
     for cell, n in enumerate(counts.tolist()):
-        if n > budget:
+        if n > share:
             group += held > 0
-            first[cell], parts[cell] = group, -(-n // budget)
+            first[cell], parts[cell] = group, -(-n // share)
             group, held = group + parts[cell], 0
             continue
-        if held + n > budget:
+        if held + n > share:
             group, held = group + 1, 0
         first[cell], held = group, held + n
-    return first, parts
+    return first, parts, common
 
 
-def _pack(arrays: list[np.ndarray], landmarks: np.ndarray, prints: np.ndarray) -> bytes:
+def _pack(arrays: list[np.ndarray], landmarks: np.ndarray, prints: np.ndarray, width: int = PRINT_BYTES) -> bytes:
+    """Arrays of integers compressed by bytes, landmark hashes as they are, and the upper `width` bytes of window hashes."""
     head = zstandard.compress(b"".join(np.ascontiguousarray(a.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for a in arrays), 1)
-    sizes = np.array([len(head), *map(len, arrays), len(landmarks), len(prints)], "<i8")
-    return np.array([len(sizes)], "<i8").tobytes() + sizes.tobytes() + head + landmarks.tobytes() + np.ascontiguousarray(prints.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
+    sizes = np.array([len(head), *map(len, arrays), len(landmarks), len(prints), width], "<i8")
+    return np.array([len(sizes)], "<i8").tobytes() + sizes.tobytes() + head + landmarks.tobytes() + np.ascontiguousarray(prints.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :]).tobytes()
 
 
 def _unpack(blob: bytes) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -90,13 +102,20 @@ def _unpack(blob: bytes) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     raw = np.frombuffer(zstandard.decompress(blob[at : at + sizes[0]]), np.uint8)
     at += sizes[0]
     arrays, begin = [], 0
-    for size in sizes[1:-2]:
+    for size in sizes[1:-3]:
         arrays.append(np.ascontiguousarray(raw[begin : begin + 8 * size].reshape(8, -1).T).view("<i8").ravel())
         begin += 8 * size
-    landmarks = np.frombuffer(blob, "<u8", sizes[-2], at)
-    prints = np.zeros((sizes[-1], 4), np.uint8)
-    prints[:, :3] = np.frombuffer(blob, np.uint8, 3 * sizes[-1], at + 8 * sizes[-2]).reshape(-1, 3)
-    return arrays, landmarks, prints.view("<u4").ravel()
+    n_landmarks, n_prints, width = sizes[-3:]
+    landmarks = np.frombuffer(blob, "<u8", n_landmarks, at)
+    prints = np.zeros((n_prints, 8), np.uint8)
+    prints[:, :width] = np.frombuffer(blob, np.uint8, width * n_prints, at + 8 * n_landmarks).reshape(-1, width)
+    return arrays, landmarks, prints.view("<u8").ravel()
+
+
+def windows_of(blob: bytes) -> int:
+    """Number of window hashes in a packed blob."""
+    n = int(np.frombuffer(blob, "<i8", 1)[0])
+    return int(np.frombuffer(blob, "<i8", 1, 8 * (n - 1))[0])
 
 
 def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +126,7 @@ def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begins, np.diff(np.append(begins, len(doc)))
 
 
-def _ship(window: int, first: np.ndarray, parts: np.ndarray):
+def _ship(window: int, first: np.ndarray, parts: np.ndarray, common: np.ndarray):
     """Packed suffixes by group; negative groups hold what a chunk has marked by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,11 +152,11 @@ def _ship(window: int, first: np.ndarray, parts: np.ndarray):
                     d, s = docs[marked], place[marked]
                     b, n = _runs(d, s)
                     groups.append(-1 - int(full[0] % np.uint64(1 << 20)))
-                    blobs.append(_pack([ids[d[b]], sums[d[b]], s[b], n], np.zeros(0, "<u8"), np.zeros(0, "<u4")))
+                    blobs.append(_pack([ids[d[b]], sums[d[b]], s[b], n], np.zeros(0, "<u8"), np.zeros(0, "<u8")))
                 docs, place, least, where, full = (x[~marked] for x in (docs, place, least, where, full))
                 cell = (least >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-                split = parts[cell] > 1
-                group = first[cell] + ((full >> np.uint64(8)) % parts[cell].astype(np.uint64)).astype(np.int64)
+                split = common[cell]
+                group = first[cell] + (np.where(split, full, words.mix(least)) % parts[cell].astype(np.uint64)).astype(np.int64)
                 new = np.ones(len(docs), bool)
                 new[1:] = split[1:] | (docs[1:] != docs[:-1]) | (place[1:] != place[:-1] + 1) | (where[1:].astype(np.int64) != where[:-1].astype(np.int64) - 1)
                 begins = np.flatnonzero(new)
@@ -154,27 +173,34 @@ def _ship(window: int, first: np.ndarray, parts: np.ndarray):
                     used = used[rank]
                     meta = [np.diff(ids[used], prepend=0), sums[used], np.diff(back[inverse], prepend=0), place[b], where[b].astype(np.int64), n]
                     groups.append(int(group[b[0]]))
-                    blobs.append(_pack(meta, least[b], full[take] >> np.uint64(40)))
+                    blobs.append(_pack(meta, least[b], full[take], COMMON_BYTES if split[b[0]] else PRINT_BYTES))
                 if groups:
                     yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(blobs, pa.binary())], names=["grp", "blob"])
 
     return run
 
 
-def repeats(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of one group: document, text sum, first start and number of consecutive starts whose window also starts in a smaller document."""
+def repeats(blobs: list[bytes], turn: int = 0, turns: int = 1) -> tuple[np.ndarray, ...]:
+    """Of one group: document, text sum, first start and number of consecutive starts whose window also starts in a smaller document.
+
+    With turns, only of the windows whose path falls to this turn.
+    """
     ids, sums, place, landmark, prints = [], [], [], [], []
     for blob in blobs:
         (used, own, doc, at, where, n), least, low = _unpack(blob)
         used, doc = np.cumsum(used), np.cumsum(doc)
         step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        ids.append(np.repeat(used[doc], n))
-        sums.append(np.repeat(own[doc], n))
-        place.append(np.repeat(at, n) + step)
-        landmark.append(np.repeat(least, n))
-        prints.append(low.astype(np.uint64) | ((np.repeat(where, n) - step).astype(np.uint64) << np.uint64(24)))
+        low = low | ((np.repeat(where, n) - step).astype(np.uint64) << np.uint64(56))
+        columns = [np.repeat(used[doc], n), np.repeat(own[doc], n), np.repeat(at, n) + step, np.repeat(least, n), low]
+        if turns > 1:
+            mine = words.mix(low ^ words.mix(columns[3])) % np.uint64(turns) == np.uint64(turn)
+            columns = [c[mine] for c in columns]
+        for out, c in zip((ids, sums, place, landmark, prints), columns, strict=True):
+            out.append(c)
     ids, sums, place, landmark, prints = map(np.concatenate, (ids, sums, place, landmark, prints))
     by = np.argsort(words.mix(landmark + words.mix(prints)), kind="stable")
+    if not len(by):
+        return (np.zeros(0, np.int64),) * 4
     l, p = landmark[by], prints[by]  # noqa: E741
     new = np.ones(len(by), bool)
     new[1:] = (l[1:] != l[:-1]) | (p[1:] != p[:-1])
@@ -189,26 +215,31 @@ def repeats(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
     return d[b], t[b], s[b], np.diff(np.append(b, len(hit)))
 
 
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _mark(group_windows: int):
     def out(d, t, s, n):
         return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (d, t, s, n)], names=["doc_id", "sum", "first", "n"])
 
-    def ended():
-        return out(*repeats(held))
+    def ended(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        turns = -(-sum(windows_of(blob) for blob in held) // group_windows)
+        for turn in range(turns):
+            yield out(*repeats(held, turn, turns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in batches:
+            for g, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if g < 0:
+                    yield out(*_unpack(blob.as_py())[0])
+                    continue
+                if held and g != group:
+                    yield from ended(held)
+                    held = []
+                group = g
+                held.append(blob.as_py())
+        if held:
+            yield from ended(held)
 
-    group, held = None, []
-    for batch in batches:
-        for g, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if g < 0:
-                yield out(*_unpack(blob.as_py())[0])
-                continue
-            if held and g != group:
-                yield ended()
-                held = []
-            group = g
-            held.append(blob.as_py())
-    if held:
-        yield ended()
+    return run
 
 
 def _kept(window: int, with_text: bool):
@@ -257,10 +288,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False, g
     for row in counted.collect():  # CELLS rows
         counts[row.cell] = row.n
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first, parts = plan(counts, partitions, group_windows)
+    first, parts, common = plan(counts, partitions)
     summed = raw.withColumn("sum", F.xxhash64("raw").bitwiseAND(F.lit(0xFFFF)))
-    shipped = summed.mapInArrow(_ship(window, first, parts), "grp long, blob binary").repartition("grp").sortWithinPartitions("grp")
-    marks = shipped.mapInArrow(_mark, "doc_id long, sum long, first long, n long").groupBy("doc_id", "sum").agg(F.collect_list(F.struct("first", "n")).alias("marks"))
+    shipped = summed.mapInArrow(_ship(window, first, parts, common), "grp long, blob binary").repartition("grp").sortWithinPartitions("grp")
+    marks = shipped.mapInArrow(_mark(group_windows), "doc_id long, sum long, first long, n long").groupBy("doc_id", "sum").agg(F.collect_list(F.struct("first", "n")).alias("marks"))
     marks = marks.select("doc_id", "sum", F.col("marks.first").alias("first"), F.col("marks.n").alias("n"))
     joined = summed.join(marks.hint("merge"), ["doc_id", "sum"], "left").select("doc_id", "raw", "first", "n")
     kind = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text

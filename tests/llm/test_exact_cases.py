@@ -127,9 +127,24 @@ def test_remove_repeats_without_id(spark):
 
 def test_plan_splits_common_prefixes_only():
     counts = np.array([5, 5, 1000, 0, 7, 3])
-    first, parts = substrings.plan(counts, 1, 100)
-    assert parts.tolist() == [1, 1, 10, 1, 1, 1]
-    assert first[0] == first[1] and first[4] == first[5] and first[4] >= first[2] + 10
+    first, parts, common = substrings.plan(counts, 3)
+    assert parts.tolist() == [1, 1, 12, 1, 1, 1] and common.tolist() == [False, False, True, False, False, False]
+    assert first[0] == first[1] and first[4] == first[5] and first[4] >= first[2] + 12
+    even = substrings.plan(np.full(64, 1000), 64)  # more groups than cells: landmarks are split, and no cell is common
+    assert even[1].tolist() == [4] * 64 and not even[2].any()
+
+
+@pytest.mark.parametrize("cells", [1, 12])
+def test_remove_repeats_with_a_common_phrase(spark, monkeypatch, cells):
+    """Windows that share all but one word with thousands of others aren't taken for repeats, in common cells or not; real ones are found."""
+    if cells == 1:
+        monkeypatch.setattr(substrings, "COMMON", 10**9)
+    rng = random.Random(cells)
+    phrase = " ".join(f"p{i}" for i in range(12))
+    texts = [f"{prose(rng, 7, 10**9)} {phrase} {prose(rng, 7, 10**9)}" for _ in range(30_000)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(30_000 + i, "other " + texts[i]) for i in range(0, 30_000, 1000)]
+    got = substrings.remove_repeats(docs_frame(spark, rows)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(tuple(r) for r in got) == substring_brute(rows, 13)
 
 
 def test_media_round_trip(spark):
