@@ -11,7 +11,10 @@ smallest id of its nodes only ("stars", one pair for a class); confirmed stars g
 that share a label. A class that is too close to many classes of another label, yet not linked, is compared with all of that label by
 full sets, block against block, and only the links found leave the task: no task emits the pairs of a group.
 
-Nodes of more than `node_limit` classes are branched by a shuffle, smaller ones within a task.
+Nodes of more than `node_limit` classes are branched by a shuffle, smaller ones within a task. Near copies beyond that number would stay
+together at any depth, so such a node doesn't have to come apart: in the first round all its classes meet its smallest id and only those not
+plainly near to it branch on, to a bounded depth; in the second round the classes outside its largest label, once they are few or the depth is
+reached, are put against blocks of the node, a smaller node each.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ PLACES = 128
 TREES, STAR_TREES = 16, 4
 #: Classes of a node that are compared exhaustively.
 LEAF = 48
+#: Levels by which nodes beyond the limit are branched.
+LEVELS = 12
 #: Standard deviations of a sketch's estimate by which a pair may fall short before it is dropped.
 SLACK = 3.5
 #: Most pairs of one class with one other label that leave a leaf; beyond them the class meets all of that label.
@@ -170,6 +175,14 @@ def _stars(similarity: float):
     return run
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row with the estimate of its similarity to its node's head."""
+    for batch in batches:
+        if batch.num_rows:
+            own, head = (binary_parts(batch.column(i))[0].reshape(-1, PLACES) for i in (3, 4))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(estimate(own, head))], names=["node", "doc_id", "a", "sketch", "est"])
+
+
 def _pairs(similarity: float):
     """Pairs of different labels that may be similar, as (b, a); where one class has too many with a label, (b, label) with all = true."""
     least = similarity - SLACK * (similarity * (1 - similarity) / PLACES) ** 0.5
@@ -296,29 +309,64 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, node_l
     classes = rows.alias("r").join(reps.alias("c"), [*keys, F.col("r.doc_id") == F.col("c.rep")], "left_semi").dropDuplicates(["doc_id", "k1", "k2"]).select("doc_id", "sketch", "roots")
     classes = written(classes, f"{folder}/classes")
 
-    def frontier(n: int, of: DataFrame, columns: list[str]) -> DataFrame:
-        """Rows (node, ...) of n trees; nodes beyond node_limit are branched on until none is left."""
-        level = of.select(F.posexplode(F.slice("roots", 1, n)).alias("tree", "node"), *columns).drop("tree")
-        done, depth = None, 0
-        while True:
-            large = written(level.groupBy("node").agg(F.count("*").alias("n"), *([F.min("label").alias("lo"), F.max("label").alias("hi")] if "label" in columns else [])).where(F.col("n") > node_limit), f"{folder}/large-{n}-{depth}-{'label' in columns}")
-            if large.isEmpty():
-                return level if done is None else done.unionByName(level)
-            small = level.join(large, "node", "left_anti")
-            done = small if done is None else done.unionByName(small)
-            mixed = large.where("lo <> hi") if "label" in columns else large
-            place = lambda j: F.pmod(F.xxhash64("node", F.lit(depth), F.lit(j)), F.lit(PLACES)).cast("int")  # noqa: B023, E731
-            second = F.pmod(F.xxhash64("node", F.lit(depth), F.lit(-1)), F.lit(10_000)) < int(10_000 * (1 / similarity - 1))
-            child = lambda j: F.xxhash64("node", F.lit(depth), F.lit(j), F.substring("sketch", place(j) + 1, F.lit(1)))  # noqa: B023, E731
-            kids = F.when(second, F.array(child(0), child(1))).otherwise(F.array(child(0)))
-            level = written(level.join(mixed.select("node"), "node", "left_semi").select(F.explode(kids).alias("node"), *columns), f"{folder}/level-{n}-{depth}-{'label' in columns}")
-            depth += 1
+    def branched(level: DataFrame, depth: int, columns: list[str]) -> DataFrame:
+        """The children of the rows' nodes."""
+        place = lambda j: F.pmod(F.xxhash64("node", F.lit(depth), F.lit(j)), F.lit(PLACES)).cast("int")
+        second = F.pmod(F.xxhash64("node", F.lit(depth), F.lit(-1)), F.lit(10_000)) < int(10_000 * (1 / similarity - 1))
+        child = lambda j: F.xxhash64("node", F.lit(depth), F.lit(j), F.substring("sketch", place(j) + 1, F.lit(1)))
+        return level.select(F.explode(F.when(second, F.array(child(0), child(1))).otherwise(F.array(child(0)))).alias("node"), *columns)
+
+    def roots_of(of: DataFrame, n: int, columns: list[str]) -> DataFrame:
+        return of.select(F.posexplode(F.slice("roots", 1, n)).alias("tree", "node"), *columns).drop("tree")
 
     def by_node(df: DataFrame) -> DataFrame:
         return df.repartition("node").sortWithinPartitions("node")
 
     def big_stars(of: DataFrame) -> DataFrame:
-        return by_node(frontier(STAR_TREES, of, ["doc_id", "sketch"])).mapInArrow(_stars(similarity), "b long, a long, est double")
+        """Stars (b, a, est) of all nodes; of nodes beyond node_limit, by their smallest id and then by their children."""
+        columns, kind = ["doc_id", "sketch"], "b long, a long, est double"
+        level, out = roots_of(of, STAR_TREES, columns), None
+        for depth in range(LEVELS + 1):
+            heads = level.groupBy("node").agg(F.count("*").alias("n"), F.min_by(F.struct(F.col("doc_id").alias("a"), F.col("sketch").alias("head")), "doc_id").alias("h"))
+            heads = written(heads.where(F.col("n") > node_limit).select("node", "h.a", "h.head"), f"{folder}/heads-{depth}")
+            small = by_node(level.join(heads, "node", "left_anti")).mapInArrow(_stars(similarity), kind)
+            out = small if out is None else out.unionByName(small)
+            if heads.isEmpty():
+                break
+            met = written(level.join(heads, "node").select("node", "doc_id", "a", "sketch", "head").mapInArrow(_met, "node long, doc_id long, a long, sketch binary, est double"), f"{folder}/met-{depth}")
+            out = out.unionByName(met.where((F.col("est") >= similarity - 0.04) & (F.col("doc_id") != F.col("a"))).select(F.col("doc_id").alias("b"), "a", "est"))
+            level = written(branched(met.where(F.col("est") < similarity + 0.1), depth, columns), f"{folder}/level-{depth}")
+        return out
+
+    def mixed_nodes(of: DataFrame) -> DataFrame:
+        """Rows (node, doc_id, label, sketch) of nodes of at most node_limit rows in which any two of different labels that stay together meet."""
+        columns, half = ["doc_id", "label", "sketch"], max(1, node_limit // 2)
+        level, done = roots_of(of, trees, columns), None
+        for depth in range(LEVELS + 1):
+            counts = level.groupBy("node", "label").agg(F.count("*").alias("m")).groupBy("node").agg(F.sum("m").alias("n"), F.max("m").alias("most"), F.max_by("label", F.struct("m", "label")).alias("main"))
+            large = written(counts.where(F.col("n") > node_limit), f"{folder}/large-{depth}")
+            small = level.join(large.select("node"), "node", "left_anti")
+            done = small if done is None else done.unionByName(small)
+            if large.isEmpty():
+                break
+            rest = F.col("n") - F.col("most")
+            ready = (rest > 0) if depth == LEVELS else (rest > 0) & (rest <= half)
+            done = done.unionByName(blocks(level.join(large.where(ready), "node"), half).select("node", *columns))
+            level = written(branched(level.join(large.where((rest > 0) & ~ready).select("node"), "node", "left_semi"), depth, columns), f"{folder}/mixed-{depth}")
+        return done
+
+    def blocks(rows: DataFrame, half: int) -> DataFrame:
+        """Smaller nodes: each block of the rows outside the main label with each block of the others and of the main label."""
+        inside, spot = F.col("label") == F.col("main"), F.xxhash64("doc_id", "node")
+        outer, inner = F.ceil((F.col("n") - F.col("most")) / half), F.ceil(F.col("most") / half)
+        own = F.pmod(spot, F.when(inside, inner).otherwise(outer))
+        cell = lambda kind, i, j: F.xxhash64("node", F.lit(kind), i, j)
+        to_main = F.transform(F.sequence(F.lit(0).cast("long"), inner - 1), lambda j: cell("main", own, j))
+        to_rest = F.transform(F.sequence(F.lit(0).cast("long"), outer - 1), lambda j: cell("rest", F.least(own, j), F.greatest(own, j)))
+        from_main = F.transform(F.sequence(F.lit(0).cast("long"), outer - 1), lambda i: cell("main", i, own))
+        cells = F.when(inside, from_main).otherwise(F.when(outer > 1, F.concat(to_main, to_rest)).otherwise(to_main))
+        return rows.withColumn("node", F.explode(cells))
+
 
     def full_sets(ids: DataFrame) -> DataFrame:
         return raw.join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, items binary")
@@ -337,7 +385,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, node_l
         up = up.join(over, "label", "left").select("doc_id", F.coalesce("next", "label").alias("label"))
     labelled = written(classes.join(up, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), f"{folder}/labelled")
 
-    found = written(by_node(frontier(trees, labelled, ["doc_id", "label", "sketch"])).mapInArrow(_pairs(similarity), "b long, a long, every boolean").distinct(), f"{folder}/pairs")
+    found = written(by_node(mixed_nodes(labelled)).mapInArrow(_pairs(similarity), "b long, a long, every boolean").distinct(), f"{folder}/pairs")
     more = confirmed(found.where("NOT every"), "pairs")
     links = links.unionByName(more)
 

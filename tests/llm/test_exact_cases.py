@@ -82,6 +82,26 @@ def test_near_duplicates_dense_group_meets_a_label(spark, monkeypatch):
     assert sorted(tuple(r) for r in got) == near_brute(rows, 2)
 
 
+@pytest.mark.parametrize("levels", [0, 12])
+def test_near_duplicates_groups_beyond_the_node_limit(spark, monkeypatch, levels):
+    """Near copies that no branching parts, more than a node may hold, beside others; also with blocks on both sides."""
+    monkeypatch.setattr(neardup, "LEVELS", levels)
+    rng = random.Random(levels)
+    rows = []
+    for g in range(3):
+        own = prose(rng, 400, 10**6).split()
+        for i in range(150):
+            copy = list(own)
+            copy[rng.randrange(400)] = f"n{g}x{i}"
+            if i % 10 == 0:
+                for _ in range(rng.choice([15, 25, 40, 80])):
+                    copy[rng.randrange(400)] = f"m{rng.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(len(rows) + i, t) for i, (_, t) in enumerate(near_corpus(3, 20))]
+    got = neardup.near_duplicates(docs_frame(spark, rows), k=2, node_limit=40).collect()
+    assert sorted(tuple(r) for r in got) == near_brute(rows, 2)
+
+
 def test_near_duplicates_null_id_and_empty(spark):
     got = neardup.near_duplicates(docs_frame(spark, [(None, "a b c"), (3, "a b c"), (None, "q r s")])).collect()
     assert sorted((r.doc_id is None, r.component_id or -1, r.kept) for r in got) == [(False, 3, True), (True, -1, False), (True, 3, False)]
