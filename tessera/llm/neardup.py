@@ -1,10 +1,11 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 Documents are sets of word shingles. Rows with the same set form a class at once. Every class gets a MinHash sketch. Independent
-trees then branch the classes recursively: at a node of a tree one or two sketch places are drawn (1 / similarity on average), and the
-classes go to a child for each value at each place. Small nodes are compared exhaustively, by sketches first; what may be similar is
-confirmed on the full sets. A pair at the similarity stays together in a tree of d levels with a probability of about 0.84, 0.73, 0.64, 0.58
-for d = 1 to 4; sixteen trees miss it with less than one in 10^4.
+trees then branch the classes recursively: at a node of a tree sketch places are drawn by the path that leads to it, more than
+1 / similarity of them (two at 0.8), and the classes go to a child for each value at each place. Small nodes, and those whose children
+would be as much work, are compared exhaustively, by sketches first; what may be similar is confirmed on the full sets. A pair at 0.8 has
+the same root in a tree with 0.8 and stays together below it with 0.96, 0.95, 0.94, 0.94 for 1 to 4 levels and 0.938 at any depth; sixteen
+trees, which draw from one sketch, miss it with less than 2 in 10^8.
 
 A group of thousands of near copies can't be branched apart. Therefore a first, cheap round of a few trees links every class to the
 smallest id of its nodes only ("stars", one pair for a class); confirmed stars give labels, and the second, complete round leaves out pairs
@@ -35,9 +36,11 @@ SLICE_BYTES = 2 << 20
 PLACES = 128
 TREES, STAR_TREES = 16, 4
 #: Classes of a node that are compared exhaustively.
-LEAF = 48
-#: Levels by which nodes beyond the limit are branched.
-LEVELS = 12
+LEAF = 256
+#: Children's part of a node's comparisons beyond which it doesn't come apart and is compared exhaustively.
+APART = 0.75
+#: Levels by which nodes beyond the limit are branched, and those of them in the second round, where each may double a node's rows.
+LEVELS, MIXED_LEVELS = 12, 4
 #: Standard deviations of a sketch's estimate by which a pair may fall short before it is dropped.
 SLACK = 3.5
 #: Most pairs of one class with one other label that leave a leaf; beyond them the class meets all of that label.
@@ -130,24 +133,43 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def draw(node: int, depth: int, similarity: float) -> np.ndarray:
-    """The places by which a node branches: one, and so often another that there are 1 / similarity on average."""
-    rng = np.random.default_rng([node & (2**63 - 1), depth])
-    return rng.choice(PLACES, size=1 + int(rng.random() < 1 / similarity - 1), replace=False)
+def draw(path: int, depth: int, places: float) -> np.ndarray:
+    """The places by which a node branches: so many on average."""
+    rng = np.random.default_rng([path & (2**63 - 1), depth])
+    return rng.choice(PLACES, size=int(places) + int(rng.random() < places % 1), replace=False)
+
+
+def agree(equal: np.ndarray) -> np.ndarray:
+    """Similarity by the number of equal bytes, less those that agree by chance."""
+    return (equal / PLACES - 1 / 256) / (1 - 1 / 256)
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Similarity of sketches: equal bytes, less those that agree by chance."""
-    return ((a == b).sum(-1) / PLACES - 1 / 256) / (1 - 1 / 256)
+    """Similarity of sketches."""
+    return agree((a == b).sum(-1))
+
+
+def equal_places(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many places of each sketch of a agree with each of b."""
+    if len(a) * len(b) <= 4096:
+        eight = (a[:, None] == b[None]).view(np.uint64).sum(-1)
+        return ((eight * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(np.uint8)
+    out, same = np.zeros((len(a), len(b)), np.uint8), np.empty((len(a), len(b)), bool)
+    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), strict=True):
+        np.equal(x[:, None], y, out=same)
+        out += same.view(np.uint8)
+    return out
 
 
-def children(idx: np.ndarray, sketch: np.ndarray, node: int, depth: int, similarity: float) -> Iterator[np.ndarray]:
-    for place in draw(node, depth, similarity):
+def children(idx: np.ndarray, sketch: np.ndarray, path: int, depth: int, places: float) -> Iterator[tuple[np.ndarray, int]]:
+    """The classes of each child and the path that leads to it."""
+    for place in draw(path, depth, places):
         order = np.argsort(sketch[idx, place], kind="stable")
-        cuts = np.flatnonzero(np.diff(sketch[idx[order], place])) + 1
-        for part in np.split(order, cuts):
+        values = sketch[idx[order], place]
+        cuts = np.flatnonzero(np.diff(values)) + 1
+        for begin, part in zip([0, *cuts], np.split(order, cuts), strict=True):
             if len(part) > 1:
-                yield idx[part]
+                yield idx[part], (path * 0x9E3779B97F4A7C15 + (int(place) << 8 | int(values[begin])) + 1) & (2**63 - 1)
 
 
 def _stars(similarity: float):
@@ -160,14 +182,14 @@ def _stars(similarity: float):
             sketch = binary_parts(table["sketch"].combine_chunks())[0].reshape(-1, PLACES)[order]
             ids, node = ids[order], table["node"][0].as_py()
             best, leader = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
-            stack = [(np.arange(len(ids)), 0)]
+            stack = [(np.arange(len(ids)), node, 0)]
             while stack:
-                idx, depth = stack.pop()
+                idx, path, depth = stack.pop()
                 est = estimate(sketch[idx[1:]], sketch[idx[0]])
                 better = (est > best[idx[1:]] + 1e-9) & (est >= similarity - 0.04)
                 best[idx[1:][better]], leader[idx[1:][better]] = est[better], ids[idx[0]]
                 if len(idx) > 2 and depth < 12 and (est < similarity + 0.1).any():
-                    stack += [(c, depth + 1) for c in children(idx, sketch, node, depth, similarity)]
+                    stack += [(c, p, depth + 1) for c, p in children(idx, sketch, path, depth, 1 / similarity)]
             found = np.flatnonzero((best > 0) & (leader != ids))
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array(leader[found]), pa.array(best[found])], names=["b", "a", "est"])
@@ -186,6 +208,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pairs(similarity: float):
     """Pairs of different labels that may be similar, as (b, a); where one class has too many with a label, (b, label) with all = true."""
     least = similarity - SLACK * (similarity * (1 - similarity) / PLACES) ** 0.5
+    places = int(1 / similarity) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "node"):
@@ -193,28 +216,30 @@ def _pairs(similarity: float):
             sketch = binary_parts(table["sketch"].combine_chunks())[0].reshape(-1, PLACES)
             node = table["node"][0].as_py()
             out: set[tuple[int, int, bool]] = set()
-            stack = [(np.arange(len(ids)), 0)]
+
+            def outside(idx: np.ndarray) -> np.ndarray:
+                """Where the classes are that aren't of the largest label."""
+                _, inverse, count = np.unique(label[idx], return_inverse=True, return_counts=True)
+                return np.flatnonzero(inverse != count.argmax())
+
+            whole = np.arange(len(ids))
+            stack = [(whole, outside(whole), node, 0)]
             while stack:
-                idx, depth = stack.pop()
-                own, inverse, count = np.unique(label[idx], return_inverse=True, return_counts=True)
-                if len(own) < 2:
-                    continue
-                small = np.flatnonzero(inverse != count.argmax())
+                idx, small, path, depth = stack.pop()
                 if len(idx) > LEAF and len(small) > LEAF and depth < 64:
-                    stack += [(c, depth + 1) for c in children(idx, sketch, node, depth, similarity)]
-                    continue
-                for i in small:  # the largest label's classes need not be compared with each other
-                    other = np.flatnonzero(inverse != inverse[i])
-                    est = estimate(sketch[idx[other]], sketch[idx[i]])
-                    near = est >= least
-                    if near.any():
-                        me, mine = int(ids[idx[i]]), int(label[idx[i]])
-                        labels = label[idx[other[near]]]
-                        for theirs in np.unique(labels):
-                            if (labels == theirs).sum() > CAP:
-                                out.add((me, int(theirs), True))
-                            else:
-                                out.update((max(me, int(x)), min(me, int(x)), False) for x in ids[idx[other[near]][labels == theirs]])
+                    parts = [(c, outside(c), p, depth + 1) for c, p in children(idx, sketch, path, depth, places)]
+                    if sum(len(c) * len(s) for c, s, _, _ in parts) <= APART * len(idx) * len(small):
+                        stack += [part for part in parts if len(part[1])]
+                        continue
+                step = max(1, (1 << 17) // len(idx))
+                for at in range(0, len(small), step):  # the largest label's classes need not be compared with each other
+                    block = idx[small[at : at + step]]
+                    near = (agree(equal_places(sketch[block], sketch[idx])) >= least) & (label[block][:, None] != label[idx])
+                    for i in np.flatnonzero(near.any(1)):
+                        me, others = int(ids[block[i]]), idx[near[i]]
+                        theirs, of, count = np.unique(label[others], return_inverse=True, return_counts=True)
+                        out.update((me, x, True) for x in theirs[count > CAP].tolist())
+                        out.update((max(me, x), min(me, x), False) for x in ids[others[count[of] <= CAP]].tolist())
             if out:
                 b, a, every = zip(*sorted(out), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(a, pa.int64()), pa.array(every)], names=["b", "a", "every"])
@@ -309,12 +334,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, node_l
     classes = rows.alias("r").join(reps.alias("c"), [*keys, F.col("r.doc_id") == F.col("c.rep")], "left_semi").dropDuplicates(["doc_id", "k1", "k2"]).select("doc_id", "sketch", "roots")
     classes = written(classes, f"{folder}/classes")
 
-    def branched(level: DataFrame, depth: int, columns: list[str]) -> DataFrame:
-        """The children of the rows' nodes."""
+    def branched(level: DataFrame, depth: int, columns: list[str], places: float) -> DataFrame:
+        """The children of the rows' nodes, by so many places on average."""
         place = lambda j: F.pmod(F.xxhash64("node", F.lit(depth), F.lit(j)), F.lit(PLACES)).cast("int")
-        second = F.pmod(F.xxhash64("node", F.lit(depth), F.lit(-1)), F.lit(10_000)) < int(10_000 * (1 / similarity - 1))
+        more = F.pmod(F.xxhash64("node", F.lit(depth), F.lit(-1)), F.lit(10_000)) < round(10_000 * (places % 1))
         child = lambda j: F.xxhash64("node", F.lit(depth), F.lit(j), F.substring("sketch", place(j) + 1, F.lit(1)))
-        return level.select(F.explode(F.when(second, F.array(child(0), child(1))).otherwise(F.array(child(0)))).alias("node"), *columns)
+        own = [child(j) for j in range(int(places))]
+        return level.select(F.explode(F.when(more, F.array(*own, child(int(places)))).otherwise(F.array(*own))).alias("node"), *columns)
 
     def roots_of(of: DataFrame, n: int, columns: list[str]) -> DataFrame:
         return of.select(F.posexplode(F.slice("roots", 1, n)).alias("tree", "node"), *columns).drop("tree")
@@ -335,14 +361,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, node_l
                 break
             met = written(level.join(heads, "node").select("node", "doc_id", "a", "sketch", "head").mapInArrow(_met, "node long, doc_id long, a long, sketch binary, est double"), f"{folder}/met-{depth}")
             out = out.unionByName(met.where((F.col("est") >= similarity - 0.04) & (F.col("doc_id") != F.col("a"))).select(F.col("doc_id").alias("b"), "a", "est"))
-            level = written(branched(met.where(F.col("est") < similarity + 0.1), depth, columns), f"{folder}/level-{depth}")
+            level = written(branched(met.where(F.col("est") < similarity + 0.1), depth, columns, 1 / similarity), f"{folder}/level-{depth}")
         return out
 
     def mixed_nodes(of: DataFrame) -> DataFrame:
         """Rows (node, doc_id, label, sketch) of nodes of at most node_limit rows in which any two of different labels that stay together meet."""
         columns, half = ["doc_id", "label", "sketch"], max(1, node_limit // 2)
+        levels = min(LEVELS, MIXED_LEVELS)
         level, done = roots_of(of, trees, columns), None
-        for depth in range(LEVELS + 1):
+        for depth in range(levels + 1):
             counts = level.groupBy("node", "label").agg(F.count("*").alias("m")).groupBy("node").agg(F.sum("m").alias("n"), F.max("m").alias("most"), F.max_by("label", F.struct("m", "label")).alias("main"))
             large = written(counts.where(F.col("n") > node_limit), f"{folder}/large-{depth}")
             small = level.join(large.select("node"), "node", "left_anti")
@@ -350,9 +377,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, node_l
             if large.isEmpty():
                 break
             rest = F.col("n") - F.col("most")
-            ready = (rest > 0) if depth == LEVELS else (rest > 0) & (rest <= half)
+            ready = (rest > 0) if depth == levels else (rest > 0) & (rest <= half)
             done = done.unionByName(blocks(level.join(large.where(ready), "node"), half).select("node", *columns))
-            level = written(branched(level.join(large.where((rest > 0) & ~ready).select("node"), "node", "left_semi"), depth, columns), f"{folder}/mixed-{depth}")
+            level = written(branched(level.join(large.where((rest > 0) & ~ready).select("node"), "node", "left_semi"), depth, columns, int(1 / similarity) + 1), f"{folder}/mixed-{depth}")
         return done
 
     def blocks(rows: DataFrame, half: int) -> DataFrame:

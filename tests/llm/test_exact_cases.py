@@ -8,6 +8,7 @@ import zlib
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,44 @@ def test_near_duplicates_groups_beyond_the_node_limit(spark, monkeypatch, levels
     assert sorted(tuple(r) for r in got) == near_brute(rows, 2)
 
 
+def boilerplate_sets(rng, n, planted, shared, own=100):
+    """n sets that share items, the first of them in pairs that are 0.80 to 0.85 alike."""
+    common, out = rng.integers(0, 2**64, shared, dtype=np.uint64), []
+    for i in range(planted):
+        both = rng.integers(0, 2**64, own, dtype=np.uint64)
+        new = int((shared + own) * (0.081 + 0.03 * i / planted))  # (1 - new) / (1 + new) of the size
+        out += [np.concatenate([common, both]), np.concatenate([common, both[new:], rng.integers(0, 2**64, new, dtype=np.uint64)])]
+    out += [np.concatenate([common, rng.integers(0, 2**64, own, dtype=np.uint64)]) for _ in range(n - 2 * planted)]
+    return out
+
+
+@pytest.mark.parametrize("shared", [60, 700])
+def test_near_duplicates_pairs_within_boilerplate(monkeypatch, shared):
+    """Links near 0.8 among classes that many levels of branching part, or none, are met in one of the trees."""
+    monkeypatch.setattr(neardup, "LEAF", 8)
+    sets = boilerplate_sets(np.random.default_rng(1), 600, 150, shared)
+    sketch, roots = neardup.sketches(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    wanted = {(i + 1, i) for i in range(0, 300, 2) if neardup.similar(np.sort(sets[i]), np.sort(sets[i + 1]), 80) and (sketch[i] == sketch[i + 1]).sum() >= 90}
+    found = set()
+    for tree in range(neardup.TREES):
+        for node in np.unique(roots[:, tree]):
+            ids = np.flatnonzero(roots[:, tree] == node)
+            columns = [pa.array([int(node)] * len(ids)), pa.array(ids), pa.array(ids), common.binary_array(sketch[ids].ravel(), np.arange(len(ids) + 1) * neardup.PLACES)]
+            batch = pa.RecordBatch.from_arrays(columns, names=["node", "doc_id", "label", "sketch"])
+            for out in neardup._pairs(0.8)(iter([batch])):
+                assert not any(out["every"].to_pylist())
+                found.update(zip(out["b"].to_pylist(), out["a"].to_pylist(), strict=True))
+    assert len(wanted) > 100 and not wanted - found
+
+
+def test_near_duplicates_compares_places():
+    rng = np.random.default_rng(2)
+    for n, m in [(1, 1), (3, 5), (70, 90)]:
+        a, b = (rng.integers(0, 2, (rows, neardup.PLACES), dtype=np.uint8) for rows in (n, m))
+        b[0] = a[0]
+        assert (neardup.equal_places(a, b) == (a[:, None] == b[None]).sum(-1)).all()
+
+
 def test_near_duplicates_null_id_and_empty(spark):
     got = neardup.near_duplicates(docs_frame(spark, [(None, "a b c"), (3, "a b c"), (None, "q r s")])).collect()
     assert sorted((r.doc_id is None, r.component_id or -1, r.kept) for r in got) == [(False, 3, True), (True, -1, False), (True, 3, False)]
