@@ -5,7 +5,7 @@ trees then branch the classes recursively: at a node of a tree sketch places are
 1 / similarity of them (two at 0.8), and the classes go to a child for each value at each place. Small nodes, and those whose children
 would be as much work, are compared exhaustively, by sketches first; what may be similar is confirmed on the full sets. A pair at 0.8 has
 the same root in a tree with 0.8 and stays together below it with 0.96, 0.95, 0.94, 0.94 for 1 to 4 levels and 0.938 at any depth; sixteen
-trees, which draw from one sketch, miss it with less than 2 in 10^8.
+trees, which draw from one sketch, miss it with less than 2 in 10^8. The sketch's estimate drops 2 in 10^7 more (SLACK).
 
 A group of thousands of near copies can't be branched apart. Therefore a first, cheap round of a few trees links every class to the
 smallest id of its nodes only ("stars", one pair for a class); confirmed stars give labels, and the second, complete round leaves out pairs
@@ -41,8 +41,9 @@ LEAF = 256
 APART = 0.75
 #: Levels by which nodes beyond the limit are branched, and those of them in the second round, where each may double a node's rows.
 LEVELS, MIXED_LEVELS = 12, 4
-#: Standard deviations of a sketch's estimate by which a pair may fall short before it is dropped.
-SLACK = 3.5
+#: Standard deviations of a sketch's estimate by which a pair may fall short before it is dropped: at 0.8 those of fewer than
+#: 78 equal bytes, of which all trees together lose 1.8 in 10^7 links (a binomial tail).
+SLACK = 5.5
 #: Most pairs of one class with one other label that leave a leaf; beyond them the class meets all of that label.
 CAP = 8
 #: Classes in a block of the exhaustive comparison of a class with a label.

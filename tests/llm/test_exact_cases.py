@@ -133,6 +133,18 @@ def test_near_duplicates_pairs_within_boilerplate(monkeypatch, shared):
     assert len(wanted) > 100 and not wanted - found
 
 
+def test_near_duplicates_with_a_low_estimate(spark):
+    """Links at exactly 0.8 whose sketches happen to agree in few places are found too."""
+    texts = [" ".join(f"p{i}x{j}" for j in part) for i in range(10_000) for part in (range(45), [*range(40), *range(50, 55)])]
+    raw = [t.encode() for t in texts]
+    g, at = neardup.shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 1)
+    sketch, _ = neardup.sketches(g, at)
+    low = np.flatnonzero((sketch[::2] == sketch[1::2]).sum(1) < 87)
+    rows = [(int(2 * i + j), texts[2 * i + j]) for i in low for j in range(2)]
+    got = neardup.near_duplicates(docs_frame(spark, rows), k=1).collect()
+    assert len(low) and sorted(tuple(r) for r in got) == near_brute(rows, 1)
+
+
 def test_near_duplicates_compares_places():
     rng = np.random.default_rng(2)
     for n, m in [(1, 1), (3, 5), (70, 90)]:
