@@ -1,36 +1,17 @@
-"""What the operators share: work folders on shared storage, cut lineage, Arrow buffers as numpy arrays."""
+"""What the operators share: Arrow buffers as numpy arrays, slices of batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy step handles at once.
 CHUNK_BYTES = 4 << 20
 
 
-def work_folder(spark: SparkSession, what: str) -> str:
-    """A new folder's URI under spark.checkpoint.dir, which all machines share; under a temporary folder where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-    elif "://" not in base and not base.startswith("file:"):
-        base = f"file://{base}"
-    return f"{base.rstrip('/')}/tessera-{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, path: str) -> DataFrame:
-    """The same rows read back from Parquet at path: lineage is cut and every executor can read them."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(name: str = "text"):
     """The whole text as UTF-8; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")
@@ -64,7 +45,9 @@ def long_array(column: pa.Array, null: int = 0) -> np.ndarray:
 
 
 def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """A binary column from bytes and offsets."""
+    """A binary column from bytes and offsets. Spark holds at most 2 GB in a value, so more than that is an error."""
+    if len(data) >= 2**31:
+        raise ValueError("more than 2 GB for one column of a batch")
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 

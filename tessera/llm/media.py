@@ -20,7 +20,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_bytes, work_folder, written
+from tessera.folders import work_folder, written
+from tessera.llm.common import text_bytes
 
 WIDTH, ROW, FILL = 64, 192, b" "
 SIGNATURE = b"\x89PNG\r\n\x1a\n"

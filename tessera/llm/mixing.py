@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import work_folder, written
+from tessera.folders import work_folder, written
 
 BLOCK_TOKENS = 1 << 20
 #: Bisections of the exponent, and how many of them one job settles.

@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.folders import work_folder, written
 from tessera.llm import words
-from tessera.llm.common import binary_array, binary_parts, chunks, long_array, text_bytes, work_folder, written
+from tessera.llm.common import binary_array, binary_parts, chunks, long_array, text_bytes
 
 #: Bytes of text that a task works on at once; its arrays take some sixty times that.
 SLICE_BYTES = 2 << 20

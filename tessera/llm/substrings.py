@@ -1,17 +1,19 @@
 """Passages that documents share, by prefix-partitioned suffix trees.
 
-A suffix begins at each word that has `window` words from there on in its document; trees are cut at that depth. The path of a suffix goes
-over fingerprints of words: first its landmark, the smallest 6-word hash of the window (64 bits), then the landmark's place and 40 bits
-of the whole window. Equal windows have equal paths; neighbouring suffixes mostly have the same landmark, which is shipped once for all
-of them, some 8 bytes a suffix. Suffixes are split into groups, a few for each shuffle partition, by prefixes of the path: a count over
-the whole corpus (4,096 cells) tells which landmark prefixes fit together into a group, which need more of the landmark's bits, and
-which hold so common a landmark that the prefix is lengthened by the window's own bits, over which they spread evenly; suffixes there
-carry 56 bits and, by their group, more. A task sorts at most some `group_windows` suffixes of a group at once and takes a larger
-group by longer prefixes, one after another; each node of full depth with leaves of several documents is a repeat, and repeats next to
-each other make the maximal ones.
-
-Within a chunk of text only the smallest document of each path is shipped and the others are marked at once, so that a passage which is in a
-third of all documents comes to a group once a chunk.
+A suffix begins at each word that has `window` words from there on in its document; trees are cut at that depth. Suffixes are split into groups that
+fit into memory by variable-length prefixes of a path. The path of a suffix is not its first words but its landmark (of the window's 3-word
+hashes the smallest, which equal windows share) and then the rest of the window: neighbouring suffixes mostly have the same landmark, so they go
+to a group together, as one stretch of text, three words a suffix instead of thirteen. A count over the whole corpus tells which landmark
+prefixes fit together into a group, which need more of the landmark's bits, and which hold so common a landmark that the prefix is lengthened to
+the whole window; those suffixes go one by one.
+
+A task builds the tree of a group on the words themselves: they get ranks, told apart by their bytes; suffixes that may have a twin are
+sorted by the ranks of their words, and neighbours that share `window` words hang from one internal node. A node with leaves of several
+documents is a repeat; repeats next to each other make the maximal ones. No hash decides: hashes only bring together what may be equal. A
+group with too many suffixes is taken by longer prefixes, one after another.
+
+Within a chunk of text the same trees tell which suffixes have an equal one in a smaller document; only the others are shipped, so that a passage
+which is in a third of all documents comes to a group once a chunk.
 """
 
 from __future__ import annotations
@@ -26,47 +28,135 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words
-from tessera.llm.common import binary_array, binary_parts, chunks, long_array, text_bytes
+from tessera.llm.common import CHUNK_BYTES, chunks, long_array, text_bytes
 
-LANDMARK = 6
-CELL_BITS = 12
-CELLS = 1 << CELL_BITS
+LANDMARK = 3
+#: Fewest and most cells of landmark hashes that are counted, and how many there are for each group.
+CELLS, MOST_CELLS, CELLS_EACH = 1 << 12, 1 << 20, 16
+#: Cells in one row of counts.
+SLICE = 1 << 12
 #: Suffixes that a task sorts at once, and groups for each shuffle partition.
 GROUP_WINDOWS, GROUPS_EACH = 1_000_000, 4
 #: A cell with more than this many times both a group's share and the mean of cells holds a common landmark.
 COMMON = 2
-#: Bytes of a window's hash that are shipped, and where the landmark is common.
-PRINT_BYTES, COMMON_BYTES = 5, 7
+#: Bytes that are compared at once.
+COMPARED = 1 << 22
+NONE = np.zeros(0, np.int64)
+MARK_TYPE = "doc_id long, sum long, first long, n long"
 
 
-def suffixes(wh: np.ndarray, before: np.ndarray, order: np.ndarray, window: int):
-    """Of each suffix, by the documents in order: document, place in all words, landmark hash, its place in the window, window hash."""
-    per_doc = np.maximum(np.diff(before) - window + 1, 0)[order]
-    docs = np.repeat(order, per_doc)
-    at = before[:-1][docs] + np.arange(len(docs)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+def landmarks(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the window at each word: its smallest hash of LANDMARK words, and where that begins in it. The last window - 1 are of no use."""
     size = min(LANDMARK, window)
-    g = words.grams(wh, size)
+    g = words.grams(h, size)
     least, where = g.copy(), np.zeros(len(g), np.uint8)
     for j in range(1, window - size + 1):
         ahead, upto = g[j:], least[: len(g) - j]
         lower = ahead < upto
         upto[lower], where[: len(g) - j][lower] = ahead[lower], j
-    return docs, at, least[at], where[at], words.grams(wh, window)[at]
+    return least, where
+
 
+def suffixes(before: np.ndarray, order: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each suffix, by the documents in order: document and place in all words."""
+    per_doc = np.maximum(np.diff(before) - window + 1, 0)[order]
+    docs = np.repeat(order, per_doc)
+    return docs, before[:-1][docs] + np.arange(len(docs)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+
+
+def ranks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """A number for each word in the places used, the same for the same bytes only; other places have 0."""
+    out = np.zeros(len(h), np.int64)
+    _, first, inverse = np.unique(h[used], return_index=True, return_inverse=True)
+    one, length = used[first][inverse], ends - starts
+    same = length[used] == length[one]
+    upto = np.cumsum(length[used])
+    cuts = [0, *np.searchsorted(upto, np.arange(COMPARED, int(upto[-1]), COMPARED)).tolist(), len(used)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        mine, other = used[a:b][same[a:b]], one[a:b][same[a:b]]
+        n = length[mine]
+        if len(n):
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            equal = data[np.repeat(starts[mine], n) + step] == data[np.repeat(starts[other], n) + step]
+            same[a:b][same[a:b]] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+    out[used] = inverse
+    if not same.all():  # words that differ and have one hash: by their bytes
+        names: dict[bytes, int] = {}
+        out[used] = [names.setdefault(data[s:e].tobytes(), len(names)) for s, e in zip(starts[used].tolist(), ends[used].tolist(), strict=True)]
+    return out
+
+
+def tree(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The internal nodes of depth window in the tree of the suffixes that begin at the words `at`: suffixes, each node's next to each other,
+    and the places where nodes begin. Suffixes without a twin are left out."""
+    full = words.grams(h, window)[at]
+    by = np.argsort(full, kind="stable")
+    twin = full[by][1:] == full[by][:-1]
+    own = np.sort(by[np.append(twin, False) | np.append(False, twin)])
+    if not len(own):
+        return NONE, NONE
+    cover = np.zeros(len(h) + 1, np.int64)
+    np.add.at(cover, at[own], 1)
+    np.add.at(cover, at[own] + window, -1)
+    rank = ranks(data, starts, ends, h, np.flatnonzero(np.cumsum(cover)[:-1]))
+    bits = max(1, int(rank.max()).bit_length())
+    each = 62 // bits
+    keys = []
+    for first in range(0, window, each):
+        key = np.zeros(len(own), np.int64)
+        for j in range(first, min(window, first + each)):
+            key = key << bits | rank[at[own] + j]
+        keys.append(key)
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(own), bool)
+    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    return own[order], np.flatnonzero(new)
+
+
+def later(ids: np.ndarray, own: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The suffixes whose node also has a leaf of a document with a smaller id, in order."""
+    if not len(own):
+        return NONE
+    smallest = np.repeat(np.minimum.reduceat(ids[own], begins), np.diff(np.append(begins, len(own))))
+    return np.sort(own[ids[own] > smallest])
+
+
+def units(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Texts of a chunk with their offsets and the number of words before; a text longer than a chunk comes in pieces."""
+    if len(part) == 1 and len(data) > CHUNK_BYTES:
+        for piece, first in words.pieces(data, CHUNK_BYTES, overlap):
+            yield piece, np.array([0, len(piece)]), first
+    else:
+        yield data, offsets, 0
+
+
+def _count(window: int, cells: int):
+    bits = np.uint64(64 - cells.bit_length() + 1)
 
-def _count(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
+        total = np.zeros(cells, np.int64)
         for batch in batches:
-            for _, data, offsets in chunks(batch, "raw"):
-                starts, ends, before = words.split(data, offsets)
-                least = suffixes(words.hashes(data, starts, ends), before, np.arange(len(offsets) - 1), window)[2]
-                total += np.bincount((least >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=CELLS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CELLS, dtype=np.int32)), pa.array(total)], names=["cell", "n"])
+            for part, whole, all_offsets in chunks(batch, "raw"):
+                for data, offsets, _ in units(part, whole, all_offsets, window - 1):
+                    starts, ends, before = words.split(data, offsets)
+                    _, at = suffixes(before, np.arange(len(offsets) - 1), window)
+                    least = landmarks(words.hashes(data, starts, ends), window)[0][at]
+                    total += np.bincount((least >> bits).astype(np.int64), minlength=cells)
+        slices = list(range(0, cells, SLICE))
+        yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int64()), pa.array([total[i : i + SLICE].tobytes() for i in slices], pa.binary())], names=["slice", "counts"])
 
     return run
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            sums[i] = sums.get(i, 0) + np.frombuffer(counts.as_py(), np.int64)
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "counts"])
+
+
 def plan(counts: np.ndarray, partitions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each cell its first group, over how many groups it goes, and whether by windows rather than by landmarks.
 
@@ -88,34 +178,22 @@ def plan(counts: np.ndarray, partitions: int) -> tuple[np.ndarray, np.ndarray, n
     return first, parts, common
 
 
-def _pack(arrays: list[np.ndarray], landmarks: np.ndarray, prints: np.ndarray, width: int = PRINT_BYTES) -> bytes:
-    """Arrays of integers compressed by bytes, landmark hashes as they are, and the upper `width` bytes of window hashes."""
+def _pack(arrays: list[np.ndarray], text: bytes = b"", single: bool = False) -> bytes:
+    """Arrays of integers, by bytes, and a text, compressed; the last array has numbers of windows, and single tells that each stretch is one."""
     head = zstandard.compress(b"".join(np.ascontiguousarray(a.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for a in arrays), 1)
-    sizes = np.array([len(head), *map(len, arrays), len(landmarks), len(prints), width], "<i8")
-    return np.array([len(sizes)], "<i8").tobytes() + sizes.tobytes() + head + landmarks.tobytes() + np.ascontiguousarray(prints.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :]).tobytes()
+    sizes = np.array([int(arrays[-1].sum()), len(head), int(single), *map(len, arrays)], "<i8")
+    return np.array([len(sizes)], "<i8").tobytes() + sizes.tobytes() + head + (zstandard.compress(text, 3) if text else b"")
 
 
-def _unpack(blob: bytes) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def _unpack(blob: bytes) -> tuple[list[np.ndarray], bytes, bool]:
     n = int(np.frombuffer(blob, "<i8", 1)[0])
-    sizes = np.frombuffer(blob, "<i8", n, 8).tolist()
+    _, size, single, *lengths = np.frombuffer(blob, "<i8", n, 8).tolist()
     at = 8 * (n + 1)
-    raw = np.frombuffer(zstandard.decompress(blob[at : at + sizes[0]]), np.uint8)
-    at += sizes[0]
-    arrays, begin = [], 0
-    for size in sizes[1:-3]:
-        arrays.append(np.ascontiguousarray(raw[begin : begin + 8 * size].reshape(8, -1).T).view("<i8").ravel())
-        begin += 8 * size
-    n_landmarks, n_prints, width = sizes[-3:]
-    landmarks = np.frombuffer(blob, "<u8", n_landmarks, at)
-    prints = np.zeros((n_prints, 8), np.uint8)
-    prints[:, :width] = np.frombuffer(blob, np.uint8, width * n_prints, at + 8 * n_landmarks).reshape(-1, width)
-    return arrays, landmarks, prints.view("<u8").ravel()
-
-
-def windows_of(blob: bytes) -> int:
-    """Number of window hashes in a packed blob."""
-    n = int(np.frombuffer(blob, "<i8", 1)[0])
-    return int(np.frombuffer(blob, "<i8", 1, 8 * (n - 1))[0])
+    raw, arrays, begin = np.frombuffer(zstandard.decompress(blob[at : at + size]), np.uint8), [], 0
+    for length in lengths:
+        arrays.append(np.ascontiguousarray(raw[begin : begin + 8 * length].reshape(8, -1).T).view("<i8").ravel())
+        begin += 8 * length
+    return arrays, zstandard.decompress(blob[at + size :]) if len(blob) > at + size else b"", bool(single)
 
 
 def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,87 +205,97 @@ def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _ship(window: int, first: np.ndarray, parts: np.ndarray, common: np.ndarray):
-    """Packed suffixes by group; negative groups hold what a chunk has marked by itself."""
+    """Packed stretches of suffixes by group; negative groups hold what a chunk has marked by itself."""
+    bits = np.uint64(64 - len(first).bit_length() + 1)
+
+    def blobs(ids, sums, data, offsets, base, order) -> Iterator[tuple[int, bytes]]:
+        starts, ends, before = words.split(data, offsets)
+        docs, at = suffixes(before, order, window)
+        if not len(docs):
+            return
+        h = words.hashes(data, starts, ends)
+        gone = later(ids[docs], *tree(data, starts, ends, h, at, window))
+        place = at - before[:-1][docs] + base
+        if len(gone):
+            d, s = docs[gone], place[gone]
+            b, n = _runs(d, s)
+            yield -1 - int(h[0] % np.uint64(1 << 20)), _pack([ids[d[b]], sums[d[b]], s[b], n])
+            stay = np.ones(len(docs), bool)
+            stay[gone] = False
+            docs, at, place = docs[stay], at[stay], place[stay]
+        least, where = (x[at] for x in landmarks(h, window))
+        cell = (least >> bits).astype(np.int64)
+        split = common[cell]
+        path = np.where(split, words.grams(h, window)[at], words.mix(least))
+        group = first[cell] + (path % parts[cell].astype(np.uint64)).astype(np.int64)
+        new = np.ones(len(docs), bool)
+        new[1:] = split[1:] | (docs[1:] != docs[:-1]) | (place[1:] != place[:-1] + 1) | (where[1:].astype(np.int64) != where[:-1].astype(np.int64) - 1)
+        begins = np.flatnonzero(new)
+        counts = np.diff(np.append(begins, len(docs)))
+        by = np.argsort(group[begins], kind="stable")
+        text = data.tobytes()
+        for own in np.split(by, np.flatnonzero(np.diff(group[begins[by]])) + 1) if len(by) else []:
+            b, n = begins[own], counts[own]
+            used, inverse = np.unique(docs[b], return_inverse=True)
+            rank = np.argsort(ids[used], kind="stable")
+            back = np.empty(len(rank), np.int64)
+            back[rank] = np.arange(len(rank))
+            used = used[rank]
+            stretches = b"\n".join([text[x:y] for x, y in zip(starts[at[b]].tolist(), ends[at[b] + n + window - 2].tolist(), strict=True)])
+            yield int(group[b[0]]), _pack([np.diff(ids[used], prepend=0), sums[used], np.diff(back[inverse], prepend=0), place[b], n], stretches, bool(split[b[0]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in chunks(batch, "raw"):
-                has_id = ~np.asarray(part.column(0).is_null())
+            for part, whole, all_offsets in chunks(batch, "raw"):
+                has_id = np.flatnonzero(~np.asarray(part.column(0).is_null()))
                 ids, sums = long_array(part.column(0)), long_array(part.column(2))
-                starts, ends, before = words.split(data, offsets)
-                order = np.flatnonzero(has_id)
-                order = order[np.argsort(ids[order], kind="stable")]
-                docs, at, least, where, full = suffixes(words.hashes(data, starts, ends), before, order, window)
-                if not len(docs):
-                    continue
-                place = at - before[:-1][docs]
-                by = np.argsort(full, kind="stable")
-                new = np.ones(len(by), bool)
-                new[1:] = full[by[1:]] != full[by[:-1]]
-                smallest = np.empty(len(by), np.int64)
-                smallest[by] = ids[docs[by]][np.flatnonzero(new)][np.cumsum(new) - 1]
-                marked = ids[docs] > smallest
-                groups, blobs = [], []
-                if marked.any():
-                    d, s = docs[marked], place[marked]
-                    b, n = _runs(d, s)
-                    groups.append(-1 - int(full[0] % np.uint64(1 << 20)))
-                    blobs.append(_pack([ids[d[b]], sums[d[b]], s[b], n], np.zeros(0, "<u8"), np.zeros(0, "<u8")))
-                docs, place, least, where, full = (x[~marked] for x in (docs, place, least, where, full))
-                cell = (least >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-                split = common[cell]
-                group = first[cell] + (np.where(split, full, words.mix(least)) % parts[cell].astype(np.uint64)).astype(np.int64)
-                new = np.ones(len(docs), bool)
-                new[1:] = split[1:] | (docs[1:] != docs[:-1]) | (place[1:] != place[:-1] + 1) | (where[1:].astype(np.int64) != where[:-1].astype(np.int64) - 1)
-                begins = np.flatnonzero(new)
-                counts = np.diff(np.append(begins, len(docs)))
-                by = np.argsort(group[begins], kind="stable")
-                cuts = np.flatnonzero(np.diff(group[begins[by]])) + 1
-                for own in np.split(by, cuts) if len(by) else []:
-                    b, n = begins[own], counts[own]
-                    take = np.repeat(b, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                    used, inverse = np.unique(docs[b], return_inverse=True)
-                    rank = np.argsort(ids[used], kind="stable")
-                    back = np.empty(len(rank), np.int64)
-                    back[rank] = np.arange(len(rank))
-                    used = used[rank]
-                    meta = [np.diff(ids[used], prepend=0), sums[used], np.diff(back[inverse], prepend=0), place[b], where[b].astype(np.int64), n]
-                    groups.append(int(group[b[0]]))
-                    blobs.append(_pack(meta, least[b], full[take], COMMON_BYTES if split[b[0]] else PRINT_BYTES))
-                if groups:
-                    yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(blobs, pa.binary())], names=["grp", "blob"])
+                order = has_id[np.argsort(ids[has_id], kind="stable")]
+                for data, offsets, base in units(part, whole, all_offsets, window - 1):
+                    out = list(blobs(ids, sums, data, offsets, base, order))
+                    if out:
+                        groups, packed = zip(*out, strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(packed, pa.binary())], names=["grp", "blob"])
 
     return run
 
 
-def repeats(blobs: list[bytes], turn: int = 0, turns: int = 1) -> tuple[np.ndarray, ...]:
+def windows_of(blob: bytes) -> int:
+    """Number of suffixes in a packed blob."""
+    return int(np.frombuffer(blob, "<i8", 1, 8)[0])
+
+
+def repeats(blobs: list[bytes], window: int, turn: int = 0, turns: int = 1) -> tuple[np.ndarray, ...]:
     """Of one group: document, text sum, first start and number of consecutive starts whose window also starts in a smaller document.
 
-    With turns, only of the windows whose path falls to this turn.
+    With turns, only of the suffixes whose path falls to this turn.
     """
-    ids, sums, place, landmark, prints = [], [], [], [], []
+    held: list[list[np.ndarray]] = [[] for _ in range(8)]
+    n_bytes = n_words = 0
     for blob in blobs:
-        (used, own, doc, at, where, n), least, low = _unpack(blob)
-        used, doc = np.cumsum(used), np.cumsum(doc)
-        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        low = low | ((np.repeat(where, n) - step).astype(np.uint64) << np.uint64(56))
-        columns = [np.repeat(used[doc], n), np.repeat(own[doc], n), np.repeat(at, n) + step, np.repeat(least, n), low]
+        (ids, sums, doc, place, n), text, single = _unpack(blob)
+        data = np.frombuffer(text, np.uint8)
+        starts, ends, _ = words.split(data, np.array([0, len(data)]))
+        h = words.hashes(data, starts, ends)
+        ids, doc = np.cumsum(ids), np.cumsum(doc)
+        lead = np.cumsum(n + window - 1) - (n + window - 1)
         if turns > 1:
-            mine = words.mix(low ^ words.mix(columns[3])) % np.uint64(turns) == np.uint64(turn)
-            columns = [c[mine] for c in columns]
-        for out, c in zip((ids, sums, place, landmark, prints), columns, strict=True):
-            out.append(c)
-    ids, sums, place, landmark, prints = map(np.concatenate, (ids, sums, place, landmark, prints))
-    by = np.argsort(words.mix(landmark + words.mix(prints)), kind="stable")
-    if not len(by):
-        return (np.zeros(0, np.int64),) * 4
-    l, p = landmark[by], prints[by]  # noqa: E741
-    new = np.ones(len(by), bool)
-    new[1:] = (l[1:] != l[:-1]) | (p[1:] != p[:-1])
-    node = np.cumsum(new) - 1
-    smallest = np.empty(len(by), np.int64)
-    smallest[by] = np.minimum.reduceat(ids[by], np.flatnonzero(new))[node]
-    hit = np.flatnonzero(ids > smallest)
+            path = words.grams(h, window)[lead] if single else words.mix(landmarks(h, window)[0][lead])
+            mine = np.flatnonzero(words.mix(path) % np.uint64(turns) == np.uint64(turn))
+            if not len(mine):
+                continue
+            doc, place, n, lead = doc[mine], place[mine], n[mine], lead[mine]
+            size = n + window - 1
+            keep = np.repeat(lead, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            starts, ends, h = starts[keep], ends[keep], h[keep]  # the blob's bytes stay whole, no word of other turns does
+            lead = np.cumsum(size) - size
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        for out, x in zip(held, (data, starts + n_bytes, ends + n_bytes, h, np.repeat(lead, n) + step + n_words, np.repeat(ids[doc], n), np.repeat(sums[doc], n), np.repeat(place, n) + step), strict=True):
+            out.append(x)
+        n_bytes, n_words = n_bytes + len(data), n_words + len(h)
+    if not n_words:
+        return (NONE,) * 4
+    data, starts, ends, h, at, ids, sums, place = (np.concatenate(x) for x in held)
+    hit = later(ids, *tree(data, starts, ends, h, at, window))
     d, t, s = ids[hit], sums[hit], place[hit]
     new = np.ones(len(hit), bool)
     new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (s[1:] != s[:-1] + 1)
@@ -215,14 +303,14 @@ def repeats(blobs: list[bytes], turn: int = 0, turns: int = 1) -> tuple[np.ndarr
     return d[b], t[b], s[b], np.diff(np.append(b, len(hit)))
 
 
-def _mark(group_windows: int):
+def _mark(window: int, group_windows: int):
     def out(d, t, s, n):
         return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (d, t, s, n)], names=["doc_id", "sum", "first", "n"])
 
     def ended(held: list[bytes]) -> Iterator[pa.RecordBatch]:
         turns = -(-sum(windows_of(blob) for blob in held) // group_windows)
         for turn in range(turns):
-            yield out(*repeats(held, turn, turns))
+            yield out(*repeats(held, window, turn, turns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
@@ -243,55 +331,117 @@ def _mark(group_windows: int):
 
 
 def _kept(window: int, with_text: bool):
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
+
+    def joined(data, starts, ends, keep) -> tuple[bytes, np.ndarray]:
+        """The words that stay, a space after each, and the byte where each word would begin."""
+        s, lengths = starts[keep], (ends - starts)[keep]
+        upto = np.append(0, np.cumsum(lengths + 1))
+        text = np.full(int(upto[-1]), 32, np.uint8)
+        step = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        text[np.repeat(upto[:-1], lengths) + step] = data[np.repeat(s, lengths) + step]
+        return text.tobytes(), upto[np.append(0, np.cumsum(keep))]
+
+    def long_text(data: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[int, int, str, list[bytes]]:
+        """One text by pieces."""
+        order = np.argsort(first)
+        begin, end = first[order], np.maximum.accumulate((first + n + window - 1)[order]) if len(first) else NONE
+        total, kept, digest, texts = 0, 0, hashlib.sha256(), []
+        for piece, _ in words.pieces(data, CHUNK_BYTES):
+            starts, ends, _ = words.split(piece, np.array([0, len(piece)]))
+            number = np.arange(total, total + len(starts))
+            covering = np.searchsorted(begin, number, "right") - 1
+            keep = ~((covering >= 0) & (number < end[np.maximum(covering, 0)])) if len(begin) else np.ones(len(starts), bool)
+            text = joined(piece, starts, ends, keep)[0][:-1]
+            if keep.any():
+                digest.update(b" " * (kept > 0) + text)
+                texts.append(text)
+            total, kept = total + len(starts), kept + int(keep.sum())
+        return total, total - kept, digest.hexdigest(), texts
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in chunks(batch, "raw"):
-                starts, ends, before = words.split(data, offsets)
-                gone = np.zeros(len(starts) + 1, np.int64)
                 lists, counts = part.column(2), part.column(3)
+                first, many = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (lists, counts))
+                if len(part) == 1 and len(data) > CHUNK_BYTES:
+                    total, gone, digest, texts = long_text(data, first, many)
+                    columns = [part.column(0), pa.array([total]), pa.array([gone]), pa.array([digest])] + [pa.array([b" ".join(texts)], pa.binary()).cast(pa.string())] * with_text
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                    continue
+                starts, ends, before = words.split(data, offsets)
+                cover = np.zeros(len(starts) + 1, np.int64)
                 rows = np.repeat(np.arange(len(part)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                begin = before[:-1][rows] + lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                np.add.at(gone, begin, 1)
-                np.add.at(gone, begin + counts.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + window - 1, -1)
-                keep = np.cumsum(gone)[:-1] == 0
-                s, lengths = starts[keep], (ends - starts)[keep]
-                kept_before = np.append(0, np.cumsum(keep))[before]
-                wide = lengths + 1
-                upto = np.append(0, np.cumsum(wide))
-                text = np.full(int(upto[-1]), 32, np.uint8)
-                step = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                text[np.repeat(upto[:-1], lengths) + step] = data[np.repeat(s, lengths) + step]
-                text = text.tobytes()
-                begin, end = upto[kept_before[:-1]], np.maximum(upto[kept_before[1:]] - 1, upto[kept_before[:-1]])
+                begin = before[:-1][rows] + first
+                np.add.at(cover, begin, 1)
+                np.add.at(cover, begin + many + window - 1, -1)
+                keep = np.cumsum(cover)[:-1] == 0
+                text, place = joined(data, starts, ends, keep)
+                begin = place[before[:-1]]
+                end = np.maximum(place[before[1:]] - 1, begin)
                 texts = [text[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
                 n = np.diff(before)
-                columns = [part.column(0), pa.array(n.astype(np.int64)), pa.array((n - np.diff(kept_before)).astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in texts])]
-                names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-                if with_text:
-                    columns, names = [*columns, pa.array(texts, pa.binary()).cast(pa.string())], [*names, "kept_text"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                columns = [part.column(0), pa.array(n.astype(np.int64)), pa.array(n - np.diff(np.append(0, np.cumsum(keep))[before])), pa.array([hashlib.sha256(x).hexdigest() for x in texts])]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(texts, pa.binary()).cast(pa.string())] * with_text, names=names)
 
     return run
 
 
+def _marks(summed: DataFrame, window: int, group_windows: int) -> DataFrame:
+    """Runs of starts whose window also starts in a smaller document: doc_id, sum, first, n."""
+    spark = summed.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = min(MOST_CELLS, max(CELLS, 1 << (CELLS_EACH * partitions * GROUPS_EACH - 1).bit_length()))
+    kind = "slice long, counts binary"
+    counted = summed.select("doc_id", "raw").mapInArrow(_count(window, cells), kind).repartition("slice").mapInArrow(_summed, kind)
+    counts = np.zeros(cells, np.int64)
+    for row in counted.collect():  # MOST_CELLS numbers at most
+        counts[row.slice : row.slice + SLICE] = np.frombuffer(row.counts, np.int64)
+    shipped = summed.mapInArrow(_ship(window, *plan(counts, partitions)), "grp long, blob binary").repartition("grp").sortWithinPartitions("grp")
+    return shipped.mapInArrow(_mark(window, group_windows), MARK_TYPE)
+
+
+def _summed_texts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """doc_id, raw, and a sum of the text that tells rows of one doc_id apart."""
+    raw = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("raw"))
+    return raw.withColumn("sum", F.xxhash64("raw").bitwiseAND(F.lit(0xFFFFFF)))
+
+
+def repeated_passages(docs: DataFrame, window: int = 13, group_windows: int = GROUP_WINDOWS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, first, n_words of the maximal passages all whose windows also start in documents of smaller doc_id; places count from 0.
+
+    Rows that share doc_id and text give the same passages, which come once.
+    """
+    marks = _marks(_summed_texts(docs, text, doc_id), window, group_windows)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own: list[list[int]] = []
+                for run in sorted((r["first"], r["n"]) for r in runs):
+                    if own and run[0] <= own[-1][0] + own[-1][1]:
+                        own[-1][1] = max(own[-1][1], run[0] + run[1] - own[-1][0])
+                    else:
+                        own.append(list(run))
+                rows += [(doc, a, n + window - 1) for a, n in own]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "first", "n_words"])
+
+    grouped = marks.groupBy("doc_id", "sum").agg(F.collect_list(F.struct("first", "n")).alias("runs"))  # the runs of one text
+    return grouped.select("doc_id", "runs").mapInArrow(merge, "doc_id long, first long, n_words long")
+
+
 def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False, group_windows: int = GROUP_WINDOWS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text.
 
     Words are `[^\\x20\\x09-\\x0D]+`; null and blank texts have none. A word goes if a window of `window` words covers it whose words
-    also start in a document of smaller doc_id; kept words are joined by one space. Rows of one doc_id don't affect each other; rows without
-    doc_id stay whole and affect none. Other columns of docs are not looked at.
+    also start in a document of smaller doc_id; kept words are joined by one space. Rows of one doc_id don't affect each other (two of them with
+    different texts are told apart by 24 bits); rows without doc_id stay whole and affect none. A text of any length that Spark holds (2 GB)
+    is worked on in pieces of 4 MB. Other columns of docs are not looked at.
     """
-    spark = docs.sparkSession
-    raw = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("raw"))
-    counted = raw.mapInArrow(_count(window), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    counts = np.zeros(CELLS, np.int64)
-    for row in counted.collect():  # CELLS rows
-        counts[row.cell] = row.n
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first, parts, common = plan(counts, partitions)
-    summed = raw.withColumn("sum", F.xxhash64("raw").bitwiseAND(F.lit(0xFFFF)))
-    shipped = summed.mapInArrow(_ship(window, first, parts, common), "grp long, blob binary").repartition("grp").sortWithinPartitions("grp")
-    marks = shipped.mapInArrow(_mark(group_windows), "doc_id long, sum long, first long, n long").groupBy("doc_id", "sum").agg(F.collect_list(F.struct("first", "n")).alias("marks"))
+    summed = _summed_texts(docs, text, doc_id)
+    marks = _marks(summed, window, group_windows).groupBy("doc_id", "sum").agg(F.collect_list(F.struct("first", "n")).alias("marks"))
     marks = marks.select("doc_id", "sum", F.col("marks.first").alias("first"), F.col("marks.n").alias("n"))
     joined = summed.join(marks.hint("merge"), ["doc_id", "sum"], "left").select("doc_id", "raw", "first", "n")
     kind = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text

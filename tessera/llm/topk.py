@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import binary_parts, long_array, work_folder, written
+from tessera.folders import work_folder, written
+from tessera.llm.common import binary_parts, long_array
 
 BINS, QUERY_BLOCK, SCORED, SLICE = 256, 4096, 1 << 21, 128
 

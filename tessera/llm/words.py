@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Fixed seed of the hash tables; they are built from it by rule.
@@ -60,3 +62,29 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
     for j in range(min(k, len(words))):
         out[: len(words) - j] = out[: len(words) - j] * BASE + words[j:]
     return mix(out)
+
+
+def pieces(data: np.ndarray, limit: int, overlap: int = 0) -> Iterator[tuple[np.ndarray, int]]:
+    """A long text in pieces of about limit bytes that end between words, and the number of words before each.
+
+    Neighbours share overlap words, so that each run of overlap + 1 words lies in exactly one piece; the last piece may hold shared ones only.
+    """
+    at, first = 0, 0
+    while True:
+        end = at + limit
+        while True:
+            if end >= len(data):
+                yield data[at:], first
+                return
+            gap = np.flatnonzero(IS_SPACE[data[end : end + (1 << 16)]])
+            if not len(gap):
+                end += 1 << 16
+                continue
+            end += int(gap[0])
+            starts = split(data[at:end], np.array([0, end - at]))[0]
+            if len(starts) > overlap:
+                break
+            end += limit
+        yield data[at:end], first
+        first += len(starts) - overlap
+        at = end if not overlap else at + int(starts[-overlap])

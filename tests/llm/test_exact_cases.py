@@ -12,7 +12,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import common, media, neardup, packing, substrings, topk
+from tessera.folders import work_folder
+from tessera.llm import common, media, neardup, packing, substrings, topk, words
 
 
 def prose(rng, n, vocabulary=300):
@@ -196,6 +197,81 @@ def test_remove_repeats_without_id(spark):
     assert sorted((r.doc_id or -1, r.n_removed) for r in got) == [(-1, 0), (-1, 0), (4, 0), (5, 30)]
 
 
+@pytest.mark.parametrize("turns", [1_000_000, 30])
+def test_remove_repeats_with_hashes_that_collide(spark, monkeypatch, turns):
+    """Whatever hashes say, words decide: here a word's hash has 3 bits."""
+    real = words.hashes
+    monkeypatch.setattr(words, "hashes", lambda *a, **b: words.mix(real(*a, **b) & np.uint64(7)))
+    rng = random.Random(turns)
+    passages = [prose(rng, 20) for _ in range(4)]
+    rows = [(i, " ".join([prose(rng, rng.randint(0, 12), 40), rng.choice(passages), prose(rng, rng.randint(0, 12), 40)])) for i in range(60)]
+    raw = [(d, t.encode()) for d, t in rows]
+    data, offsets = np.frombuffer(b"".join(t for _, t in raw), np.uint8), np.cumsum([0, *(len(t) for _, t in raw)])
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in raw]), common.binary_array(data, offsets), pa.array([0] * len(raw))], names=["doc_id", "raw", "sum"])
+    cells = substrings.CELLS
+    shipped = [(g, b) for k in (0, 30) for part in substrings._ship(13, np.zeros(cells, np.int64), np.ones(cells, np.int64), np.zeros(cells, bool))(iter([batch.slice(k, 30)])) for g, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+    marks = [r for part in substrings._mark(13, turns)(iter([pa.RecordBatch.from_arrays([pa.array([g for g, _ in shipped]), pa.array([b for _, b in shipped])], names=["grp", "blob"])])) for r in part.to_pylist()]
+    gone = {d: set() for d, _ in rows}
+    for r in marks:
+        gone[r["doc_id"]].update(range(r["first"], r["first"] + r["n"] + 12))
+    assert [(d, len(gone[d])) for d, _ in rows] == [(x[0], x[2]) for x in substring_brute(rows, 13)]
+
+
+def test_many_windows_of_one_landmark_are_told_apart():
+    """Five million different windows, half a million in a group, all of one landmark: none is a repeat; a planted one is."""
+    rng, found, planted = np.random.default_rng(4), 0, 0
+    letters = np.frombuffer(b"abcdefghijklmnop", np.uint8)
+    for part in range(10):
+        n = 500_000
+        text = np.full((n, 13, 5), 32, np.uint8)
+        text[:, :, :4] = letters[rng.integers(0, 16, (n, 13, 4))]
+        text[:, 5:8, :4] = np.frombuffer(b"zzzzyyyyxxxx", np.uint8).reshape(3, 4)
+        if part == 9:
+            text[7] = text[3]
+            planted = 1
+        stretches = b"\n".join(x.tobytes() for x in text)
+        meta = [np.diff(np.arange(n), prepend=0), np.zeros(n, np.int64), np.diff(np.arange(n), prepend=0), np.zeros(n, np.int64), np.ones(n, np.int64)]
+        found += len(substrings.repeats([substrings._pack(meta, stretches)], 13)[0])
+    assert (found, planted) == (1, 1)
+
+
+@pytest.mark.parametrize("limit", [50, 300])
+def test_remove_repeats_of_long_texts_by_pieces(spark, monkeypatch, limit):
+    """Texts that are longer than a chunk are worked on in pieces, with the same result."""
+    rng = random.Random(limit)
+    shared = prose(rng, 60)
+    rows = [(1, prose(rng, 400)), (2, prose(rng, 90) + " " + shared + "\t" + prose(rng, 100)), (3, shared + "  " + prose(rng, 200) + " " + shared), (4, "x" * 1000 + " " + shared), (5, "y" * 900), (6, "")]
+    rows += [(7, rows[0][1]), (8, "  " + rows[1][1])]
+    raw = [(d, t.encode()) for d, t in rows]
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", limit)
+    shipped, gone = [], {d: [] for d, _ in rows}
+    for d, t in raw:
+        batch = pa.RecordBatch.from_arrays([pa.array([d]), pa.array([t]), pa.array([0])], names=["doc_id", "raw", "sum"])
+        cells = substrings.CELLS
+        for part in substrings._ship(13, np.zeros(cells, np.int64), np.ones(cells, np.int64), np.zeros(cells, bool))(iter([batch])):
+            shipped += zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+    shipped.sort(key=lambda x: x[0])
+    for part in substrings._mark(13, 10**6)(iter([pa.RecordBatch.from_arrays([pa.array([g for g, _ in shipped]), pa.array([b for _, b in shipped])], names=["grp", "blob"])])):
+        for r in part.to_pylist():
+            gone[r["doc_id"]].append((r["first"], r["n"]))
+    got = []
+    for d, t in raw:
+        lists = [pa.array([[x[i] for x in gone[d]]], pa.list_(pa.int64())) for i in (0, 1)]
+        batch = pa.RecordBatch.from_arrays([pa.array([d]), pa.array([t]), *lists], names=["doc_id", "raw", "first", "n"])
+        got += [tuple(r.values()) for part in substrings._kept(13, True)(iter([batch])) for r in part.to_pylist()]
+    assert sorted(r[:4] for r in got) == substring_brute(rows, 13)
+    assert all(hashlib.sha256(r[4].encode()).hexdigest() == r[3] for r in got)
+
+
+def test_repeated_passages(spark):
+    rng = random.Random(6)
+    a, b = prose(rng, 30, 10**6), prose(rng, 20, 10**6)
+    rows = [(1, f"{a} x {b}"), (2, f"q {a} r {b}"), (3, f"{prose(rng, 40, 10**6)} {b[3:]}"), (2, f"q {a} r {b}"), (None, a)]
+    got = substrings.repeated_passages(docs_frame(spark, rows)).collect()
+    assert sorted(map(tuple, got)) == [(2, 1, 30), (2, 32, 20), (3, 41, 19)]
+    assert substrings.repeated_passages(docs_frame(spark, [])).collect() == []
+
+
 def test_plan_splits_common_prefixes_only():
     counts = np.array([5, 5, 1000, 0, 7, 3])
     first, parts, common = substrings.plan(counts, 3)
@@ -233,7 +309,7 @@ def test_media_round_trip(spark):
 
 
 def test_media_headers_and_shards(spark):
-    folder = common.work_folder(spark, "test")
+    folder = work_folder(spark, "test")
     rows = [(i, f"text {i % 4} " * 50) for i in range(12)]
     references = media.store(docs_frame(spark, rows).coalesce(1), folder)
     assert references.select("shard", "offset").distinct().count() == 4
@@ -349,8 +425,6 @@ def test_top_k_few_and_none(spark):
 def test_words_split_like_bytes():
     rng = random.Random(3)
     texts = ["".join(rng.choice("ab É\t\n\x0b\x1c 9") for _ in range(rng.randint(0, 20))).encode() for _ in range(200)]
-    from tessera.llm import words
-
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
     starts, ends, before = words.split(data, offsets)
     own = [[bytes(data[s:e]) for s, e in zip(starts[a:b], ends[a:b])] for a, b in pairwise(before)]
