@@ -1,15 +1,18 @@
 """Token sequences of several lengths: documents are routed to tiers, tiers are packed, gaps of long windows are filled from shorter tiers.
 
-Each task packs the documents of its own partition, so nothing is shuffled. A document's ids are cut into windows of the longest tier;
-what is left goes to the shortest tier that holds it. Tiers are packed from the longest down: a piece opens a window, the largest pieces
-of shorter tiers that fit fill it, and the last gap takes a cut from the shortest tier at hand, so that every window is exactly full. What a task
-has left at its end goes to full windows of shorter tiers; only a rest under the shortest tier is padded, one sequence a task.
-Sequences are then dealt to step groups of the same number of tokens.
+Each task packs the documents of its own partition, so nothing is shuffled. A document's ids are cut into windows of the longest tier, which are
+put out at once; what is left goes to the shortest tier that holds it. Tiers are packed from the longest down: a piece opens a window, the largest
+pieces of shorter tiers that fit fill it, and the last gap takes a cut from the shortest tier at hand, so that every window is exactly full. What a
+task has left at its end goes to full windows of shorter tiers; only a rest under the shortest tier is padded, one sequence a task.
+
+Step groups have the same number of tokens: short sequences wait until they make up the longest tier, two by two, and step groups are filled by
+whole such units, so every group of a task but its last one is full. A task holds `HELD` ids of rests, one unfinished unit and the document at hand.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -24,8 +27,10 @@ from tessera.llm.common import text_bytes
 
 TIERS = (128, 256, 512, 1024)
 END = 0
-#: Tokens that a task holds before it packs them, and tokens of a step group.
+#: Tokens of rests that a task holds before it packs them, and tokens of a step group.
 HELD, STEP_TOKENS = 2 << 20, 64 * 1024
+#: Rows of a batch that a task returns, and characters that are encoded at once.
+ROWS, PIECE_CHARS = 20_000, 4 << 20
 SEQUENCES_EACH = 1 << 40
 PIECE_TYPE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 #: Fixed value: how byte-level BPE splits a text into words.
@@ -64,26 +69,41 @@ def encoder(path: str):
             return slow
     except (ImportError, KeyError, TypeError, ValueError):
         return slow
-    return lambda text: slow(text) if any(x in text for x in special) else fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
+    quick = lambda text: fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
+    return lambda text: slow(text) if any(x in text for x in special) else np.concatenate([quick(x) for x in text_pieces(text)])
+
+
+def text_pieces(text: str) -> Iterator[str]:
+    """A long text cut before single blanks between word characters, where WORD_PATTERN always begins a word."""
+    at, cut = 0, re.compile(r"(?<=\w) (?=\w)")
+    while len(text) - at > PIECE_CHARS and (found := cut.search(text, at + PIECE_CHARS)):
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
 
 
 class Packer:
-    """Packs pieces (document, start, ids) of one partition; rows() gives what is finished."""
+    """Packs pieces (document, start, ids) of one partition; rows() gives what is finished.
+
+    Tiers are powers of two.
+    """
 
     def __init__(self, partition: int, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS):
         self.tiers, self.step_tokens = tuple(sorted(tiers)), step_tokens
+        if any(t & (t - 1) for t in self.tiers) or step_tokens % self.tiers[-1]:
+            raise ValueError("tiers are powers of two, and step groups whole numbers of the longest one")
         self.first = partition * SEQUENCES_EACH
         self.queues = {t: deque() for t in self.tiers}
-        self.held, self.sequences, self.steps, self.out = 0, 0, 0, []
-        self.ready: list[tuple[int, list]] = []
+        self.held, self.sequences, self.units, self.out = 0, 0, 0, []
+        self.waiting: dict[int, list] = {}
 
     def add(self, doc, ids: np.ndarray) -> None:
         longest, n, at = self.tiers[-1], len(ids), 0
         while n - at >= longest:
-            self.ready.append((longest, [(doc, n, at, ids[at : at + longest])]))
+            self.deal(longest, [(longest, [(doc, n, at, ids[at : at + longest])])])
             at += longest
         if at < n:
-            self.queue(doc, n, at, ids[at:])
+            self.queue(doc, n, at, ids[at:].copy())
         if self.held >= HELD:
             self.pack()
 
@@ -111,7 +131,7 @@ class Packer:
                 self.queue(doc, n, at + gap, ids[gap:])
             pieces.append(piece)
             gap -= len(piece[3])
-        self.ready.append((tier, pieces))
+        self.deal(tier, [(tier, pieces)])
 
     def in_tiers(self, upto: int) -> int:
         return sum(len(p[3]) for t in self.tiers if t <= upto for p in self.queues[t])
@@ -132,23 +152,31 @@ class Packer:
             pieces = []
             while (piece := self.take(self.tiers[0], self.tiers)) is not None:
                 pieces.append(piece)
-            self.ready.append((self.tiers[-1], pieces))
-        self.deal()
-
-    def deal(self) -> None:
-        """Numbers the finished sequences and deals them to step groups, long ones first; sizes are powers of two, so groups come out even."""
-        self.ready.sort(key=lambda x: -x[0])
-        free = 0
-        for tier, pieces in self.ready:
-            if free < tier:
-                self.steps, free = self.steps + 1, self.step_tokens
-            free -= tier
+            self.deal(self.tiers[-1], [(self.tiers[-1], pieces)])
+        if last:  # under one unit: they share the last step group
+            for size in sorted(self.waiting, reverse=True):
+                self.number(self.waiting[size])
+            self.waiting = {}
+
+    def deal(self, size: int, sequences: list[tuple[int, list]]) -> None:
+        """Takes sequences of size tokens together; equal sizes are joined until they make up the longest tier, a unit of step groups."""
+        while size < self.tiers[-1]:
+            if size not in self.waiting:
+                self.waiting[size] = sequences
+                return
+            sequences = self.waiting.pop(size) + sequences
+            size *= 2
+        self.number(sequences)
+        self.units += 1
+
+    def number(self, sequences: list[tuple[int, list]]) -> None:
+        group = self.first + self.units * self.tiers[-1] // self.step_tokens
+        for tier, pieces in sequences:
             offset = 0
             for doc, n, at, ids in pieces:
-                self.out.append((doc, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), n, self.first + self.sequences, offset, tier, self.first + self.steps - 1))
+                self.out.append((doc, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), n, self.first + self.sequences, offset, tier, group))
                 offset += len(ids)
             self.sequences += 1
-        self.ready = []
 
     def rows(self, last: bool = False) -> pa.RecordBatch | None:
         if last:
@@ -166,7 +194,7 @@ def _pack(path: str, tiers: tuple[int, ...], end: int):
             for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = encode(raw.as_py().decode("utf-8", "replace"))
                 packer.add(doc, np.append(ids, np.uint32(end)))
-                if len(packer.out) >= 20_000:
+                if len(packer.out) >= ROWS:
                     yield packer.rows()
         if (rows := packer.rows(last=True)) is not None:
             yield rows
@@ -179,5 +207,7 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, end: i
 
     A document is its text's ids and the id `end`; null and empty texts are that id alone. Rows are packed one by one, repeated ones
     too, and rows without doc_id keep null. Sequences of a tier's length (powers of two) are full; a shorter one is padded to the longest tier.
+    Long texts are encoded in pieces; a task holds the ids of one document (4 bytes each) beside what it has queued. Other columns of docs are not
+    looked at.
     """
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("raw")).mapInArrow(_pack(tokenizer, tuple(tiers), end), PIECE_TYPE)

@@ -40,7 +40,7 @@ GROUP_WINDOWS, GROUPS_EACH = 1_000_000, 4
 #: A cell with more than this many times both a group's share and the mean of cells holds a common landmark.
 COMMON = 2
 #: Bytes that are compared at once.
-COMPARED = 1 << 22
+COMPARED = 1 << 20
 NONE = np.zeros(0, np.int64)
 MARK_TYPE = "doc_id long, sum long, first long, n long"
 

@@ -379,6 +379,34 @@ def test_packer_is_exact():
         assert check_packing(pieces, lengths) < 1024
 
 
+def test_packer_bounds_what_it_holds_and_fills_step_groups(monkeypatch):
+    """Long documents leave at once; every step group of a task but the last is full, over many packs and all lengths."""
+    monkeypatch.setattr(packing, "HELD", 5000)
+    rng, packer, lengths, rows = np.random.default_rng(8), packing.Packer(0, step_tokens=8192), {}, []
+    for d in range(600):
+        lengths[d] = int(rng.choice([3, 90, 130, 700, 102_401 if d % 40 == 0 else 1500])) + int(rng.integers(0, 60))
+        packer.add(d, rng.integers(0, 50_000, lengths[d]).astype(np.uint32))
+        waiting = sum(len(p[3]) for own in packer.waiting.values() for _, pieces in own for p in pieces)
+        assert packer.held < 5000 + 1024 and waiting < 1024
+        if len(packer.out) > 200:
+            rows += packer.rows().to_pylist()
+    rows += packer.rows(last=True).to_pylist()
+    assert check_packing([type("P", (), r) for r in rows], lengths) < 1024
+    tokens = {}
+    for g, t in {(r["step_group"], r["sequence_id"]): r["tier"] for r in rows}.items():
+        tokens[g[0]] = tokens.get(g[0], 0) + t
+    assert len(tokens) > 30 and all(n == 8192 for g, n in tokens.items() if g != max(tokens)) and tokens[max(tokens)] <= 8192 + 1024
+
+
+def test_long_texts_are_encoded_in_pieces(monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(2)
+    text = "".join(rng.choice(["a", "word", " ", "  ", "\n", "'s", "é", "東", "9", ".", " \x1c", "\x85 "]) for _ in range(3000))
+    whole = packing.encoder(path)(text)
+    monkeypatch.setattr(packing, "PIECE_CHARS", 40)
+    assert len(list(packing.text_pieces(text))) > 20 and packing.encoder(path)(text).tolist() == whole.tolist()
+
+
 def test_pack_documents(spark):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     path = public_tokenizers.path("byte_bpe_50k.json")
