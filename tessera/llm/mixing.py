@@ -116,7 +116,7 @@ def mix(docs: DataFrame, entropy: float | None = None, repetitions: float | None
     brief = sources.select("key", "passes", "rest", "blocks", "weight")
     if keep:
         names = docs.columns
-        inner = [F.col(c).alias(f"c{i}") for i, c in enumerate(names)]
+        inner = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
         own = docs.select(*inner, source_key(source).alias("key"), row.alias("row"))
         placed = place(own.join(brief, "key"), seed).join(cuts, ["key", "block"], "left")
         return placed.select(*[f"c{i}" for i in range(len(names))], F.explode(copies).alias("epoch")).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

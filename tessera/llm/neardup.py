@@ -49,6 +49,8 @@ SLACK = 5.5
 CAP = 8
 #: Classes in a block of the exhaustive comparison of a class with a label.
 BLOCK = 512
+#: Rows without doc_id get ids from here on, by their text.
+NO_ID = 1 << 62
 _rng = np.random.default_rng(words.SEED + 2)
 XORS = _rng.integers(0, 2**32, PLACES, dtype=np.uint64).astype(np.uint32)
 ODDS = (_rng.integers(0, 2**31, PLACES, dtype=np.uint64) * 2 + 1).astype(np.uint32)
@@ -57,7 +59,21 @@ CLASS_TYPE = "doc_id long, n_shingles long, k1 long, k2 long, sketch binary, roo
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, end to end, and offsets. A text of fewer than k words gives its whole sequence."""
+    """Sorted distinct shingle hashes of each text, end to end, and offsets. A text of fewer than k words gives its whole sequence.
+
+    A text longer than a slice is taken in pieces that share k - 1 words.
+    """
+    if len(offsets) == 2 and len(data) > SLICE_BYTES:
+        runs: list[np.ndarray] = []
+        for piece, _ in words.pieces(data, SLICE_BYTES, k - 1):
+            starts, ends, _ = words.split(piece, np.array([0, len(piece)]))
+            if len(starts) >= k:
+                runs.append(np.unique(words.grams(words.hashes(piece, starts, ends, lower=True), k)[: len(starts) - k + 1]))
+            while len(runs) > 1 and len(runs[-2]) < 2 * len(runs[-1]):  # runs of falling sizes, so that each item is merged a few times
+                runs.append(np.union1d(runs.pop(), runs.pop()))
+        if runs:
+            found = np.unique(np.concatenate(runs))
+            return found, np.array([0, len(found)])
     starts, ends, before = words.split(data, offsets)
     h = words.hashes(data, starts, ends, lower=True)
     n = np.diff(before)
@@ -429,6 +445,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, node_l
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def deduplicated(docs: DataFrame, k: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Rows of docs (all columns) of which one document of each group of near duplicates stays: the one of smallest doc_id.
+
+    Rows without doc_id are grouped like others and come last; equal texts among them are one document. Of rows with one doc_id (or none) and one
+    text a single one stays; rows with one doc_id and different texts stay or go together. Null, empty and blank texts are nothing's
+    duplicate, so one row for each doc_id stays. Columns may have any names; empty tables give empty ones.
+    """
+    names = docs.columns
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    t = F.coalesce(F.col(f"c{names.index(text)}").cast("string"), F.lit(""))
+    own = own.withColumn("key", F.coalesce(F.col(f"c{names.index(doc_id)}").cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(t), F.lit(NO_ID))))
+    marks = near_duplicates(own.select("key", t.alias("text")), k, similarity, doc_id="key")
+    gone = marks.where("NOT kept").select(F.col("doc_id").alias("key")).distinct()
+    left, digest = own.join(gone, "key", "left_anti"), F.sha2(t, 256).alias("digest")
+    again = own.select("key", digest).join(gone, "key", "left_anti").groupBy("key", "digest").count().where("count > 1").select("key", "digest")
+    again = written(again, f"{work_folder(docs.sparkSession, 'deduplicated')}/again")
+    if not again.isEmpty():  # only these rows are brought together
+        left = left.select("*", digest)
+        left = left.join(again, ["key", "digest"], "left_anti").unionByName(left.join(again, ["key", "digest"], "left_semi").dropDuplicates(["key", "digest"]))
+    return left.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+
+
 def _meet(labelled: DataFrame, meets: DataFrame, full_sets, folder: str, percent: int) -> DataFrame:
     """Links of each class in meets with all classes of the label it is put against, block against block."""
     members = labelled.select("doc_id", "label").join(meets.select("label").distinct(), "label", "left_semi")

@@ -1,22 +1,30 @@
 """Personal data: spans by fixed rules, and more by boosted trees over candidates of high recall. DataFrame functions only.
 
-The base finds e-mail and IP addresses, card and phone numbers by rule. Generators with wide patterns propose further, overlapping spans. Each
-candidate has a few small features of its format and of the text before it, without the marks that the rules go by. A table of how often
-each combination of features occurs, and how often it is a base span, over all documents, is what boosted trees of depth two learn from; it has
-at most `CELLS` rows. Half of the documents count for the fit, the others for the calibration: each kind's threshold is the smallest
-score that itself means a chance of `PRECISION` and above which at least that share of the candidates are base spans. Candidates above it which
-no base span overlaps are added: so a phone number that a card number follows at once, which the rules take for one match and drop.
+The base finds e-mail and IP addresses, card and phone numbers by rule. Generators with wide patterns propose further, overlapping spans of these and
+more kinds: national phone formats, spelled-out e-mail addresses, IPv6, account numbers (IBAN), key-like secrets, social security numbers. Each
+candidate has small features of its format (check sums and structure, digits, separators, grouping) and of its context (words that speak for or
+against it, edges).
+
+Boosted trees of depth two learn from planted spans: carrier sentences, made by rule, into which spans of every kind are set beside look-alikes
+(versions, dates, order numbers, commit hashes, numbers that fail their check sum). Half of them count for the fit, half for the calibration: each kind's
+threshold is the smallest score above which at least `PRECISION` of the candidates are planted spans. The model is the same for any corpus, so
+a corpus is read once. Candidates above their threshold which no base span overlaps are added; of those that overlap each other the surer one.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 import math
+import random
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds that only the model finds; they follow the base's.
+EVERY = (*KINDS, "iban", "secret", "id")
 #: The base's patterns. Possessive and bounded on the left where that gives the same matches in linear time.
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -24,21 +32,30 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Wide patterns: something around an at sign or its spellings; digits with separators; digits in groups as phones have them; long runs.
+#: Wide patterns, bounded on both sides or possessive, so that they run in linear time: the kind (None: by format), what must be there, the pattern.
 WIDE = {
-    "email": r"(?:\G|(?<![^\s@<>()\[\],;:\x22]))[^\s@<>()\[\],;:\x22]++(?:@|\x20?[\[(]at[\])]\x20?)[^\s@<>()\[\],;:\x22]++",
-    "number": r"[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){5,39}",
-    "grouped": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])",
-    "run": r"(?<![0-9A-Za-z])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9A-Za-z])",
+    "mail": ("email", r"@", r"(?:\G|(?<![^\s@<>()\[\],;:\x22]))[^\s@<>()\[\],;:\x22]++@[^\s@<>()\[\],;:\x22]++"),
+    "spelled": ("email", r"(?i)[\[({]at[\])}]", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+\x20?[\[({]at[\])}]\x20?[a-z0-9-]{1,63}(?:(?:\.|\x20?[\[({]dot[\])}]\x20?)[a-z0-9-]{1,63}){1,4}"),
+    "number": (None, r"[0-9](?:[\x20()./-]{0,2}[0-9]){5}", r"[+(]?[0-9](?:[\x20()./-]{0,2}[0-9]){5,39}"),
+    "grouped": ("phone", r"[0-9]{3}[\x20.-][0-9]{4}", r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])"),
+    "run": ("card", r"[0-9](?:[\x20-]?[0-9]){12}", r"(?<![0-9A-Za-z])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9A-Za-z])"),
+    "colons": ("ip", r"[0-9A-Fa-f]?:[0-9A-Fa-f]{0,4}:", r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}+(?![0-9A-Za-z:])"),
+    "account": ("iban", r"[A-Z]{2}[0-9]{2}\x20?[0-9A-Z]{4}", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{4}){2,7}(?:\x20?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"),
+    "key": ("secret", r"(?<![0-9A-Za-z_/+-])(?=[A-Za-z_/+-]*+[0-9])[0-9A-Za-z_/+-]{20}", r"(?<![0-9A-Za-z_/+-])[0-9A-Za-z_/+-]{20,256}+={0,2}"),
+    "dashes": ("id", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
 }
-MARKS = {"email": r"@|[\[(]at[\])]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "number": r"[0-9](?:[\x20().-]{0,2}[0-9]){5}", "grouped": r"[0-9]{3}[\x20.-][0-9]{4}", "run": r"[0-9](?:[\x20-]?[0-9]){12}"}
-#: Fixed list: words before a span that speak for personal data.
-CUES = r"(?i)(mail|contact|write|call|phone|tel|fax|mobile|card|visa|account|iban|ip|host|server|address|user|login)[^A-Za-z0-9]{0,4}$"
+MARKS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+#: Fixed lists: words before a span that speak for personal data, and against it; beginnings of keys of well-known services.
+CUES = r"(?i)(mail|contact|write|call|phone|tel|fax|mobile|card|visa|account|iban|ip|host|server|address|user|login|token|secret|key|password|passwd|pwd|bearer|credential|ssn|social|security|whatsapp|sms|reach|ring)[^A-Za-z0-9]{0,4}$"
+AGAINST = r"(?i)(version|release|build|order|invoice|ref|reference|page|pages|isbn|issn|doi|commit|sha|sha1|sha256|md5|checksum|digest|rev|revision|price|total|item|part|article|nr|no|number|lot|batch|since|until|date|time|at|v)[^A-Za-z0-9]{0,4}$"
+PREFIXES = r"^(AKIA|ASIA|ghp_|gho_|github_pat_|sk_|sk-|pk_|rk_|xox[abp]-|AIza|glpat-|hf_|SG\.|eyJ)"
 BEFORE = 24
 #: Number of values of each feature; a candidate's features are a row of such small integers.
-LEVELS = {"kind": 4, "digits": 7, "separators": 4, "dots": 4, "grouping": 3, "cue": 2, "edge": 2}
-CELLS = math.prod(LEVELS.values())
-ROUNDS, RATE, PRECISION, LEAST = 40, 0.4, 0.98, 20
+LEVELS = {"kind": 7, "valid": 4, "digits": 7, "separators": 4, "grouping": 3, "cue": 3, "edge": 2}
+ROUNDS, RATE, PRECISION = 60, 0.4, 0.98
+#: Planted texts, and the seed of their generator.
+PLANTED, SEED = 6000, 5
+SPAN = "struct<k:int,start:int,end:int,score:double>"
 
 
 def spans(text: Column, pattern: str, mark: str) -> Column:
@@ -90,25 +107,132 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[of(k, kind) for k, kind in enumerate(KINDS)])
 
 
+def iban_holds(match: Column) -> Column:
+    """Whether an account number's check sum is right: letters count as 10 to 35, the first four characters go last, modulo 97."""
+    plain = F.replace(match, F.lit(" "), F.lit(""))
+    turned = F.concat(F.substring(plain, F.lit(5), F.char_length(plain)), F.substring(plain, 1, 4))
+
+    def one(a: Column, c: Column) -> Column:
+        digit = c.rlike("[0-9]")
+        return F.when(digit, (a * 10 + F.ascii(c) - 48) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+
+    return F.char_length(plain).between(15, 34) & (F.aggregate(F.split(turned, "(?<=.)(?=.)"), F.lit(0), one) == 1)
+
+
+def structure(kind: str, match: Column) -> Column:
+    """How well a match is formed, 0 to 3."""
+    digits = F.regexp_replace(match, "[^0-9]", "")
+    n = F.char_length(digits)
+    if kind == "email":
+        return F.when(match.rlike(r"(?i)^[^@]+(?:@|\s?[\[({]at[\])}]\s?)[^@]+(?:\.|[\])}]\s?)[a-z]{2,}$"), 2).when(match.rlike(r"@[^@]+\.[^@.]+"), 1).otherwise(0)
+    if kind == "ip":
+        six = match.rlike(r"^[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}$") | (match.rlike(r"^[0-9A-Fa-f:]*[0-9A-Fa-f]::[0-9A-Fa-f][0-9A-Fa-f:]*$") & ~match.rlike("::.*::"))
+        four = match.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$") & F.forall(F.split(match, r"\."), lambda p: F.coalesce(F.left(p, F.lit(3)).try_cast("int"), F.lit(999)) <= 255)
+        return F.when(six, 3).when(four, 2).otherwise(0)
+    if kind == "card":
+        return F.when(n.between(13, 19) & luhn(digits), 3).when(n.between(13, 19), 1).otherwise(0)
+    if kind == "phone":
+        plus = match.startswith("+") & n.between(9, 15)
+        three = match.rlike(r"^(?:\+?[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{3}\)\x20?|[0-9]{3}([\x20.-]))[0-9]{3}[\x20.-][0-9]{4}$")
+        return F.when(plus, 3).when(three, 2).when(match.rlike(r"^\(?0[0-9]") & n.between(9, 12), 1).otherwise(0)
+    if kind == "iban":
+        return F.when(iban_holds(match), 3).otherwise(0)
+    if kind == "secret":
+        mixed = match.rlike("[A-Z]") & match.rlike("[a-z]") & match.rlike("[0-9].*[0-9].*[0-9]")
+        return F.when(match.rlike(PREFIXES) & match.rlike("[0-9]"), 3).when(match.rlike("^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"), 2).when(mixed, 1).otherwise(0)
+    return F.when(match.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"), 2).otherwise(0)
+
+
 def candidates(text: Column) -> Column:
-    """Proposed spans with features: array of (start, end, kind, digits, separators, dots, grouping, cue, edge)."""
+    """Proposed spans with features: array of (start, end, kind, valid, digits, separators, grouping, cue, edge); kind counts EVERY."""
 
-    def described(s: Column, email: bool) -> Column:
+    def described(s: Column, only: str | None) -> Column:
         match = s["match"]
         n = F.char_length(F.regexp_replace(match, "[^0-9]", ""))
-        dots = F.least(F.regexp_count(match, F.lit(r"\.")), F.lit(3))
-        kind = F.lit(0) if email else F.when((dots == 3) & ~match.rlike(r"[\x20()-]"), 1).when(match.rlike(r"[().+]"), 3).when(n >= 13, 2).otherwise(3)
+        if only:
+            kind, valid = F.lit(EVERY.index(only)), structure(only, match)
+        else:
+            dotted, phone = match.rlike(r"^[0-9]+(\.[0-9]+){3}$"), match.rlike(r"[()+]") | (n < 13)
+            kind = F.when(dotted, 1).when(phone, 3).otherwise(2)
+            valid = F.when(dotted, structure("ip", match)).when(phone, structure("phone", match)).otherwise(structure("card", match))
         level = F.when(n == 0, 0).when(n <= 6, 1).when(n <= 9, 2).when(n <= 12, 3).when(n <= 15, 4).when(n <= 19, 5).otherwise(6)
         separators = F.least(F.regexp_count(match, F.lit(r"[^0-9A-Za-z]+")), F.lit(3))
-        grouping = F.when(match.rlike(r"^[0-9]{4}([\x20-][0-9]{4}){3}$|^[^0-9]?[0-9]{1,3}(\.[0-9]{1,3}){3}$|\([0-9]+\)"), 2).when(match.rlike(r"[^0-9A-Za-z]"), 1).otherwise(0)
-        edge = F.when(F.char_length(s["before"]) == 0, 1).when(F.right(s["before"], F.lit(1)).rlike(r"[\s(\[:,;|<>\x22]"), 1).otherwise(0)
-        cue = F.when(s["before"].rlike(CUES), 1).otherwise(0)
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), kind.cast("int").alias("kind"), level.alias("digits"), separators.cast("int").alias("separators"), dots.cast("int").alias("dots"), grouping.alias("grouping"), cue.alias("cue"), edge.alias("edge"))
-
-    def of(w: str) -> Column:
-        return F.transform(spans(text, WIDE[w], MARKS[w]), lambda s: described(s, w == "email"))
-
-    return F.concat(*[of(w) for w in WIDE])
+        even = match.rlike(r"^[0-9]{4}([\x20-][0-9]{4}){3}$|^[^0-9]?[0-9]{1,3}([\x20.-])[0-9]{3}\1[0-9]{4}$|\([0-9]+\)")
+        grouping = F.when(even, 2).when(match.rlike(r"[^0-9A-Za-z]"), 1).otherwise(0)
+        edge = F.when(F.char_length(s["before"]) == 0, 1).when(F.right(s["before"], F.lit(1)).rlike(r"[\s(\[:,;|<>\x22'=]"), 1).otherwise(0)
+        cue = F.when(s["before"].rlike(CUES), 1).when(s["before"].rlike(AGAINST), 2).otherwise(0)
+        named = {"kind": kind, "valid": valid, "digits": level, "separators": separators, "grouping": grouping, "cue": cue, "edge": edge}
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), *[c.cast("int").alias(f) for f, c in named.items()])
+
+    def of(only: str | None, mark: str, pattern: str) -> Column:
+        return F.transform(spans(text, pattern, mark), lambda s: described(s, only))
+
+    return F.concat(*[of(*x) for x in WIDE.values()])
+
+
+def planted(n: int = PLANTED, seed: int = SEED) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """Texts made by rule, and the spans (start, end, kind) that were planted in them; the rest of each are words and look-alikes."""
+    rng = random.Random(seed)
+    pick, digits = rng.choice, lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    word = lambda: "".join(rng.choice(["ka", "lo", "mer", "ti", "san", "vo", "dre", "ul", "pen", "é", "ra"]) for _ in range(rng.randint(1, 4)))
+    code = lambda letters, k: "".join(rng.choice(letters) for _ in range(k))
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def checked(k: int, good: bool) -> str:
+        body = pick("3456") + digits(k - 2)
+        total = sum(int(d) if i % 2 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(body)))
+        return body + str((-total + (0 if good else rng.randint(1, 9))) % 10)
+
+    def card(good: bool) -> str:
+        c, gap = checked(16, good), pick(["", " ", "-"])
+        return pick([gap.join(c[i : i + 4] for i in range(0, 16, 4)), checked(pick([13, 15, 16, 19]), good)])
+
+    def account(good: bool) -> str:
+        country, body = pick(["DE", "FR", "GB", "ES", "NL", "IT", "AT"]), pick([digits(18), code("ABCDEFGHIJKLMNOP", 4) + digits(14)])
+        number = int("".join(str(int(c, 36)) for c in body + country + "00"))
+        out = f"{country}{(98 - number % 97 + (0 if good else rng.randint(1, 90))) % 97 or 97:02d}{body}"
+        return pick([out, " ".join(out[i : i + 4] for i in range(0, len(out), 4))])
+
+    def email() -> str:
+        a, b, c = word() + pick(["", ".", "_"]) + pick(["", digits(2)]), word(), pick(["com", "org", "net", "de", "fr"])
+        at, dot = pick([(" [at] ", "."), ("(at)", "."), (" (at) ", " (dot) "), ("[at]", "[dot]"), ("@", "."), ("@", ".")])
+        return (a.strip("._") + at + b + dot + c).replace("é", "e")
+
+    def phone() -> str:
+        a, b, c = str(rng.randint(200, 999)), digits(3), digits(4)
+        return pick([f"{a}-{b}-{c}", f"({a}) {b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"+{rng.randint(1, 99)} {a} {b} {c}", f"+{rng.randint(1, 99)} ({a}) {b}-{c}"])
+
+    def six() -> str:
+        part = lambda: code("0123456789abcdef", rng.randint(1, 4))
+        return pick([":".join(part() for _ in range(8)), f"2001:db8:{part()}::{part()}", f"fe80::{part()}:{part()}:{part()}"])
+
+    def key() -> str:
+        return pick([code("0123456789abcdef", pick([32, 40, 64])), "AKIA" + code("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 15) + digits(1), "ghp_" + code(mixed, 35) + digits(1), "sk_" + "live_" + code(mixed, 23) + digits(1), code(mixed, rng.randint(28, 44)) + digits(3)])
+
+    four = lambda: ".".join(str(rng.randint(1, 255)) for _ in range(4))
+    person = lambda: f"{pick([rng.randint(1, 665), rng.randint(667, 899)]):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}"
+    sure = {0: (email, ["mail ", "write to ", "contact: ", ""]), 1: (lambda: pick([four, six])(), ["host ", "server ", "ip: ", ""]), 2: (lambda: card(True), ["card ", "visa: ", ""]), 3: (phone, ["call ", "phone: ", "tel. ", "mobile ", ""]), 4: (lambda: account(True), ["iban ", "account ", ""]), 5: (key, ["token = \"", "api_key: ", "password=", "secret ", "bearer "]), 6: (person, ["ssn ", "social security ", "SSN: ", ""])}
+    bare = [(3, lambda: digits(10), ["phone ", "call ", "mobile: "]), (3, lambda: "0" + digits(3) + pick([" ", "/", "-"]) + digits(6), ["phone ", "tel: ", "fax "])]
+    alike = [
+        (lambda: f"{rng.randint(1, 12)}.{rng.randint(0, 40)}.{rng.randint(0, 99)}", ["version ", "release ", "v", ""]), (lambda: f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", ["since ", "date: ", ""]),
+        (lambda: f"{rng.randint(0, 23):02d}:{rng.randint(0, 59):02d}:{rng.randint(0, 59):02d}", ["at ", "time ", ""]), (lambda: digits(rng.randint(6, 12)), ["order ", "invoice ", "item ", "", "no. "]), (lambda: digits(rng.randint(13, 24)), ["order ", "ref ", ""]),
+        (lambda: card(False), ["card ", "item ", "order ", ""]), (lambda: account(False), ["ref ", "iban ", ""]), (lambda: f"978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", ["isbn ", ""]), (lambda: code("0123456789abcdef", pick([32, 40, 64])), ["commit ", "sha256: ", "md5 ", "digest ", ""]),
+        (lambda: "".join(word().replace("é", "e") for _ in range(8)), ["", "token "]), (lambda: f"{rng.randint(0, 9)}.{digits(rng.randint(6, 15))}", ["total ", "price ", ""]), (lambda: f"{digits(3)} {digits(3)} {digits(3)}", ["total ", "price ", ""]), (lambda: f"{word()}@{word()}", ["", "at "]),
+        (lambda: f"{pick(['000', '666', '9' + digits(2)])}-{digits(2)}-{digits(4)}", ["no. ", "part "]), (lambda: "/".join(word().replace("é", "e") for _ in range(6)) + digits(1), ["", "page "]), (lambda: ".".join(str(rng.randint(300, 9999)) for _ in range(4)), ["version ", ""]), (lambda: "1 2 3 4 5 6 7 8", [""]), (lambda: f"{rng.randint(1, 28):02d}/{rng.randint(1, 12):02d}/{rng.randint(1900, 2030)}", ["since ", "on ", ""]), (lambda: f"{digits(4)}-{digits(3)}-{digits(3)}", ["part ", "item ", ""]),
+    ]
+    out = []
+    for i in range(n):
+        text, found = " ".join(word() for _ in range(rng.randint(1, 4))) + " ", []
+        if i % 2 == 0:
+            kind, make, cues = pick([(k, *x) for k, x in sure.items()] * 2 + bare)
+            lead, span = pick(cues), make()
+            found.append((len(text + lead), len(text + lead + span), kind))
+        else:
+            make, cues = pick(alike)
+            lead, span = pick(cues), make()
+        closing = '"' if lead.endswith('"') else pick(["", ".", ",", ""])
+        out.append((text + lead + span + closing + " " + " ".join(word() for _ in range(rng.randint(1, 3))), found))
+    return out
 
 
 @dataclass(frozen=True)
@@ -134,11 +258,12 @@ class Trees:
             total = total + F.when(s[f] > v, side[1]).otherwise(side[0])
         return total
 
-    def chosen(self, s: Column) -> Column:
-        score, out = self.column(s), F.lit(False)
+    def limit(self, kind: Column) -> Column:
+        """The least score of a kind."""
+        out = F.lit(None).cast("double")
         for k, t in enumerate(self.thresholds):
             if t is not None:
-                out = out | ((s["kind"] == k) & (score >= t))
+                out = F.when(kind == k, F.lit(t)).otherwise(out)
         return out
 
 
@@ -190,88 +315,111 @@ def boost(cells: list[tuple[dict[str, int], float, float]]) -> tuple[float, tupl
     return prior, tuple(trees)
 
 
-def fit(docs: DataFrame, text: str = "text") -> Trees:
-    """Trees and thresholds from all candidates of docs, counted by features; at most 4 * CELLS counts reach the driver."""
-    own = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    own = own.where(F.col("t").rlike(MARKS["email"]) | F.col("t").rlike(MARKS["number"]))
-    own = own.select((F.xxhash64("t") % 2 == 0).alias("fold"), base_spans(F.col("t")).alias("base"), candidates(F.col("t")).alias("wide"))
-    one = own.select("fold", "base", F.explode("wide").alias("s"))
-    good = F.exists("base", lambda b: (b["k"] == F.col("s")["kind"]) & (b["start"] == F.col("s")["start"]) & (b["end"] == F.col("s")["end"]))
-    counted = one.select("fold", good.alias("good"), *[F.col("s")[f].alias(f) for f in LEVELS]).groupBy("fold", "good", *LEVELS).count().collect()
+def counted(rows: DataFrame) -> list[dict[tuple, list[float]]]:
+    """By fold, candidates and planted spans among them by their features; rows: fold, t, truth (start, end, kind)."""
+    one = rows.select("fold", "truth", F.explode(candidates(F.col("t"))).alias("s"))
+    good = F.exists("truth", lambda b: (b["kind"] == F.col("s")["kind"]) & (b["start"] == F.col("s")["start"]) & (b["end"] == F.col("s")["end"]))
     tables: list[dict[tuple, list[float]]] = [{}, {}]
-    for r in counted:
-        cell = tables[int(r["fold"])].setdefault(tuple(r[f] for f in LEVELS), [0.0, 0.0])
+    for r in one.select("fold", good.alias("good"), *[F.col("s")[f].alias(f) for f in LEVELS]).groupBy("fold", "good", *LEVELS).count().collect():  # by features
+        cell = tables[r["fold"]].setdefault(tuple(r[f] for f in LEVELS), [0.0, 0.0])
         cell[0] += r["count"]
         cell[1] += r["count"] * r["good"]
-    cells = [[(dict(zip(LEVELS, key, strict=True)), n, p) for key, (n, p) in sorted(t.items())] for t in tables]
-    prior, trees = boost(cells[0]) if cells[0] else (-1.0, ())
-    model = Trees(prior, trees, (None,) * len(KINDS))
+    return tables
+
+
+def calibrated(model: Trees, cells: list[tuple[dict[str, int], float, float]]) -> tuple[float | None, ...]:
+    """Each kind's smallest score above which at least PRECISION of the candidates are planted spans; None if there is none."""
     thresholds: list[float | None] = []
-    for k in range(len(KINDS)):
-        scored = sorted(((model.of(x), n, p) for x, n, p in cells[1] if x["kind"] == k), key=lambda c: -c[0])
+    for k in range(len(EVERY)):
+        scored = sorted(((model.of(x), n, p) for x, n, p in cells if x["kind"] == k), key=lambda c: -c[0])
         n = p = 0.0
-        found, sure = None, math.log(PRECISION / (1 - PRECISION))
-        for i, (score, rows, good_rows) in enumerate(scored):
-            n, p = n + rows, p + good_rows
-            if (i + 1 == len(scored) or scored[i + 1][0] < score - 1e-9) and score >= sure and n >= LEAST and p >= PRECISION * n:
+        found = None
+        for i, (score, rows, good) in enumerate(scored):
+            n, p = n + rows, p + good
+            if (i + 1 == len(scored) or scored[i + 1][0] < score - 1e-9) and p >= PRECISION * n:
                 found = score - 1e-9
         thresholds.append(found)
-    return Trees(prior, trees, tuple(thresholds))
+    return tuple(thresholds)
+
+
+@functools.cache
+def learnt() -> Trees:
+    """The model; it is fitted once a process, on planted texts in the active session, and depends on nothing else."""
+    spark = SparkSession.active()
+    rows = [{"fold": i // 2 % 2, "t": t, "truth": [{"start": a, "end": b, "kind": k} for a, b, k in found]} for i, (t, found) in enumerate(planted())]
+    parts = [json.dumps(rows[i : i + 500]) for i in range(0, len(rows), 500)]
+    kind = "array<struct<fold:int,t:string,truth:array<struct<start:int,end:int,kind:int>>>>"
+    texts = spark.range(1).select(F.explode(F.array(*[F.lit(p) for p in parts])).alias("j")).select(F.inline(F.from_json("j", kind)))
+    cells = [[(dict(zip(LEVELS, key, strict=True)), n, p) for key, (n, p) in sorted(t.items())] for t in counted(texts)]
+    prior, trees = boost(cells[0])
+    model = Trees(prior, trees, (None,) * len(EVERY))
+    return Trees(prior, trees, calibrated(model, cells[1]))
+
+
+def added(base: Column, proposed: Column, model: Trees) -> Column:
+    """Proposed spans that the model is sure of: none that overlaps a base span, and of those that overlap each other, from left to right, the
+    one of higher score (the earlier one on ties). Array of (k, start, end, score)."""
+    scored = F.transform(proposed, lambda s: F.struct(s["start"].alias("start"), F.lit(1).alias("own"), s["end"].alias("end"), s["kind"].alias("k"), model.column(s).alias("score")))
+    sure = F.filter(scored, lambda s: F.coalesce(s["score"] >= model.limit(s["k"]), F.lit(False)))
+    fixed = F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("own"), b["end"].alias("end"), b["k"].alias("k"), F.lit(0.0).alias("score")))
+    none = F.lit(None).cast(SPAN)
+    begin = F.struct(F.lit(0).alias("edge"), none.alias("held"), F.expr(f"CAST(array() AS array<{SPAN}>)").alias("out"))
 
+    def step(a: Column, x: Column) -> Column:
+        held, rule = a["held"], x["own"] == 0
+        overlaps = F.coalesce(x["start"] < held["end"], F.lit(False))
+        mine = F.struct(x["k"], x["start"], x["end"], x["score"]).cast(SPAN)
+        out = F.when(held.isNotNull() & ~overlaps, F.concat(a["out"], F.array(held))).otherwise(a["out"])
+        stays = F.when(rule, none).when(x["start"] < a["edge"], F.when(overlaps, held).otherwise(none)).when(overlaps & (held["score"] >= x["score"]), held).otherwise(mine)
+        return F.struct(F.when(rule, F.greatest(a["edge"], x["end"])).otherwise(a["edge"]).alias("edge"), stays.alias("held"), out.alias("out"))
 
-def all_spans(text: Column, model: Trees) -> tuple[Column, Column]:
-    """Base spans, and those that the model adds, as arrays of (k, start, end)."""
-    base = base_spans(text)
-    if not any(t is not None for t in model.thresholds):
-        return base, F.expr("CAST(array() AS array<struct<k:int,start:int,end:int>>)")
-    picked = F.filter(candidates(text), model.chosen)
-    return base, F.transform(picked, lambda s: F.struct(s["kind"].alias("k"), s["start"].alias("start"), s["end"].alias("end")))
+    swept = F.aggregate(F.array_sort(F.concat(fixed, sure)), begin, step, lambda a: F.when(a["held"].isNotNull(), F.concat(a["out"], F.array(a["held"]))).otherwise(a["out"]))
+    return F.when(F.size(sure) > 0, swept).otherwise(begin["out"])
 
 
 def with_spans(docs: DataFrame, model: Trees, text: Column) -> DataFrame:
-    """docs with base_ and added_; spans that overlap base spans are not added."""
-    base, picked = all_spans(text, model)
-    out = docs.withColumn("base_", base).withColumn("picked_", picked)
-    free = F.filter("picked_", lambda s: ~F.exists("base_", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
-    return out.withColumn("added_", F.array_distinct(free)).drop("picked_")
+    """docs with base_ and added_, arrays of (k, start, end)."""
+    out = docs.withColumn("base_", base_spans(text)).withColumn("wide_", candidates(text))
+    new = F.transform(added(F.col("base_"), F.col("wide_"), model), lambda s: F.struct(s["k"].alias("k"), s["start"].alias("start"), s["end"].alias("end")))
+    return out.withColumn("added_", new).drop("wide_")
 
 
 def written_spans(spans_: Column) -> Column:
     """kind:start:end, joined by commas."""
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in EVERY])
     return F.array_join(F.transform(spans_, lambda s: F.concat_ws(":", F.element_at(names, s["k"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def find(docs: DataFrame, model: Trees | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row for each row of docs: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added.
+    """One row for each row of docs: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added, n_spans.
 
     Null texts are empty: no spans. Offsets are code points, end exclusive. Repeated rows give repeated rows; other columns are not looked at.
     """
-    model = model or fit(docs, text)
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    found = with_spans(own, model, F.col("t")).drop("t")
+    own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
+    found = with_spans(own, model or learnt(), F.col("t")).drop("t")
 
     def count_of(k: int) -> Column:
         return F.size(F.filter("base_", lambda b: b["k"] == k)).cast("long")
 
     count = [count_of(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     every = F.array_sort(F.concat("base_", "added_"))
-    return found.select("doc_id", *count, F.sha2(written_spans(F.col("base_")), 256).alias("base_sha256"), written_spans(every).alias("spans"), F.size("added_").cast("long").alias("n_added"))
+    sizes = [F.size("added_").cast("long").alias("n_added"), (F.size("base_") + F.size("added_")).cast("long").alias("n_spans")]
+    return found.select("doc_id", *count, F.sha2(written_spans(F.col("base_")), 256).alias("base_sha256"), written_spans(every).alias("spans"), *sizes)
 
 
 def redact(docs: DataFrame, model: Trees | None = None, text: str = "text") -> DataFrame:
     """docs with every span of its text, base or added, replaced by its kind in brackets; overlapping spans are replaced by the first one's.
 
-    Null texts stay null; columns and rows are as before, but n_chars, if there is such a column, is the new text's length.
+    Null texts stay null; columns and rows are as before, but n_chars, if there is such a column, is the new text's length. Columns may have any
+    names; repeated rows and empty tables are like others.
     """
-    model = model or fit(docs, text)
     names, kinds = docs.columns, dict(docs.dtypes)
-    own = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     at = f"c{names.index(text)}"
     t = F.col(at).cast("string")
-    found = with_spans(own, model, F.coalesce(t, F.lit("")))
+    found = with_spans(own, model or learnt(), F.coalesce(t, F.lit("")))
     order = F.array_sort(F.transform(F.concat("base_", "added_"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["k"].alias("k"))))
-    tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    tags = F.array(*[F.lit(f"[{k.upper()}]") for k in EVERY])
 
     def step(a: Column, s: Column) -> Column:
         fresh = s["start"] >= a["at"]

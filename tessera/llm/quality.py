@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.folders import work_folder, written
 from tessera.llm import words
@@ -33,22 +34,40 @@ BYTE_SETS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "012345
 STATISTICS = len(BYTE_SETS) + 15
 
 
-def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Statistics of each text, as rows of float32."""
+def tallies(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text what adds up over pieces: counts of bytes; words, their lengths and squares, odd ends, short and long ones, newlines; and
+    the hash and the text of every word."""
     n = len(offsets) - 1
-    size = np.diff(offsets)
-    doc = np.repeat(np.arange(n), size)
+    doc = np.repeat(np.arange(n), np.diff(offsets))
     counts = np.bincount(doc * 256 + data, minlength=n * 256).reshape(n, 256).astype(np.float64)
+    starts, ends, before = words.split(data, offsets)
+    owner, length = np.repeat(np.arange(n), np.diff(before)), (ends - starts).astype(np.float64)
+    last = data[ends - 1] if len(ends) else np.zeros(0, np.uint8)
+    odd = ~np.isin(last, np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,", np.uint8)) & (last < 128)
+    sums = [np.diff(before), *(np.bincount(owner, x, n) for x in (length, length**2, odd, length == 1, length >= 15)), counts[:, 10]]
+    return counts, np.stack(sums, 1).astype(np.float64), words.hashes(data, starts, ends, lower=True), owner
+
+
+def finished(counts: np.ndarray, sums: np.ndarray, distinct: np.ndarray, most: np.ndarray, once: np.ndarray) -> np.ndarray:
+    """Statistics of each text from its tallies, its distinct words, how often the commonest occurs, and how many occur once."""
+    size = counts.sum(1)
     share = counts / np.maximum(size, 1)[:, None]
+    many, total, squares, odd, short, long, newlines = sums.T
+    per = np.maximum(many, 1)
+    mean, lines = total / per, newlines + 1
     out = [share[:, np.frombuffer(s.encode(), np.uint8)].sum(1) for s in BYTE_SETS]
     out += [share[:, 128:].sum(1), -(share * np.log2(np.maximum(share, 1e-12))).sum(1), share.max(1), np.log1p(size)]
-    starts, ends, before = words.split(data, offsets)
-    many = np.diff(before)
-    owner, length = np.repeat(np.arange(n), many), ends - starts
-    per = np.maximum(many, 1)
-    mean = np.bincount(owner, length, n) / per
-    out += [np.log1p(many), mean, np.sqrt(np.maximum(np.bincount(owner, length.astype(float) ** 2, n) / per - mean**2, 0))]
-    h = words.hashes(data, starts, ends, lower=True)
+    out += [np.log1p(many), mean, np.sqrt(np.maximum(squares / per - mean**2, 0)), distinct / per, most / per, once / per]
+    out += [odd / per, short / per, long / per, np.log1p(size / lines), many / lines / 100]
+    return np.stack(out, 1).astype(np.float32)
+
+
+def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Statistics of each text, as rows of float32. A text longer than a slice is taken in pieces."""
+    n = len(offsets) - 1
+    if n == 1 and len(data) > SLICE_BYTES:
+        return _long_statistics(data)
+    counts, sums, h, owner = tallies(data, offsets)
     order = np.lexsort((h, owner))
     h, o = h[order], owner[order]
     new = np.ones(len(h), bool)
@@ -57,13 +76,18 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     runs = np.diff(np.append(begins, len(h)))
     most = np.zeros(n)
     np.maximum.at(most, o[begins], runs)
-    out += [np.bincount(o[begins], minlength=n) / per, most / per, np.bincount(o[begins], runs == 1, n) / per]
-    last = data[ends - 1] if len(ends) else np.zeros(0, np.uint8)
-    odd = ~np.isin(last, np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,", np.uint8)) & (last < 128)
-    out += [np.bincount(owner, odd, n) / per, np.bincount(owner, length == 1, n) / per, np.bincount(owner, length >= 15, n) / per]
-    lines = np.bincount(doc[data == 10], minlength=n) + 1
-    out += [np.log1p(size / lines), many / lines / 100]
-    return np.stack(out, 1).astype(np.float32)
+    return finished(counts, sums, np.bincount(o[begins], minlength=n), most, np.bincount(o[begins], runs == 1, n))
+
+
+def _long_statistics(data: np.ndarray) -> np.ndarray:
+    counts, sums, known, times = 0.0, 0.0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for piece, _ in words.pieces(data, SLICE_BYTES):
+        c, s, h, _ = tallies(piece, np.array([0, len(piece)]))
+        counts, sums = counts + c, sums + s
+        own, n = np.unique(h, return_counts=True)
+        known, place = np.unique(np.append(known, own), return_inverse=True)
+        times = np.bincount(place, np.append(times, n), len(known)).astype(np.int64)
+    return finished(counts, sums, np.array([len(known)]), np.array([times.max(initial=0)]), np.array([(times == 1).sum()]))
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,6 +138,16 @@ def _rows(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, STATISTICS)
 
 
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows, sum and sum of squares of each statistic over a partition."""
+    n, x, xx = 0, np.zeros(STATISTICS), np.zeros(STATISTICS)
+    for batch in batches:
+        own = _rows(batch.column(0))
+        n, x, xx = n + len(own), x + own.sum(0), xx + (own**2).sum(0)
+    columns = [np.arange(STATISTICS, dtype=np.int32), np.full(STATISTICS, n, np.int64), x, xx]
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "n", "x", "xx"])
+
+
 def fold():
     """crc32 of doc_id as text, by 5; rows without doc_id are in fold 1."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS, F.lit(1)).cast("long")
@@ -122,10 +156,13 @@ def fold():
 def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", seed: int = 11) -> Model:
     """Model from the labelled rows outside fold 0. Without any of them every score is 0.5."""
     rng = np.random.default_rng(seed)
-    moments = stats.select(F.posexplode("stats").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).collect()  # a row for each statistic
+    moments = stats.select("stats").mapInArrow(_moments, "i int, n long, x double, xx double").groupBy("i").agg(F.sum("n").alias("n"), F.sum("x").alias("x"), F.sum("xx").alias("xx"))
     centre, scale = np.zeros(STATISTICS), np.ones(STATISTICS)
-    for r in moments:
-        centre[r.i], scale[r.i] = r.m, r.s if r.s and r.s > 1e-9 else 1.0
+    for r in moments.collect():  # a row for each statistic
+        if r.n:
+            centre[r.i] = r.x / r.n
+            spread = max(0.0, r.xx / r.n - centre[r.i] ** 2) ** 0.5
+            scale[r.i] = spread if spread > 1e-6 * (1 + abs(centre[r.i])) else 1.0
     weights, phase = rng.normal(0, (1 / STATISTICS) ** 0.5, (STATISTICS, FEATURES)), rng.uniform(0, 2 * np.pi, FEATURES)
     model = Model(centre, scale, weights, phase, np.append(np.zeros(FEATURES), 0.5), np.array([0.0, 1.0]), np.array([0.0, 1.0]))
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("y"))
@@ -194,7 +231,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
     Only the whole text counts; null texts are empty ones and get a score too. labels has doc_id and the label, 0 or 1; other
     values, and documents without a label, don't take part in the fit. Rows without doc_id are scored, not held out. Other columns
-    of docs are not looked at.
+    of docs are not looked at. A document that labels name twice counts twice in the fit.
     """
     stats = written(gather(docs, text, doc_id), f"{work_folder(docs.sparkSession, 'quality')}/stats")
     return predicted(stats, fit(stats, labels, label), threshold)
@@ -210,17 +247,22 @@ def predicted(stats: DataFrame, model: Model, threshold: float) -> DataFrame:
     return stats.select("doc_id", (fold() == 0).alias("held_out"), "stats").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of docs (all columns) whose score is at least threshold, scored in place; the fit's pass reads texts only."""
-    stats = written(gather(docs), f"{work_folder(docs.sparkSession, 'quality')}/stats")
-    model = fit(stats, labels)
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Rows of docs (all columns) whose score is at least threshold, scored in place; the fit's pass reads texts only.
+
+    Null and empty texts have a score like others, so they stay or go together; repeated rows too. Rows without doc_id are scored, but don't
+    take part in the fit. A document that labels name twice counts twice in the fit. Without usable labels every score is 0.5 and all rows
+    stay if the threshold is at most that. Columns may have any names; empty tables give empty ones.
+    """
+    stats = written(gather(docs, text, doc_id), f"{work_folder(docs.sparkSession, 'quality')}/stats")
+    model, names = fit(stats, labels), docs.columns
+    own = docs.select(text_bytes(text).alias("raw"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("raw")
             for part, data, offsets in chunks(batch, "raw", SLICE_BYTES):
                 keep = model.score(statistics(data, offsets).astype(np.float64)) >= threshold
-                part = pa.RecordBatch.from_arrays([c for i, c in enumerate(part.columns) if i != at], names=[x for i, x in enumerate(part.schema.names) if i != at])
-                yield part.filter(pa.array(keep))
+                yield part.select(range(1, part.num_columns)).filter(pa.array(keep))
 
-    return docs.withColumn("raw", text_bytes()).mapInArrow(run, docs.schema)
+    kept = own.mapInArrow(run, T.StructType(own.schema.fields[1:]))
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

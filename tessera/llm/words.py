@@ -13,6 +13,8 @@ BYTE_CODES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.u
 LOWER_CODES = BYTE_CODES.copy()
 LOWER_CODES[65:91] = BYTE_CODES[97:123]
 BASE = np.uint64(int(_rng.integers(2**62, 2**63)) * 2 + 1)
+#: Bytes of a word that are hashed at once.
+LONG_WORD = 1 << 16
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -49,11 +51,24 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool =
     """64-bit hash of each word; with lower, A-Z count as a-z."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    lengths = ends - starts
+    lengths, table = ends - starts, LOWER_CODES if lower else BYTE_CODES
+    most = int(lengths.max())
+    if most > LONG_WORD:  # by blocks, so that memory doesn't grow with a word
+        out, short = np.zeros(len(starts), np.uint64), lengths <= LONG_WORD
+        out[short] = hashes(data, starts[short], ends[short], lower)
+        step, power = powers(LONG_WORD + 1), np.ones(1, np.uint64)
+        for i in np.flatnonzero(~short):
+            total, power = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+            for at in range(int(starts[i]), int(ends[i]), LONG_WORD):
+                codes = table[data[at : min(at + LONG_WORD, int(ends[i]))]]
+                total += (codes * step[: len(codes)]).sum(dtype=np.uint64) * power
+                power = power * step[LONG_WORD]
+            out[i] = mix(total + np.uint64(lengths[i]))[0]
+        return out
     begin = np.cumsum(lengths) - lengths
     place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(begin, lengths)
-    codes = (LOWER_CODES if lower else BYTE_CODES)[data[place + np.repeat(starts, lengths)]]
-    return mix(np.add.reduceat(codes * powers(int(lengths.max()))[place], begin) + lengths.astype(np.uint64))
+    codes = table[data[place + np.repeat(starts, lengths)]]
+    return mix(np.add.reduceat(codes * powers(most)[place], begin) + lengths.astype(np.uint64))
 
 
 def grams(words: np.ndarray, k: int) -> np.ndarray:
