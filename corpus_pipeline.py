@@ -6,7 +6,6 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before it k
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.folders import work_folder, written
 from tessera.llm import mixing, neardup, packing, pii, quality
@@ -22,9 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one of smallest doc_id."""
-    marks = neardup.near_duplicates(docs, k=5, similarity=0.8)
-    drop = marks.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("gone_")).distinct()
-    return docs.join(drop, docs["doc_id"] == F.col("gone_"), "left_anti")
+    return neardup.deduplicated(docs, k=5, similarity=0.8)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
