@@ -148,17 +148,25 @@ def _quoted(text: str) -> str:
 
 
 def _canonical_sql(text: str, lines: bool = True) -> str:
-    lowered = f"translate({text}, '{licences.UPPER}', '{licences.LOWER}')"
+    """The canonical form by lists of words."""
+    out = f"translate({text}, '{licences.UPPER}', '{licences.LOWER}')"
     if lines:
-        lowered = f"array_to_string(list_filter(string_split({lowered}, chr(10)), lambda x: NOT contains(x, '{licences.COPYRIGHT}') OR contains(x, 'notice') OR contains(x, 'holders')), chr(10))"
-    out = rf"(' ' || regexp_replace(translate({lowered}, {_quoted(licences.PUNCTUATION)}, '{' ' * len(licences.PUNCTUATION)}'), '[\x20\x09-\x0D]+', ' ', 'g') || ' ')"
+        out = f"array_to_string(list_filter(string_split({out}, chr(10)), lambda x: NOT regexp_matches(x, {_quoted(licences.COPYRIGHT)})), chr(10))"
+    cases = " ".join(f"WHEN {_quoted(other)} THEN {_quoted(one)}" for other, one in licences.SPELLINGS if " " not in other)
+    words = f"list_transform(list_filter(string_split_regex({out}, {_quoted(licences.BETWEEN)}), lambda x: x <> ''), lambda x: CASE x {cases} ELSE x END)"
+    out = f"(' ' || array_to_string({words}, '  ') || ' ')"
     for other, one in licences.SPELLINGS:
-        out = f"replace({out}, ' {other} ', ' {one} ')"
-    return f"trim({out})"
+        if " " in other:
+            out = f"replace({out}, ' {other.replace(' ', '  ')} ', ' {one} ')"
+    return f"trim(replace({out}, '  ', ' '))"
 
 
 LICENCES_SQL = f"""
-WITH known AS (SELECT sha256({_canonical_sql("t")}) AS digest, min(id) AS licence_id FROM (VALUES {", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in licences.KNOWN)}) k(id, t) GROUP BY digest
+WITH texts AS (SELECT id, t FROM (VALUES {", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in (*licences.TEXTS, *licences.NOTICES))}) k(id, t)
+), known AS (
+  SELECT digest, min(id) AS licence_id FROM (
+    SELECT id, sha256({_canonical_sql("t")}) AS digest FROM texts UNION ALL SELECT id, digest FROM (VALUES {", ".join(f"({_quoted(i)}, {_quoted(h)})" for i, h in licences.DIGESTS)}) h(id, digest)
+  ) GROUP BY digest
 ), d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
 ), l AS (SELECT doc_id, sha256({_canonical_sql("line", lines=False)}) AS digest FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '(?i){"|".join(licences.HINTS)}')
 ), n AS (SELECT doc_id, string_agg(DISTINCT licence_id, ',' ORDER BY licence_id) AS notices FROM l JOIN known USING (digest) GROUP BY doc_id
