@@ -56,6 +56,11 @@ def crates_touched(paths: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(names, lambda x: x != "")))
 
 
+def in_scope(path: Column) -> Column:
+    """Whether a path is a source of a package, or a file outside of all packages."""
+    return path.rlike(r"^crates/[^/]+/(?s:.*)\.rs\z") | ~path.contains("crates/")
+
+
 def closing_issue(body: Column) -> Column:
     """Number of the first issue that a text says it closes; null if none."""
     return F.nullif(F.regexp_extract(body, CLOSES, 1), F.lit("")).cast("long")
@@ -63,6 +68,7 @@ def closing_issue(body: Column) -> Column:
 
 def strip_template(text: Column) -> Column:
     """A change description without comments, checklist lines, template headers and runs of blank lines."""
+    # fixed values: the patterns of what goes
     lines = F.split(F.regexp_replace(text, r"(?s)<!--.*?-->", ""), LINE_ENDS, -1)
     out = F.array_join(F.filter(lines, lambda x: ~x.rlike(r"(?U)^\s*-\s*\[[ xX]\]")), "\n")
     out = F.regexp_replace(out, r"\n{3,}", "\n\n")
@@ -70,10 +76,15 @@ def strip_template(text: Column) -> Column:
     return F.regexp_replace(out, r"(?U)^\s+|\s+\z", "")
 
 
-def fim(text: Column, mode: Column) -> Column:
-    """Text cut in thirds, the middle one last; mode psm has the prefix first, others the suffix."""
+def fim(text: Column, mode: Column, span: Column | None = None) -> Column:
+    """Text cut in thirds, the middle one last; mode psm has the prefix first, others the suffix.
+
+    span, a struct (start, end) of code points, says what the middle is where it isn't null.
+    """
     n = F.char_length(text)
     a, b = F.floor(n / 3).cast("int"), F.floor(n * 2 / 3).cast("int")
+    if span is not None:
+        a, b = F.coalesce(span["start"], a), F.coalesce(span["end"], b)
     head, middle, tail = F.substring(text, F.lit(1), a), F.substring(text, a + 1, b - a), F.substring(text, b + 1, n)
     first, second = F.concat(F.lit(PREFIX), head), F.concat(F.lit(SUFFIX), tail)
     return F.when(mode == "psm", F.concat(first, second, F.lit(MIDDLE), middle)).otherwise(F.concat(second, first, F.lit(MIDDLE), middle))
@@ -97,6 +108,7 @@ def approximate_tokens(text: Column) -> Column:
 
 def extract_patch(text: Column) -> Column:
     """Body of the first diff fence, else of the first fence, else the text; one newline at its end, and blank ones empty."""
+    # fixed values: the patterns of fences
     marked, fenced = (F.regexp_extract(text, p, 1) for p in (r"(?s)```(?:diff|patch)\n(.*?)\n```", r"(?s)```[a-zA-Z]*\n(.*?)\n```"))
     has = lambda p: text.rlike(p)
     body = F.when(has(r"(?s)```(?:diff|patch)\n(.*?)\n```"), marked).when(has(r"(?s)```[a-zA-Z]*\n(.*?)\n```"), fenced).otherwise(text)

@@ -25,6 +25,15 @@ def complete(raw: DataFrame) -> DataFrame:
     return raw.withColumn("solution", solution).where(full(F.col("snippet")) & full(F.col("problem")) & full(F.col("solution")))
 
 
+def sft(raw: DataFrame, trajectories: DataFrame, system: str, least: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Instruction records (messages, loss_mask) of raw rows (problem, snippet, solution), chats of accepted trajectories (chat, reward), and
+    one row of counts: kept and skipped instructions, kept and all trajectories, and the share of those that were rejected."""
+    messages, mask = to_chat(instruction(F.col("problem"), F.col("snippet"), F.col("solution"), system))
+    records, chats = complete(raw).select(messages.alias("messages"), mask.alias("loss_mask")), accepted(trajectories, least).select("chat.*")
+    counts = raw.agg(F.count("*").alias("n")).crossJoin(complete(raw).agg(F.count("*").alias("kept"))).crossJoin(trajectories.agg(F.count("*").alias("trajectories"), F.count_if(F.coalesce("reward", F.lit(0.0)) >= least).alias("accepted")))
+    return records, chats, counts.select("kept", (F.col("n") - F.col("kept")).alias("skipped"), "accepted", "trajectories", (1 - F.col("accepted") / F.greatest(F.lit(1), "trajectories")).alias("rejected"))
+
+
 def accepted(trajectories: DataFrame, least: float = 1.0) -> DataFrame:
     """Trajectories of at least that reward; a missing one is 0."""
     return trajectories.where(F.coalesce("reward", F.lit(0.0)) >= least)
@@ -56,3 +65,29 @@ def trajectory_jobs(tasks: DataFrame, samples: int, have: DataFrame | None = Non
     """task_id, sample for every task and sample number that is not had yet."""
     out = tasks.select("task_id", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("sample"))
     return out if have is None else out.join(have.select("task_id", "sample").distinct(), ["task_id", "sample"], "left_anti")
+
+
+def captured(logprobs: Column) -> tuple[Column, Column]:
+    """Token ids (missing: -1) and log probabilities (missing: 0) of one turn's tokens, an array of (token_id, logprob); none of null."""
+    own = F.coalesce(logprobs, F.filter(logprobs, lambda t: F.lit(False)), F.array().cast("array<struct<token_id:bigint,logprob:double>>"))
+    return F.transform(own, lambda t: F.coalesce(t["token_id"], F.lit(-1))), F.transform(own, lambda t: F.coalesce(t["logprob"], F.lit(0.0)))
+
+
+def steps(messages: Column) -> Column:
+    """How many messages are the assistant's."""
+    return F.size(F.filter(messages, lambda m: m["role"] == "assistant")).cast("long")
+
+
+def n_tokens(token_ids: Column) -> Column:
+    """Tokens of all turns (array of arrays)."""
+    return F.aggregate(token_ids, F.lit(0).cast("long"), lambda a, t: a + F.coalesce(F.size(t), F.lit(0)))
+
+
+def shortfall(snippets: DataFrame, done: DataFrame, target: int, spare: int, order: str = "ord") -> DataFrame:
+    """Snippets (ord, snippet) to ask a teacher for, so that done grows to target: those not done yet among the first max(2 * target, 3 * need),
+    at most 1.6 * need and a few to spare. None if there are enough."""
+    need = max(0, target - done.count())
+    if not need:
+        return snippets.limit(0)
+    pool = snippets.orderBy(order).limit(max(2 * target, 3 * need))
+    return pool.join(done.select("snippet").distinct(), "snippet", "left_anti").orderBy(order).limit(int(need * 1.6) + spare)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import hashing, text
+from tessera.folders import work_folder, written
+from tessera.functions import hashing, rust, text
 
 PERMUTATIONS = 128
 #: Bands and rows a band for a similarity of 0.7 with 128 permutations, false positives and negatives weighing the same.
@@ -19,18 +19,38 @@ PRIME = 2**31 - 1
 
 
 def split(files: DataFrame, fraction: float = 0.15, rate: float = 0.5) -> DataFrame:
-    """files (path, content) with bucket, held_out and fim_mode (null where a file stays as it is; held-out files always do)."""
+    """files (path, content) with bucket, held_out and fim_mode: null where a file stays as it is, as held-out files and all but .rs files do."""
     out = files.withColumn("bucket", hashing.path_hash(F.col("path")))
     out = out.withColumn("held_out", hashing.held_out(F.col("bucket"), fraction))
-    chosen = ~F.col("held_out") & hashing.fim_chosen(F.col("bucket"), rate)
+    chosen = ~F.col("held_out") & F.col("path").endswith(".rs") & hashing.fim_chosen(F.col("bucket"), rate)
     return out.withColumn("fim_mode", F.when(chosen, hashing.fim_mode(F.col("bucket"))))
 
 
-def samples(files: DataFrame, fraction: float = 0.15, rate: float = 0.5) -> DataFrame:
-    """Training samples of files that are not held out: path, training_content."""
+def samples(files: DataFrame, fraction: float = 0.15, rate: float = 0.5, structured: bool = False) -> DataFrame:
+    """Training samples of files that are not held out: path, training_content. With structured, the middle of a rewritten file is its largest
+    top-level item, where it has one, instead of the middle third."""
     own = split(files, fraction, rate).where("NOT held_out")
     plain = text.file_sample(F.col("path"), F.col("content"))
-    return own.select("path", F.when(F.col("fim_mode").isNull(), plain).otherwise(text.fim(plain, F.col("fim_mode"))).alias("training_content"))
+    span = rust.middle(plain) if structured else None
+    return own.select("path", F.when(F.col("fim_mode").isNull(), plain).otherwise(text.fim(plain, F.col("fim_mode"), span)).alias("training_content"))
+
+
+def held_out_samples(files: DataFrame, fraction: float = 0.15) -> DataFrame:
+    """The other side of samples: path, training_content of held-out files, never rewritten."""
+    own = split(files, fraction, 0.0).where("held_out")
+    return own.select("path", text.file_sample(F.col("path"), F.col("content")).alias("training_content"))
+
+
+def merged(changes: DataFrame) -> DataFrame:
+    """Changes with a time of merging."""
+    return changes.where(F.coalesce(F.col("merged_at").cast("string"), F.lit("")) != "")
+
+
+def change_samples(changes: DataFrame, least: int = 40) -> DataFrame:
+    """number, training_content of changes (number, title, body, changed_files) whose description, without what the template put there, has at
+    least so many characters."""
+    own = changes.withColumn("body", text.strip_template(F.coalesce("body", F.lit("")))).where(F.char_length("body") >= least)
+    return own.select("number", text.pr_sample(F.col("number"), F.col("title"), F.col("body"), F.col("changed_files")).alias("training_content"))
 
 
 def decontaminated_commits(commits: DataFrame, fraction: float = 0.15) -> DataFrame:
@@ -71,42 +91,55 @@ def _bands(stride: int):
 def near_duplicate_marks(files: DataFrame, stride: int = 5) -> DataFrame:
     """ord and keep of each row of files (ord, content): in order, a row goes if it shares a MinHash band with an earlier row that is kept.
 
-    Equal contents are settled first; the rest is the first maximal independent set in order of ord, found by rounds: a row is kept when no earlier
-    neighbour is undecided or kept, and goes when an earlier neighbour is kept. Each round is a written table.
+    Equal contents are settled first. The rest is the first maximal independent set in order of ord, found by rounds over the members of bands,
+    never over their pairs: a row that is the smallest undecided one of all its bands is kept, and the others of its bands go. Each round is
+    a written table; a chain of rows, each near the next, takes a round for two links.
     """
-    spark = files.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tessera-checkpoints"
-    folder = f"{base.rstrip('/')}/tessera-greedy-{uuid.uuid4().hex}"
-
-    def written(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
+    folder = work_folder(files.sparkSession, "greedy")
     own = files.select("ord", F.coalesce("content", F.lit("")).alias("content"))
     twins = own.select("ord", F.sha2("content", 256).alias("digest"))
-    firsts = written(twins.groupBy("digest").agg(F.min("ord").alias("ord")), "firsts")
+    firsts = written(twins.groupBy("digest").agg(F.min("ord").alias("ord")).select("ord"), f"{folder}/firsts")
     banded = own.join(firsts, "ord", "left_semi").mapInPandas(_bands(stride), "ord long, bands array<long>")
-    banded = written(banded.select("ord", F.posexplode("bands").alias("band", "value")), "bands")
-    left, right = banded.select("band", "value", F.col("ord").alias("a")), banded.select("band", "value", F.col("ord").alias("b"))
-    edges = written(left.join(right, ["band", "value"]).where("a < b").select("a", "b").distinct(), "edges")
-    state = firsts.select("ord", F.lit(None).cast("boolean").alias("keep"))
+    banded = written(banded.select("ord", F.posexplode("bands").alias("band", "value")), f"{folder}/bands")
+    several = banded.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value")
+    live = written(banded.join(several, ["band", "value"], "left_semi"), f"{folder}/live")
+    gone = None
     for i in range(100_000):
-        earlier = edges.join(state.select(F.col("ord").alias("a"), F.col("keep").alias("k")), "a").groupBy(F.col("b").alias("ord")).agg(F.coalesce(F.bool_or("k"), F.lit(False)).alias("some_kept"), F.bool_or(F.coalesce("k", F.lit(True))).alias("open"))
-        decided = F.when(F.col("keep").isNotNull(), F.col("keep")).when(F.coalesce("some_kept", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)
-        state = written(state.join(earlier, "ord", "left").select("ord", decided.alias("keep")), f"round-{i}")
-        if state.where("keep IS NULL").isEmpty():
+        if live.isEmpty():
             break
+        heads = live.groupBy("band", "value").agg(F.min("ord").alias("head"))
+        marked = written(live.join(heads, ["band", "value"]), f"{folder}/marked-{i}")
+        kept = marked.groupBy("ord").agg(F.bool_and(F.col("ord") == F.col("head")).alias("keep")).where("keep").select(F.col("ord").alias("head"))
+        followers = marked.where("ord <> head").join(kept, "head", "left_semi").select("ord").distinct()
+        dropped = written(followers, f"{folder}/dropped-{i}")
+        gone = dropped if gone is None else gone.unionByName(dropped)
+        live = written(live.join(dropped.unionByName(kept.select(F.col("head").alias("ord"))), "ord", "left_anti"), f"{folder}/live-{i}")
+    state = firsts.withColumn("keep", F.lit(True)) if gone is None else firsts.join(gone.withColumn("gone", F.lit(True)), "ord", "left").select("ord", F.col("gone").isNull().alias("keep"))
     return twins.join(state, "ord", "left").select("ord", F.coalesce("keep", F.lit(False)).alias("keep"))
 
 
 def contained(docs: DataFrame, items: DataFrame, words: int = 8) -> DataFrame:
-    """doc_id, item_id of items (item_id, text) that docs (doc_id, text) contain verbatim; candidates meet by the hash of the item's first words."""
+    """doc_id, item_id of items (item_id, text) that docs (doc_id, text) contain verbatim.
+
+    An item's words but for its outer ones are whole words of a text that contains it, so candidates meet by the hash of up to `words` of them;
+    only ids and hashes are exploded and joined, and the texts of candidate pairs are looked at once. Items of one or two words have
+    no such words: they are few and short by nature, and every text is searched for them.
+    """
     tokens = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("t", i, n), " ")))
-    item = items.withColumn("t", tokens(F.col("text")))
-    keyed = item.where(F.size("t") > words + 1).select("item_id", F.col("text").alias("item"), F.xxhash64(F.array_join(F.slice("t", 2, words), " ")).alias("key"))
-    short = item.where(F.size("t") <= words + 1).select("item_id", F.col("text").alias("item"))
-    own = docs.select("doc_id", "text", tokens(F.col("text")).alias("t"))
-    met = own.where(F.size("t") >= words).select("doc_id", "text", F.explode(F.array_distinct(grams(words))).alias("key")).join(keyed, "key")
-    found = met.where(F.contains("text", "item")).select("doc_id", "item_id")
-    return found.union(docs.join(short, F.contains(docs["text"], short["item"])).select("doc_id", "item_id")).distinct()
+    hashed = lambda c: F.transform(tokens(c), lambda x: F.xxhash64(x))
+    item = items.where(F.col("text").isNotNull()).select("item_id", F.col("text").alias("item"), hashed(F.col("text")).alias("t")).withColumn("inner", F.least(F.size("t") - 2, F.lit(words)))
+    keyed = item.where("inner > 0").select("item_id", "item", "inner", F.xxhash64(F.lit("g"), F.slice("t", F.lit(2), F.col("inner"))).alias("key"))
+    lengths = sorted(r.inner for r in keyed.select("inner").distinct().collect())  # at most `words` numbers
+    own = docs.where(F.col("text").isNotNull()).select("doc_id", hashed(F.col("text")).alias("t"))
+    grams = lambda n: F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.xxhash64(F.lit("g"), F.slice("t", i, n)))).otherwise(F.array().cast("array<bigint>"))
+    found = docs.select("doc_id").limit(0).withColumn("item_id", F.lit(None).cast(dict(items.dtypes)["item_id"]))
+    if lengths:
+        keys = own.select("doc_id", F.explode(F.array_distinct(F.concat(*[grams(n) for n in lengths]))).alias("key"))
+        pairs = keys.join(keyed.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+        texts = docs.select(F.col("doc_id").alias("d"), "text")
+        met = pairs.join(keyed.select("item_id", "item"), "item_id").join(texts, F.col("doc_id").eqNullSafe(F.col("d")))
+        found = met.where(F.contains("text", "item")).select("doc_id", "item_id")
+    short = item.where("inner <= 0").select("item_id", "item")
+    if not short.isEmpty():
+        found = found.union(docs.join(short, F.contains(docs["text"], short["item"])).select("doc_id", "item_id"))
+    return found.distinct()

@@ -7,6 +7,8 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.folders import work_folder, written
+
 
 def smallest_first(nodes: dict[str, set[str]]) -> list[str]:
     """Nodes so that each follows its dependencies, the smallest name first among those ready; those in or behind a cycle end it, by name."""
@@ -41,13 +43,17 @@ def topological_ranks(packages: DataFrame, most: int = 1_000_000) -> DataFrame:
 def topological_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """name, topo_level: the longest way to a node without dependencies. edges (name, dep); level by level, for graphs of any size without
     cycles. This is another order than topological_ranks: names of a level are not interleaved with later ones."""
-    level, depth = nodes.select("name", F.lit(0).alias("topo_level")), 0
+    folder = work_folder(nodes.sparkSession, "levels")
+    frontier, depth, met = nodes.select("name", F.lit(0).alias("topo_level")), 0, []
     while True:
-        step = edges.join(level.where(F.col("topo_level") == depth).select(F.col("name").alias("dep")), "dep").select("name").distinct()
-        step = step.withColumn("up", F.lit(depth + 1))
-        level = level.join(step, "name", "left").select("name", F.coalesce("up", "topo_level").alias("topo_level")).checkpoint()
-        depth += 1
-        if level.where(F.col("topo_level") == depth).isEmpty():
-            return level
+        step = edges.join(frontier.select(F.col("name").alias("dep")), "dep").select("name").distinct()
+        met.append(written(frontier, f"{folder}/{depth}"))
+        frontier, depth = step.withColumn("topo_level", F.lit(depth + 1)), depth + 1
+        if step.isEmpty():
+            break
         if depth > 10_000:
             raise ValueError("the graph has a cycle")
+    found = met[0]
+    for level in met[1:]:
+        found = found.unionByName(level)
+    return found.groupBy("name").agg(F.max("topo_level").alias("topo_level"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.folders import work_folder, written
 from tessera.operators.corpus import first_by
 
 WINDOW, BAND, CAP = 10, (0.2, 0.8), 0.3
@@ -86,10 +87,34 @@ def plateau(ledger: DataFrame, patience: int = 5) -> DataFrame:
     return ledger.withColumn("island", island).withColumn("since", since).drop("island").withColumn("stop", F.col("since") >= patience)
 
 
+def ranked(rows: DataFrame, order: str) -> DataFrame:
+    """rows with rank_, from 0, in order: parts of a range each count their own, and start where the ones before end."""
+    folder = work_folder(rows.sparkSession, "ranked")
+    sorted_ = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("i_", F.monotonically_increasing_id())
+    parts = written(sorted_, f"{folder}/parts").withColumn("p_", F.shiftright("i_", 33)).withColumn("i_", F.col("i_").bitwiseAND(F.lit((1 << 33) - 1)))
+    before, at = [], 0
+    for r in parts.groupBy("p_").count().orderBy("p_").collect():  # a row for each part
+        before.append((r["p_"], at))
+        at += r["count"]
+    starts = rows.sparkSession.createDataFrame(before, "p_ long, before_ long")
+    return parts.join(F.broadcast(starts), "p_").withColumn("rank_", F.col("before_") + F.col("i_")).drop("p_", "i_", "before_")
+
+
 def systematic(rows: DataFrame, k: int, order: str) -> DataFrame:
     """Every (n div k)-th row in order, k at most."""
     n = max(1, rows.count() // k)
-    return rows.withColumn("r_", F.row_number().over(Window.orderBy(order)) - 1).where((F.col("r_") % n == 0) & (F.col("r_") < n * k)).drop("r_")
+    return ranked(rows, order).where((F.col("rank_") % n == 0) & (F.col("rank_") < n * k)).drop("rank_")
+
+
+def head(rows: DataFrame, n: int, order: str) -> DataFrame:
+    """The first n rows in order."""
+    return rows.orderBy(order).limit(n)
+
+
+def promote(registry: DataFrame, candidate: DataFrame, gate: DataFrame | None) -> DataFrame:
+    """registry with the candidate's row added: promoted if there is no incumbent (gate None) or the gate (one row with promote) says so."""
+    says = candidate.withColumn("promoted", F.lit(True)) if gate is None else candidate.drop("promoted").crossJoin(gate.select(F.col("promote").alias("promoted")))
+    return registry.unionByName(says, allowMissingColumns=True)
 
 
 def seeded(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:

@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import hashing, text
 
-#: Packages whose tests run without services; callers add their own.
-CHEAP = ("common_utils", "euclid", "common_enums", "cards", "masking", "router_env", "diesel_models")
 LONGEST_PATCH = 200_000
 
 
-def verify_mode(crates: Column, cheap: tuple[str, ...] = CHEAP) -> Column:
-    """'execution' if there are packages and all are cheap to test, else 'pattern'."""
+def verify_mode(crates: Column, cheap: tuple[str, ...]) -> Column:
+    """'execution' if there are packages and all of them are among the cheap ones, whose tests run without services; else 'pattern'."""
     return F.when((F.size(crates) > 0) & (F.size(F.array_except(crates, F.array(*[F.lit(c) for c in cheap]))) == 0), "execution").otherwise("pattern")
 
 
@@ -34,12 +32,44 @@ def mined_tasks(changes: DataFrame, prefix: str = "pr-") -> DataFrame:
     )
 
 
-def synthetic_tasks(outcomes: DataFrame, crate: str, parent: str, prefix: str = "mut-") -> DataFrame:
-    """Tasks of caught mutants (summary, package, file, function_name, diff) of one package; ids come from the content."""
+#: What a task of an injected fault asks for.
+ISSUE = "Since a recent change to `{function}` in {file}, tests of the package `{crate}` fail. Find the fault and repair it, so that `cargo test -p {crate}` succeeds; leave the tests as they are."
+MUTANTS = "outcomes array<struct<summary:string,diff_path:string,scenario:struct<Mutant:struct<package:string,file:string,function:struct<function_name:string>>>>>"
+
+
+def mutants(documents: DataFrame) -> DataFrame:
+    """summary, package, file, function_name, diff_path of mutation runs' outcomes (schema MUTANTS), one row for each outcome with a mutant."""
+    one = documents.select(F.explode("outcomes").alias("o")).where("o.scenario.Mutant IS NOT NULL")
+    return one.select("o.summary", "o.scenario.Mutant.package", "o.scenario.Mutant.file", F.col("o.scenario.Mutant.function.function_name").alias("function_name"), "o.diff_path")
+
+
+def synthetic_tasks(outcomes: DataFrame, crate: str, parent: str, prefix: str = "mut-", issue: str = ISSUE) -> DataFrame:
+    """Tasks of caught mutants (summary, package, file, function_name, diff) of one package; ids come from the content.
+
+    issue is a template with {function}, {file} and {crate}. An empty parent is an error: such tasks could never be scored.
+    """
+    if not parent:
+        raise ValueError("tasks need a parent commit")
     own = outcomes.where((F.col("summary") == "CaughtMutant") & (F.col("package") == crate)).withColumn("patch", text.appliable_patch(F.col("diff"), F.col("file")))
     name = F.coalesce("function_name", F.lit("?"))
-    issue = F.format_string(f"A regression was introduced in `%s` (%s) — the unit tests in crate `{crate}` now fail. Fix the implementation so `cargo test -p {crate}` passes again. Do not modify the tests.", name, F.col("file"))
-    return own.select(hashing.content_id(f"{prefix}{crate}-", F.lit(crate), F.col("file"), F.col("patch")).alias("task_id"), F.lit(0).cast("long").alias("pr_number"), F.lit(parent).alias("parent_commit"), issue.alias("issue_text"), F.array("file").alias("gold_files"), F.array(F.lit(f"crates/{crate}/ (cargo test -p {crate})")).alias("test_files"), F.array(F.lit(crate)).alias("crates"), F.lit(True).alias("single_crate"), F.lit(f"cargo test -p {crate}").alias("verify_cmd"), F.lit("execution").alias("verify_mode"), F.col("patch").alias("setup_patch"), F.lit(None).cast("string").alias("gold_patch"), F.array().cast("array<string>").alias("fail_to_pass"))
+    asked = F.replace(F.replace(F.lit(issue.replace("{crate}", crate)), F.lit("{function}"), name), F.lit("{file}"), F.col("file"))
+    return own.select(hashing.content_id(f"{prefix}{crate}-", F.lit(crate), F.col("file"), F.col("patch")).alias("task_id"), F.lit(0).cast("long").alias("pr_number"), F.lit(parent).alias("parent_commit"), asked.alias("issue_text"), F.array("file").alias("gold_files"), F.array(F.lit(f"crates/{crate}/ (cargo test -p {crate})")).alias("test_files"), F.array(F.lit(crate)).alias("crates"), F.lit(True).alias("single_crate"), F.lit(f"cargo test -p {crate}").alias("verify_cmd"), F.lit("execution").alias("verify_mode"), F.col("patch").alias("setup_patch"), F.lit(None).cast("string").alias("gold_patch"), F.array().cast("array<string>").alias("fail_to_pass"))
+
+
+def trivial_suite(tasks: DataFrame, fraction: float = 0.25, order: str = "ord", prefix: str = "triv-") -> DataFrame:
+    """The first share of tasks (task_id, ord, ...), at least one, under ids of their own."""
+    n = tasks.count()
+    return tasks.orderBy(order).limit(max(1, int(n * fraction)) if n else 0).withColumn("task_id", F.concat(F.lit(prefix), F.col("task_id").cast("string")))
+
+
+def duplicates(tasks: DataFrame, key: str = "task_id") -> DataFrame:
+    """key, count of ids that occur more than once."""
+    return tasks.groupBy(key).count().where("count > 1")
+
+
+def leaked(tasks: DataFrame, held: DataFrame, key: str = "task_id") -> DataFrame:
+    """Ids of tasks that are also in held."""
+    return tasks.select(key).distinct().join(held.select(key).distinct(), key, "left_semi")
 
 
 def fresh(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -63,9 +93,9 @@ def census(tasks: DataFrame, rate: float = 1.0, least: int = 150) -> DataFrame:
 
 
 def histogram(tasks: DataFrame) -> DataFrame:
-    """crate, n, first_ord of single-package execution tasks (with ord); largest first, then first seen."""
+    """crate, n, first_ord of single-package execution tasks (with ord), the largest first, then the first seen."""
     own = tasks.where("single_crate AND verify_mode = 'execution'")
-    return own.groupBy(F.element_at("crates", 1).alias("crate")).agg(F.count("*").alias("n"), F.min("ord").alias("first_ord"))
+    return own.groupBy(F.element_at("crates", 1).alias("crate")).agg(F.count("*").alias("n"), F.min("ord").alias("first_ord")).orderBy(F.col("n").desc(), "first_ord")
 
 
 def checks(tasks: DataFrame, held: DataFrame, n_mirror: int | None = None) -> DataFrame:
@@ -76,8 +106,8 @@ def checks(tasks: DataFrame, held: DataFrame, n_mirror: int | None = None) -> Da
         F.count("*").alias("n"), F.count_if(blank("task_id") | none("test_files")).alias("missing"), F.count_if((F.col("verify_mode") == "execution") & blank("setup_patch") & none("fail_to_pass")).alias("dead"),
         F.count_if(F.col("verify_mode") == "pattern").alias("pattern"), F.count_if((F.col("verify_mode") == "pattern") & blank("gold_patch")).alias("no_gold"),
     )
-    twice = tasks.groupBy("task_id").count().where("count > 1").agg(F.count("*").alias("dupes"))
-    leaks = tasks.select("task_id").distinct().join(held.select("task_id").distinct(), "task_id", "left_semi").agg(F.count("*").alias("leaked"))
+    twice = duplicates(tasks).agg(F.count("*").alias("dupes"))
+    leaks = leaked(tasks, held).agg(F.count("*").alias("leaked"))
     all_ = one.crossJoin(twice).crossJoin(leaks)
     rule = lambda name, severity, n: F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), n.cast("long").alias("n"))
     every = (F.col("pattern") > 0) & (F.col("no_gold") == F.col("pattern"))

@@ -1,3 +1,3 @@
 """Registered queries over the driver's tables."""
 
-from tessera.plans import corpus_queries, result_queries, selection_queries, stream_queries, task_queries  # noqa: F401
+from tessera.plans import corpus_queries, result_queries, selection_queries, source_queries, stream_queries, task_queries  # noqa: F401

@@ -70,8 +70,59 @@ def forgetting_delta(spark, sf_dir):
 
 @register("cost_by_model", "SELECT c_mktsegment AS model, round(sum(CASE WHEN c_mktsegment = 'BUILDING' THEN 5 ELSE 0 END * c_custkey) / 1e6, 9) AS usd FROM customer GROUP BY model")
 def cost_by_model(spark, sf_dir):
-    rate = F.coalesce(F.element_at(F.create_map(F.lit("BUILDING"), F.lit(5)), F.col("c_mktsegment")), F.lit(0))
-    return table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("model")).agg(F.round(F.sum(rate * F.col("c_custkey")) / 1e6, 9).alias("usd"))
+    own = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("model"), evaluation.cost(F.col("c_mktsegment"), F.col("c_custkey"), {"BUILDING": 5.0}).alias("usd"))
+    return own.groupBy("model").agg(F.round(F.sum("usd"), 9).alias("usd"))
+
+
+@register(
+    "suite_summary",
+    f"""WITH {SUITE}, g AS (SELECT model, count(*)::DOUBLE AS n, count(*) FILTER (solved)::DOUBLE AS k, sum(cents) AS s FROM suite GROUP BY model), w AS (SELECT *, {WILSON} FROM g)
+SELECT model, n::BIGINT AS n, k::BIGINT AS solved, round(k / greatest(1, n), 4) AS solve_rate, format('[{{:.2f}},{{:.2f}}]', low, high) AS ci95, round(s / greatest(1, n), 1) AS mean_latency_s, round(s / 100, 2) AS usd_total FROM w""",
+)
+def suite_summary(spark, sf_dir):
+    own = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    own = own.select(F.col("c_mktsegment").alias("model"), (F.col("o_orderstatus") == "F").alias("solved"), cents.alias("latency_s"), (cents / 100).cast("decimal(20,2)").alias("usd"))
+    return evaluation.suite_summary(own, ["model"]).withColumn("usd_total", F.col("usd_total").cast("double"))
+
+
+@register("shard_stats", "WITH {ROLLOUTS} SELECT cycle, count(*) AS rollouts, count(*) FILTER (tests = 1) AS solved, round(avg(tests), 9) AS solve_rate, round(sum(cents) / count(*), 6) AS mean_reward FROM rollouts GROUP BY cycle".replace("{ROLLOUTS}", "rollouts AS (SELECT event_id % 10 AS cycle, round(value * 100)::BIGINT AS cents, (event_type = 'purchase')::INT AS tests FROM events)"))
+def shard_stats(spark, sf_dir):
+    out = evaluation.shard_stats(rollouts(spark, sf_dir))
+    return out.withColumns({"solve_rate": F.round("solve_rate", 9), "mean_reward": F.round("mean_reward", 6)})
+
+
+CURVE = "curve AS (SELECT s_suppkey AS ord, CASE WHEN s_suppkey % 7 = 0 THEN 'base' ELSE 't' || s_suppkey % 5 END AS tag, 'm' || s_nationkey AS model, s_suppkey / 4 + 1 AS perplexity, CASE WHEN s_suppkey % 3 > 0 THEN 'f' || s_suppkey % 3 END AS weights_fp FROM supplier)"
+
+
+def curve(spark, sf_dir):
+    i = F.col("s_suppkey")
+    tag, fp = F.when(i % 7 == 0, "base").otherwise(F.concat(F.lit("t"), (i % 5).cast("string"))), F.when(i % 3 > 0, F.concat(F.lit("f"), (i % 3).cast("string")))
+    return table(spark, sf_dir, "supplier").select(i.alias("ord"), tag.alias("tag"), F.concat(F.lit("m"), F.col("s_nationkey").cast("string")).alias("model"), (i / 4 + 1).alias("perplexity"), fp.alias("weights_fp"))
+
+
+@register("eval_pending", f"WITH {CURVE}, wanted AS (SELECT DISTINCT 't' || c_custkey % 6 AS tag, 'm' || c_nationkey AS model, 'f' || c_custkey % 4 AS weights_fp FROM customer) SELECT * FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM curve c WHERE c.tag = w.tag AND c.model = w.model AND coalesce(c.weights_fp, w.weights_fp) = w.weights_fp)")
+def eval_pending(spark, sf_dir):
+    name = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    own = table(spark, sf_dir, "customer").select(name("t", F.col("c_custkey") % 6).alias("tag"), name("m", F.col("c_nationkey")).alias("model"), name("f", F.col("c_custkey") % 4).alias("weights_fp")).distinct()
+    return evaluation.pending(own, curve(spark, sf_dir))
+
+
+@register("base_delta", f"WITH {CURVE}, b AS (SELECT perplexity AS base FROM curve WHERE tag = 'base' ORDER BY ord LIMIT 1) SELECT ord, tag, CASE WHEN tag <> 'base' THEN round(100 * (perplexity - base) / greatest(base, 1e-9), 6) END AS delta_pct FROM curve LEFT JOIN b ON true")
+def base_delta(spark, sf_dir):
+    return evaluation.against_base(curve(spark, sf_dir)).select("ord", "tag", F.round("delta_pct", 6).alias("delta_pct"))
+
+
+@register(
+    "eval_result_gate",
+    """WITH c AS (SELECT count(*) AS n, count(*) FILTER (quality = 1 AND toxic = 1) AS b, count(*) FILTER (quality = 0 AND toxic = 0) AS c FROM labels) SELECT n, b, c FROM c""",
+)
+def eval_result_gate(spark, sf_dir):
+    """Result documents of fifty tasks each, taken apart and held against each other."""
+    labels = table(spark, sf_dir, "labels").withColumn("document", F.expr("doc_id div 50"))
+    task = lambda good: F.struct(F.col("doc_id").alias("task_id"), good.alias("solved"))
+    results = lambda good: labels.groupBy("document").agg(F.collect_list(task(good)).alias("per_task"))
+    return evaluation.gate(evaluation.solved(results(F.col("quality") == 1)), evaluation.solved(results(F.col("toxic") == 0))).select("n", "b", "c")
 
 
 @register(
@@ -118,8 +169,12 @@ def batch_health(spark, sf_dir):
 
 @register("degenerate_groups", f"WITH {ROLLOUTS} SELECT cycle, task_id, count(*) AS n FROM rollouts GROUP BY ALL HAVING sum(tests) = 0 OR sum(tests) = count(*)")
 def degenerate_groups(spark, sf_dir):
-    own = rollouts(spark, sf_dir).groupBy("cycle", "task_id").agg(F.count("*").alias("n"), F.sum("tests").alias("s"))
-    return own.where("s = 0 OR s = n").select("cycle", "task_id", "n")
+    return evaluation.degenerate(rollouts(spark, sf_dir), ["cycle"]).select("cycle", "task_id", "n")
+
+
+@register("health_fields", f"WITH {ROLLOUTS} SELECT cycle, round(avg(tests), 3) AS r_tests, round(avg(tests), 3) AS r_dense, 1.0::DOUBLE AS r_fmt_clippy FROM rollouts GROUP BY cycle")
+def health_fields(spark, sf_dir):
+    return evaluation.log_fields(evaluation.health(rollouts(spark, sf_dir), ["cycle"])).select("cycle", "r_tests", "r_dense", "r_fmt_clippy")
 
 
 @register(
@@ -142,3 +197,36 @@ def lesson_class(spark, sf_dir):
     tool = F.concat(F.col("event_type"), F.lit("[E1]: bad\nmore"))
     messages = F.array(F.struct(F.lit("tool").alias("role"), tool.alias("content")), F.struct(F.lit("assistant").alias("role"), F.lit("error: x").alias("content")))
     return table(spark, sf_dir, "events").select("event_id", evaluation.lesson_class(i % 17 == 0, is_("purchase"), is_("click"), evaluation.last_error(messages), i % 20).alias("lesson"))
+
+
+SCORED = "s AS (SELECT event_id, CASE WHEN event_id % 5 > 0 THEN 'p' ELSE '' END AS parent, event_id % 7 > 0 AS applied, event_id % 3 = 0 AS fault, event_id % 2 = 0 AS ok, CASE WHEN event_id % 4 = 0 THEN 'pattern' ELSE 'execution' END AS mode, value AS v FROM events)"
+
+
+@register("trainer_score", f"WITH {SCORED} SELECT event_id, round(CASE WHEN parent = '' OR NOT applied THEN 0 WHEN fault THEN ok::INT WHEN mode = 'pattern' THEN v / 2 ELSE v END, 9) AS score FROM s")
+def trainer_score(spark, sf_dir):
+    i, v = F.col("event_id"), F.col("value")
+    score = evaluation.trainer_score(F.when(i % 5 > 0, "p").otherwise(""), i % 7 > 0, F.when(i % 3 == 0, "d"), i % 2 == 0, F.when(i % 4 == 0, "pattern").otherwise("execution"), v / 2, v)
+    return table(spark, sf_dir, "events").select("event_id", F.round(score, 9).alias("score"))
+
+
+@register("reward_udf", "SELECT conv_id, turn, CASE WHEN text = '' THEN 0 WHEN conv_id % 2 = 0 THEN 1 ELSE 0 END::DOUBLE AS reward FROM conversations WHERE text IS NOT NULL")
+def reward_udf(spark, sf_dir):
+    """The registered function in SQL, on texts that are equal or have nothing in common."""
+    evaluation.register(spark)
+    table(spark, sf_dir, "conversations").createOrReplaceTempView("tessera_conversations")
+    return spark.sql("SELECT conv_id, turn, patch_similarity(IF(conv_id % 2 = 0, text, ''), text) AS reward FROM tessera_conversations WHERE text IS NOT NULL")
+
+
+@register(
+    "insight_blocks",
+    """SELECT event_id, '=== cycle ' || event_id % 10 || ' | ' || user_id || ' | model=m ===' || chr(10) || 'outcome: ' || CASE WHEN event_type = 'purchase' THEN 'SOLVED' ELSE 'FAILED' END || ' | reward=' || format('{:.2f}', event_id % 8 / 4) || ' | turns=' || event_id % 20 || ' | mode=execution' || chr(10)
+  || 'tiers: fmt/clippy=0.5 compile=1 dense=0.25 tests=' || (event_type = 'purchase')::INT || chr(10) || 'lesson: ' || CASE WHEN event_type = 'purchase' THEN CASE WHEN event_id % 20 <= 10 THEN 'Solved in few turns.' ELSE 'Solved, but slowly (' || event_id % 20 || ' turns): steps could cost something.' END
+  ELSE 'It builds, yet tests fail: the logic is off.' || CASE WHEN event_id % 3 = 0 THEN ' Failing: a, b, c' ELSE '' END END || chr(10) || chr(10) AS block FROM events""",
+)
+def insight_blocks(spark, sf_dir):
+    i, won = F.col("event_id"), (F.col("event_type") == "purchase").cast("double")
+    parts = F.struct(F.lit(0.5).alias("fmt_clippy"), F.lit(1.0).alias("compile"), F.lit(0.25).alias("dense"), won.alias("tests"), F.lit(None).cast("string").alias("mode"))
+    failed = F.when(i % 3 == 0, F.array(*[F.lit(x) for x in "abcd"])).otherwise(F.array().cast("array<string>"))
+    kind = evaluation.lesson_class(F.lit(False), won, F.lit(1.0), F.lit(""), i % 20)
+    said = evaluation.lesson(kind, i % 20, failed, F.lit(""), F.lit(0.5), F.lit(1.0))
+    return table(spark, sf_dir, "events").select("event_id", evaluation.insight(F.col("user_id").cast("string"), F.lit("m"), i % 10, i % 8 / 4, i % 20, parts, said).alias("block"))

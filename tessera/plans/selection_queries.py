@@ -85,3 +85,22 @@ def plateau(spark, sf_dir):
 @register("systematic_sample", "WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i, greatest(1, count(*) OVER () // 10) AS step FROM customer) SELECT c_custkey FROM r WHERE i % step = 0 AND i < step * 10")
 def systematic_sample(spark, sf_dir):
     return selection.systematic(table(spark, sf_dir, "customer").select("c_custkey"), 10, "c_custkey")
+
+
+@register("head_sample", "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 25")
+def head_sample(spark, sf_dir):
+    return selection.head(table(spark, sf_dir, "customer").select("c_custkey"), 25, "c_custkey")
+
+
+@register("seeded_sample")
+def seeded_sample(spark, sf_dir):
+    return selection.seeded(table(spark, sf_dir, "customer").select("c_custkey"), 25, "c_custkey", seed=3)
+
+
+@register("promote", f"WITH {REGISTRY} SELECT cycle, promoted, true AS was FROM registry UNION ALL SELECT 0, (SELECT count(*) FILTER (quality = 1 AND toxic = 1) > count(*) FILTER (quality = 0 AND toxic = 0) FROM labels), false")
+def promote(spark, sf_dir):
+    """A candidate of cycle 0, added with what the gate of two result tables says."""
+    old = registry(spark, sf_dir).withColumn("was", F.lit(True))
+    gate = table(spark, sf_dir, "labels").agg((F.count_if((F.col("quality") == 1) & (F.col("toxic") == 1)) > F.count_if((F.col("quality") == 0) & (F.col("toxic") == 0))).alias("promote"))
+    candidate = spark.range(1).select(F.lit(0).cast("long").alias("cycle"), F.lit(False).alias("was"))
+    return selection.promote(old, candidate, gate).select("cycle", "promoted", "was")

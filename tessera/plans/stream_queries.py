@@ -25,7 +25,8 @@ def stream_topup_dedup(spark, sf_dir):
 @register("stream_metric_tumbling", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY ALL")
 def stream_metric_tumbling(spark, sf_dir):
     own = stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", F.round(F.col("value") * 100).cast("long").alias("value"))
-    done = streams.finished(streams.metric_windows(own), "update")
+    span = table(spark, sf_dir, "events").agg(F.max("ts").cast("timestamp").cast("long") - F.min("ts").cast("timestamp").cast("long")).first()[0] or 0  # files may come in any order
+    done = streams.finished(streams.metric_windows(own, late=f"{span + 1} seconds"), "update")
     newest = done.groupBy("window", "event_type").agg(F.max_by(F.struct("n", "total"), "batch_").alias("x"))
     return newest.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "x.n", F.col("x.total").alias("cents"))
 
@@ -36,3 +37,16 @@ def stream_last10_state(spark, sf_dir):
     done = streams.finished(streams.newest_rates(own), "update")
     newest = done.groupBy("task_id").agg(F.max_by(F.struct("n", "solve_rate"), "batch_").alias("x"))
     return newest.select("task_id", "x.n", F.round("x.solve_rate", 9).alias("solve_rate"))
+
+
+@register("stream_topup_target", "SELECT DISTINCT user_id FROM events ORDER BY user_id LIMIT 40")
+def stream_topup_target(spark, sf_dir):
+    return streams.topped_up(stream(spark, sf_dir, "events").select("user_id"), "user_id", 40)
+
+
+@register("stream_plateau", "WITH p AS (SELECT user_id AS run, max(event_id) AS cycle, coalesce(max(event_id) FILTER (event_type = 'purchase'), -1) AS won FROM events GROUP BY user_id) SELECT run, p.cycle, count(e.event_id) AS since, count(e.event_id) >= 5 AS stop FROM p LEFT JOIN events e ON e.user_id = run AND e.event_id > won GROUP BY ALL")
+def stream_plateau(spark, sf_dir):
+    own = stream(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("cycle"), (F.col("event_type") == "purchase").alias("promoted"))
+    done = streams.finished(streams.plateaus(own), "update")
+    newest = done.groupBy("run").agg(F.max_by(F.struct("cycle", "since", "stop"), "batch_").alias("x"))
+    return newest.select("run", "x.*")

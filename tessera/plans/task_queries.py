@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import stats
 from tessera.operators import chat, corpus, evaluation, tasks
 from tessera.plans.corpus_queries import table
 from tessera.plans.registry import register
@@ -43,13 +44,13 @@ def crate_histogram(spark, sf_dir):
 
 @register("dup_ids", "SELECT l_partkey AS task_id, count(*) AS count FROM lineitem GROUP BY l_partkey HAVING count(*) > 1")
 def dup_ids(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("task_id")).count().where("count > 1")
+    return tasks.duplicates(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("task_id")))
 
 
 @register("leak_semi", "SELECT DISTINCT l_suppkey AS task_id FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5)")
 def leak_semi(spark, sf_dir):
     held = table(spark, sf_dir, "supplier").where("s_nationkey < 5").select(F.col("s_suppkey").alias("task_id"))
-    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("task_id")).distinct().join(held, "task_id", "left_semi")
+    return tasks.leaked(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("task_id")), held)
 
 
 @register("resume_anti", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -57,10 +58,10 @@ def resume_anti(spark, sf_dir):
     return tasks.fresh(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").select("doc_id")
 
 
-@register("paired_inner", "SELECT doc_id, lang, quality = 1 AS cand, toxic = 0 AS inc FROM documents JOIN labels USING (doc_id)")
+@register("paired_inner", "SELECT doc_id AS task_id, n_chars > 500 AS cand, toxic = 0 AS inc FROM documents JOIN labels USING (doc_id)")
 def paired_inner(spark, sf_dir):
-    both = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    return both.select("doc_id", "lang", (F.col("quality") == 1).alias("cand"), (F.col("toxic") == 0).alias("inc"))
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("task_id"), (F.col("n_chars") > 500).alias("solved"))
+    return evaluation.paired(own, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("task_id"), (F.col("toxic") == 0).alias("solved")))
 
 
 @register("preserve_union", "SELECT c_custkey AS task_id, 'real' AS origin, NULL::BIGINT AS pr FROM customer UNION ALL SELECT s_suppkey, 'synthetic', s_suppkey FROM supplier")
@@ -113,7 +114,9 @@ def chat_messages(spark, sf_dir):
 
 @register("loss_mask_stats", "SELECT role, count(*) AS turns, count(*) FILTER (role = 'assistant') AS learnt, sum(length(text))::BIGINT AS n_chars FROM conversations GROUP BY role")
 def loss_mask_stats(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("turns"), F.count_if(F.col("role") == "assistant").alias("learnt"), F.sum(F.char_length("text")).alias("n_chars"))
+    messages, mask = chat.to_chat(F.array(F.struct("role", F.col("text").alias("content"), (F.col("role") == "assistant").alias("loss"))))
+    own = table(spark, sf_dir, "conversations").select(F.inline(F.arrays_zip(messages.alias("m"), mask.alias("k"))))
+    return own.groupBy(F.col("m.role").alias("role")).agg(F.count("*").alias("turns"), F.count_if("k").alias("learnt"), F.sum(F.char_length("m.content")).alias("n_chars"))
 
 
 @register("instruction_records", "SELECT conv_id, turn, sha256(role || chr(10) || chr(10) || 'Relevant code:' || chr(10) || '```rust' || chr(10) || text || chr(10) || '```') AS ask FROM conversations WHERE trim(text) <> '' AND conv_id % 3 > 0")
@@ -145,3 +148,85 @@ def patch_similarity(spark, sf_dir):
     own = table(spark, sf_dir, "conversations")
     answer = own.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     return own.join(answer, ["conv_id", "turn"]).select("conv_id", "turn", F.round(evaluation.similarity("text", "answer"), 6).alias("similarity"))
+
+
+@register("sft_counts", "WITH r AS (SELECT count(*) AS n, count(*) FILTER (trim(text) <> '' AND conv_id % 3 > 0) AS kept FROM conversations), t AS (SELECT count(*) AS t, count(*) FILTER (value / 100 >= 1) AS a FROM events) SELECT kept, n - kept AS skipped, a AS accepted, t AS trajectories, round(1 - a / greatest(1, t), 9) AS rejected FROM r, t")
+def sft_counts(spark, sf_dir):
+    raw = table(spark, sf_dir, "conversations").select(F.col("role").alias("problem"), F.when(F.col("conv_id") % 3 > 0, F.col("text")).otherwise(" ").alias("snippet"), F.lit(None).cast("string").alias("solution"))
+    chats = table(spark, sf_dir, "events").select((F.col("value") / 100).alias("reward"), F.struct(F.array(F.struct(F.lit("user").alias("role"), F.col("event_type").alias("content"))).alias("messages"), F.array(F.lit(True)).alias("loss_mask")).alias("chat"))
+    return chat.sft(raw, chats, "system")[2].withColumn("rejected", F.round("rejected", 9))
+
+
+@register("sft_records", "SELECT 'i' AS kind, sha256(text) AS digest, count(*) AS n FROM conversations WHERE trim(text) <> '' GROUP BY ALL UNION ALL SELECT 't', sha256(event_type), count(*) FROM events WHERE value / 100 >= 1 GROUP BY ALL")
+def sft_records(spark, sf_dir):
+    raw = table(spark, sf_dir, "conversations").select(F.col("role").alias("problem"), F.col("text").alias("snippet"), F.lit("invented").alias("solution"))
+    chats = table(spark, sf_dir, "events").select((F.col("value") / 100).alias("reward"), F.struct(F.array(F.struct(F.lit("user").alias("role"), F.col("event_type").alias("content"))).alias("messages"), F.array(F.lit(True)).alias("loss_mask")).alias("chat"))
+    records, trajectories, _ = chat.sft(raw, chats, "system")
+    last = lambda kind, df: df.select(F.lit(kind).alias("kind"), F.sha2(F.element_at("messages", -1)["content"], 256).alias("digest"))
+    return last("i", records).unionByName(last("t", trajectories)).groupBy("kind", "digest").agg(F.count("*").alias("n"))
+
+
+def turn_tokens() -> Column:
+    """Words of a turn as tokens (token_id, logprob), some without one or the other."""
+    return F.transform(F.split("text", " "), lambda w, i: F.struct(F.when((i + 1) % 3 > 0, F.char_length(w).cast("long")).alias("token_id"), F.when((i + 1) % 4 > 0, -F.char_length(w) / 8).alias("logprob")))
+
+
+CAPTURED = "w AS (SELECT conv_id, turn, role, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM conversations), t AS (SELECT *, CASE WHEN i % 3 > 0 THEN length(w) ELSE -1 END AS id, CASE WHEN i % 4 > 0 THEN -length(w) / 8 ELSE 0 END AS lp FROM w)"
+
+
+@register("token_capture", f"WITH {CAPTURED} SELECT conv_id, turn, sum(id)::BIGINT AS ids, round(sum(lp), 6) AS logprobs, count(*) AS n FROM t GROUP BY ALL")
+def token_capture(spark, sf_dir):
+    ids, logprobs = chat.captured(turn_tokens())
+    total = lambda c, zero: F.aggregate(c, zero, lambda a, x: a + x)
+    return table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", total(ids, F.lit(0).cast("long")).alias("ids"), F.round(total(logprobs, F.lit(0.0)), 6).alias("logprobs"), F.size(ids).cast("long").alias("n"))
+
+
+@register("entropy_proxy", f"WITH {CAPTURED} SELECT conv_id, turn, round(-sum(lp) / count(*), 9) AS entropy FROM t GROUP BY ALL")
+def entropy_proxy(spark, sf_dir):
+    """Of each turn, its tokens as two lists."""
+    logprobs = chat.captured(turn_tokens())[1]
+    two = F.array(F.slice(logprobs, 1, 3), F.slice(logprobs, F.lit(4), F.greatest(F.size(logprobs), F.lit(1))))
+    return table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", F.round(stats.entropy_proxy(two), 9).alias("entropy"))
+
+
+@register("steps_tokens", "SELECT conv_id, count(*) FILTER (role = 'assistant') AS steps, coalesce(sum(len(string_split(text, ' '))) FILTER (role = 'assistant'), 0)::BIGINT AS tokens FROM conversations GROUP BY conv_id")
+def steps_tokens(spark, sf_dir):
+    ids = F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: F.split(t["content"], " "))
+    return chat.dialogues(table(spark, sf_dir, "conversations")).select("conv_id", chat.steps(F.col("turns")).alias("steps"), chat.n_tokens(ids).alias("tokens"))
+
+
+@register("prompts", "SELECT doc_id, sha256('In ' || source || ':' || chr(10) || text) AS digest FROM documents")
+def prompts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(chat.prompts(F.col("source"), F.col("text"), "In {path}:\n{snippet}"), 256).alias("digest"))
+
+
+@register("teacher_shortfall", "WITH pool AS (SELECT doc_id, sha256(text) AS snippet FROM documents ORDER BY doc_id LIMIT 300), done AS (SELECT DISTINCT sha256(text) AS snippet FROM documents WHERE doc_id < 50) SELECT doc_id, snippet FROM pool WHERE snippet NOT IN (SELECT snippet FROM done) ORDER BY doc_id LIMIT 168")
+def teacher_shortfall(spark, sf_dir):
+    """50 of 150 are done: 100 are needed."""
+    own = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("ord"), F.sha2("text", 256).alias("snippet"))
+    return chat.shortfall(own, own.where("doc_id < 50"), 150, 8).select("doc_id", "snippet")
+
+
+@register("mutant_tasks", "SELECT 'mut-euclid-' || substr(sha256('euclid|src/' || page_id || '.rs|--- a/src/' || page_id || '.rs' || chr(10) || '+++ b/src/' || page_id || '.rs' || chr(10) || '@@ ' || url || chr(10)), 1, 8) AS task_id, 'src/' || page_id || '.rs' AS file, 'fn_' || page_id AS named FROM pages WHERE page_id % 2 = 0 AND page_id % 3 = 0")
+def mutant_tasks(spark, sf_dir):
+    """Outcomes nested in one document for each page, two outcomes each."""
+    i = F.col("page_id")
+    mutant = lambda package: F.struct(F.struct(F.lit(package).alias("package"), F.concat(F.lit("src/"), i.cast("string"), F.lit(".rs")).alias("file"), F.struct(F.concat(F.lit("fn_"), i.cast("string")).alias("function_name")).alias("function")).alias("Mutant"))
+    outcome = lambda summary, package: F.struct(summary.alias("summary"), F.col("url").alias("diff_path"), mutant(package).alias("scenario"))
+    caught = F.when(i % 2 == 0, "CaughtMutant").otherwise("MissedMutant")
+    documents = table(spark, sf_dir, "pages").where(i % 3 == 0).select(F.to_json(F.struct(F.array(outcome(caught, "euclid"), outcome(F.lit("CaughtMutant"), "cards")).alias("outcomes"))).alias("j")).select(F.from_json("j", tasks.MUTANTS).alias("d")).select("d.*")
+    diff = F.concat(F.lit("--- old\n+++ replace with\n@@ "), "diff_path")
+    made = tasks.synthetic_tasks(tasks.mutants(documents).withColumn("diff", diff), "euclid", "sha", issue="{function} in {file}")
+    return made.select("task_id", F.element_at("gold_files", 1).alias("file"), F.regexp_extract("issue_text", r"^(\S+) in ", 1).alias("named"))
+
+
+@register("trivial_suite", "SELECT 'triv-' || s_suppkey AS task_id, s_nationkey FROM (SELECT *, row_number() OVER (ORDER BY s_suppkey) AS r, count(*) OVER () AS n FROM supplier) WHERE r <= greatest(1, n // 4)")
+def trivial_suite(spark, sf_dir):
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("task_id"), F.col("s_suppkey").alias("ord"), "s_nationkey")
+    return tasks.trivial_suite(own).select("task_id", "s_nationkey")
+
+
+@register("append_fresh", "SELECT c_custkey AS task_id FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+def append_fresh(spark, sf_dir):
+    own = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("task_id"))
+    return tasks.fresh(own, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("task_id")), "task_id")

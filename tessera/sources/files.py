@@ -9,9 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.folders import exists
 from tessera.functions import text
 
 BAD = "_malformed"
+#: Records of the files that evaluations and promotions write.
+CURVE = "tag string, model string, perplexity double, weights_fp string, ts double"
+CHECKPOINT = "cycle long, base_model string, adapter_stack array<string>, data_manifest_hash string, solve_rate double, adapter_dir string, score double, second_solve double, created_at double, promoted boolean"
+RESULT = "suite string, model string, seed long, solve_rate double, per_task array<struct<task_id:string,solved:boolean,reward:double,steps:long,tokens:long,latency_s:double,usd:double>>"
 
 
 def _schema(schema: str | T.StructType) -> T.StructType:
@@ -24,22 +29,15 @@ def json_lines(spark: SparkSession, path: str, schema: str | T.StructType, stric
     A missing path gives no rows. Blank lines are skipped.
     """
     fields = _schema(schema)
-    if not _exists(spark, path):
-        return spark.createDataFrame([], fields if strict else fields.add(BAD, T.StringType()))
+    full = T.StructType([*fields.fields, T.StructField(BAD, T.StringType())])
+    if not exists(spark, path):
+        return spark.createDataFrame([], fields if strict else full)
     reader = spark.read.option("recursiveFileLookup", recursive)
     if strict:
         return reader.schema(fields).option("mode", "FAILFAST").json(path)
-    full = T.StructType([*fields.fields, T.StructField(BAD, T.StringType())])
     return reader.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).json(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
-    return found is not None and len(found) > 0
-
-
 def sound(rows: DataFrame) -> DataFrame:
     return rows.where(F.col(BAD).isNull()).drop(BAD)
 
@@ -54,6 +52,38 @@ def json_documents(spark: SparkSession, path: str, schema: str | T.StructType) -
     return spark.read.schema(_schema(schema)).option("multiLine", True).json(path).withColumn("file_name", F.col("_metadata.file_name"))
 
 
+def shard(spark: SparkSession, folder: str, name: str, schema: str | T.StructType) -> DataFrame:
+    """Rows of folder/name.jsonl.gz, else of folder/name.jsonl, else none. A broken line is an error."""
+    for path in (f"{folder}/{name}.jsonl.gz", f"{folder}/{name}.jsonl"):
+        if exists(spark, path):
+            return json_lines(spark, path, schema, strict=True)
+    return spark.createDataFrame([], _schema(schema))
+
+
+def recursive_ids(spark: SparkSession, folder: str, prefix: str = "pr-", pattern: str = "*.json*") -> DataFrame:
+    """task_id of all JSON lines files below a folder whose names fit the pattern: their task_id, and prefix and number where there is a pr_number. Broken lines are skipped."""
+    if not exists(spark, folder):
+        return spark.createDataFrame([], "task_id string")
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder).select(F.from_json("value", "task_id string, pr_number string").alias("r"))
+    ids = F.array(F.nullif("r.task_id", F.lit("")), F.when(~F.coalesce("r.pr_number", F.lit("")).isin("", "0"), F.concat(F.lit(prefix), "r.pr_number")))
+    return rows.select(F.explode(ids).alias("task_id")).where("task_id IS NOT NULL").distinct()
+
+
+def learning_curve(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a learning curve; ord is the place in the file or, with several files, grows with it."""
+    return sound(json_lines(spark, path, CURVE)).withColumn("ord", F.monotonically_increasing_id())
+
+
+def registry(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a checkpoint registry, unknown fields left out, broken lines skipped."""
+    return sound(json_lines(spark, path, CHECKPOINT)).withColumn("ord", F.monotonically_increasing_id())
+
+
+def parquet_count(spark: SparkSession, path: str) -> int:
+    """Rows of a Parquet table, from its footers."""
+    return spark.read.parquet(path).count()
+
+
 def evaluation_ids(documents: DataFrame) -> DataFrame:
     """task_id of evaluation files: the field, else the file's stem."""
     return documents.select(F.coalesce("task_id", F.regexp_extract("file_name", r"^(.*)\.json$", 1)).alias("task_id")).distinct()
@@ -64,7 +94,7 @@ def source_files(spark: SparkSession, root: str, include: list[str], exclude: li
     read = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
     full: Column = F.col("_metadata.file_path")
     rows = read.select(F.substring_index(full, f"{root.rstrip('/')}/", -1).alias("path"), F.col("value").alias("content"))
-    rows = rows.where(text.matches(F.col("path"), list(include), list(exclude))).withColumn("name", F.regexp_extract("path", text.CRATE, 1))
+    rows = rows.where(text.in_scope(F.col("path")) & text.matches(F.col("path"), list(include), list(exclude))).withColumn("name", F.regexp_extract("path", text.CRATE, 1))
     if order is None:
         return rows.withColumn("topo_rank", F.lit(None).cast("long")).drop("name")
     return rows.join(order, "name", "left").select("path", "content", "topo_rank")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import corpus
+
 
 def json_lines(rows: DataFrame, path: str, append: bool = False, compress: bool = False) -> None:
     rows.write.mode("append" if append else "overwrite").option("compression", "gzip" if compress else "none").json(path)
@@ -32,3 +34,9 @@ def text_blocks(blocks: DataFrame, path: str) -> None:
 def replace_origin(real: DataFrame, path: str) -> None:
     """Real tasks are replaced and synthetic ones stay, as partitions of one table."""
     real.withColumn("origin", F.lit("real")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("origin").parquet(path)
+
+
+def split_samples(files: DataFrame, train: str, held: str, fraction: float = 0.15, rate: float = 0.5) -> None:
+    """Training samples and, beside them, held-out ones, as JSON lines."""
+    json_lines(corpus.samples(files, fraction, rate), train)
+    json_lines(corpus.held_out_samples(files, fraction), held)

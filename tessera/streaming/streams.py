@@ -2,34 +2,53 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.folders import work_folder
 from tessera.operators.selection import WINDOW
 
 
-def folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tessera-checkpoints"
-    return f"{base.rstrip('/')}/tessera-stream-{uuid.uuid4().hex}"
-
-
 def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there now and returns the table that it wrote."""
-    spark, place = stream.sparkSession, folder(stream.sparkSession)
+    """Runs a stream over what is there now and returns the table that it wrote; with another mode than append, batch_ tells the batch.
+
+    Rows that came too late for a watermark would be missing, so any such row is an error.
+    """
+    spark, place = stream.sparkSession, work_folder(stream.sparkSession, "stream")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "100000")
+    started = stream.writeStream.option("checkpointLocation", f"{place}/log").trigger(availableNow=True)
     if mode == "append":
-        stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start().awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{place}/out")
+        query = started.format("parquet").option("path", f"{place}/out").start()
+    else:
+
+        def keep(batch: DataFrame, i: int) -> None:
+            batch.withColumn("batch_", F.lit(i).cast("long")).write.mode("overwrite").parquet(f"{place}/out/part={i}")
 
-    def keep(batch: DataFrame, i: int) -> None:
-        batch.withColumn("batch_", F.lit(i).cast("long")).write.mode("overwrite").parquet(f"{place}/out/part={i}")
+        query = started.outputMode(mode).foreachBatch(keep).start()
+    query.awaitTermination()
+    late = sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+    if late:
+        raise ValueError(f"{late} rows came later than the watermark allows")
+    return spark.read.schema(stream.schema).parquet(f"{place}/out") if mode == "append" else spark.read.parquet(f"{place}/out").drop("part")
 
-    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{place}/out").drop("part")
+
+def topped_up(stream: DataFrame, key: str, target: int) -> DataFrame:
+    """Rows of a stream, one for each key, until there are target of them; within a batch by key. A batch that runs again replaces its own rows."""
+    spark, place = stream.sparkSession, work_folder(stream.sparkSession, "topped")
+
+    def take(batch: DataFrame, i: int) -> None:
+        done = spark.read.schema(f"{key} {dict(batch.dtypes)[key]}, part int").parquet(f"{place}/out").where(F.col("part") < i).select(key)
+        need = max(0, target - done.count())
+        new = batch.dropDuplicates([key]).join(done, key, "left_anti").orderBy(key).limit(need)
+        new.select(batch.columns).write.mode("overwrite").parquet(f"{place}/out/part={i}")
+
+    spark.createDataFrame([], stream.schema).write.parquet(f"{place}/out/part=-1")
+    stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{place}/out").select(stream.columns)
 
 
 def top_up(rows: DataFrame, key: str) -> DataFrame:
@@ -37,8 +56,11 @@ def top_up(rows: DataFrame, key: str) -> DataFrame:
     return rows.dropDuplicates([key])
 
 
-def metric_windows(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """n and total of events (ts, event_type, value) by tumbling window and type."""
+def metric_windows(events: DataFrame, late: str, width: str = "1 hour") -> DataFrame:
+    """n and total of events (ts, event_type, value) by tumbling window and type.
+
+    late must be at least how far events are out of order between batches: state is dropped by it, and `finished` fails on rows that come later.
+    """
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
@@ -59,3 +81,24 @@ def newest(window: int = WINDOW):
 def newest_rates(outcomes: DataFrame, window: int = WINDOW) -> DataFrame:
     """Stream of (task_id, n, solve_rate), updated with every batch of outcomes (task_id, ord, solved)."""
     return outcomes.groupBy("task_id").applyInPandasWithState(newest(window), "task_id long, n long, solve_rate double", "ords array<long>, outcomes array<boolean>", "update", GroupStateTimeout.NoTimeout)
+
+
+def since_promotion(patience: int):
+    """Function for applyInPandasWithState: cycles since the last promotion of each run, in order of cycles within a batch."""
+
+    def run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        since, newest = state.get if state.exists else (0, None)
+        rows = sorted(x for b in batches for x in zip(b["cycle"].tolist(), b["promoted"].tolist(), strict=True))
+        if rows and newest is not None and rows[0][0] <= newest:
+            raise ValueError("cycles of a run came out of order")
+        for cycle, promoted in rows:
+            since, newest = 0 if promoted else since + 1, cycle
+        state.update((since, newest))
+        yield pd.DataFrame({"run": [key[0]], "cycle": [newest], "since": [since], "stop": [since >= patience]})
+
+    return run
+
+
+def plateaus(ledger: DataFrame, patience: int = 5) -> DataFrame:
+    """Stream of (run, cycle, since, stop), updated with every batch of a ledger (run, cycle, promoted); cycles of a run must come in order."""
+    return ledger.groupBy("run").applyInPandasWithState(since_promotion(patience), "run long, cycle long, since long, stop boolean", "since long, newest long", "update", GroupStateTimeout.NoTimeout)

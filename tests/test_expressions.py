@@ -9,7 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import hashing, stats, text
+from tessera.functions import config, hashing, rust, stats, text
 
 
 def one(spark, column, **values):
@@ -97,3 +97,68 @@ def test_perplexity(spark):
     rows = spark.createDataFrame([(2.0, 10), (1.0, 5), (9.0, 1)], "loss double, t long")
     assert rows.agg(stats.perplexity(F.col("loss"), F.col("t")).alias("x")).first()["x"] == pytest.approx(math.exp(22 / 13))
     assert rows.limit(0).agg(stats.perplexity(F.col("loss"), F.col("t")).alias("x")).first()["x"] == 1.0
+
+
+RUST = """// File: a
+#![allow(x)]
+use std::fmt; // "fn no
+/* fn /* nested */ { */
+#[derive(Debug)]
+pub struct A<'a> { x: &'a str, c: char }
+const Q: &str = r#"fn f() { " }"#;
+pub(crate) async fn go<'a>(x: &'a str) -> char {
+    let c = '{'; let d = '\\''; let s = "}\\"{";
+    if x.len() > 3 { return 'x'; }
+    c // }
+}
+impl<'a> A<'a> { fn y(&self) {} }
+mod tests;
+enum E { A, B(u8) }
+struct T(u8, [u8; 4]);
+fn broken( {
+"""
+
+
+def test_rust_items(spark):
+    found = [(kind, RUST[a:b]) for a, b, _, kind in rust.items(RUST)]
+    assert [k for k, _ in found] == ["struct", "fn", "impl", "mod", "enum", "struct"]
+    assert found[1][1].startswith("pub(crate) async fn go") and found[1][1].endswith("c // }\n}") and found[3][1] == "mod tests;"
+    assert rust.items("") == [] and rust.items("fn") == [] and rust.items('"') == [] and rust.items("/* never closed fn a() {}") == []
+    big = many(spark, lambda c: rust.middle(c), [RUST, "no items", "fn é() { \"é\" }\nfn b() { 1111 }\n", None])
+    assert RUST[big[0]["start"] : big[0]["end"]] == found[1][1] and big[1] is None and big[3] is None and big[2]["start"] == 0
+    assert many(spark, rust.functions_in, [RUST, None]) == [[found[1][1]], []]
+    span = F.struct(F.lit(2).alias("start"), F.lit(5).alias("end"))
+    assert one(spark, text.fim(F.col("t"), F.lit("psm"), span), t="abcdefghi") == "<|fim_prefix|>ab<|fim_suffix|>fghi<|fim_middle|>cde"
+
+
+def test_scope(spark):
+    cases = {"crates/a/src/x.rs": True, "crates/a/README.md": False, "docs/x.md": True, "a/crates/b.rs": False, "crates/x.rs": False, "x.rs": True}
+    assert many(spark, text.in_scope, list(cases)) == list(cases.values())
+
+
+def test_config(tmp_path):
+    (tmp_path / "a.json").write_text('{"x": 1, "y": {"z": [1, 2], "w": {"v": true}}}')
+    (tmp_path / "b.toml").write_text("[t]\nn = 3\n")
+    assert config.flatten(config.load(str(tmp_path), "a")) == [("x", "1"), ("y.z", "[1, 2]"), ("y.w.v", "True")]
+    assert config.load(str(tmp_path), "b.toml") == {"t": {"n": 3}}
+    assert config.snapshot({"b": {"t": {"n": 3}}}, "cycle 1") == "########## cycle 1 ##########\n--- [b] ---\n  t.n = 3\n\n"
+    with pytest.raises(FileNotFoundError):
+        config.load(str(tmp_path), "none")
+
+
+def test_token_capture(spark):
+    from tessera.operators import chat
+
+    kind = "array<struct<token_id:bigint,logprob:double>>"
+    rows = spark.createDataFrame([([(5, -0.5), (None, -1.0), (7, None)],), ([],), (None,)], f"t {kind}").select(*chat.captured(F.col("t"))).collect()
+    assert [list(r) for r in rows] == [[[5, -1, 7], [-0.5, -1.0, 0.0]], [[], []], [[], []]]
+    lists = spark.createDataFrame([([[1, 2], None, [3]], [("assistant",), ("user",), ("assistant",)])], "t array<array<int>>, m array<struct<role:string>>")
+    assert lists.select(chat.n_tokens(F.col("t")).alias("n"), chat.steps(F.col("m")).alias("s")).first() == (3, 2)
+    flat = spark.createDataFrame([([[-1.0, -2.0], [], [-3.0]],), ([],)], "l array<array<double>>").select(stats.entropy_proxy(F.col("l")).alias("e"))
+    assert [r.e for r in flat.collect()] == [2.0, 0.0]
+
+
+def test_cost(spark):
+    from tessera.operators import evaluation
+
+    assert one(spark, evaluation.cost(F.col("m"), F.lit(2_000_000), {"api": 5.0}), m="api") == 10.0 and one(spark, evaluation.cost(F.col("m"), F.lit(9), {"api": 5.0}), m="own") == 0.0

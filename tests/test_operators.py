@@ -68,15 +68,99 @@ def test_containment(spark):
     assert sorted(map(tuple, corpus.contained(docs, items).collect())) == [(1, 7), (2, 8)]
 
 
+def test_containment_of_short_items(spark):
+    """Items of any length, also within words, against a search of every text."""
+    rng = random.Random(4)
+    words = ["ab", "cd", "abc", "d", "é"]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))) for i in range(60)] + [(60, None), (61, ""), (3, "ab cd"), (None, "x ab cd abc d y")]
+    items = [(i, " ".join(rng.choice(words) for _ in range(n))) for i, n in enumerate([1, 2, 3, 3, 4, 5, 6, 7, 9, 10, 11, 14])] + [(90, None), (91, docs[5][1]), (92, docs[6][1][1:-1])]
+    got = corpus.contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = {(d, i) for d, t in docs for i, x in items if t is not None and x is not None and x in t}
+    assert {tuple(r) for r in got.collect()} == want
+    assert corpus.contained(spark.createDataFrame(docs, "doc_id long, text string").limit(0), spark.createDataFrame(items, "item_id long, text string")).collect() == []
+
+
+def test_samples(spark):
+    files = spark.createDataFrame([(f"src/{i}.rs", "fn a() {}\nfn longer_one() { a() }\n") for i in range(60)] + [(f"d/{i}.md", "fn text") for i in range(60)], "path string, content string")
+    both = corpus.split(files).collect()
+    assert {r.fim_mode for r in both if r.path.endswith(".md")} == {None} and {r.fim_mode for r in both} == {None, "psm", "spm"}
+    held = {r.path for r in both if r.held_out}
+    assert {r.path for r in corpus.held_out_samples(files).collect()} == held and held
+    rows = {r.path: r.training_content for r in corpus.samples(files, structured=True).collect()}
+    assert set(rows) == {r.path for r in both} - held
+    modes = {r.path: r.fim_mode for r in both}
+    for path, sample in rows.items():
+        if modes[path]:
+            assert sample.endswith("<|fim_middle|>fn longer_one() { a() }") and "fn a() {}" in sample
+        else:
+            assert "fim" not in sample and sample.startswith(f"// File: {path}\n")
+    commits = spark.createDataFrame([(1, list(held)[:1] + ["x"]), (2, ["d/none"]), (3, []), (4, None)], "id long, touched array<string>")
+    assert 1 not in {r.id for r in corpus.decontaminated_commits(commits).collect()}
+
+
+def test_changes(spark):
+    rows = [(1, "t", "<!-- x -->\n- [x] done\n## Checklist\nshort", ["a"], "2024"), (2, "t", "a description that is long enough to count as one", ["a", "b"], ""), (3, "t", None, [], None)]
+    changes = spark.createDataFrame(rows, "number long, title string, body string, changed_files array<string>, merged_at string")
+    assert [r.number for r in corpus.merged(changes).collect()] == [1]
+    only = corpus.change_samples(changes).collect()
+    assert [(r.number, r.training_content.split("\n")[0], r.training_content.split("\n")[-1]) for r in only] == [(2, "# PR #2: t", "b")]
+
+
+def test_ranked_and_systematic(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("x")).repartition(5)
+    got = [r.rank_ for r in selection.ranked(rows, "x").orderBy("x").collect()]
+    assert got == list(range(1000))
+    assert selection.ranked(rows.limit(0), "x").collect() == []
+    assert [r.x for r in selection.systematic(rows, 10, "x").orderBy("x").collect()] == sorted(r.x for r in rows.collect())[::100]
+    assert [r.x for r in selection.head(rows, 3, "x").collect()] == sorted(r.x for r in rows.collect())[:3]
+    assert sorted(r.x for r in selection.seeded(rows, 5, "x", 1).collect()) != sorted(r.x for r in selection.seeded(rows, 5, "x", 2).collect())
+    assert selection.seeded(rows, 5, "x", 1).collect() == selection.seeded(rows.repartition(2), 5, "x", 1).collect()
+
+
+def test_promotion_and_curve(spark):
+    old = spark.createDataFrame([(1, True)], "cycle long, promoted boolean")
+    new, gate = spark.createDataFrame([(2, None)], "cycle long, promoted boolean"), spark.createDataFrame([(False,)], "promote boolean")
+    assert sorted(map(tuple, selection.promote(old, new, gate).collect())) == [(1, True), (2, False)]
+    assert sorted(map(tuple, selection.promote(old.limit(0), new, None).collect())) == [(2, True)]
+    curve = spark.createDataFrame([(1, "a", "m", 3.0, "f"), (2, "base", "m", 2.0, None), (3, "base", "m", 9.0, "g")], "ord long, tag string, model string, perplexity double, weights_fp string")
+    assert {r.ord: r.delta_pct for r in evaluation.against_base(curve).collect()} == {1: 50.0, 2: None, 3: None}
+    assert [r.delta_pct for r in evaluation.against_base(curve.where("tag = 'a'")).collect()] == [None]
+    wanted = spark.createDataFrame([("a", "m", "f"), ("a", "m", "other"), ("base", "m", "any"), ("base", "n", "any")], "tag string, model string, weights_fp string")
+    assert sorted(map(tuple, evaluation.pending(wanted, curve).collect())) == [("a", "m", "other"), ("base", "n", "any")]
+
+
+def test_similarity(spark):
+    import difflib
+
+    pairs = [("abc", "abd"), ("abc", "abc"), ("abc", ""), (None, "x"), ("x", None), ("abc", "abd")]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").coalesce(1)
+    evaluation.register(spark)
+    rows.createOrReplaceTempView("pairs_of_texts")
+    want = [difflib.SequenceMatcher(None, a or "", b).ratio() if b else 0.0 for a, b in pairs]
+    assert [r.s for r in rows.orderBy("i").select(evaluation.similarity("a", "b").alias("s")).collect()] == want
+    assert [r.s for r in spark.sql("SELECT patch_similarity(a, b) AS s FROM pairs_of_texts ORDER BY i").collect()] == want
+    assert [r.r.total for r in rows.orderBy("i").select(evaluation.execution_free_reward(F.col("a"), F.col("b")).alias("r")).collect()] == want
+
+
+def test_teacher_shortfall(spark):
+    pool = spark.createDataFrame([(i, f"s{i}") for i in range(100)], "ord long, snippet string")
+    done = spark.createDataFrame([(f"s{i}",) for i in range(5)], "snippet string")
+    assert [r.ord for r in chat.shortfall(pool, done, 10, 2).collect()] == list(range(5, 15))
+    assert chat.shortfall(pool, done, 5, 2).collect() == []
+
+
 def test_verify_mode(spark):
     cases = {"euclid": "execution", "common_utils,euclid": "execution", "connectors": "pattern", "euclid,connectors": "pattern", "": "pattern"}
-    rows = spark.createDataFrame([(k,) for k in cases], "k string").select("k", tasks.verify_mode(F.filter(F.split("k", ","), lambda x: x != "")).alias("m")).collect()
+    rows = spark.createDataFrame([(k,) for k in cases], "k string").select("k", tasks.verify_mode(F.filter(F.split("k", ","), lambda x: x != ""), ("euclid", "common_utils")).alias("m")).collect()
     assert {r.k: r.m for r in rows} == cases
 
 
 def test_synthetic_ids_resume(spark):
     rows = spark.createDataFrame([("CaughtMutant", "c", "a.rs", "f", "--- x\n+++ y\n"), ("Missed", "c", "a.rs", "f", ""), ("CaughtMutant", "d", "a.rs", None, "")], "summary string, package string, file string, function_name string, diff string")
     first = tasks.synthetic_tasks(rows, "c", "sha")
+    assert "`f` in a.rs" in first.first()["issue_text"] and "package `c`" in first.first()["issue_text"]
+    with pytest.raises(ValueError, match="parent"):
+        tasks.synthetic_tasks(rows, "c", "")
     assert first.count() == 1 and first.first()["task_id"].startswith("mut-c-")
     assert tasks.fresh(tasks.synthetic_tasks(rows, "c", "sha"), first, "task_id").isEmpty()
 
@@ -182,3 +266,9 @@ def test_lessons(spark):
     kind = "array<struct<role:string,content:string>>"
     rows = spark.createDataFrame([([("tool", "ok"), ("tool", " error[E1]: x\nmore"), ("assistant", "error: no")],), ([("tool", "fine")],), ([],)], f"m {kind}")
     assert [r.e for r in rows.select(evaluation.last_error(F.col("m")).alias("e")).collect()] == ["error[E1]: x", "", ""]
+    parts = F.struct(F.lit(1.0).alias("fmt_clippy"), F.lit(1.0).alias("compile"), F.lit(0.5).alias("dense"), F.lit(0.0).alias("tests"), F.lit("pattern").alias("mode"))
+    said = evaluation.lesson(F.lit("tests_failed"), F.lit(4), F.array(*[F.lit(x) for x in "abcd"]), F.lit(""), F.lit(1.0), F.lit(1.0))
+    block = spark.range(1).select(evaluation.insight(F.lit("t"), F.lit("m"), F.lit(3), F.lit(0.25), F.lit(4), parts, said).alias("b")).first()["b"]
+    assert block == "=== cycle 3 | t | model=m ===\noutcome: FAILED | reward=0.25 | turns=4 | mode=pattern\ntiers: fmt/clippy=1.0 compile=1 dense=0.50 tests=0\nlesson: It builds, yet tests fail: the logic is off. Failing: a, b, c\n\n"
+    error = evaluation.lesson(F.lit("compile_error"), F.lit(4), F.array().cast("array<string>"), F.lit("error[E1]: " + "x" * 200), F.lit(1.0), F.lit(0.0))
+    assert spark.range(1).select(error.alias("e")).first()["e"] == "It does not build. First error: error[E1]: " + "x" * 149

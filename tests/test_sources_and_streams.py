@@ -2,8 +2,11 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
+from tessera import folders
 from tessera.operators import selection
 from tessera.sources import files, sinks
 from tessera.streaming import streams
@@ -69,3 +72,74 @@ def test_state_over_batches(spark, tmp_path):
     assert sorted(map(tuple, newest.collect())) == sorted(map(tuple, batch.collect()))
     seen = streams.finished(streams.top_up(source.select("task_id"), "task_id"))
     assert sorted(r.task_id for r in seen.collect()) == [1, 2, 3]
+
+
+def batches(spark, path, parts, kind):
+    """A stream that reads each part in a micro-batch of its own, in their order."""
+    for part in parts:
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_metric_windows_over_batches(spark, tmp_path):
+    """Events out of order between batches all count if the watermark allows for it; else it is an error."""
+    import datetime as dt
+
+    at = lambda hours: dt.datetime(2024, 1, 1) + dt.timedelta(hours=hours)
+    parts = [[(at(9), "a", 1), (at(8.5), "a", 2)], [(at(1), "a", 4), (at(9.2), "b", 8)], [(at(30), "a", 16)], [(at(1.5), "a", 32)]]
+    stream = batches(spark, str(tmp_path / "in"), parts, "ts timestamp, event_type string, value long")
+    done = streams.finished(streams.metric_windows(stream, late="40 hours"), "update")
+    newest = done.groupBy("window", "event_type").agg(F.max_by("total", "batch_").alias("total"), F.max_by("n", "batch_").alias("n"))
+    assert sorted((r.total, r.n) for r in newest.collect()) == [(1, 1), (2, 1), (8, 1), (16, 1), (36, 2)]
+    with pytest.raises(ValueError, match="later than the watermark"):
+        streams.finished(streams.metric_windows(stream, late="1 hour"), "update")
+
+
+def test_plateaus_over_batches(spark, tmp_path):
+    parts = [[(1, 0, False), (1, 1, False), (2, 0, True)], [(1, 2, False), (2, 1, False)], [(2, 2, True), (3, 0, False)]]
+    stream = batches(spark, str(tmp_path / "in"), parts, "run long, cycle long, promoted boolean")
+    done = streams.finished(streams.plateaus(stream, patience=3), "update")
+    newest = done.groupBy("run").agg(F.max_by(F.struct("cycle", "since", "stop"), "batch_").alias("x")).select("run", "x.*")
+    assert sorted(map(tuple, newest.collect())) == [(1, 2, 3, True), (2, 2, 0, False), (3, 0, 1, False)]
+
+
+def test_top_up_stops_at_its_target(spark, tmp_path):
+    parts = [[(3, "a"), (1, "b"), (3, "c")], [(1, "d"), (2, "e"), (9, "f"), (8, "g")], [(5, "h")]]
+    stream = batches(spark, str(tmp_path / "in"), parts, "k long, x string")
+    assert sorted(r.k for r in streams.topped_up(stream, "k", 4).collect()) == [1, 2, 3, 8]
+    assert sorted(r.k for r in streams.topped_up(stream, "k", 99).collect()) == [1, 2, 3, 5, 8, 9]
+
+
+def test_readers_of_shards_and_ids(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "ids/a").mkdir(parents=True)
+    (tmp_path / "ids/a/x.jsonl").write_text('{"task_id": "t1"}\nbroken\n{"pr_number": 7}\n{"task_id": "", "pr_number": 0}\n')
+    (tmp_path / "ids/y.jsonl").write_text('{"task_id": "t1", "pr_number": 9}\n')
+    (tmp_path / "ids/z.txt").write_text('{"task_id": "t2"}\n')
+    assert sorted(r.task_id for r in files.recursive_ids(spark, str(tmp_path / "ids")).collect()) == ["pr-7", "pr-9", "t1"]
+    assert files.recursive_ids(spark, str(tmp_path / "none")).collect() == []
+    (tmp_path / "c1.jsonl").write_text('{"x": 1}\n')
+    with gzip.open(tmp_path / "c1.jsonl.gz", "wt") as f:
+        f.write('{"x": 2}\n')
+    (tmp_path / "c2.jsonl").write_text('{"x": 3}\n')
+    assert [[r.x for r in files.shard(spark, str(tmp_path), n, "x long").collect()] for n in ("c1", "c2", "c3")] == [[2], [3], []]
+    schema = files._schema("x long")
+    for _ in range(2):
+        assert files.json_lines(spark, str(tmp_path / "gone"), schema).columns == ["x", "_malformed"]
+    assert schema.names == ["x"]
+
+
+def test_work_folders(spark, tmp_path, monkeypatch):
+    own = folders.work_folder(spark, "test")
+    assert own.startswith("file:///") and folders.written(spark.range(2), f"{own}/x").count() == 2
+    assert folders.remove(spark, own) and not folders.exists(spark, own)
+    with pytest.raises(ValueError, match="not a work folder"):
+        folders.remove(spark, str(tmp_path))
+    for base, begins in ((str(tmp_path / "shared"), f"file://{tmp_path}/shared/tessera-test-"), ("hdfs://host/x/", "hdfs://host/x/tessera-test-")):
+        with monkeypatch.context() as m:
+            m.setattr(type(spark.conf), "get", lambda self, key, default=None, base=base: base)
+            assert folders.work_folder(spark, "test").startswith(begins)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        folders.work_folder(spark, "test")
