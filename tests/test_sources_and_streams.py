@@ -140,6 +140,8 @@ def test_work_folders(spark, tmp_path, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(type(spark.conf), "get", lambda self, key, default=None, base=base: base)
             assert folders.work_folder(spark, "test").startswith(begins)
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
+    assert folders.work_folder(spark, "test").startswith("file:///")
     monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
     with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
         folders.work_folder(spark, "test")
