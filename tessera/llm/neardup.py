@@ -10,7 +10,8 @@ trees, which draw from one sketch, miss it with less than 2 in 10^8. The sketch'
 A group of thousands of near copies can't be branched apart. Therefore a first, cheap round of a few trees links every class to the
 smallest id of its nodes only ("stars", one pair for a class); confirmed stars give labels, and the second, complete round leaves out pairs
 that share a label. A class that is too close to many classes of another label, yet not linked, is compared with all of that label by
-full sets, block against block, and only the links found leave the task: no task emits the pairs of a group.
+full sets, block against block. Classes that are close to many others, of whatever labels, are gathered in cells (those of one node that hang
+together, under the smallest id) and likewise compared in blocks. Only links that join something leave such a task: no task emits the pairs of a group.
 
 Nodes of more than `node_limit` classes are branched by a shuffle, smaller ones within a task. Near copies beyond that number would stay
 together at any depth, so such a node doesn't have to come apart: in the first round all its classes meet its smallest id and only those not
@@ -47,6 +48,8 @@ LEVELS, MIXED_LEVELS = 12, 4
 SLACK = 5.5
 #: Most pairs of one class with one other label that leave a leaf; beyond them the class meets all of that label.
 CAP = 8
+#: Most other pairs of one class that leave a leaf; beyond them it goes to a cell with all that it is close to.
+DENSE = 16
 #: Classes in a block of the exhaustive comparison of a class with a label.
 BLOCK = 512
 #: Rows without doc_id get ids from here on, by their text.
@@ -223,9 +226,22 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(estimate(own, head))], names=["node", "doc_id", "a", "sketch", "est"])
 
 
+def least_estimate(similarity: float) -> float:
+    """The estimate below which a pair is dropped."""
+    return similarity - SLACK * (similarity * (1 - similarity) / PLACES) ** 0.5
+
+
+def join(group: np.ndarray, places: np.ndarray) -> None:
+    """Makes the groups of these places one."""
+    own = np.unique(group[places])
+    if len(own) > 1:
+        group[np.isin(group, own)] = own[0]
+
+
 def _pairs(similarity: float):
-    """Pairs of different labels that may be similar, as (b, a); where one class has too many with a label, (b, label) with all = true."""
-    least = similarity - SLACK * (similarity * (1 - similarity) / PLACES) ** 0.5
+    """Pairs of different labels that may be similar: (b, a, kind 0). Where one class has too many with a label, (b, label, 1); where it has
+    too many others, all that hang together with it as (b, smallest id, 2)."""
+    least = least_estimate(similarity)
     places = int(1 / similarity) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +249,8 @@ def _pairs(similarity: float):
             ids, label = long_array(table["doc_id"].combine_chunks()), long_array(table["label"].combine_chunks())
             sketch = binary_parts(table["sketch"].combine_chunks())[0].reshape(-1, PLACES)
             node = table["node"][0].as_py()
-            out: set[tuple[int, int, bool]] = set()
+            out: set[tuple[int, int, int]] = set()
+            cell = np.arange(len(ids))
 
             def outside(idx: np.ndarray) -> np.ndarray:
                 """Where the classes are that aren't of the largest label."""
@@ -256,11 +273,19 @@ def _pairs(similarity: float):
                     for i in np.flatnonzero(near.any(1)):
                         me, others = int(ids[block[i]]), idx[near[i]]
                         theirs, of, count = np.unique(label[others], return_inverse=True, return_counts=True)
-                        out.update((me, x, True) for x in theirs[count > CAP].tolist())
-                        out.update((max(me, x), min(me, x), False) for x in ids[others[count[of] <= CAP]].tolist())
+                        out.update((me, x, 1) for x in theirs[count > CAP].tolist())
+                        others = others[count[of] <= CAP]
+                        if len(others) <= DENSE:
+                            out.update((max(me, x), min(me, x), 0) for x in ids[others].tolist())
+                        else:
+                            join(cell, np.append(others, block[i]))
+            _, first, inverse, count = np.unique(cell, return_index=True, return_inverse=True, return_counts=True)
+            smallest = np.full(len(first), np.iinfo(np.int64).max)
+            np.minimum.at(smallest, inverse, ids)
+            out.update((x, y, 2) for x, y in zip(ids[count[inverse] > 1].tolist(), smallest[inverse][count[inverse] > 1].tolist(), strict=True))
             if out:
-                b, a, every = zip(*sorted(out), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(a, pa.int64()), pa.array(every)], names=["b", "a", "every"])
+                b, a, kind = zip(*sorted(out), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(a, pa.int64()), pa.array(kind, pa.int32())], names=["b", "a", "kind"])
 
     return run
 
@@ -299,15 +324,26 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(x) + len(y) - same)
 
 
-def _block_links(percent: int):
-    """Links between the classes of one block of a label and one block of classes that must meet all of it."""
+def _block_links(percent: int, similarity: float):
+    """Links between the classes of two blocks (low, high), by sketches and then by full sets; pairs that other links have joined are left out."""
+    least = least_estimate(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "cell"):
-            ids, outer = long_array(table["doc_id"].combine_chunks()), table["outer"].combine_chunks().to_numpy(zero_copy_only=False)
+            ids, label = (long_array(table[c].combine_chunks()) for c in ("doc_id", "label"))
+            low, high = (np.flatnonzero(table[c].combine_chunks().to_numpy(zero_copy_only=False)) for c in ("low", "high"))
+            sketch = binary_parts(table["sketch"].combine_chunks())[0].reshape(-1, PLACES)
             data, at = binary_parts(table["items"].combine_chunks())
-            sets = [data[at[i] : at[i + 1]].view(np.uint64) for i in range(len(ids))]
-            found = [(ids[i], ids[j]) for i in np.flatnonzero(outer) for j in np.flatnonzero(~outer) if ids[i] != ids[j] and similar(sets[i], sets[j], percent)]
+            group, found = np.unique(label, return_inverse=True)[1], []
+            step = max(1, (1 << 18) // max(1, len(high)))
+            for begin in range(0, len(low), step):
+                mine = low[begin : begin + step]
+                near = agree(equal_places(sketch[mine], sketch[high])) >= least
+                for x, y in zip(*np.nonzero(near), strict=True):
+                    i, j = mine[x], high[y]
+                    if group[i] != group[j] and ids[i] != ids[j] and similar(data[at[i] : at[i + 1]].view(np.uint64), data[at[j] : at[j + 1]].view(np.uint64), percent):
+                        found.append((ids[i], ids[j]))
+                        join(group, np.array([i, j]))
             if found:
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -430,13 +466,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, node_l
         up = up.join(over, "label", "left").select("doc_id", F.coalesce("next", "label").alias("label"))
     labelled = written(classes.join(up, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), f"{folder}/labelled")
 
-    found = written(by_node(mixed_nodes(labelled)).mapInArrow(_pairs(similarity), "b long, a long, every boolean").distinct(), f"{folder}/pairs")
-    more = confirmed(found.where("NOT every"), "pairs")
+    found = written(by_node(mixed_nodes(labelled)).mapInArrow(_pairs(similarity), "b long, a long, kind int").distinct(), f"{folder}/pairs")
+    more = confirmed(found.where("kind = 0"), "pairs")
     links = links.unionByName(more)
 
-    meets = written(found.where("every").select(F.col("b").alias("doc_id"), F.col("a").alias("label")), f"{folder}/meets")
+    meets = written(found.where("kind > 0").select(F.col("b").alias("doc_id"), F.col("a").alias("label"), "kind"), f"{folder}/meets")
     if not meets.isEmpty():
-        links = links.unionByName(written(_meet(labelled, meets, full_sets, folder, percent), f"{folder}/links-all"))
+        links = links.unionByName(written(_meet(labelled, meets, full_sets, folder, percent, similarity), f"{folder}/links-all"))
 
     found_components = written(components(links, f"{folder}/components"), f"{folder}/component")
     classed = reps.join(found_components.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep")).drop("component")
@@ -467,15 +503,25 @@ def deduplicated(docs: DataFrame, k: int = 5, similarity: float = 0.8, text: str
     return left.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
-def _meet(labelled: DataFrame, meets: DataFrame, full_sets, folder: str, percent: int) -> DataFrame:
-    """Links of each class in meets with all classes of the label it is put against, block against block."""
-    members = labelled.select("doc_id", "label").join(meets.select("label").distinct(), "label", "left_semi")
-    n = meets.groupBy("label").agg(F.count("*").alias("outers")).join(members.groupBy("label").agg(F.count("*").alias("inners")), "label")
-    n = n.select("label", F.ceil(F.col("outers") / BLOCK).alias("ob"), F.ceil(F.col("inners") / BLOCK).alias("ib"))
-    sets = written(full_sets(meets.select("doc_id").union(members.select("doc_id")).distinct()), f"{folder}/sets-all")
+def _meet(labelled: DataFrame, meets: DataFrame, full_sets, folder: str, percent: int, similarity: float) -> DataFrame:
+    """Links of each class in meets with all classes of the label that it is put against, and of the classes of a cell with each other,
+    block against block."""
     spot = lambda c: F.pmod(F.xxhash64("doc_id"), F.col(c))
-    cell = lambda o, i: F.xxhash64("label", o, i)
-    outer = meets.join(n, "label").select("doc_id", F.lit(True).alias("outer"), F.explode(F.expr("sequence(0L, ib - 1)")).alias("i"), spot("ob").alias("o"), "label").select("doc_id", "outer", cell("o", "i").alias("cell"))
-    inner = members.join(n, "label").select("doc_id", F.lit(False).alias("outer"), F.explode(F.expr("sequence(0L, ob - 1)")).alias("o"), spot("ib").alias("i"), "label").select("doc_id", "outer", cell("o", "i").alias("cell"))
-    rows = outer.unionByName(inner).join(sets, "doc_id").repartition("cell").sortWithinPartitions("cell")
-    return rows.select("cell", "doc_id", "outer", "items").mapInArrow(_block_links(percent), "a long, b long")
+    yes, no = F.lit(True), F.lit(False)
+    # a class and a label: (block of classes, block of the label)
+    outers = meets.where("kind = 1").select("doc_id", F.col("label").alias("main"))
+    inners = labelled.select("doc_id", F.col("label").alias("main")).join(outers.select("main").distinct(), "main", "left_semi")
+    n = outers.groupBy("main").agg(F.count("*").alias("o")).join(inners.groupBy("main").agg(F.count("*").alias("i")), "main")
+    n = n.select("main", F.ceil(F.col("o") / BLOCK).alias("ob"), F.ceil(F.col("i") / BLOCK).alias("ib"))
+    key = F.xxhash64(F.lit("label"), "main", "o", "i").alias("cell")
+    outer = outers.join(n, "main").select("doc_id", yes.alias("low"), no.alias("high"), F.explode(F.expr("sequence(0L, ib - 1)")).alias("i"), spot("ob").alias("o"), "main").select("doc_id", "low", "high", key)
+    inner = inners.join(n, "main").select("doc_id", no.alias("low"), yes.alias("high"), F.explode(F.expr("sequence(0L, ob - 1)")).alias("o"), spot("ib").alias("i"), "main").select("doc_id", "low", "high", key)
+    # a cell: (block, block that isn't smaller)
+    members = meets.where("kind = 2").select("doc_id", F.col("label").alias("main"))
+    size = members.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
+    each = members.join(size, "main").select("doc_id", "main", spot("nb").alias("own"), F.explode(F.expr("sequence(0L, nb - 1)")).alias("other"))
+    within = each.select("doc_id", (F.col("own") <= F.col("other")).alias("low"), (F.col("own") >= F.col("other")).alias("high"), F.xxhash64(F.lit("cell"), "main", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
+    rows = outer.unionByName(inner).unionByName(within)
+    sets = written(full_sets(outers.select("doc_id").union(inners.select("doc_id")).union(members.select("doc_id")).distinct()), f"{folder}/sets-all").dropDuplicates(["doc_id", "items"])
+    full = rows.join(labelled.select("doc_id", "label", "sketch"), "doc_id").join(sets, "doc_id").repartition("cell").sortWithinPartitions("cell")
+    return full.select("cell", "doc_id", "label", "low", "high", "sketch", "items").mapInArrow(_block_links(percent, similarity), "a long, b long")

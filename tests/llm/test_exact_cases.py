@@ -77,8 +77,12 @@ def test_near_duplicates(spark, k, limit):
     assert sorted(tuple(r) for r in got) == near_brute(rows, k)
 
 
-def test_near_duplicates_dense_group_meets_a_label(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "CAP", 1)
+@pytest.mark.parametrize(("cap", "dense", "block"), [(1, 16, 512), (8, 1, 512), (0, 0, 3), (1, 2, 4)])
+def test_near_duplicates_dense_groups_meet_in_blocks(spark, monkeypatch, cap, dense, block):
+    """Classes that are close to many meet a whole label, or each other in cells, with the same result."""
+    monkeypatch.setattr(neardup, "CAP", cap)
+    monkeypatch.setattr(neardup, "DENSE", dense)
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rows = near_corpus(9, 25)
     got = neardup.near_duplicates(docs_frame(spark, rows), k=2).collect()
     assert sorted(tuple(r) for r in got) == near_brute(rows, 2)
@@ -129,8 +133,14 @@ def test_near_duplicates_pairs_within_boilerplate(monkeypatch, shared):
             columns = [pa.array([int(node)] * len(ids)), pa.array(ids), pa.array(ids), common.binary_array(sketch[ids].ravel(), np.arange(len(ids) + 1) * neardup.PLACES)]
             batch = pa.RecordBatch.from_arrays(columns, names=["node", "doc_id", "label", "sketch"])
             for out in neardup._pairs(0.8)(iter([batch])):
-                assert not any(out["every"].to_pylist())
-                found.update(zip(out["b"].to_pylist(), out["a"].to_pylist(), strict=True))
+                assert 1 not in out["kind"].to_pylist()
+                cells = {}
+                for b, a, kind in zip(*(out[c].to_pylist() for c in ("b", "a", "kind")), strict=True):
+                    if kind == 0:
+                        found.add((b, a))
+                    else:
+                        cells.setdefault(a, []).append(b)
+                found.update((max(x, y), min(x, y)) for own in cells.values() for x in own for y in own if x != y)
     assert len(wanted) > 100 and not wanted - found
 
 
