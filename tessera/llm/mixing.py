@@ -123,3 +123,10 @@ def mix(docs: DataFrame, entropy: float | None = None, repetitions: float | None
     placed = place(counted.join(brief, "key"), seed).join(cuts, ["key", "block"], "left")
     out = placed.select("doc_id", "source", "n_tokens", "weight", F.explode(copies).alias("epoch"), "block", "key", "row")
     return out.select("doc_id", "source", "n_tokens", "weight", "epoch", "block", F.xxhash64(F.lit(seed), "key", "epoch", "block").alias("block_key"), F.xxhash64(F.lit(seed + 1), "row", "epoch").alias("row_key"))
+
+
+def stream(mixed: DataFrame, folder: str) -> DataFrame:
+    """Rows of mix (without keep) written in the order in which they are to be read: sources one after another, each by epoch, block_key and
+    row_key; a file holds a range of that order, and files' names follow it. Returns the written table; no task holds more than its range."""
+    order = [F.col("source").asc_nulls_first(), "epoch", "block_key", "block", "row_key", "doc_id"]
+    return written(mixed.repartitionByRange(*order).sortWithinPartitions(*order), f"{folder}/stream")

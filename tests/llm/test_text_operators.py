@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tessera.folders import work_folder
 from tessera.llm import chat, licences, mixing, neardup, pii, quality, words
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, key string, base string"
@@ -173,6 +174,62 @@ def test_quality_learns_and_holds_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
 
 
+def plain_statistics(text):
+    """Statistics of one text, by plain Python."""
+    raw = (text or "").encode()
+    size, w, low = max(len(raw), 1), [x for x in re.split(rb"[\x20\x09-\x0D]+", raw) if x], None
+    share = [raw.count(bytes([b])) / size for b in range(256)]
+    low = [bytes(c + 32 if 65 <= c <= 90 else c for c in x) for x in w]
+    per, count = max(len(w), 1), {x: low.count(x) for x in set(low)}
+    out = [sum(share[b] for b in s.encode()) for s in quality.BYTE_SETS]
+    out += [sum(share[128:]), -sum(p * math.log2(p) for p in share if p), max(share), math.log1p(len(raw))]
+    lengths = [len(x) for x in w]
+    mean = sum(lengths) / per
+    out += [math.log1p(len(w)), mean, math.sqrt(max(0, sum(x * x for x in lengths) / per - mean**2)), len(count) / per, max(count.values(), default=0) / per, sum(n == 1 for n in count.values()) / per]
+    fine = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,"
+    out += [sum(x[-1] not in fine and x[-1] < 128 for x in w) / per, sum(x == 1 for x in lengths) / per, sum(x >= 15 for x in lengths) / per]
+    lines = raw.count(b"\n") + 1
+    return [*out, math.log1p(len(raw) / lines), len(w) / lines / 100]
+
+
+def test_quality_scores_against_a_direct_solution(spark):
+    """Statistics by plain Python, then moments, features, ridge and calibration in one place; repeated labels and rows count as often as they come."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 400")
+    docs = docs.unionByName(docs.where("doc_id = 7"))
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    labels = labels.unionByName(labels.limit(5)).unionByName(labels.limit(3).withColumn("quality", F.lit(9)))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    x = np.array([plain_statistics(t) for _, t in rows], np.float32).astype(np.float64)
+    centre, spread = x.mean(0), x.std(0)
+    scale = np.where(spread > 1e-6 * (1 + abs(centre)), spread, 1.0)
+    rng = np.random.default_rng(11)
+    weights, phase = rng.normal(0, (1 / x.shape[1]) ** 0.5, (x.shape[1], quality.FEATURES)), rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    f = np.hstack([np.sqrt(2 / quality.FEATURES) * np.cos(np.clip((x - centre) / scale, -6, 6) @ weights + phase), np.ones((len(x), 1))])
+    known = [(i, r.quality, zlib.crc32(str(d).encode()) % 5) for i, (d, _) in enumerate(rows) for r in labels.where(F.col("quality").isin(0, 1)).collect() if r.doc_id == d]
+    known = [k for k in known if k[2]]
+
+    def solved(own):
+        a, y = f[[i for i, _, _ in own]], np.array([q for _, q, _ in own], float)
+        penalty = quality.RIDGE * max(1.0, len(own)) * np.eye(f.shape[1])
+        penalty[-1, -1] = 1e-9
+        return np.linalg.solve(a.T @ a + penalty, a.T @ y)
+
+    bins = [[], []]
+    for fold in {k[2] for k in known}:
+        w = solved([k for k in known if k[2] != fold])
+        for i, q, own in known:
+            if own == fold:
+                bins[0].append(int(np.clip((f[i] @ w - quality.RANGE[0]) / (quality.RANGE[1] - quality.RANGE[0]) * quality.BINS, 0, quality.BINS - 1)))
+                bins[1].append(q)
+    n, p = np.bincount(bins[0], minlength=quality.BINS), np.bincount(bins[0], bins[1], minlength=quality.BINS)
+    at, value = quality.pooled(p, n, quality.RANGE[0] + (np.arange(quality.BINS) + 0.5) * (quality.RANGE[1] - quality.RANGE[0]) / quality.BINS)
+    want = {}
+    for (d, _), raw in zip(rows, f @ solved(known), strict=True):
+        want[d] = float(np.clip(np.interp(raw, at, value), 0, 1))
+    got = quality.quality_scores(docs, labels).collect()
+    assert len(got) == len(rows) and all(abs(r.score - want[r.doc_id]) < 2e-3 for r in got), max(abs(r.score - want[r.doc_id]) for r in got)
+
+
 def test_quality_odd_inputs(spark):
     docs = frame(spark, ODD)
     labels = spark.createDataFrame([(0, 1), (1, None), (None, 1)], "doc_id long, quality int")
@@ -223,6 +280,72 @@ def test_mixing_meets_its_limit(spark):
     assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, got), key=str)
 
 
+def test_mixing_takes_the_rows_of_its_permutation(spark):
+    """Which rows come how often, against a plain loop over the same hash keys: whole passes, then blocks, then rows of the block that is cut."""
+    docs, rows = sources(spark, {"a": 700, "b": 120, "c": 35, "d": 5}, rng=random.Random(9))
+    repetitions, block_tokens, seed = 2.5, 300, 17
+    docs = docs.unionByName(docs.where("doc_id IN (3, 710, 830)"))  # repeated rows
+    tokens = {r[0]: len(r[1].split()) for r in rows}
+    copies = {d: 1 + (d in (3, 710, 830)) for d in tokens}
+    by = {}
+    for d, _, _, s, *_ in rows:
+        by.setdefault(s, []).append(d)
+    total = {s: sum(tokens[d] * copies[d] for d in own) for s, own in by.items()}
+    share = {s: n / sum(total.values()) for s, n in total.items()}
+    low, high = 0.0, 1.0
+    for _ in range(60):  # repetitions of the smallest share, relative to the largest
+        mid = (low + high) / 2
+        low, high = (low, mid) if max((p / max(share.values())) ** (mid - 1) for p in share.values()) <= repetitions else (mid, high)
+    scale = max(p / p**high for p in share.values())
+    budget = {s: max(total[s], round(share[s] ** high * scale * sum(total.values()))) for s in by}
+    facts = spark.createDataFrame([(f"s{s}", budget[s] // total[s], max(1, -(-total[s] // block_tokens))) for s in by], "key string, passes long, blocks long")
+    keyed = docs.dropDuplicates(["doc_id"]).select("doc_id", mixing.source_key().alias("key"), F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).alias("row"))
+    placed = {r.doc_id: r for r in mixing.place(keyed.join(facts, "key"), seed).collect()}
+    want = {}
+    for s, own in by.items():
+        passes, rest = budget[s] // total[s], budget[s] % total[s]
+        for d in own:
+            want[d] = passes * copies[d]
+        blocks = {}
+        for d in own:
+            blocks.setdefault((placed[d].block_key, placed[d].block), []).append(d)
+        for _, members in sorted(blocks.items()):
+            size = sum(tokens[d] * copies[d] for d in members)
+            if size <= rest:
+                taken = members
+            else:  # rows in order as long as they fit
+                taken, left = [], rest
+                for d in sorted(members, key=lambda d: placed[d].row_key):
+                    if tokens[d] * copies[d] > left:
+                        break
+                    taken.append(d)
+                    left -= tokens[d] * copies[d]
+            for d in taken:
+                want[d] += copies[d]
+            rest -= size
+            if rest <= 0:
+                break
+    got = {}
+    for r in mixing.mix(docs, repetitions=repetitions, block_tokens=block_tokens, seed=seed).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+    assert got == want and max(got.values()) >= 2
+    kept = {}
+    for r in mixing.mix(docs, repetitions=repetitions, block_tokens=block_tokens, seed=seed, keep=True).collect():
+        kept[r.doc_id] = kept.get(r.doc_id, 0) + 1
+    assert kept == want
+
+
+def test_mixing_writes_its_order(spark):
+    docs, _ = sources(spark, {"a": 300, "b": 40, None: 10})
+    mixed = mixing.mix(docs, repetitions=2.0, block_tokens=200)
+    written_ = mixing.stream(mixed, work_folder(spark, "test"))
+    keys = lambda r: (r.source or "", r.epoch, r.block_key, r.block, r.row_key, r.doc_id)
+    by_file = written_.select("*", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("i")).collect()
+    by_file.sort(key=lambda r: (r.file, r.i))
+    assert [keys(r) for r in by_file] == sorted(keys(r) for r in mixed.collect())
+    assert mixing.stream(mixed.limit(0), work_folder(spark, "test")).collect() == []
+
+
 def test_mixing_entropy_and_odd_inputs(spark):
     docs, _ = sources(spark, {"a": 500, "b": 50})
     weights = {r.source: r.weight for r in mixing.mix(docs, entropy=0.6).collect()}
@@ -328,6 +451,50 @@ def test_whole_licences_in_other_dress(spark):
     assert rows[2 * len(texts)] == "Own-1.0" and rows[2 * len(texts) + 1] is None
 
 
+def test_pipeline_against_brute_force(spark):
+    """Every stage of run() on a whole small table: scores, exact near-duplicate groups, spans, passes and pieces recomputed from its input."""
+    from test_exact_cases import near_brute
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    scores = {r.doc_id: r.score for r in quality.quality_scores(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
+    good = [r for r in docs.collect() if scores[r.doc_id] >= quality.THRESHOLD]
+    kept = {d for d, _, _, keep in near_brute([(r.doc_id, r.text) for r in good], 5) if keep}
+    single = [r for r in good if r.doc_id in kept]
+    spans_ = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(single, docs.schema)).collect()}
+    clean = []
+    for r in single:
+        text, at = "", 0
+        found = sorted((int(a), int(b), list(pii.EVERY).index(k)) for k, a, b in (x.split(":") for x in spans_[r.doc_id].split(",") if x))
+        for a, b, k in found:
+            if a >= at:
+                text += r.text[at:a] + f"[{pii.EVERY[k].upper()}]"
+            at = max(at, b)
+        clean.append((r.doc_id, text + (r.text or "")[at:]))
+    stages = dict(corpus_pipeline.STAGES)
+    after = stages["pii"](spark, stages["near_duplicates"](spark, stages["quality"](spark, docs, sf), sf), sf)
+    assert sorted((r.doc_id, r.text or "") for r in after.collect()) == sorted(clean)
+    times = {}
+    for r in mixing.mix(after, repetitions=corpus_pipeline.REPETITIONS).collect():
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+    assert set(times) == kept
+    mixed = {}
+    for r in stages["mixing"](spark, after, sf).collect():
+        mixed[r.doc_id] = mixed.get(r.doc_id, 0) + 1
+    assert mixed == times
+    pieces = corpus_pipeline.run(spark, sf).collect()
+    from tessera.llm import packing
+
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {d: np.append(encode(t), np.uint32(0)) for d, t in clean}
+    seen = {}
+    for p in pieces:
+        assert p.doc_tokens == len(ids[p.doc_id]) and p.ids_crc32 == zlib.crc32(ids[p.doc_id][p.start : p.start + p.length].astype("<u4").tobytes())
+        seen[p.doc_id] = seen.get(p.doc_id, 0) + p.length
+    assert seen == {d: n * len(ids[d]) for d, n in times.items()}
+
+
 CLASH = ["raw", "gone_", "key", "digest", "stats", "base_", "added_", "picked_", "t", "row", "epoch", "block", "rest", "c0", "c1", "kept", "component_id", "score", "fold", "spans", "a.b"]
 
 
