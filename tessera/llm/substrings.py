@@ -36,7 +36,7 @@ CELLS, MOST_CELLS, CELLS_EACH = 1 << 12, 1 << 20, 16
 #: Cells in one row of counts.
 SLICE = 1 << 12
 #: Suffixes that a task sorts at once, and groups for each shuffle partition.
-GROUP_WINDOWS, GROUPS_EACH = 1_000_000, 4
+GROUP_WINDOWS, GROUPS_EACH = 600_000, 8
 #: A cell with more than this many times both a group's share and the mean of cells holds a common landmark.
 COMMON = 2
 #: Bytes that are compared at once.
@@ -68,9 +68,9 @@ def ranks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray,
     """A number for each word in the places used, the same for the same bytes only; other places have 0."""
     out = np.zeros(len(h), np.int64)
     _, first, inverse = np.unique(h[used], return_index=True, return_inverse=True)
-    one, length = used[first][inverse], ends - starts
+    one, length = used[first][inverse], (ends - starts).astype(np.int32)
     same = length[used] == length[one]
-    upto = np.cumsum(length[used])
+    upto = np.cumsum(length[used], dtype=np.int64)
     cuts = [0, *np.searchsorted(upto, np.arange(COMPARED, int(upto[-1]), COMPARED)).tolist(), len(used)]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         mine, other = used[a:b][same[a:b]], one[a:b][same[a:b]]
@@ -91,8 +91,10 @@ def tree(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray,
     and the places where nodes begin. Suffixes without a twin are left out."""
     full = words.grams(h, window)[at]
     by = np.argsort(full, kind="stable")
-    twin = full[by][1:] == full[by][:-1]
+    full = full[by]
+    twin = full[1:] == full[:-1]
     own = np.sort(by[np.append(twin, False) | np.append(False, twin)])
+    del full, by
     if not len(own):
         return NONE, NONE
     cover = np.zeros(len(h) + 1, np.int64)
@@ -140,7 +142,7 @@ def _count(window: int, cells: int):
                 for data, offsets, _ in units(part, whole, all_offsets, window - 1):
                     starts, ends, before = words.split(data, offsets)
                     _, at = suffixes(before, np.arange(len(offsets) - 1), window)
-                    least = landmarks(words.hashes(data, starts, ends), window)[0][at]
+                    least = landmarks(words.names(data, starts, ends), window)[0][at]
                     total += np.bincount((least >> bits).astype(np.int64), minlength=cells)
         slices = list(range(0, cells, SLICE))
         yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int64()), pa.array([total[i : i + SLICE].tobytes() for i in slices], pa.binary())], names=["slice", "counts"])
@@ -213,7 +215,7 @@ def _ship(window: int, first: np.ndarray, parts: np.ndarray, common: np.ndarray)
         docs, at = suffixes(before, order, window)
         if not len(docs):
             return
-        h = words.hashes(data, starts, ends)
+        h = words.names(data, starts, ends)
         gone = later(ids[docs], *tree(data, starts, ends, h, at, window))
         place = at - before[:-1][docs] + base
         if len(gone):
@@ -226,7 +228,7 @@ def _ship(window: int, first: np.ndarray, parts: np.ndarray, common: np.ndarray)
         least, where = (x[at] for x in landmarks(h, window))
         cell = (least >> bits).astype(np.int64)
         split = common[cell]
-        path = np.where(split, words.grams(h, window)[at], words.mix(least))
+        path = np.where(split, words.grams(h, window)[at], words.mix(least)) if split.any() else words.mix(least)
         group = first[cell] + (path % parts[cell].astype(np.uint64)).astype(np.int64)
         new = np.ones(len(docs), bool)
         new[1:] = split[1:] | (docs[1:] != docs[:-1]) | (place[1:] != place[:-1] + 1) | (where[1:].astype(np.int64) != where[:-1].astype(np.int64) - 1)
@@ -275,7 +277,7 @@ def repeats(blobs: list[bytes], window: int, turn: int = 0, turns: int = 1) -> t
         (ids, sums, doc, place, n), text, single = _unpack(blob)
         data = np.frombuffer(text, np.uint8)
         starts, ends, _ = words.split(data, np.array([0, len(data)]))
-        h = words.hashes(data, starts, ends)
+        h = words.names(data, starts, ends)
         ids, doc = np.cumsum(ids), np.cumsum(doc)
         lead = np.cumsum(n + window - 1) - (n + window - 1)
         if turns > 1:
@@ -284,17 +286,18 @@ def repeats(blobs: list[bytes], window: int, turn: int = 0, turns: int = 1) -> t
             if not len(mine):
                 continue
             doc, place, n, lead = doc[mine], place[mine], n[mine], lead[mine]
-            size = n + window - 1
-            keep = np.repeat(lead, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            starts, ends, h = starts[keep], ends[keep], h[keep]  # the blob's bytes stay whole, no word of other turns does
-            lead = np.cumsum(size) - size
+            text = b"\n".join([text[x:y] for x, y in zip(starts[lead].tolist(), ends[lead + n + window - 2].tolist(), strict=True)])
+            data = np.frombuffer(text, np.uint8)
+            starts, ends, _ = words.split(data, np.array([0, len(data)]))
+            h, lead = words.names(data, starts, ends), np.cumsum(n + window - 1) - (n + window - 1)
         step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         for out, x in zip(held, (data, starts + n_bytes, ends + n_bytes, h, np.repeat(lead, n) + step + n_words, np.repeat(ids[doc], n), np.repeat(sums[doc], n), np.repeat(place, n) + step), strict=True):
             out.append(x)
         n_bytes, n_words = n_bytes + len(data), n_words + len(h)
     if not n_words:
         return (NONE,) * 4
-    data, starts, ends, h, at, ids, sums, place = (np.concatenate(x) for x in held)
+    held.reverse()
+    data, starts, ends, h, at, ids, sums, place = (np.concatenate(held.pop()) for _ in range(8))  # parts are let go one after another
     hit = later(ids, *tree(data, starts, ends, h, at, window))
     d, t, s = ids[hit], sums[hit], place[hit]
     new = np.ones(len(hit), bool)

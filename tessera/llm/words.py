@@ -15,6 +15,9 @@ LOWER_CODES[65:91] = BYTE_CODES[97:123]
 BASE = np.uint64(int(_rng.integers(2**62, 2**63)) * 2 + 1)
 #: Bytes of a word that are hashed at once.
 LONG_WORD = 1 << 16
+#: Bytes of a word that `names` takes by eights, and masks for the first k of eight bytes.
+LONG_NAME = 256
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -71,6 +74,26 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool =
     return mix(np.add.reduceat(codes * powers(most)[place], begin) + lengths.astype(np.uint64))
 
 
+def names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word, eight bytes at a time: other values than those of `hashes`, in a fraction of the time."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lengths = ends - starts
+    out = mix(lengths.astype(np.uint64) * BASE)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, np.uint64, padded, 0, (1,))  # the eight bytes from each place on
+    live = slice(None)
+    for at in range(0, min(int(lengths.max()), LONG_NAME), 8):
+        if at:
+            live = np.flatnonzero(lengths > at)
+        out[live] = mix(out[live] * BASE + (eight[starts[live] + at] & MASKS[np.minimum(lengths[live] - at, 8)]))
+    long = np.flatnonzero(lengths > LONG_NAME)
+    if len(long):
+        out[long] = mix(out[long] + hashes(data, starts[long], ends[long]))
+    return out
+
+
 def grams(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k words from each place on; the last k - 1 places are of no use."""
     out = np.zeros(len(words), np.uint64)

@@ -210,8 +210,8 @@ def test_remove_repeats_without_id(spark):
 @pytest.mark.parametrize("turns", [1_000_000, 30])
 def test_remove_repeats_with_hashes_that_collide(spark, monkeypatch, turns):
     """Whatever hashes say, words decide: here a word's hash has 3 bits."""
-    real = words.hashes
-    monkeypatch.setattr(words, "hashes", lambda *a, **b: words.mix(real(*a, **b) & np.uint64(7)))
+    real = words.names
+    monkeypatch.setattr(words, "names", lambda *a, **b: words.mix(real(*a, **b) & np.uint64(7)))
     rng = random.Random(turns)
     passages = [prose(rng, 20) for _ in range(4)]
     rows = [(i, " ".join([prose(rng, rng.randint(0, 12), 40), rng.choice(passages), prose(rng, rng.randint(0, 12), 40)])) for i in range(60)]
@@ -282,7 +282,8 @@ def test_repeated_passages(spark):
     assert substrings.repeated_passages(docs_frame(spark, [])).collect() == []
 
 
-def test_plan_splits_common_prefixes_only():
+def test_plan_splits_common_prefixes_only(monkeypatch):
+    monkeypatch.setattr(substrings, "GROUPS_EACH", 4)
     counts = np.array([5, 5, 1000, 0, 7, 3])
     first, parts, common = substrings.plan(counts, 3)
     assert parts.tolist() == [1, 1, 12, 1, 1, 1] and common.tolist() == [False, False, True, False, False, False]
@@ -460,6 +461,18 @@ def test_top_k_few_and_none(spark):
     assert topk.top_k(frame([(1, [1.0])]), k=5, scale=64, query_mod=20).collect() == []
 
 
+def test_names_of_words(monkeypatch):
+    """Equal words have equal names wherever they are, others don't; words of any length."""
+    rng = random.Random(8)
+    monkeypatch.setattr(words, "LONG_NAME", 24)
+    own = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 40))) for _ in range(3000)] + [b"a" * n for n in range(1, 300)]
+    text = b" ".join(own)
+    data = np.frombuffer(text, np.uint8)
+    starts, ends, _ = words.split(data, np.array([0, len(data)]))
+    names = words.names(data, starts, ends).tolist()
+    assert len(names) == len(own) and len(set(zip(names, own, strict=True))) == len(set(names)) == len(set(own))
+
+
 def test_words_split_like_bytes():
     rng = random.Random(3)
     texts = ["".join(rng.choice("ab É\t\n\x0b\x1c 9") for _ in range(rng.randint(0, 20))).encode() for _ in range(200)]
