@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,5 +52,17 @@ def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def released(results: Iterator) -> Iterator:
+    """The results one by one; after each, and at the end, memory that is free goes back to the system, so that workers that live on stay small."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+    for result in results:
+        yield result
+        del result
+        pa.default_memory_pool().release_unused()
+        trim(0)
+    pa.default_memory_pool().release_unused()
+    trim(0)
+
+
 def rows_schema(**fields: pa.DataType) -> pa.Schema:
     return pa.schema([pa.field(k, v) for k, v in fields.items()])

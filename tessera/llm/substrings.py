@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words
-from tessera.llm.common import CHUNK_BYTES, chunks, long_array, text_bytes
+from tessera.llm.common import CHUNK_BYTES, chunks, long_array, released, text_bytes
 
 LANDMARK = 3
 #: Fewest and most cells of landmark hashes that are counted, and how many there are for each group.
@@ -144,10 +144,11 @@ def _count(window: int, cells: int):
                     _, at = suffixes(before, np.arange(len(offsets) - 1), window)
                     least = landmarks(words.names(data, starts, ends), window)[0][at]
                     total += np.bincount((least >> bits).astype(np.int64), minlength=cells)
+                    del starts, ends, before, at, least
         slices = list(range(0, cells, SLICE))
         yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int64()), pa.array([total[i : i + SLICE].tobytes() for i in slices], pa.binary())], names=["slice", "counts"])
 
-    return run
+    return lambda batches: released(run(batches))
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +259,7 @@ def _ship(window: int, first: np.ndarray, parts: np.ndarray, common: np.ndarray)
                         groups, packed = zip(*out, strict=True)
                         yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(packed, pa.binary())], names=["grp", "blob"])
 
-    return run
+    return lambda batches: released(run(batches))
 
 
 def windows_of(blob: bytes) -> int:
@@ -330,7 +331,7 @@ def _mark(window: int, group_windows: int):
         if held:
             yield from ended(held)
 
-    return run
+    return lambda batches: released(run(batches))
 
 
 def _kept(window: int, with_text: bool):
@@ -387,7 +388,7 @@ def _kept(window: int, with_text: bool):
                 columns = [part.column(0), pa.array(n.astype(np.int64)), pa.array(n - np.diff(np.append(0, np.cumsum(keep))[before])), pa.array([hashlib.sha256(x).hexdigest() for x in texts])]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(texts, pa.binary()).cast(pa.string())] * with_text, names=names)
 
-    return run
+    return lambda batches: released(run(batches))
 
 
 def _marks(summed: DataFrame, window: int, group_windows: int) -> DataFrame:
