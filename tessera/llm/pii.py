@@ -89,7 +89,7 @@ def holds(kind: str, match: Column) -> Column:
     """The base's check of a match."""
     digits = F.regexp_replace(match, "[^0-9]", "")
     if kind == "ip":
-        return F.forall(F.split(match, r"\."), lambda p: (F.char_length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.left(F.ltrim(p, F.lit("0")), F.lit(3)).cast("int"), F.lit(0)) <= 255))
+        return F.forall(F.split(match, r"\."), lambda p: (F.char_length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.left(F.ltrim(p, F.lit("0")), F.lit(3)).try_cast("int"), F.lit(0)) <= 255))
     if kind == "card":
         return F.when(F.char_length(digits).between(13, 19), luhn(digits)).otherwise(F.lit(False))
     if kind == "phone":

@@ -58,7 +58,7 @@ def check_base(rows, texts):
 
 def test_pii_base_is_the_rules(spark):
     rng = random.Random(4)
-    pieces = ["a", "b1", "@", ".", "..", "-", " ", "+", "%", "_", "(", ")", "1", "12", "255", "256", "0004", "4111 1111 1111 1111", "4111111111111111", "+1 (017) 555-7713", "x@y.co", "@a.b", "😀", "\n", "97.51.17.173", "9.9.9", "Ü@ü.de"]
+    pieces = ["a", "b1", "@", ".", "..", "-", " ", "+", "%", "_", "(", ")", "1", "12", "255", "256", "0004", "4111 1111 1111 1111", "4111111111111111", "+1 (017) 555-7713", "x@y.co", "@a.b", "😀", "\n", "97.51.17.173", "9.9.9", "Ü@ü.de", "10.0.0.1", "0.00.000.0"]
     texts = [*ODD, *("".join(rng.choice(pieces) for _ in range(rng.randint(1, 30))) for _ in range(1500)), "a@b" + ".c" * 20_000, "1." * 20_000, "7" * 20_000, "+" + "1 " * 20_000]
     check_base(pii.find(frame(spark, texts)).collect(), texts)
 
