@@ -17,6 +17,7 @@ import functools
 import json
 import math
 import random
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +51,10 @@ CUES = r"(?i)(mail|contact|write|call|phone|tel|fax|mobile|card|visa|account|iba
 AGAINST = r"(?i)(version|release|build|order|invoice|ref|reference|page|pages|isbn|issn|doi|commit|sha|sha1|sha256|md5|checksum|digest|rev|revision|price|total|item|part|article|nr|no|number|lot|batch|since|until|date|time|at|v)[^A-Za-z0-9]{0,4}$"
 PREFIXES = r"^(AKIA|ASIA|ghp_|gho_|github_pat_|sk_|sk-|pk_|rk_|xox[abp]-|AIza|glpat-|hf_|SG\.|eyJ)"
 BEFORE = 24
+#: Code points of a piece in which a text that is redacted is cut, so that a place is found without walking there from the beginning.
+PIECE = 4096
+#: Most spans whose results are kept in the state of one aggregate.
+RUN = 64
 #: Number of values of each feature; a candidate's features are a row of such small integers.
 LEVELS = {"kind": 7, "valid": 4, "digits": 7, "separators": 4, "grouping": 3, "cue": 3, "edge": 2}
 ROUNDS, RATE, PRECISION = 60, 0.4, 0.98
@@ -58,19 +63,44 @@ PLANTED, SEED = 6000, 5
 SPAN = "struct<k:int,start:int,end:int,score:double>"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def scan(items: Column, begin: Column, step: Callable[[Column, Column], Column], put: Callable[[Column, Column], Column], state: str, kind: str) -> Column:
+    """The state after all items and the values of type kind that they give, in order: struct (state, out).
+
+    step(state, item) is the next state and put(state, item) an array of what the item adds. An aggregate copies its whole state at each
+    step, so more than `RUN` items are taken in runs: first each run's beginning state, then what each run gives.
+    """
+    none = lambda t: F.expr(f"CAST(array() AS array<{t}>)")
+    more = lambda a, x: F.struct(step(a["state"], x).alias("state"), F.concat(a["out"], put(a["state"], x)).alias("out"))
+    one = lambda r, s: F.aggregate(r, F.struct(s.alias("state"), none(kind).alias("out")), more)
+
+    def of(runs: Column) -> Column:
+        over = lambda a, r: F.struct(F.aggregate(r, a["state"], step).alias("state"), F.concat(a["all"], F.array(a["state"])).alias("all"))
+        both = F.aggregate(runs, F.struct(begin.alias("state"), none(state).alias("all")), over)
+        return let(both, lambda a: F.struct(a["state"], F.flatten(F.zip_with(runs, a["all"], lambda r, s: one(r, s)["out"])).alias("out")))
+
+    last = F.floor((F.size(items) - 1) / RUN).cast("int")
+    many = let(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * RUN + 1, RUN)), of)
+    return F.when(F.size(items) <= RUN, one(items, begin)).otherwise(many)
+
+
 def spans(text: Column, pattern: str, mark: str) -> Column:
     """Matches, leftmost and not overlapping: array of (start, end, match, before) in code points; before is the text from the last match on."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     kind = "array<struct<start:int,end:int,match:string,before:string>>"
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(m.alias("match"), b.alias("before"), F.char_length(b).alias("gap"), F.char_length(m).alias("size")))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"CAST(array() AS {kind})").alias("out"))
+    between = F.split(text, pattern, -1)
 
-    def step(a: Column, x: Column) -> Column:
-        begin = a["at"] + x["gap"]
-        one = F.struct(begin.alias("start"), (begin + x["size"]).alias("end"), x["match"].alias("match"), F.right(x["before"], F.lit(BEFORE)).alias("before"))
-        return F.struct((begin + x["size"]).alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
+    def of(found: Column) -> Column:
+        return let(F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(m.alias("match"), F.char_length(m).alias("size"), F.right(b, F.lit(BEFORE)).alias("before"), (F.char_length(b) + F.char_length(m)).alias("step"))), placed)
+
+    def placed(pairs: Column) -> Column:
+        ends = let(F.transform(pairs, lambda x: x["step"]), lambda steps: scan(steps, F.lit(0), lambda at, x: at + x, lambda at, x: F.array(at + x), "int", "int"))["out"]
+        return F.zip_with(pairs, ends, lambda x, e: F.struct((e - x["size"]).alias("start"), e.alias("end"), x["match"].alias("match"), x["before"].alias("before")))
 
-    return F.when(text.rlike(mark), F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(F.expr(f"CAST(array() AS {kind})"))
+    return F.when(text.rlike(mark), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)).otherwise(F.expr(f"CAST(array() AS {kind})"))
 
 
 def luhn(digits: Column) -> Column:
@@ -362,19 +392,27 @@ def added(base: Column, proposed: Column, model: Trees) -> Column:
     scored = F.transform(proposed, lambda s: F.struct(s["start"].alias("start"), F.lit(1).alias("own"), s["end"].alias("end"), s["kind"].alias("k"), model.column(s).alias("score")))
     sure = F.filter(scored, lambda s: F.coalesce(s["score"] >= model.limit(s["k"]), F.lit(False)))
     fixed = F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("own"), b["end"].alias("end"), b["k"].alias("k"), F.lit(0.0).alias("score")))
-    none = F.lit(None).cast(SPAN)
-    begin = F.struct(F.lit(0).alias("edge"), none.alias("held"), F.expr(f"CAST(array() AS array<{SPAN}>)").alias("out"))
+    none, empty = F.lit(None).cast(SPAN), F.expr(f"CAST(array() AS array<{SPAN}>)")
+
+    def overlaps(a: Column, x: Column) -> Column:
+        return F.coalesce(x["start"] < a["held"]["end"], F.lit(False))
 
     def step(a: Column, x: Column) -> Column:
         held, rule = a["held"], x["own"] == 0
-        overlaps = F.coalesce(x["start"] < held["end"], F.lit(False))
         mine = F.struct(x["k"], x["start"], x["end"], x["score"]).cast(SPAN)
-        out = F.when(held.isNotNull() & ~overlaps, F.concat(a["out"], F.array(held))).otherwise(a["out"])
-        stays = F.when(rule, none).when(x["start"] < a["edge"], F.when(overlaps, held).otherwise(none)).when(overlaps & (held["score"] >= x["score"]), held).otherwise(mine)
-        return F.struct(F.when(rule, F.greatest(a["edge"], x["end"])).otherwise(a["edge"]).alias("edge"), stays.alias("held"), out.alias("out"))
+        stays = F.when(rule, none).when(x["start"] < a["edge"], F.when(overlaps(a, x), held).otherwise(none)).when(overlaps(a, x) & (held["score"] >= x["score"]), held).otherwise(mine)
+        return F.struct(F.when(rule, F.greatest(a["edge"], x["end"])).otherwise(a["edge"]).alias("edge"), stays.alias("held"))
+
+    def put(a: Column, x: Column) -> Column:
+        return F.when(a["held"].isNotNull() & ~overlaps(a, x), F.array(a["held"])).otherwise(empty)
 
-    swept = F.aggregate(F.array_sort(F.concat(fixed, sure)), begin, step, lambda a: F.when(a["held"].isNotNull(), F.concat(a["out"], F.array(a["held"]))).otherwise(a["out"]))
-    return F.when(F.size(sure) > 0, swept).otherwise(begin["out"])
+    def swept(sure: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("edge"), none.alias("held"))
+        every = let(F.array_sort(F.concat(fixed, sure)), lambda items: scan(items, begin, step, put, f"struct<edge:int,held:{SPAN}>", SPAN))
+        last = lambda a: F.concat(a["out"], F.when(a["state"]["held"].isNotNull(), F.array(a["state"]["held"])).otherwise(empty))
+        return F.when(F.size(sure) > 0, let(every, last)).otherwise(empty)
+
+    return let(sure, swept)
 
 
 def with_spans(docs: DataFrame, model: Trees, text: Column) -> DataFrame:
@@ -407,6 +445,13 @@ def find(docs: DataFrame, model: Trees | None = None, text: str = "text", doc_id
     return found.select("doc_id", *count, F.sha2(written_spans(F.col("base_")), 256).alias("base_sha256"), written_spans(every).alias("spans"), *sizes)
 
 
+def between(pieces: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end of a text that is cut into pieces of PIECE; start is at most end."""
+    first, last, skipped = F.floor(start / PIECE).cast("int"), F.floor(end / PIECE).cast("int"), start % PIECE + 1
+    whole = F.concat(F.substring(F.get(pieces, first), skipped, F.lit(PIECE)), F.array_join(F.slice(pieces, first + 2, last - first - 1), ""), F.coalesce(F.substring(F.get(pieces, last), F.lit(1), end % PIECE), F.lit("")))
+    return F.when(start >= end, F.lit("")).when(first == last, F.substring(F.get(pieces, first), skipped, end - start)).otherwise(whole)
+
+
 def redact(docs: DataFrame, model: Trees | None = None, text: str = "text") -> DataFrame:
     """docs with every span of its text, base or added, replaced by its kind in brackets; overlapping spans are replaced by the first one's.
 
@@ -421,12 +466,15 @@ def redact(docs: DataFrame, model: Trees | None = None, text: str = "text") -> D
     order = F.array_sort(F.transform(F.concat("base_", "added_"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["k"].alias("k"))))
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in EVERY])
 
-    def step(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["at"]
-        piece = F.concat(F.substring(t, a["at"] + 1, s["start"] - a["at"]), F.element_at(tags, s["k"] + 1))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, F.concat(a["out"], piece)).otherwise(a["out"]).alias("out"))
 
-    rest = F.aggregate(order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.char_length(t))))
-    new = found.withColumn(at, F.when(F.size(F.concat("base_", "added_")) > 0, rest).otherwise(t))
+    def renewed(items: Column, pieces: Column) -> Column:
+        """What is between the spans and their tags; each span is held against the furthest end before it."""
+        furthest = lambda at, x: F.greatest(at, x["end"])
+        ends = scan(items, F.lit(0), furthest, lambda at, x: F.array(at), "int", "int")
+        piece = lambda x, at: F.when(x["start"] >= at, F.concat(between(pieces, at, x["start"]), F.element_at(tags, x["k"] + 1))).otherwise("")
+        return let(ends, lambda a: F.concat(F.array_join(F.zip_with(items, a["out"], piece), ""), between(pieces, a["state"], F.char_length(t))))
+
+    some = F.size("base_") + F.size("added_") > 0
+    new = found.withColumn(at, F.when(some, let(order, lambda items: let(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), lambda pieces: renewed(items, pieces)))).otherwise(t))
     columns = [F.char_length(F.col(at)).cast(kinds[c]).alias(c) if c == "n_chars" else F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
     return new.select(*columns)

@@ -153,6 +153,31 @@ def test_redaction(spark):
     assert pii.redact(frame(spark, [])).collect() == [] and pii.find(frame(spark, [])).collect() == []
 
 
+def test_spans_by_runs_are_as_in_one(spark, monkeypatch):
+    """Matches, added spans and redacted texts are the same whatever the length of a run and of a text's pieces; lengths around them."""
+    model = pii.Trees(0.0, (((("valid", 0), (None, ("valid", 1)), (0.0, 0.0, 1.0, 2.0))),), (0.5,) * len(pii.EVERY))
+    one = "é user{0}@example{0}.com or call (555) 123-4567 now 10.0.{0}.7, 4111 1111 1111 1111 "
+    texts = [*ODD, *("".join(one.format(i) for i in range(n)) for n in (1, 2, 3, 4, 5, 8, 9, 16, 33)), "a@b.co" * 3, "x" * 7 + "a@b.co", "+1 (017) 555-7713" + "y" * 7]
+    got = []
+    for run, piece in ((10_000, 1 << 20), (4, 7), (1, 1)):
+        monkeypatch.setattr(pii, "RUN", run)
+        monkeypatch.setattr(pii, "PIECE", piece)
+        docs = frame(spark, texts)
+        got.append((sorted(pii.find(docs, model).collect()), [(r.doc_id, r.text, r.n_chars) for r in pii.redact(docs, model).orderBy("doc_id").collect()]))
+        check_base(got[-1][0], texts)
+    assert got[0] == got[1] == got[2]
+
+
+def test_many_spans_in_one_text(spark, tmp_path):
+    """40,000 spans in one text; time grows with their number, not with its square."""
+    text = F.expr("array_join(transform(sequence(1, 20000), i -> concat('user', i, '@example.com or 10.0.0.', i % 256)), ' ')")
+    spark.range(1).select(F.col("id").alias("doc_id"), text.alias("text")).write.parquet(f"{tmp_path}/long")
+    model = pii.Trees(0.0, (), (None,) * len(pii.EVERY))
+    docs = spark.read.parquet(f"{tmp_path}/long")
+    check_base(pii.find(docs, model).collect(), {0: docs.first().text})
+    assert pii.redact(docs, model).first().text == " ".join(["[EMAIL] or [IP]"] * 20_000)
+
+
 def test_boosting_finds_the_rule():
     rng = random.Random(2)
     cells = []
