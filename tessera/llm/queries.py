@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tessera.llm import chat, licences, media, mixing, neardup, packing, pii, quality, substrings, topk
+from tessera.llm import chat, clusters, divergence, factors, licences, media, mixing, neardup, packing, pii, quality, substrings, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -180,6 +180,85 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+@register(
+    "op11_suffix_array_dedup",
+    """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), w AS (SELECT r, i, md5(b[i:i + 399]) AS h FROM (SELECT r, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d)
+), twice AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1
+), hit AS (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > 400, true) AS opens FROM w WHERE h IN (SELECT h FROM twice)
+), runs AS (SELECT r, min(i) AS a, max(i) + 400 AS z FROM (SELECT r, i, sum(opens::INT) OVER (PARTITION BY r ORDER BY i) AS n FROM hit) GROUP BY r, n
+), gaps AS (SELECT r, z AS a, coalesce(lead(a) OVER (PARTITION BY r ORDER BY a), 3000000000) AS z FROM (SELECT * FROM runs UNION ALL SELECT r, 0, 1 FROM d)
+), kept AS (SELECT r, string_agg(hex(b[a:z - 1]), '' ORDER BY a) AS k FROM gaps JOIN d USING (r) GROUP BY r
+), n AS (SELECT r, sum(z - a)::BIGINT AS gone, count(*) AS spans FROM runs GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN n USING (r)
+""",
+)
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factors.remove_repeated_bytes(table(spark, sf_dir, "documents"), length=400, first_stays=False)
+
+
+def _share_sql(n: str, total: str) -> str:
+    return f"(1 + (1000000000::HUGEINT * ({n} + 5)) // ({total} + 5 * v)::HUGEINT)::BIGINT"
+
+
+@register(
+    "op12_source_divergence",
+    rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents
+), o AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), k AS (SELECT lang, term, count(*) AS c FROM o GROUP BY ALL HAVING count(DISTINCT r) >= 30
+), l AS (SELECT lang, count(*) AS v, sum(c)::BIGINT AS total FROM k GROUP BY lang
+), g AS (
+  SELECT lang, source, coalesce(v, 0) AS v, coalesce(l.total, 0) AS lang_total, coalesce(s.total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN l USING (lang)
+  LEFT JOIN (SELECT lang, source, count(*) AS total FROM o JOIN k USING (lang, term) GROUP BY ALL) s USING (lang, source)
+), c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY ALL
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {_share_sql("coalesce(c.n, 0)", "g.total")} AS p, {_share_sql("k.c", "g.lang_total")} AS q
+  FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM parts)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+""",
+)
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"), least_docs=30, top=50)
+
+
+def _clusters_sql(rounds: int = 3) -> str:
+    """The rounds one after another: a<i> assigns to the centroids c<i>, whose vectors' sums give c<i + 1>."""
+    ctes = [
+        "v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings "
+        "WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "c0 AS (SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1)::INTEGER AS cluster, v AS c FROM v QUALIFY cluster < 16)",
+    ]
+    for i in range(rounds + 1):
+        ctes.append(
+            f"a{i} AS (SELECT r, vec_id, v, cluster, distance FROM (SELECT r, vec_id, v, cluster, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS distance FROM v CROSS JOIN c{i}) "
+            "QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, cluster) = 1)"
+        )
+        if i < rounds:
+            ctes.append(
+                f"s{i} AS (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS m FROM (SELECT cluster, j, sum(v[j]) AS s, count(*) AS n FROM (SELECT cluster, v, unnest(range(1, 65)) AS j FROM a{i}) GROUP BY cluster, j) GROUP BY cluster)"
+            )
+            ctes.append(f"c{i + 1} AS (SELECT cluster, coalesce(m, c) AS c FROM c{i} LEFT JOIN s{i} USING (cluster))")
+    return (
+        f"WITH {', '.join(ctes)} SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia, "
+        f"sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (cluster)"
+    )
+
+
+@register("op13_centroid_clustering", _clusters_sql())
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.centroid_clusters(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dim=64, scale=64, seed="1")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
