@@ -184,9 +184,9 @@ def clusters_by_loops(rows, k, rounds, dim):
     return sorted(((i, j, d, inertia[j], inertia.total(), hashlib.sha256(",".join(map(str, centroids[j])).encode()).hexdigest()) for (i, _), (d, j) in zip(kept, at, strict=True)), key=str)
 
 
-@pytest.mark.parametrize("size", [1, 0.02, 3.6e11])
+@pytest.mark.parametrize("size", [1, 0.02, 1e9])
 def test_clusters_as_by_loops(spark, size):
-    """Small whole numbers make many ties; large ones need more than 64 bits on the way."""
+    """Small whole numbers make many ties."""
     rng = np.random.default_rng(int(size) % 97)
     rows = [(int(i) if i % 9 else None, [float(x) for x in rng.integers(-3, 4, 5) * size / (1 if size < 1e6 else 1e5)]) for i in range(300)]
     rows += [(7, rows[8][1])] * 3 + [(400, None), (401, []), (402, [1.0] * 4), (403, [1.0] * 6), (404, [1.0, None, 1.0, 1.0, 1.0]), (405, [float("nan")] * 5), (406, [float("inf")] * 5)]
@@ -195,6 +195,15 @@ def test_clusters_as_by_loops(spark, size):
     assert sorted((tuple(r) for r in found), key=str) == clusters_by_loops(rows, 6, 3, 5)
 
 
+def test_numbers_beyond_a_long_on_the_way():
+    rng = np.random.default_rng(6)
+    x, c = rng.integers(-(2**50), 2**50, (200, 4)), rng.integers(-(2**50), 2**50, (5, 4))
+    at, best, upper, lower, _ = clusters.assign(x, c, None, np.zeros(200), np.zeros((200, 5)), np.zeros(5), True)
+    nearest = [min((sum((int(p) - int(q)) ** 2 for p, q in zip(v, w, strict=True)), j) for j, w in enumerate(c)) for v in x]
+    assert list(zip(best.tolist(), at.tolist(), strict=True)) == nearest
+    assert all(u * u >= d for u, (d, _) in zip(upper.tolist(), nearest, strict=True))
+
+
 def test_bounds_save_distances_and_change_nothing(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(0, 20, (8, 16))
