@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +31,10 @@ from tessera.llm.common import binary_array, binary_parts, chunks, long_array, r
 GRAM, PIECE, JOINED = 200, 1 << 20, 32 << 20
 #: Different stretches under one anchor that are still gathered; suffixes and bytes that a task orders at once.
 HOT, ORDERED, ORDERED_BYTES = 256, 100_000, 4 << 20
-PLACE, LONGEST = 24, 1 << 16
+#: Places in a packet; the longest `length`.
+PACKET, LONGEST = 1024, 1 << 16
 NO_ID = -(2**63)
-STRETCH = "gram long, digest long, id long, sum long, first long, n long, more binary"
+STRETCH = "gram long, digest long, id long, sum long, first long, n long, copies long, more binary"
 SETTLED = "gram long, id long, sum long, first long, n long, hot boolean"
 BODY = "gram long, other long, id long, sum long, first long, n long, body binary"
 MARK = "id long, sum long, first long, n long"
@@ -119,19 +121,25 @@ def _longs(*columns: np.ndarray) -> list[pa.Array]:
     return [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns]
 
 
-def _ship(length: int):
-    """Stretches; equal ones of a task are one row, with the other places in `more`."""
+def _ship(length: int, first_stays: bool):
+    """Stretches; of equal ones in a task the first, and packets of the others' places, which are marks already and only pass through."""
+    names = [x.split()[0] for x in STRETCH.split(", ")]
 
-    def joined(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    def joined(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         gram, digest, ids, sums, first, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((first, sums, ids, digest, gram))
         gram, digest, ids, sums, first, n = (x[order] for x in (gram, digest, ids, sums, first, n))
         lead = _new(gram, digest)
         at = np.flatnonzero(lead)
-        places = np.stack([ids, sums, first], axis=1)[~lead]
-        counts = np.diff(np.append(at, len(gram))) - 1
-        packed = binary_array(places.view(np.uint8).ravel(), PLACE * np.append(0, np.cumsum(counts)))
-        return pa.RecordBatch.from_arrays([*_longs(*(x[at] for x in (gram, digest, ids, sums, first, n))), packed], names=[x.split()[0] for x in STRETCH.split(", ")])
+        copies = np.diff(np.append(at, len(gram)))
+        yield pa.RecordBatch.from_arrays([*_longs(*(x[at] for x in (gram, digest, ids, sums, first, n)), copies), pa.nulls(len(at), pa.binary())], names=names)
+        again = ~lead & _new(gram, digest, ids, sums, first) if first_stays else ~lead  # one place twice is no copy of itself
+        rest = np.stack([x[again] for x in (ids, sums, first, n)], axis=1)
+        upto = np.append(np.arange(0, len(rest), PACKET), len(rest))
+        if len(rest):
+            key = gram[again][upto[:-1]] ^ words.mix(rest[upto[:-1], 0].view(np.uint64))  # packets go anywhere
+            none = np.zeros(len(key), np.int64)
+            yield pa.RecordBatch.from_arrays([*_longs(key, *[none] * 6), binary_array(rest.view(np.uint8).ravel(), upto * rest.itemsize * 4)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -145,10 +153,10 @@ def _ship(length: int):
                         parts.append((gram, digest, ids[doc], sums[doc], first - offsets[doc] + base, n))
                     held += len(data)
                     if held >= JOINED and parts:
-                        yield joined(parts)
+                        yield from joined(parts)
                         parts, held = [], 0
         if parts:
-            yield joined(parts)
+            yield from joined(parts)
 
     return lambda batches: released(run(batches))
 
@@ -156,47 +164,48 @@ def _ship(length: int):
 def _settle(first_stays: bool, hot: int):
     """Of stretches sorted by anchor and text: marks of those that occur again (without gram), and one of each text whose anchor has other texts."""
 
-    def settled(rows: list[np.ndarray], more: pa.Array) -> Iterator[pa.RecordBatch]:
-        gram, digest, ids, sums, first, n = rows
-        data, offsets = binary_parts(more)
-        extra = np.diff(offsets) // PLACE
-        lead = _new(gram, digest)
-        text = np.cumsum(lead) - 1  # the number of each row's text
-        copies = np.bincount(text, 1 + extra).astype(np.int64)
-        places = data.view(np.int64).reshape(-1, 3)
-        owner = np.append(text, np.repeat(text, extra))
-        ids, sums, first = (np.append(own, places[:, i]) for i, own in enumerate((ids, sums, first)))
+    names = [x.split()[0] for x in SETTLED.split(", ")]
+
+    def settled(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        gram, digest, ids, sums, first, n, count = (table[i].to_numpy() for i in range(7))
+        owner = np.cumsum(_new(gram, digest)) - 1  # the number of each row's text
         order = np.lexsort((first, sums, ids, owner))
-        owner, ids, sums, first = owner[order], ids[order], sums[order], first[order]
+        gram, owner, ids, sums, first, n, count = (x[order] for x in (gram, owner, ids, sums, first, n, count))
         begin = _new(owner)
-        of_text, gram_of = n[lead], gram[lead]
+        lead = np.flatnonzero(begin)
         place = np.cumsum(_new(owner, ids, sums, first))  # rows of one place count as one
-        least = place == np.repeat(place[begin], copies)
-        mark = (copies[owner] > 1) & ~(least & first_stays)
-        start = np.flatnonzero(_new(gram_of))
-        variants = np.repeat(np.diff(np.append(start, len(gram_of))), np.diff(np.append(start, len(gram_of))))
-        item = begin & (variants[owner] > 1)
+        least = place == np.repeat(place[lead], np.diff(np.append(lead, len(owner))))
+        mark = ~least if first_stays else np.add.reduceat(count, lead)[owner] > 1
+        start = np.flatnonzero(_new(gram[lead]))
+        variants = np.diff(np.append(start, len(lead)))
+        variants = np.repeat(variants, variants)[owner]
+        item = begin & (variants > 1)
         for take, named in ((mark, False), (item, True)):
-            if take.any():
-                own = owner[take]
-                columns = [pa.array(gram_of[own]) if named else pa.nulls(len(own), pa.int64()), *_longs(ids[take], sums[take], first[take], of_text[own]), pa.array(variants[own] > hot) if named else pa.nulls(len(own), pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SETTLED.split(", ")])
+            if k := int(take.sum()):
+                key, common = (pa.array(gram[take]), pa.array(variants[take] > hot)) if named else (pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([key, *_longs(ids[take], sums[take], first[take], n[take]), common], names=names)
+
+    def passed(more: pa.Array) -> Iterator[pa.RecordBatch]:
+        rows = binary_parts(more)[0].view(np.int64).reshape(-1, 4)
+        if len(rows):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), *_longs(*rows.T), pa.nulls(len(rows), pa.bool_())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
+            packet = batch.column(7).is_valid()
+            yield from passed(batch.column(7).filter(packet))
+            batch = batch.filter(pc.invert(packet))
             if not batch.num_rows:
                 continue
             gram = batch.column(0).to_numpy()
             cut = int(np.searchsorted(gram, gram[-1]))  # the last anchor may go on
             if cut or held and held[-1].column(0)[-1].as_py() != gram[0]:
-                done = pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
-                yield from settled([done[i].to_numpy() for i in range(6)], done[6].combine_chunks())
+                yield from settled(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks())
                 held = []
             held.append(batch.slice(cut))
         if held:
-            done = pa.Table.from_batches(held).combine_chunks()
-            yield from settled([done[i].to_numpy() for i in range(6)], done[6].combine_chunks())
+            yield from settled(pa.Table.from_batches(held).combine_chunks())
 
     return lambda batches: released(run(batches))
 
@@ -346,7 +355,7 @@ def _marks(texts: DataFrame, length: int, first_stays: bool, hot: int) -> DataFr
     spark, folder = texts.sparkSession, work_folder(texts.sparkSession, "factors")
     if not 1 <= length <= LONGEST:
         raise ValueError(f"length must be 1 to {LONGEST}")
-    met = texts.select("id", "sum", "raw").mapInArrow(_ship(length), STRETCH).repartition("gram").sortWithinPartitions("gram", "digest")
+    met = texts.select("id", "sum", "raw").mapInArrow(_ship(length, first_stays), STRETCH).repartition("gram").sortWithinPartitions("gram", "digest")
     settled = written(met.mapInArrow(_settle(first_stays, hot), SETTLED), f"{folder}/settled")
     items = settled.where("gram IS NOT NULL").groupBy("id", "sum").agg(F.collect_list(F.struct("gram", "first", "n", "hot")).alias("items"))  # stretches of one text
     items = written(items, f"{folder}/items")
