@@ -6,16 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.folders import work_folder, written
 from tessera.functions import hashing, rust, text
+from tessera.operators import graph
 
 PERMUTATIONS = 128
 #: Bands and rows a band for a similarity of 0.7 with 128 permutations, false positives and negatives weighing the same.
 BANDS, ROWS = 14, 9
 PRIME = 2**31 - 1
+#: Rows of a component that one task settles in order, and rounds in which larger ones must be settled.
+GIANT, MOST_ROUNDS = 1_000_000, 100_000
 
 
 def split(files: DataFrame, fraction: float = 0.15, rate: float = 0.5) -> DataFrame:
@@ -88,12 +92,50 @@ def _bands(stride: int):
     return run
 
 
-def near_duplicate_marks(files: DataFrame, stride: int = 5) -> DataFrame:
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that go, of components that come one after another, each by ord: a row goes if a kept one has one of its bands."""
+    component, at, own, taken, gone = None, None, [], set(), []
+
+    def settle() -> None:
+        if own and taken.isdisjoint(own):
+            taken.update(own)
+        elif own:
+            gone.append(at)
+        own.clear()
+
+    for batch in batches:
+        for c, o, band, value in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if o != at or c != component:
+                settle()
+            if c != component:
+                taken.clear()
+            component, at = c, o
+            own.append((band, value))
+        yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], names=["ord"])
+        gone.clear()
+    settle()
+    yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], names=["ord"])
+
+
+def _by_rounds(live: DataFrame, folder: str) -> DataFrame:
+    """ord of the rows that go: in each round a row that is the smallest undecided one of all its bands is kept, and the others of its bands go."""
+    for i in range(MOST_ROUNDS):
+        if live.isEmpty():
+            return live.sparkSession.read.schema("ord long").option("recursiveFileLookup", True).parquet(f"{folder}/dropped") if i else live.select("ord")
+        heads = written(live.groupBy("band", "value").agg(F.min("ord").alias("head")), f"{folder}/heads-{i}")
+        marked = written(live.join(heads, ["band", "value"]), f"{folder}/marked-{i}")
+        kept = marked.groupBy("ord").agg(F.bool_and(F.col("ord") == F.col("head")).alias("keep")).where("keep").select(F.col("ord").alias("head"))
+        dropped = written(marked.where("ord <> head").join(kept, "head", "left_semi").select("ord").distinct(), f"{folder}/dropped/{i}")
+        live = written(live.join(dropped.unionByName(kept.select(F.col("head").alias("ord"))), "ord", "left_anti"), f"{folder}/live-{i}")
+    raise RuntimeError(f"rows are undecided after {MOST_ROUNDS} rounds")
+
+
+def near_duplicate_marks(files: DataFrame, stride: int = 5, giant: int = GIANT) -> DataFrame:
     """ord and keep of each row of files (ord, content): in order, a row goes if it shares a MinHash band with an earlier row that is kept.
 
-    Equal contents are settled first. The rest is the first maximal independent set in order of ord, found by rounds over the members of bands,
-    never over their pairs: a row that is the smallest undecided one of all its bands is kept, and the others of its bands go. Each round is
-    a written table; a chain of rows, each near the next, takes a round for two links.
+    Equal contents are settled first. Rows tied by bands form components (a row and the smallest one of its band are an edge, never all pairs); what happens in one doesn't
+    depend on another, so a task settles a component in order, with the bands of the kept rows in memory. Components of more than `giant` rows are settled by
+    rounds over the members of bands, which give the same: the first maximal independent set in order of ord. Rounds that don't end are an error.
     """
     folder = work_folder(files.sparkSession, "greedy")
     own = files.select("ord", F.coalesce("content", F.lit("")).alias("content"))
@@ -101,20 +143,17 @@ def near_duplicate_marks(files: DataFrame, stride: int = 5) -> DataFrame:
     firsts = written(twins.groupBy("digest").agg(F.min("ord").alias("ord")).select("ord"), f"{folder}/firsts")
     banded = own.join(firsts, "ord", "left_semi").mapInPandas(_bands(stride), "ord long, bands array<long>")
     banded = written(banded.select("ord", F.posexplode("bands").alias("band", "value")), f"{folder}/bands")
-    several = banded.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value")
-    live = written(banded.join(several, ["band", "value"], "left_semi"), f"{folder}/live")
-    gone = None
-    for i in range(100_000):
-        if live.isEmpty():
-            break
-        heads = live.groupBy("band", "value").agg(F.min("ord").alias("head"))
-        marked = written(live.join(heads, ["band", "value"]), f"{folder}/marked-{i}")
-        kept = marked.groupBy("ord").agg(F.bool_and(F.col("ord") == F.col("head")).alias("keep")).where("keep").select(F.col("ord").alias("head"))
-        followers = marked.where("ord <> head").join(kept, "head", "left_semi").select("ord").distinct()
-        dropped = written(followers, f"{folder}/dropped-{i}")
-        gone = dropped if gone is None else gone.unionByName(dropped)
-        live = written(live.join(dropped.unionByName(kept.select(F.col("head").alias("ord"))), "ord", "left_anti"), f"{folder}/live-{i}")
-    state = firsts.withColumn("keep", F.lit(True)) if gone is None else firsts.join(gone.withColumn("gone", F.lit(True)), "ord", "left").select("ord", F.col("gone").isNull().alias("keep"))
+    several = written(banded.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("ord").alias("head")).where("n > 1").drop("n"), f"{folder}/several")
+    live = written(banded.join(several, ["band", "value"]), f"{folder}/live")
+    tied = graph.components(live.select(F.col("ord").alias("a"), F.col("head").alias("b")).where("a <> b"))
+    sizes = tied.groupBy("component").agg(F.count("*").alias("n"))
+    placed = written(live.join(tied.join(sizes, "component"), F.col("ord") == F.col("node")).select("component", "ord", "band", "value", (F.col("n") > giant).alias("large")), f"{folder}/placed")
+    small = placed.where("NOT large").repartition("component").sortWithinPartitions("component", "ord").select("component", "ord", "band", "value")
+    gone = written(small.mapInArrow(_in_order, "ord long"), f"{folder}/gone")
+    large = placed.where("large").select("ord", "band", "value")
+    if not large.isEmpty():
+        gone = gone.union(_by_rounds(large, folder))
+    state = firsts.join(gone.withColumn("gone", F.lit(True)), "ord", "left").select("ord", F.col("gone").isNull().alias("keep"))
     return twins.join(state, "ord", "left").select("ord", F.coalesce("keep", F.lit(False)).alias("keep"))
 
 

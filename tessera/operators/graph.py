@@ -1,17 +1,97 @@
-"""Dependency order of a graph of packages."""
+"""Graphs as tables of edges: components, dependency order, what can be reached."""
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.folders import work_folder, written
+from tessera.operators.scan import ranked
 
+#: Edges that one task joins into components at once.
+IN_ONE = 2_000_000
 
-def smallest_first(nodes: dict[str, set[str]]) -> list[str]:
-    """Nodes so that each follows its dependencies, the smallest name first among those ready; those in or behind a cycle end it, by name."""
+
+def smallest_members(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of edges, and the smallest node of each one's component."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while len(x):
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        for at in (x, y, label[x], label[y]):  # the ends, and what they point to
+            np.minimum.at(new, at, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return nodes, nodes[label]
+
+
+def _contracted(whole: bool):
+    """Edges as (node, smallest node that this task knows of), a stretch of edges at a time; whole tells that there is but one stretch, and lists smallest nodes too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            kind = table.schema.field(0).type
+            nodes, least = smallest_members(*(table[i].to_numpy() for i in range(2)))
+            far = slice(None) if whole else nodes != least
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(nodes[far], kind), pa.array(least[far], kind)], names=["a", "b"])
+
+        for batch in batches:
+            held.append(batch)
+            if not whole and sum(x.num_rows for x in held) >= IN_ONE:
+                yield out()
+        if sum(x.num_rows for x in held):
+            yield out()
+
+    return run
+
+
+def components(edges: DataFrame, in_one: int = IN_ONE) -> DataFrame:
+    """node, component (its smallest node) of all nodes of edges (a, b), in either direction.
+
+    Tasks contract what they hold; while more than in_one edges are left, rounds of stars (each node's larger neighbours, then its smaller ones, are tied to the smallest) halve the
+    distances, by partial minima; what is left then is joined in one task. Null ends are left out; a node tied to itself is a component.
+    """
+    folder = work_folder(edges.sparkSession, "components")
+    kind = dict(edges.dtypes)["a"]
+    pairs = f"a {kind}, b {kind}"
+    loops = edges.where("a = b").select("a").distinct()
+    now, before, i = edges.where("a <> b").select("a", "b"), None, 0
+    while True:
+        now = written(now.mapInArrow(_contracted(False), pairs).distinct(), f"{folder}/{i}")
+        size = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("hash")).first()
+        if size.n <= in_one:
+            found = now.coalesce(1).mapInArrow(_contracted(True), pairs)
+            break
+        if size == before:  # stars: each node is tied to the smallest of its component
+            found = now.union(now.select("b", "b").distinct())
+            break
+        before, i = size, i + 1
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), f"{folder}/{i}-large")
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = written(large, f"{folder}/{i}-star")
+        small = written(large.groupBy("a").agg(F.min("b").alias("m")), f"{folder}/{i}-small")
+        now = large.join(small, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b")
+    found = found.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    lone = loops.select(F.col("a").alias("node"), F.col("a").alias("component")).join(found, "node", "left_anti")
+    return written(found.union(lone), f"{folder}/found")
+
+
+def popped(nodes: dict[str, set[str]]) -> list[str]:
+    """Nodes so that each follows its dependencies, the smallest name first among those ready, without those in or behind a cycle."""
     waits = {n: {d for d in deps if d in nodes and d != n} for n, deps in nodes.items()}
     users: dict[str, list[str]] = {}
     for n, deps in waits.items():
@@ -25,35 +105,103 @@ def smallest_first(nodes: dict[str, set[str]]) -> list[str]:
             waits[user].discard(out[-1])
             if not waits[user]:
                 heapq.heappush(ready, user)
+    return out
+
+
+def smallest_first(nodes: dict[str, set[str]]) -> list[str]:
+    """popped, and then by name the nodes in or behind a cycle."""
+    out = popped(nodes)
     return out + sorted(set(nodes) - set(out))
 
 
+def _ordered(most: int):
+    """Each component's own order, with the largest name so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(group: dict[str, set[str]]) -> pa.RecordBatch:
+            order, high, rows = popped(group), "", []
+            for i, name in enumerate(order):
+                high = max(high, name)
+                rows.append((name, False, high, i))
+            rows += [(name, True, name, 0) for name in set(group) - set(order)]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.bool_(), pa.string(), pa.int64()), strict=True)], names=["name", "rest", "high", "i"])
+
+        component, group = None, {}
+        for batch in batches:
+            for c, name, dep in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if group and c != component:
+                    yield out(group)
+                    group = {}
+                component = c
+                group.setdefault(name, set())
+                if dep is not None:
+                    group[name].add(dep)
+                if len(group) > most:
+                    raise ValueError("a component has too many packages for one task: use topological_levels")
+        if group:
+            yield out(group)
+
+    return run
+
+
 def topological_ranks(packages: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """name, topo_rank of packages (name, deps: array of names).
+    """name, topo_rank of packages (name, deps: array of names): each after its dependencies, always the smallest name of those that could be next; packages in or behind a cycle end the order, by name.
 
-    The order is defined one pop at a time, so one machine finds it; a graph of packages is small. More than `most` packages are an error.
+    That order is defined one pop at a time, but only within a component of the graph: a component's next package comes as soon as it is the smallest of all that could come, so a package
+    comes right after the largest name before it in its own component. Tasks order the components, of `most` packages at most, and a sort by that name puts them together.
+    Names that are no package, and a package's dependency on itself, don't count. Repeated names are one package with all their dependencies.
     """
-    rows = packages.select("name", "deps").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError("too many packages for one machine: use topological_levels")
-    order = smallest_first({r["name"]: set(r["deps"] or ()) for r in rows})
-    return packages.sparkSession.createDataFrame(list(enumerate(order)), "topo_rank long, name string").select("name", "topo_rank")
+    own = packages.where("name IS NOT NULL").select(F.col("name").cast("string").alias("name"), "deps")
+    names = own.select("name").distinct()
+    edges = own.select(F.col("name").alias("a"), F.explode("deps").alias("b")).where("a <> b").join(names.withColumnRenamed("name", "b"), "b", "left_semi").select("a", "b").distinct()
+    edges = written(edges, f"{work_folder(packages.sparkSession, 'order')}/edges")
+    tied = components(edges)
+    rows = names.join(edges, F.col("name") == F.col("a"), "left").join(tied, F.col("name") == F.col("node"), "left").select(F.coalesce("component", "name").alias("c"), "name", F.col("b").alias("dep"))
+    ordered = rows.repartition("c").sortWithinPartitions("c", "name").mapInArrow(_ordered(most), "name string, rest boolean, high string, i long")
+    return ranked(ordered, "rest", "high", "i").select("name", F.col("rank_").alias("topo_rank"))
 
 
 def topological_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """name, topo_level: the longest way to a node without dependencies. edges (name, dep); level by level, for graphs of any size without
-    cycles. This is another order than topological_ranks: names of a level are not interleaved with later ones."""
-    folder = work_folder(nodes.sparkSession, "levels")
-    frontier, depth, met = nodes.select("name", F.lit(0).alias("topo_level")), 0, []
+    """name, topo_level of nodes (name) by edges (name, dep): the longest way to a node without dependencies, null in or behind a cycle.
+
+    Nodes are peeled off by counts of the dependencies that are still open: a round joins the edges with the nodes of one level and lowers the counts of those that use them, so
+    it ends with the deepest level, cycles or not. Edges of other nodes, repeated ones and those of a node to itself don't count. This is
+    another order than topological_ranks: names of a level are not interleaved with later ones.
+    """
+    spark, folder = nodes.sparkSession, work_folder(nodes.sparkSession, "levels")
+    names = nodes.select("name").where("name IS NOT NULL").distinct()
+    known = edges.where("name <> dep").select("name", "dep").distinct().join(names, "name", "left_semi").join(names.withColumnRenamed("name", "dep"), "dep", "left_semi")
+    known = written(known.select("name", "dep"), f"{folder}/edges")
+    open_ = names.join(known.groupBy("name").agg(F.count("*").alias("n")), "name", "left").na.fill(0, ["n"])
+    depth, kind = 0, nodes.schema["name"].dataType.simpleString()
     while True:
-        step = edges.join(frontier.select(F.col("name").alias("dep")), "dep").select("name").distinct()
-        met.append(written(frontier, f"{folder}/{depth}"))
-        frontier, depth = step.withColumn("topo_level", F.lit(depth + 1)), depth + 1
-        if step.isEmpty():
+        state = written(open_, f"{folder}/state-{depth}")
+        ready = written(state.where("n = 0").select("name"), f"{folder}/levels/topo_level={depth}")
+        if ready.isEmpty():
             break
-        if depth > 10_000:
-            raise ValueError("the graph has a cycle")
-    found = met[0]
-    for level in met[1:]:
-        found = found.unionByName(level)
-    return found.groupBy("name").agg(F.max("topo_level").alias("topo_level"))
+        met = known.join(ready.withColumnRenamed("name", "dep"), "dep").groupBy("name").agg(F.count("*").alias("met"))
+        open_ = state.where("n > 0").join(met, "name", "left").select("name", (F.col("n") - F.coalesce("met", F.lit(0))).alias("n"))
+        depth += 1
+    levels = spark.read.schema(f"name {kind}, topo_level int").option("basePath", f"{folder}/levels").parquet(f"{folder}/levels")
+    return levels.union(state.where("n > 0").select("name", F.lit(None).cast("int")))
+
+
+def topological_order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """name, topo_level, topo_rank: by level and then by name; nodes in or behind a cycle have no level and end the order, by name."""
+    placed = ranked(topological_levels(edges, nodes).withColumn("last_", F.col("topo_level").isNull()), "last_", "topo_level", "name")
+    return placed.select("name", "topo_level", F.col("rank_").alias("topo_rank"))
+
+
+def reachable(edges: DataFrame, most: int = 100) -> DataFrame:
+    """name, dep, distance of all nodes that can be reached from each other one along edges (name, dep), by a recursive query of `most` steps at most.
+
+    A way doesn't come to a node twice, so cycles end; a node in a cycle reaches itself. More steps are an error of the query (RECURSION_LEVEL_LIMIT_EXCEEDED). For graphs of packages:
+    all ways are followed.
+    """
+    query = f"""
+        WITH RECURSIVE way(name, dep, path) MAX RECURSION LEVEL {most} AS (
+          SELECT name, dep, array(dep) FROM {{edges}}
+          UNION ALL
+          SELECT way.name, e.dep, array_append(path, e.dep) FROM way JOIN {{edges}} e ON way.dep = e.name WHERE NOT array_contains(path, e.dep)
+        ) SELECT name, dep, min(size(path)) AS distance FROM way GROUP BY name, dep"""
+    return edges.sparkSession.sql(query, edges=edges.select("name", "dep").where("name IS NOT NULL AND dep IS NOT NULL").distinct())

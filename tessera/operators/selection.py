@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.folders import work_folder, written
 from tessera.operators.corpus import first_by
+from tessera.operators.scan import ranked, since_last
 
 WINDOW, BAND, CAP = 10, (0.2, 0.8), 0.3
 
@@ -30,10 +30,10 @@ def classify(rate: Column, band: tuple[float, float] = BAND, unseen: float = 0.0
 
 
 def capped_batch(tasks: DataFrame, n: int, fraction: float = CAP) -> DataFrame:
-    """Of tasks (task_id, ord, is_capped): int(n * fraction) capped ones at most, and the rest of n from the others, by ord; no refill."""
+    """Of tasks (task_id, ord, is_capped): int(n * fraction) capped ones at most, and the rest of n from the others, by ord; no refill. Tasks keep
+    the first n of what they hold, so that what is put together is a batch a task."""
     cap = int(n * fraction)
-    ranked = tasks.withColumn("r_", F.row_number().over(Window.partitionBy("is_capped").orderBy("ord")))
-    return ranked.where(F.col("r_") <= F.when(F.col("is_capped"), cap).otherwise(n - cap)).drop("r_")
+    return tasks.where("is_capped").orderBy("ord").limit(cap).union(tasks.where("NOT is_capped").orderBy("ord").limit(n - cap))
 
 
 def harvest(rollouts: DataFrame, held: DataFrame, least: float = 1.0) -> DataFrame:
@@ -45,15 +45,22 @@ def harvest(rollouts: DataFrame, held: DataFrame, least: float = 1.0) -> DataFra
     return first_by(clean, ["task_id", "fingerprint"], ["ord"])
 
 
+def best_of(rows: DataFrame, k: int, order: list[Column]) -> DataFrame:
+    """The first k rows in order, by bounded heaps: each task keeps the k best of its rows, and the heaps are merged once."""
+    return rows.orderBy(*order).limit(k)
+
+
 def keepers(registry: DataFrame, k: int = 5) -> DataFrame:
-    """Cycles to keep of registry (cycle, ord, solve_rate): the best, the newest, and the k best; earlier ones win ties."""
-    by_rate = F.row_number().over(Window.orderBy(F.col("solve_rate").desc(), "ord"))
-    by_age = F.row_number().over(Window.orderBy(F.col("ord").desc()))
-    return registry.withColumn("a_", by_rate).withColumn("b_", by_age).where((F.col("a_") <= max(k, 1)) | (F.col("b_") == 1)).select("cycle").distinct()
+    """Cycles to keep of registry (cycle, ord, solve_rate): the best, the newest, and the k best; earlier ones win ties. Only heaps of k rows leave
+    the tasks; the table is never sorted."""
+    own = registry.select("cycle", "ord", "solve_rate")
+    best = best_of(own, max(k, 1), [F.col("solve_rate").desc(), F.col("ord")])
+    return best.union(best_of(own, 1, [F.col("ord").desc()])).select("cycle").distinct()
 
 
 def prunable(registry: DataFrame, k: int = 5) -> DataFrame:
-    return registry.join(keepers(registry, k), "cycle", "left_anti")
+    """Rows of registry whose cycle is not kept; the keepers are k + 1 rows at most."""
+    return registry.join(F.broadcast(keepers(registry, k)), "cycle", "left_anti")
 
 
 def champion(registry: DataFrame) -> DataFrame:
@@ -80,24 +87,14 @@ def crown(registry: DataFrame, floor: float) -> DataFrame:
     return best.unionByName(best_scored(registry.withColumn("second", F.lit(float("inf"))), 0.0).drop("second").join(registry.select("cycle", "second"), "cycle").select(*registry.columns).join(best.select(F.lit(1).alias("one")).limit(1), F.lit(True), "left_anti"))
 
 
-def plateau(ledger: DataFrame, patience: int = 5) -> DataFrame:
-    """ledger (cycle, promoted) with the number of cycles since the last promotion, and whether that is a plateau."""
-    island = F.sum(F.col("promoted").cast("int")).over(Window.orderBy("cycle"))
-    since = F.sum((~F.col("promoted")).cast("int")).over(Window.partitionBy("island").orderBy("cycle"))
-    return ledger.withColumn("island", island).withColumn("since", since).drop("island").withColumn("stop", F.col("since") >= patience)
-
-
-def ranked(rows: DataFrame, order: str) -> DataFrame:
-    """rows with rank_, from 0, in order: parts of a range each count their own, and start where the ones before end."""
-    folder = work_folder(rows.sparkSession, "ranked")
-    sorted_ = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("i_", F.monotonically_increasing_id())
-    parts = written(sorted_, f"{folder}/parts").withColumn("p_", F.shiftright("i_", 33)).withColumn("i_", F.col("i_").bitwiseAND(F.lit((1 << 33) - 1)))
-    before, at = [], 0
-    for r in parts.groupBy("p_").count().orderBy("p_").collect():  # a row for each part
-        before.append((r["p_"], at))
-        at += r["count"]
-    starts = rows.sparkSession.createDataFrame(before, "p_ long, before_ long")
-    return parts.join(F.broadcast(starts), "p_").withColumn("rank_", F.col("before_") + F.col("i_")).drop("p_", "i_", "before_")
+def plateau(ledger: DataFrame, patience: int = 5, run: str | None = None) -> DataFrame:
+    """ledger (cycle, promoted) with the number of cycles since the last promotion, and whether that is a plateau; each run for itself, if named."""
+    return since_last(ledger, F.col("promoted"), "cycle", run).drop("so_far").withColumn("stop", F.col("since") >= patience)
+
+
+def promotions(ledger: DataFrame, run: str | None = None) -> DataFrame:
+    """ledger (cycle, promoted) with the number of promotions up to each cycle."""
+    return since_last(ledger, F.col("promoted"), "cycle", run).drop("since").withColumnRenamed("so_far", "promotions")
 
 
 def systematic(rows: DataFrame, k: int, order: str) -> DataFrame:

@@ -237,3 +237,30 @@ def topo_ranks(spark, sf_dir):
     key = lambda c: (F.col(c) + 10_000_000).cast("string")
     own = table(spark, sf_dir, "part").withColumn("d", F.expr("p_partkey div 2"))
     return graph.topological_ranks(own.select(key("p_partkey").alias("name"), F.array(key("d")).alias("deps")))
+
+
+WAYS = "WITH RECURSIVE l(name, lvl) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey = 0 UNION ALL SELECT p_partkey, lvl + 1 FROM part JOIN l ON p_partkey // 2 = name AND p_partkey > 0 AND p_partkey <> 5)"
+
+
+@register("topo_cycle", f"{WAYS} SELECT p_partkey AS name, lvl::INT AS topo_level, row_number() OVER (ORDER BY lvl NULLS LAST, p_partkey) - 1 AS topo_rank FROM part LEFT JOIN l ON name = p_partkey")
+def topo_cycle(spark, sf_dir):
+    """Part 5 needs part 11, which needs part 5: these and all that need them come last."""
+    own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"))
+    needs = F.when(F.col("name") == 5, F.array(F.expr("name div 2"), F.lit(11).cast("long"))).otherwise(F.array(F.expr("name div 2")))
+    return graph.topological_order(own.select("name", F.explode(needs).alias("dep")), own)
+
+
+@register("topo_ranks_cycle", "WITH RECURSIVE b(name) AS (SELECT 5::BIGINT UNION SELECT p_partkey FROM part JOIN b ON p_partkey // 2 = name WHERE p_partkey > 0) SELECT (p_partkey + 10000000)::VARCHAR AS name, row_number() OVER (ORDER BY name IS NOT NULL, p_partkey) - 1 AS topo_rank FROM part LEFT JOIN b ON name = p_partkey")
+def topo_ranks_cycle(spark, sf_dir):
+    """The same graph in the order that always takes the smallest name."""
+    key = lambda c: (c + 10_000_000).cast("string")
+    half, p = F.expr("p_partkey div 2"), F.col("p_partkey")
+    needs = F.when(p == 5, F.array(key(half), key(F.lit(11)))).otherwise(F.array(key(half)))
+    return graph.topological_ranks(table(spark, sf_dir, "part").select(key(p).alias("name"), needs.alias("deps")))
+
+
+@register("package_closure", "WITH RECURSIVE r(name, dep, distance) AS (SELECT p_partkey, p_partkey // 2, 1 FROM part WHERE p_partkey > 0 UNION ALL SELECT name, dep // 2, distance + 1 FROM r WHERE dep > 0) SELECT name, dep, distance::INTEGER AS distance FROM r")
+def package_closure(spark, sf_dir):
+    """All parts that a part needs, however far."""
+    own = table(spark, sf_dir, "part").where("p_partkey > 0")
+    return graph.reachable(own.select(F.col("p_partkey").alias("name"), F.expr("p_partkey div 2").alias("dep")))

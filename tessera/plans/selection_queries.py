@@ -82,6 +82,23 @@ def plateau(spark, sf_dir):
     return selection.plateau(registry(spark, sf_dir).select("cycle", "promoted"), 3)
 
 
+RUNS = "i AS (SELECT user_id AS run, event_id AS cycle, event_type = 'purchase' AS promoted, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS promotions FROM events)"
+
+
+def ledger(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("cycle"), (F.col("event_type") == "purchase").alias("promoted"))
+
+
+@register("plateau_by_run", f"WITH {RUNS}, s AS (SELECT run, cycle, promoted, sum((NOT promoted)::INT) OVER (PARTITION BY run, promotions ORDER BY cycle)::BIGINT AS since FROM i) SELECT *, since >= 5 AS stop FROM s")
+def plateau_by_run(spark, sf_dir):
+    return selection.plateau(ledger(spark, sf_dir), 5, "run")
+
+
+@register("running_promotions", f"WITH {RUNS} SELECT run, cycle, promoted, promotions FROM i")
+def running_promotions(spark, sf_dir):
+    return selection.promotions(ledger(spark, sf_dir), "run")
+
+
 @register("systematic_sample", "WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i, greatest(1, count(*) OVER () // 10) AS step FROM customer) SELECT c_custkey FROM r WHERE i % step = 0 AND i < step * 10")
 def systematic_sample(spark, sf_dir):
     return selection.systematic(table(spark, sf_dir, "customer").select("c_custkey"), 10, "c_custkey")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import chat, corpus, evaluation, graph, selection, tasks
+from tessera.operators import chat, corpus, evaluation, graph, scan, selection, tasks
 
 
 def greedy(rows):
@@ -27,6 +27,109 @@ def test_topological_order(spark):
     assert [r.name for r in graph.topological_ranks(frame).orderBy("topo_rank").collect()] == ["a", "b", "c"]
 
 
+def packages(seed):
+    rng = random.Random(seed)
+    names = [f"n{i}" for i in rng.sample(range(200), rng.randint(1, 50))]
+    deps = {n: {d for d in rng.sample(names, min(len(names), rng.choice([0, 1, 1, 2]))) if n >= d or rng.random() < 0.1} for n in names}
+    return deps
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_orders_of_graphs_with_cycles(spark, seed):
+    deps = packages(seed)
+    frame = spark.createDataFrame([(n, [*sorted(d), "zz"]) for n, d in deps.items()], "name string, deps array<string>").repartition(3)
+    assert [r.name for r in graph.topological_ranks(frame).orderBy("topo_rank").collect()] == graph.smallest_first(deps)
+    levels: dict = {}
+    for n in graph.popped(deps):
+        levels[n] = max([levels[d] + 1 for d in deps[n] if d != n], default=0)
+    edges, nodes = frame.select("name", F.explode("deps").alias("dep")), frame.select("name")
+    assert {r.name: r.topo_level for r in graph.topological_levels(edges, nodes).collect()} == {n: levels.get(n) for n in deps}
+    order = [r.name for r in graph.topological_order(edges, nodes).orderBy("topo_rank").collect()]
+    assert order == sorted(levels, key=lambda n: (levels[n], n)) + sorted(set(deps) - set(levels))
+
+
+def test_orders_of_nothing_and_of_a_component_that_is_too_large(spark):
+    none = spark.createDataFrame([], "name string, deps array<string>")
+    assert graph.topological_ranks(none).collect() == [] == graph.topological_levels(none.selectExpr("name", "name AS dep"), none.select("name")).collect()
+    chain = spark.createDataFrame([(f"n{i:03}", [f"n{i - 1:03}"]) for i in range(30)], "name string, deps array<string>")
+    with pytest.raises(Exception, match="topological_levels"):
+        graph.topological_ranks(chain, most=20).collect()
+
+
+@pytest.mark.parametrize("in_one", [graph.IN_ONE, 0])
+def test_components(spark, in_one):
+    rng = random.Random(4)
+    edges = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(40)] + [(200 + i, 201 + i) for i in range(20)] + [(300, 300), (7, 7)]
+    root: dict = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    found = graph.components(spark.createDataFrame(edges, "a long, b long").repartition(4), in_one=in_one)
+    assert {r.node: r.component for r in found.collect()} == {x: top(x) for x in root} and found.count() == len(root)
+    assert graph.components(spark.createDataFrame([], "a long, b long"), in_one=in_one).collect() == []
+
+
+def test_reachable_packages(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("d", "c"), (None, "a")], "name string, dep string")
+    found = {(r.name, r.dep): r.distance for r in graph.reachable(edges).collect()}
+    ring = {(x, y): (j - i - 1) % 3 + 1 for i, x in enumerate("abc") for j, y in enumerate("abc")}
+    assert found == {**ring, ("d", "a"): 1, ("d", "b"): 2, ("d", "c"): 1}
+    chain = spark.createDataFrame([(i, i + 1) for i in range(10)], "name long, dep long")
+    assert graph.reachable(chain).count() == 55
+    with pytest.raises(Exception, match="RECURSION_LEVEL_LIMIT"):
+        graph.reachable(chain, most=4).collect()
+
+
+@pytest.mark.parametrize("run", [None, "run"])
+def test_values_since_the_last_event(spark, run):
+    rng = random.Random(6)
+    rows = [(i, rng.choice([False] * 9 + [True, None]), rng.choice([0, 0, 0, 1, 2])) for i in range(400)]
+    state: dict = {}
+    expected = {}
+    for cycle, promoted, own in rows:
+        so_far, since = state.get(own if run else 0, (0, 0))
+        state[own if run else 0] = expected[cycle] = (so_far + bool(promoted), 0 if promoted else since + 1)
+    frame = spark.createDataFrame(rows, "cycle long, promoted boolean, run long").repartition(7)
+    found = scan.since_last(frame, F.col("promoted"), "cycle", run)
+    assert {r.cycle: (r.so_far, r.since) for r in found.collect()} == expected and found.columns == ["cycle", "promoted", "run", "so_far", "since"]
+    assert scan.since_last(frame.limit(0), F.col("promoted"), "cycle", run).collect() == []
+
+
+def test_no_task_sorts_or_numbers_a_whole_table(spark):
+    frame = spark.createDataFrame([(i, i, i / 7, i % 3 == 0) for i in range(50)], "cycle long, ord long, solve_rate double, promoted boolean")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan(selection.keepers(frame, 5)) and "TakeOrderedAndProject" in plan(selection.keepers(frame, 5))
+    assert "SinglePartition" not in plan(selection.plateau(frame.select("cycle", "promoted"), 3))
+    assert "Window" not in plan(selection.capped_batch(frame.withColumn("is_capped", F.col("promoted")), 10))
+
+
+@pytest.mark.parametrize(("n", "giant"), [(5000, corpus.GIANT), (40, 3)])
+def test_long_chains_of_near_duplicates(spark, monkeypatch, n, giant):
+    """Each row shares a band with the next one, so every other row stays: in a few written tables, or by rounds if the component is too large."""
+    import pandas as pd
+
+    tables = []
+    for module in (corpus, graph):
+        monkeypatch.setattr(module, "written", lambda df, path, write=module.written: tables.append(path) or write(df, path))
+    monkeypatch.setattr(corpus, "_bands", lambda stride: lambda batches: (pd.DataFrame({"ord": b["ord"], "bands": [[o // 2, -1 - (o + 1) // 2] for o in b["ord"]]}) for b in batches))
+    found = corpus.near_duplicate_marks(spark.createDataFrame([(i, f"t{i}") for i in range(n)], "ord long, content string"), giant=giant)
+    assert sorted(r.ord for r in found.where("keep").collect()) == list(range(0, n, 2))
+    assert len(tables) < 10 or giant == 3
+
+
+def test_rounds_that_do_not_end_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "MOST_ROUNDS", 1)
+    live = spark.createDataFrame([(i, b, v) for i in range(9) for b, v in ((0, i // 2), (1, -1 - (i + 1) // 2))], "ord long, band int, value long")
+    with pytest.raises(RuntimeError, match="undecided"):
+        corpus._by_rounds(live, corpus.work_folder(spark, "greedy"))
+
+
 def test_near_duplicate_marks(spark):
     rng = random.Random(3)
     base = "".join(rng.choice("abcdefgh ") for _ in range(2000))
