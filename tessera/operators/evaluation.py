@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 from dataclasses import dataclass
 
 import pandas as pd
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions import stats
+from tessera.functions import matching, stats
 
 
 @dataclass(frozen=True)
@@ -43,13 +42,13 @@ def pattern_reward(tampered: Column, fmt: Column, clippy: Column, compiles: Colu
 
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Likeness of two texts by matching blocks of characters; 0 where there is no second one. It is quadratic in the length of texts that differ;
-    equal texts, and pairs that come again within a batch, cost nothing."""
+    """Likeness of two texts by matching blocks of code points (see functions.matching); 0 where there is no second one. Equal texts, and pairs that come
+    again within a batch, cost nothing."""
     known: dict[tuple[str, str], float] = {}
     out = []
     for pair in zip(a.fillna(""), b.fillna(""), strict=True):
         if pair not in known:
-            known[pair] = 0.0 if not pair[1] else 1.0 if pair[0] == pair[1] else difflib.SequenceMatcher(None, *pair).ratio()
+            known[pair] = 0.0 if not pair[1] else matching.ratio(*pair)
         out.append(known[pair])
     return pd.Series(out, dtype="float64")
 

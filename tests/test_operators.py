@@ -232,6 +232,45 @@ def test_promotion_and_curve(spark):
     assert sorted(map(tuple, evaluation.pending(wanted, curve).collect())) == [("a", "m", "other"), ("base", "n", "any")]
 
 
+def texts_to_compare(seed, n):
+    rng = random.Random(seed)
+    for _ in range(n):
+        letters = rng.choice(["ab", "abcd", "abcdefgh é中", "".join(map(chr, range(33, 160))), "".join(map(chr, range(33, 600)))])
+        size = rng.choice([0, 1, 5, 30, 100, 199, 200, 201, 300, 600])
+        some = lambda k: "".join(rng.choices(letters, k=rng.randint(0, k)))  # noqa: E731, B023
+        a = some(size)
+        b = a if rng.random() < 0.6 else some(size)
+        for _ in range(rng.randint(0, 9)):
+            at, to = sorted((rng.randint(0, len(b)), rng.randint(0, len(b))))
+            b = rng.choice([b[:at] + some(20) + b[at:], b[:at] + b[at + 9 :], b[to:] + b[at:to]])[:1000]
+        yield a, b
+
+
+def test_matching_blocks_as_in_the_standard_library(monkeypatch):
+    import difflib
+
+    from tessera.functions import matching
+
+    for small in (matching.SMALL, 0):
+        monkeypatch.setattr(matching, "SMALL", small)
+        for a, b in texts_to_compare(small + 1, 5000):
+            assert matching.ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio(), (a, b)
+
+
+def test_long_texts_are_matched_in_little_time():
+    import time
+
+    from tessera.functions import matching
+
+    rng = random.Random(9)
+    for letters in (range(33, 126), range(33, 2000)):
+        a = "".join(map(chr, rng.choices(letters, k=100_000)))
+        b = a[:30_000] + "new" + a[30_010:70_000] + a[80_000:] + a[70_000:80_000]
+        began = time.perf_counter()
+        assert 0.3 < matching.ratio(a, b) <= 1
+        assert time.perf_counter() - began < 5  # a fraction of a second on a free machine
+
+
 def test_similarity(spark):
     import difflib
 
