@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.folders import work_folder
 from tessera.operators.selection import WINDOW
+from tessera.streaming.state import settings
 
 
 def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -19,17 +20,18 @@ def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     Rows that came too late for a watermark would be missing, so any such row is an error.
     """
     spark, place = stream.sparkSession, work_folder(stream.sparkSession, "stream")
-    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "100000")
     started = stream.writeStream.option("checkpointLocation", f"{place}/log").trigger(availableNow=True)
     if mode == "append":
-        query = started.format("parquet").option("path", f"{place}/out").start()
+        writer = started.format("parquet").option("path", f"{place}/out")
     else:
 
         def keep(batch: DataFrame, i: int) -> None:
             batch.withColumn("batch_", F.lit(i).cast("long")).write.mode("overwrite").parquet(f"{place}/out/part={i}")
 
-        query = started.outputMode(mode).foreachBatch(keep).start()
-    query.awaitTermination()
+        writer = started.outputMode(mode).foreachBatch(keep)
+    with settings(spark, {"spark.sql.streaming.numRecentProgressUpdates": "100000"}):
+        query = writer.start()
+        query.awaitTermination()
     late = sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
     if late:
         raise ValueError(f"{late} rows came later than the watermark allows")
@@ -37,7 +39,7 @@ def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def topped_up(stream: DataFrame, key: str, target: int) -> DataFrame:
-    """Rows of a stream, one for each key, until there are target of them; within a batch by key. A batch that runs again replaces its own rows."""
+    """Rows of a stream, one for each key, until there are target of them: batch by batch as they come, within a batch by key. A batch that runs again replaces its own rows."""
     spark, place = stream.sparkSession, work_folder(stream.sparkSession, "topped")
 
     def take(batch: DataFrame, i: int) -> None:

@@ -1,15 +1,15 @@
 """Readers, writers and streams on small files."""
 
 import json
+from datetime import datetime, timedelta, timezone
 
 import pytest
-
 from pyspark.sql import functions as F
 
 from tessera import folders
 from tessera.operators import selection
 from tessera.sources import files, sinks
-from tessera.streaming import streams
+from tessera.streaming import state, streams
 
 
 def test_json_lines(spark, tmp_path):
@@ -145,3 +145,64 @@ def test_work_folders(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
     with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
         folders.work_folder(spark, "test")
+
+
+def at(hours: float) -> datetime:
+    return datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(hours=hours)
+
+
+def in_batches(spark, place, schema, *parts):
+    """A stream that gets each part in a batch of its own."""
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+
+
+def test_windows_close_and_late_rows_are_put_beside_them(spark):
+    place, kind = folders.work_folder(spark, "windows"), "ts timestamp, event_type string, value long"
+    parts = [[(at(0.5), "a", 1), (at(0.6), "a", 2), (at(1.5), "b", 4)], [(at(3.5), "a", 8)], [(at(0.7), "a", 16), (at(3.6), "a", 32), (at(1.2), "b", 64), (at(9), "c", 128)]]
+    found = state.windows(in_batches(spark, place, kind, *parts), "1 hour", 3_600_000)
+    query = state.drained(spark, found.writeStream.format("parquet").option("path", f"{place}/out"), f"{place}/log")
+    hour = lambda r: (r.ends - int(at(0).timestamp() * 1000)) // 3_600_000
+    out = spark.read.schema(found.schema).parquet(f"{place}/out")
+    assert sorted((r.event_type, hour(r), r.kind, r.n, r.total) for r in out.collect()) == [("a", 1, "closed", 2, 3), ("a", 1, "late", 1, 16), ("a", 4, "closed", 2, 40), ("b", 2, "closed", 1, 4), ("b", 2, "late", 1, 64)]
+    open_ = state.state_table(spark, f"{place}/log", "sums")
+    assert [(r.event_type, hour(r), r.n, r.total) for r in open_.collect()] == [("c", 10, 1, 128)]  # closed windows have left the state
+    assert sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators) == 0
+    assert {(r.event_type, hour(r)): (r.n, r.total) for r in state.corrected(out, open_).collect()} == {("a", 1): (3, 19), ("a", 4): (2, 40), ("b", 2): (2, 68), ("c", 10): (1, 128)}
+
+
+def test_ids_are_forgotten_and_set_aside_when_they_return(spark):
+    place, kind = folders.work_folder(spark, "once"), "k long, ts timestamp"
+    parts = [[(i, at(0.1)) for i in range(60)] + [(1, at(0.2))], [(i, at(0.3)) for i in range(50, 70)], [(900, at(9))], [(901, at(20))], [(i, at(20.5)) for i in range(5)]]
+    query = state.take_once(in_batches(spark, place, kind, *parts), "k", "ts", "1 hour", place)
+    first, returned = state.taken(spark, place, kind, "k")
+    assert sorted(r.k for r in first.collect()) == [*range(70), 900, 901]
+    assert sorted((r.k, r.ts.hour) for r in returned.collect()) == [(i, 20) for i in range(5)]
+    sizes = [s.numRowsTotal for p in query.recentProgress for s in p.stateOperators]
+    assert max(sizes) >= 70 and sizes[-1] < 10
+
+
+def test_state_is_a_table_and_goes_on_after_a_restart(spark):
+    place, kind = folders.work_folder(spark, "newest"), "task_id long, ord long, solved boolean"
+    rows = [(i % 3, i, i % 4 == 0) for i in range(90)]
+    for part in (rows[50:], rows[:50]):
+        state.keep_newest(in_batches(spark, place, kind, part), place)
+        seen = spark.read.parquet(f"{place}/in")
+        found = {tuple(r) for r in state.rates(state.state_table(spark, f"{place}/log", "newest")).collect()}
+        assert found == {tuple(r) for r in selection.recent_rates(seen).select("task_id", "n", "solve_rate").collect()}
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_settings_are_put_back(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    with pytest.raises(KeyError), state.settings(spark, {"spark.sql.shuffle.partitions": "3", "tessera.test": "1"}):
+        assert spark.conf.get("tessera.test") == "1"
+        raise KeyError
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before and spark.conf.get("tessera.test", None) is None
+
+
+def test_top_up_takes_batch_by_batch(spark):
+    place = folders.work_folder(spark, "topped")
+    stream = in_batches(spark, place, "k long", [(5,), (4,), (5,)], [(1,), (4,), (9,)], [(0,)])
+    assert sorted(r.k for r in streams.topped_up(stream, "k", 3).collect()) == [1, 4, 5]
