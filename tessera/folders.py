@@ -66,3 +66,16 @@ def remove(spark: SparkSession, folder: str) -> bool:
         raise ValueError("not a work folder")
     p, system = _path(spark, folder)
     return system.delete(p, True)
+
+
+def moved(spark: SparkSession, pattern: str, path: str) -> None:
+    """Moves the one file that a pattern leads to; what is at the new path is replaced, folders on the way are made."""
+    source, system = _path(spark, pattern)
+    found = system.globStatus(source)
+    if found is None or len(found) != 1:
+        raise FileNotFoundError(f"not one file: {pattern}")
+    target, _ = _path(spark, path)
+    system.mkdirs(target.getParent())
+    system.delete(target, False)
+    if not system.rename(found[0].getPath(), target):
+        raise OSError(f"can't move {pattern} to {path}")

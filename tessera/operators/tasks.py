@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import hashing, text
@@ -98,22 +98,34 @@ def histogram(tasks: DataFrame) -> DataFrame:
     return own.groupBy(F.element_at("crates", 1).alias("crate")).agg(F.count("*").alias("n"), F.min("ord").alias("first_ord")).orderBy(F.col("n").desc(), "first_ord")
 
 
-def checks(tasks: DataFrame, held: DataFrame, n_mirror: int | None = None) -> DataFrame:
-    """rule, severity, n of every rule that tasks break. held has the task_ids of evaluation sets."""
+def checks(tasks: DataFrame, held: DataFrame, n_mirror: int | None = None, shown: int = 3) -> DataFrame:
+    """rule, severity, n and examples (the first ids in order, `shown` at most) of every rule that tasks break. held has the task_ids of evaluation sets.
+
+    A task without an id is counted and has no example. The examples come from one pass that gives each broken rule a row for each task, of which tasks of the job keep the
+    smallest ids.
+    """
     blank = lambda c: F.coalesce(F.col(c) == "", F.lit(True))
     none = lambda c: F.coalesce(F.size(c) == 0, F.lit(True))
-    one = tasks.agg(
-        F.count("*").alias("n"), F.count_if(blank("task_id") | none("test_files")).alias("missing"), F.count_if((F.col("verify_mode") == "execution") & blank("setup_patch") & none("fail_to_pass")).alias("dead"),
-        F.count_if(F.col("verify_mode") == "pattern").alias("pattern"), F.count_if((F.col("verify_mode") == "pattern") & blank("gold_patch")).alias("no_gold"),
-    )
-    twice = duplicates(tasks).agg(F.count("*").alias("dupes"))
-    leaks = leaked(tasks, held).agg(F.count("*").alias("leaked"))
-    all_ = one.crossJoin(twice).crossJoin(leaks)
-    rule = lambda name, severity, n: F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), n.cast("long").alias("n"))
-    every = (F.col("pattern") > 0) & (F.col("no_gold") == F.col("pattern"))
-    rules = [
-        rule("no_tasks", "warn", F.when(F.col("n") == 0, 1).otherwise(0)), rule("missing_fields", "warn", F.col("missing")), rule("duplicate_ids", "fatal", F.col("dupes")), rule("leaked_ids", "fatal", F.col("leaked")),
-        rule("dead_reward", "fatal", F.col("dead")), rule("no_gold_patch_at_all", "fatal", F.when(every, F.col("no_gold")).otherwise(0)), rule("some_gold_patches_missing", "warn", F.when(every, 0).otherwise(F.col("no_gold"))),
-        rule("stale_mirror", "warn", F.when(F.lit(n_mirror).isNotNull() & (F.col("n") != F.lit(n_mirror)), 1).otherwise(0)),
-    ]
-    return all_.select(F.inline(F.array(*rules))).where("n > 0")
+    pattern = F.coalesce(F.col("verify_mode") == "pattern", F.lit(False))
+    broken = {
+        "missing_fields": blank("task_id") | none("test_files"), "dead_reward": F.coalesce(F.col("verify_mode") == "execution", F.lit(False)) & blank("setup_patch") & none("fail_to_pass"),
+        "no_gold": pattern & blank("gold_patch"), "pattern": pattern, "any": F.lit(True),
+    }
+    one = tasks.select(F.col("task_id").cast("string").alias("id"), F.explode(F.filter(F.array(*[F.when(c, F.lit(r)) for r, c in broken.items()]), lambda r: r.isNotNull())).alias("rule"))
+    one = one.withColumn("n", F.lit(1).cast("long")).union(duplicates(tasks).select(F.col("task_id").cast("string"), F.lit("duplicate_ids"), F.lit(1).cast("long"))).union(leaked(tasks, held).select(F.col("task_id").cast("string"), F.lit("leaked_ids"), F.lit(1).cast("long")))
+    first = F.row_number().over(Window.partitionBy("rule").orderBy(F.col("id").asc_nulls_last()))
+    counts = one.groupBy("rule").agg(F.sum("n").alias("n"))
+    ids = one.where("id IS NOT NULL AND rule NOT IN ('any', 'pattern')").distinct().withColumn("r_", first).where(F.col("r_") <= shown).groupBy("rule").agg(F.array_sort(F.collect_list("id")).alias("examples"))
+    found = counts.join(ids, "rule", "left")
+    total = lambda rule: F.coalesce(F.max(F.when(F.col("rule") == rule, F.col("n"))), F.lit(0))
+    sums = found.agg(total("any").alias("all"), total("pattern").alias("patterns"), total("no_gold").alias("no_golds"))  # one row
+    marked = found.where("rule NOT IN ('any', 'pattern')").join(F.broadcast(sums), F.lit(True), "right")
+    every = (F.col("patterns") > 0) & (F.col("no_golds") == F.col("patterns"))
+    named = F.when(F.col("rule") != "no_gold", F.col("rule")).when(every, "no_gold_patch_at_all").otherwise("some_gold_patches_missing")
+    severity = F.when(named.isin("missing_fields", "some_gold_patches_missing"), "warn").otherwise("fatal")
+    nothing = F.array().cast("array<string>")
+    rows = marked.where("rule IS NOT NULL").select(named.alias("rule"), severity.alias("severity"), "n", F.coalesce("examples", nothing).alias("examples"))
+    stale = F.lit(n_mirror).isNotNull() & (F.col("all") != F.lit(n_mirror))
+    whole = [F.when(F.col("all") == 0, F.struct(F.lit("no_tasks").alias("rule"))), F.when(stale, F.struct(F.lit("stale_mirror").alias("rule")))]
+    more = sums.select(F.inline(F.filter(F.array(*whole), lambda x: x.isNotNull()))).select("rule", F.lit("warn").alias("severity"), F.lit(1).cast("long").alias("n"), nothing.alias("examples"))
+    return rows.union(more)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.folders import work_folder
-from tessera.operators import evaluation
+from tessera.functions import rust
+from tessera.operators import evaluation, graph, stages
 from tessera.plans.corpus_queries import files as source_rows
 from tessera.plans.corpus_queries import table
 from tessera.plans.registry import register
@@ -159,3 +160,105 @@ def commit_log_scan(spark, sf_dir):
     """Lines of a log, of which bodies go on over several lines."""
     line = F.concat(F.sha2(F.col("doc_id").cast("string"), 256), F.lit("\0"), "source", F.lit("\0body"))
     return files.commits(table(spark, sf_dir, "documents").select(F.explode(F.array(line, F.lit("more of the body"))).alias("value")))
+
+
+LINES = "string_agg(doc_id || ' ' || coalesce(source, '') || chr(10), '' ORDER BY doc_id)"
+
+
+@register("source_tree", f"SELECT 'crates/c' || doc_id % 3 || '/src/a.rs' AS path, 2 - doc_id % 3 AS topo_rank, sha256({LINES}) AS digest FROM documents GROUP BY doc_id % 3 UNION ALL SELECT 'docs/a.md', NULL, sha256({LINES}) FROM documents WHERE doc_id % 4 = 0")
+def source_tree(spark, sf_dir):
+    """Source files of three packages in the order of their dependencies, and a document; a test's file is left out."""
+    root = f"{work_folder(spark, 'source')}/tree"
+    line = F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.coalesce("source", F.lit("")))
+    own = table(spark, sf_dir, "documents").select("doc_id", line.alias("value"))
+    text = lambda rows, path: sinks.text_file(rows.orderBy("doc_id").select("value"), f"{root}/{path}")
+    for i in range(3):
+        text(own.where(F.col("doc_id") % 3 == i), f"crates/c{i}/src/a.rs")
+        needs = f'[package]\nname = "c{i}"\n[dependencies]\nserde = "1"\n' + (f'c{i + 1} = {{ path = "../c{i + 1}" }}\n' if i < 2 else "")
+        sinks.text_file(spark.createDataFrame([(needs,)], "value string"), f"{root}/crates/c{i}/Cargo.toml")
+    text(own.where("doc_id % 4 = 0"), "docs/a.md")
+    text(own.where("doc_id % 5 = 0"), "crates/c0/tests/a.rs")
+    order = graph.topological_ranks(files.manifests(spark, f"{root}/crates/*/Cargo.toml"))
+    found = files.source_files(spark, root, ["crates/*.rs", "docs/*"], ["*/tests/*"], order)
+    return found.select("path", "topo_rank", F.sha2("content", 256).alias("digest"))
+
+
+@register("manifests_scan", "SELECT 'n' || n_nationkey AS name, 'r' || n_regionkey AS deps FROM nation UNION ALL SELECT 'r' || r_regionkey, '' FROM region")
+def manifests_scan(spark, sf_dir):
+    """A manifest for each nation and region; names outside of the workspace are no dependencies."""
+    root = f"{work_folder(spark, 'source')}/manifests"
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    named = lambda name, rest: F.concat(F.lit('[package]\nname = "'), name, F.lit('"\n[dependencies]\nserde = "1"\n'), rest)
+    n, r = F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), F.concat(F.lit("r"), F.col("r_regionkey").cast("string"))
+    dep = F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit(' = { path = "x" }\n[dev-dependencies]\n'), n, F.lit(' = "1"\n'))
+    both = nation.select(n.alias("file"), named(n, dep).alias("value")).union(region.select(r, named(r, F.lit(""))))
+    both.write.partitionBy("file").text(root)
+    return files.manifests(spark, f"{root}/*/*").select("name", F.array_join("deps", ",").alias("deps"))
+
+
+@register("eval_ids_folders", "SELECT 't' || count(*) || '-' || c_nationkey % 3 AS task_id FROM customer GROUP BY c_nationkey % 3 UNION SELECT 's' || c_nationkey % 3 FROM customer")
+def eval_ids_folders(spark, sf_dir):
+    """Three folders of result files, of which one has an id and one is known by its name."""
+    root, own = work_folder(spark, "source"), table(spark, sf_dir, "customer").groupBy((F.col("c_nationkey") % 3).alias("i")).count()
+    for i in range(3):
+        one = own.where(F.col("i") == i)
+        task = F.concat(F.lit("t"), F.col("count").cast("string"), F.lit(f"-{i}"))
+        sinks.text_file(one.select(F.to_json(F.struct(task.alias("task_id"))).alias("value")), f"{root}/suite{i}/x.json")
+        sinks.text_file(one.select(F.to_json(F.struct(F.col("count").alias("n"))).alias("value")), f"{root}/suite{i}/s{i}.json")
+    return files.evaluation_ids(files.json_documents(spark, [f"{root}/suite{i}" for i in range(3)], "task_id string"))
+
+
+@register(
+    "test_runs",
+    """
+WITH r AS (SELECT user_id AS run, CASE WHEN user_id % 11 = 0 THEN NULL WHEN user_id % 3 = 0 THEN 101 ELSE 0 END AS code, user_id % 4 = 0 AS broken, count(*) FILTER (event_type = 'click') AS ok, count(*) FILTER (event_type = 'error') AS bad FROM events GROUP BY user_id
+), t AS (SELECT run, code, CASE WHEN broken OR code IS NULL THEN 0 ELSE ok END AS n_passed, CASE WHEN broken OR code IS NULL THEN 0 ELSE bad END AS n_failed FROM r)
+SELECT run, coalesce(code, -1)::INTEGER AS exit_code, n_passed::INTEGER AS n_passed, n_failed::INTEGER AS n_failed, CASE WHEN code IS NULL THEN 'timed out' WHEN code <> 0 AND n_passed + n_failed = 0 THEN right('error ' || repeat('e' || run, 400), 500) END AS error FROM t
+""",
+)
+def test_runs(spark, sf_dir):
+    """Events as a test runner's lines, runs by user; some ended badly without a test, some timed out."""
+    user, broken = F.col("user_id"), F.col("user_id") % 4 == 0
+    event = lambda e: F.to_json(F.struct(F.lit("test").alias("type"), F.lit(e).alias("event"), F.col("event_id").cast("string").alias("name")))
+    line = F.when(broken, "   Compiling x").when(F.col("event_type") == "click", event("ok")).when(F.col("event_type") == "error", event("failed")).otherwise("{broken")
+    runs = table(spark, sf_dir, "events").groupBy(user.alias("run")).agg(F.array_join(F.collect_list(line), "\n").alias("stdout"))
+    code = F.when(F.col("run") % 11 == 0, None).when(F.col("run") % 3 == 0, 101).otherwise(0)
+    runs = runs.withColumn("exit_code", code).withColumn("stderr", F.concat(F.lit("error "), F.repeat(F.concat(F.lit("e"), F.col("run").cast("string")), 400)))
+    return files.test_runs(runs).select("run", "exit_code", F.size("passed").alias("n_passed"), F.size("failed").alias("n_failed"), "error")
+
+
+@register("rust_items_lateral", "SELECT doc_id, 'fn' AS kind, 'pub fn f' || doc_id || '() { \"}\"; }' AS source FROM documents UNION ALL SELECT doc_id, 'struct', 'struct S' || doc_id || ';' FROM documents")
+def rust_items_lateral(spark, sf_dir):
+    """Documents as sources, in the comments of which they stand; a table function gives a row for each item."""
+    rust.register(spark)
+    d = F.col("doc_id").cast("string")
+    code = F.concat(F.lit("/* fn "), F.replace(F.coalesce("text", F.lit("")), F.lit("*/"), F.lit("")), F.lit("*/ #[x(y)]\npub fn f"), d, F.lit('() { "}"; }\n// struct\nuse a::b;\nstruct S'), d, F.lit(";\n"))
+    table(spark, sf_dir, "documents").select("doc_id", F.replace(code, F.lit("/* fn /*"), F.lit("/* fn ")).alias("code")).createOrReplaceTempView("tessera_sources")
+    return spark.sql("SELECT doc_id, i.kind, i.source FROM tessera_sources, LATERAL rust_items(code) i")
+
+
+@register("package_needs_lateral", "SELECT DISTINCT 'p' || p_partkey AS name, 'p' || d AS dep FROM part, LATERAL (SELECT unnest([p_partkey // 2, p_partkey // 3]) AS d) WHERE d <> p_partkey")
+def package_needs_lateral(spark, sf_dir):
+    """Parts as manifests; a table function gives an edge for each dependency."""
+    rust.register(spark)
+    p = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    manifest = F.concat(F.lit('[package]\nname = "'), p(F.col("p_partkey")), F.lit('"\n[dependencies]\n'), p(F.expr("p_partkey div 2")), F.lit(' = "1"\n[dev-dependencies]\n'), p(F.expr("p_partkey div 3")), F.lit(' = "1"\n'))
+    table(spark, sf_dir, "part").select(manifest.alias("manifest")).createOrReplaceTempView("tessera_manifests")
+    return spark.sql("SELECT n.name, n.dep FROM tessera_manifests, LATERAL package_needs(manifest) n")
+
+
+@register("stage_dispatch", "SELECT event_type, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY event_type")
+def stage_dispatch(spark, sf_dir):
+    """Stages that fail on the way, and go on behind the last complete one; the first of them must not run again."""
+    folder, own = work_folder(spark, "stages"), table(spark, sf_dir, "events").select("event_id", "event_type")
+
+    def fails(rows):
+        raise RuntimeError("stopped on the way")
+
+    once = [("even", lambda rows: rows.where("event_id % 2 = 0")), ("count", fails)]
+    try:
+        stages.dispatched(own, once, folder)
+    except RuntimeError:
+        pass
+    again = [("even", fails), ("count", lambda rows: rows.groupBy("event_type").agg(F.count("*").alias("n")))]
+    return stages.dispatched(own, again, folder)

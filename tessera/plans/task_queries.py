@@ -86,7 +86,30 @@ SELECT rule, severity, n::BIGINT AS n FROM r WHERE n > 0""",
 )
 def quality_gate(spark, sf_dir):
     own = order_tasks(spark, sf_dir).select(F.col("task_id").cast("string").alias("task_id"), F.array(F.lit("t")).alias("test_files"), "verify_mode", F.when(F.col("task_id") % 9 == 0, "s").alias("setup_patch"), F.array().cast("array<string>").alias("fail_to_pass"), F.when(F.col("task_id") % 7 != 0, "p").alias("gold_patch"))
-    return tasks.checks(own, table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("task_id")), n_mirror=-1)
+    return tasks.checks(own, table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("task_id")), n_mirror=-1).drop("examples")
+
+
+@register(
+    "quality_gate_examples",
+    """
+WITH t AS (SELECT CASE WHEN doc_id % 50 = 7 THEN 't7' WHEN doc_id % 90 <> 1 THEN 't' || doc_id END AS id, doc_id % 3 = 0 AS files, CASE WHEN doc_id % 2 = 0 THEN 'execution' ELSE 'pattern' END AS mode, doc_id % 8 = 0 AS setup FROM documents
+), b AS (
+  SELECT 'missing_fields' AS rule, 'warn' AS severity, id, 1 AS n FROM t WHERE id IS NULL OR NOT files UNION ALL SELECT 'duplicate_ids', 'fatal', id, 1 FROM t GROUP BY id HAVING count(*) > 1
+  UNION ALL SELECT DISTINCT 'leaked_ids', 'fatal', id, 1 FROM t WHERE id IN (SELECT 't' || c_custkey FROM customer) UNION ALL SELECT 'dead_reward', 'fatal', id, 1 FROM t WHERE mode = 'execution' AND NOT setup
+  UNION ALL SELECT 'no_gold_patch_at_all', 'fatal', id, 1 FROM t WHERE mode = 'pattern'
+), e AS (SELECT rule, string_agg(id, ',' ORDER BY id) AS examples FROM (SELECT rule, id, row_number() OVER (PARTITION BY rule ORDER BY id) AS r FROM (SELECT DISTINCT rule, id FROM b WHERE id IS NOT NULL)) WHERE r <= 3 GROUP BY rule)
+SELECT rule, severity, count(*) AS n, coalesce(any_value(examples), '') AS examples FROM b LEFT JOIN e USING (rule) GROUP BY rule, severity
+""",
+)
+def quality_gate_examples(spark, sf_dir):
+    """Documents as tasks that break most rules; each names the first tasks that break it."""
+    d = F.col("doc_id")
+    own = table(spark, sf_dir, "documents").select(
+        F.when(d % 50 == 7, "t7").when(d % 90 != 1, F.concat(F.lit("t"), d.cast("string"))).alias("task_id"), F.when(d % 3 == 0, F.array(F.lit("t"))).alias("test_files"), F.when(d % 2 == 0, "execution").otherwise("pattern").alias("verify_mode"),
+        F.when(d % 8 == 0, "s").alias("setup_patch"), F.array().cast("array<string>").alias("fail_to_pass"), F.lit("").alias("gold_patch"),
+    )
+    found = tasks.checks(own, table(spark, sf_dir, "customer").select(F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("task_id")))
+    return found.withColumn("examples", F.array_join("examples", ","))
 
 
 @register("mined_tasks", "SELECT 'pr-' || page_id AS task_id, 'c' || page_id % 3 AS crate, 'cargo nextest run -p c' || page_id % 3 AS verify_cmd, CASE WHEN length(html) <= 200000 THEN length(html) END AS n_patch FROM pages WHERE page_id % 2 = 0")

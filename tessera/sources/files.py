@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.folders import exists
-from tessera.functions import text
+from tessera.functions import rust, text
 
 BAD = "_malformed"
 #: Records of the files that evaluations and promotions write.
@@ -47,8 +48,8 @@ def malformed(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n_lines"), F.count_if(F.col(BAD).isNotNull()).alias("n_malformed"), F.bit_xor(F.xxhash64(*[c for c in rows.columns if c != BAD])).alias("content_hash"))
 
 
-def json_documents(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """One row for each JSON file of a folder, with file_name; order by it."""
+def json_documents(spark: SparkSession, path: str | list[str], schema: str | T.StructType) -> DataFrame:
+    """One row for each JSON file of a folder or of several, with file_name; order by it."""
     return spark.read.schema(_schema(schema)).option("multiLine", True).json(path).withColumn("file_name", F.col("_metadata.file_name"))
 
 
@@ -93,7 +94,8 @@ def source_files(spark: SparkSession, root: str, include: list[str], exclude: li
     """path (under root), content and topo_rank of text files that the patterns choose; order has (name, topo_rank) of packages."""
     read = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
     full: Column = F.col("_metadata.file_path")
-    rows = read.select(F.substring_index(full, f"{root.rstrip('/')}/", -1).alias("path"), F.col("value").alias("content"))
+    below = re.sub(r"^\w+:(//)?", "", root.rstrip("/"))  # schemes are written in more than one way
+    rows = read.select(F.substring_index(full, f"{below}/", -1).alias("path"), F.col("value").alias("content"))
     rows = rows.where(text.in_scope(F.col("path")) & text.matches(F.col("path"), list(include), list(exclude))).withColumn("name", F.regexp_extract("path", text.CRATE, 1))
     if order is None:
         return rows.withColumn("topo_rank", F.lit(None).cast("long")).drop("name")
@@ -101,19 +103,8 @@ def source_files(spark: SparkSession, root: str, include: list[str], exclude: li
 
 
 def _manifest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import tomllib
-
     for batch in batches:
-        out = []
-        for value in batch["value"]:
-            try:
-                spec = tomllib.loads(value)
-            except tomllib.TOMLDecodeError:
-                continue
-            name = spec.get("package", {}).get("name")
-            if name:
-                out.append((name, sorted({d for part in ("dependencies", "dev-dependencies", "build-dependencies") for d in spec.get(part, {})})))
-        yield pd.DataFrame(out, columns=["name", "deps"])
+        yield pd.DataFrame([x for value in batch["value"] for x in rust.package(value)], columns=["name", "deps"])
 
 
 def manifests(spark: SparkSession, glob: str) -> DataFrame:
@@ -129,6 +120,23 @@ def test_events(lines: DataFrame) -> DataFrame:
     return lines.select(row.alias("e")).where("e.type = 'test' AND e.event IN ('ok', 'failed')").select("e.event", "e.name")
 
 
+def test_runs(runs: DataFrame) -> DataFrame:
+    """run, exit_code, passed, failed, error of runs (run, exit_code, stdout, stderr).
+
+    stdout has JSON lines, of which finished tests count and others are skipped; a test without a name is '?'. A run that ended badly without one test broke down
+    itself: its error is the last 500 characters of stderr, or of stdout where that is empty. A null exit code is a run that timed out: -1, without tests.
+    """
+    event = lambda line: F.from_json(line, "type string, event string, name string")
+    events = F.filter(F.transform(F.split(F.coalesce("stdout", F.lit("")), "\r\n|\n|\r"), event), lambda e: (e["type"] == "test") & e["event"].isin("ok", "failed"))
+    own = runs.withColumn("events_", F.when(F.col("exit_code").isNull(), F.slice(events, 1, 0)).otherwise(events))
+    names = lambda which: F.transform(F.filter("events_", lambda e: e["event"] == which), lambda e: F.coalesce(e["name"], F.lit("?")))
+    said = F.coalesce(F.nullif("stderr", F.lit("")), "stdout", F.lit(""))
+    tail = F.when(F.char_length(said) > 500, F.expr("right(coalesce(nullif(stderr, ''), stdout, ''), 500)")).otherwise(said)
+    broke = (F.col("exit_code") != 0) & (F.size("events_") == 0)
+    error = F.when(F.col("exit_code").isNull(), F.lit("timed out")).when(broke, tail)
+    return own.select("run", F.coalesce("exit_code", F.lit(-1)).alias("exit_code"), names("ok").alias("passed"), names("failed").alias("failed"), error.alias("error"))
+
+
 def commits(log: DataFrame) -> DataFrame:
     """sha, subject of log lines (value) with fields divided by NUL; lines without NUL belong to bodies and go."""
     parts = F.split("value", "\\x00")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.folders import moved, work_folder
 from tessera.operators import corpus
 
 
@@ -36,6 +37,13 @@ def replace_origin(real: DataFrame, path: str) -> None:
     real.withColumn("origin", F.lit("real")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("origin").parquet(path)
 
 
+def text_file(lines: DataFrame, path: str) -> None:
+    """Lines (one string column) as a single file of that name, in the order of the DataFrame; an older file is replaced. For files that a task can write."""
+    place = f"{work_folder(lines.sparkSession, 'file')}/lines"
+    lines.coalesce(1).write.text(place)
+    moved(lines.sparkSession, f"{place}/part-*", path)
+
+
 def split_samples(files: DataFrame, train: str, held: str, fraction: float = 0.15, rate: float = 0.5) -> None:
     """Training samples and, beside them, held-out ones, as JSON lines."""
     json_lines(corpus.samples(files, fraction, rate), train)

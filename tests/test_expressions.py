@@ -119,6 +119,90 @@ fn broken( {
 """
 
 
+_SKIP = re.compile(r"""//[^\n]*|b?r(#*)".*?"\1|b?"(?:[^"\\]|\\.)*"|b?'(?:[^'\\\n]|\\.[^'\n]*)'|'[A-Za-z_]\w*|/\*""", re.S)
+_WORD = re.compile(r"[A-Za-z_]\w*")
+_BLOCK = re.compile(r"/\*|\*/")
+
+
+def tokens(code):
+    """(start, end, text) of words and of single signs; comments, strings and characters are left out, attributes come as one "#"."""
+    at = 0
+    while at < len(code):
+        c = code[at]
+        if c.isspace():
+            at += 1
+        elif (found := _SKIP.match(code, at)) is not None:
+            at = _comment_end(code, at) if found[0] == "/*" else found.end()
+        elif (found := _WORD.match(code, at)) is not None:
+            yield at, found.end(), found[0]
+            at = found.end()
+        else:
+            yield at, at + 1, c
+            at += 1
+
+
+def _comment_end(code, at):
+    """Block comments nest."""
+    depth = 0
+    for found in _BLOCK.finditer(code, at):
+        depth += 1 if found[0] == "/*" else -1
+        if not depth:
+            return found.end()
+    return len(code)
+
+
+def items_by_signs(code):
+    """(start, end, bytes, kind) of the items at the top level, from their visibility on; attributes are not part of an item.
+
+    An item ends at the brace that closes it, or at a semicolon outside of brackets. What is never closed is no item.
+    """
+    out, depth, start, kind, attribute = [], 0, None, None, False
+    for begin, end, sign in tokens(code):
+        if attribute:
+            depth += sign in "[({"
+            depth -= sign in "])}"
+            attribute = depth > 0 or sign == "!"
+            continue
+        if start is None:
+            if sign == "#":
+                attribute = True
+                continue
+            start, kind = begin, None
+        if kind is None and depth == 0 and sign in rust.KINDS:
+            kind = sign
+        if len(sign) == 1 and sign in "[({":
+            depth += 1
+        elif len(sign) == 1 and sign in "])}":
+            depth = max(0, depth - 1)
+        if depth == 0 and (sign == ";" or sign == "}"):
+            if kind:
+                out.append((start, end, len(code[start:end].encode("utf-8", "replace")), kind))
+            start = None
+    return out
+
+
+PIECES = ["fn a() { x; }\n", "pub struct S;\n", "impl T for U { fn b(&self) -> &'static str { \"}\" } }\n", "// fn c() {}\n", "/* fn /* x */ { */\n", "#[derive(A, B(c))]\n", "#![allow(x)]\n", "enum E { A, B }\n"]
+PIECES += ['r#"fn " {"#', 'b"x\\"y"', "'a'", "'\\n'", "b'\\''", "let é = 5;\n", "static X: [u8; 3] = [1, 2, 3];\n", "pub(crate) trait Tr { fn z(); }\n", "}", "{", ")", "; ", "const F: fn() = g;\n", "'life ", "\u3000", "mod m { fn q() {} }\n", "/*", "/", '"']
+PIECES += ["async unsafe extern \"C\" fn w(x: &'a T) where T: Fn(u8) -> [u8; 2] {\n let c = '}';\n}\n", "macro_rules! m { ($x:expr) => { fn x() {} } }\n"]
+
+
+def test_rust_items_as_sign_by_sign():
+    rng = random.Random(1)
+    for _ in range(10_000):
+        code = "".join(rng.choices(PIECES, k=rng.randint(0, 12)))
+        assert rust.items(code) == items_by_signs(code), code
+
+
+def test_table_functions_in_lateral_joins(spark):
+    rust.register(spark)
+    spark.createDataFrame([(1, "fn a() {}\nstruct B;"), (2, None), (3, "nothing")], "i int, code string").createOrReplaceTempView("sources_of_code")
+    rows = spark.sql("SELECT i, f.kind, f.source FROM sources_of_code, LATERAL rust_items(code) f ORDER BY i, f.start").collect()
+    assert [tuple(r) for r in rows] == [(1, "fn", "fn a() {}"), (1, "struct", "struct B;")]
+    manifest = '[package]\nname = "p"\n[dependencies]\na = "1"\np = "1"\n[dev-dependencies]\nb = { path = "x" }\na = "2"\n'
+    spark.createDataFrame([(manifest,), ("broken [",), ("[dependencies]\na = 1",), (None,)], "m string").createOrReplaceTempView("some_manifests")
+    assert sorted(tuple(r) for r in spark.sql("SELECT n.* FROM some_manifests, LATERAL package_needs(m) n").collect()) == [("p", "a"), ("p", "b")]
+
+
 def test_rust_items(spark):
     found = [(kind, RUST[a:b]) for a, b, _, kind in rust.items(RUST)]
     assert [k for k, _ in found] == ["struct", "fn", "impl", "mod", "enum", "struct"]
@@ -136,12 +220,13 @@ def test_scope(spark):
     assert many(spark, text.in_scope, list(cases)) == list(cases.values())
 
 
-def test_config(tmp_path):
+def test_config(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"x": 1, "y": {"z": [1, 2], "w": {"v": true}}}')
     (tmp_path / "b.toml").write_text("[t]\nn = 3\n")
     assert config.flatten(config.load(str(tmp_path), "a")) == [("x", "1"), ("y.z", "[1, 2]"), ("y.w.v", "True")]
     assert config.load(str(tmp_path), "b.toml") == {"t": {"n": 3}}
-    assert config.snapshot({"b": {"t": {"n": 3}}}, "cycle 1") == "########## cycle 1 ##########\n--- [b] ---\n  t.n = 3\n\n"
+    assert config.snapshot({"b": {"t": {"n": 3}}}, "cycle 1") == "== cycle 1 ==\n== b ==\nt.n = 3\n"
+    assert [tuple(r) for r in config.settings_table(spark, {"a": {"y": {"z": 1, "e": {}}, "x": None}, "b": {}}).orderBy("place").collect()] == [("a", 0, "y.z", "1"), ("a", 1, "x", "None")]
     with pytest.raises(FileNotFoundError):
         config.load(str(tmp_path), "none")
 

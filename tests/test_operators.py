@@ -414,3 +414,47 @@ def test_lessons(spark):
     assert block == "=== cycle 3 | t | model=m ===\noutcome: FAILED | reward=0.25 | turns=4 | mode=pattern\ntiers: fmt/clippy=1.0 compile=1 dense=0.50 tests=0\nlesson: It builds, yet tests fail: the logic is off. Failing: a, b, c\n\n"
     error = evaluation.lesson(F.lit("compile_error"), F.lit(4), F.array().cast("array<string>"), F.lit("error[E1]: " + "x" * 200), F.lit(1.0), F.lit(0.0))
     assert spark.range(1).select(error.alias("e")).first()["e"] == "It does not build. First error: error[E1]: " + "x" * 149
+
+
+def test_gate_names_the_first_tasks(spark):
+    kind = "task_id string, test_files array<string>, verify_mode string, setup_patch string, fail_to_pass array<string>, gold_patch string"
+    rows = [(f"t{i}", ["a"], "pattern", None, None, None if i < 5 else "g") for i in range(9)] + [("t8", ["a"], "execution", "", [], None), (None, ["a"], "pattern", None, None, "g"), ("x", None, "execution", "s", None, None)]
+    frame, held = spark.createDataFrame(rows, kind), spark.createDataFrame([("t2",), ("t2",), ("none",)], "task_id string")
+    found = {r.rule: (r.severity, r.n, r.examples) for r in tasks.checks(frame, held, n_mirror=12).collect()}
+    assert found == {
+        "missing_fields": ("warn", 2, ["x"]), "duplicate_ids": ("fatal", 1, ["t8"]), "leaked_ids": ("fatal", 1, ["t2"]), "dead_reward": ("fatal", 1, ["t8"]), "some_gold_patches_missing": ("warn", 5, ["t0", "t1", "t2"]),
+    }
+    empty = tasks.checks(frame.limit(0), held, n_mirror=1)
+    assert sorted((r.rule, r.severity, r.n, r.examples) for r in empty.collect()) == [("no_tasks", "warn", 1, []), ("stale_mirror", "warn", 1, [])]
+
+
+def test_stages_go_on_behind_the_last_complete_one(spark):
+    from tessera import folders
+    from tessera.operators import stages
+
+    folder, ran = folders.work_folder(spark, "stages"), []
+
+    def stage(name, fails=False):
+        def run(rows):
+            ran.append(name)
+            if fails:
+                raise RuntimeError(name)
+            return rows.withColumn(name, F.lit(1))
+
+        return name, run
+
+    rows = spark.range(3)
+    with pytest.raises(RuntimeError):
+        stages.dispatched(rows, [stage("a"), stage("b", fails=True), stage("c")], folder)
+    both = [stage("a"), stage("b"), stage("c")]
+    assert stages.complete(spark, folder, both) == ["a"]
+    assert stages.dispatched(rows, both, folder, last="b").columns == ["id", "a", "b"]
+    assert stages.dispatched(rows, both, folder).columns == ["id", "a", "b", "c"] and ran == ["a", "b", "b", "c"]
+    assert stages.dispatched(rows, both, folder).count() == 3 and len(ran) == 4
+    stages.dispatched(rows, both, folder, first="b")
+    assert ran[4:] == ["b", "c"]
+    for wrong in ({"first": "z"}, {"last": "z"}):
+        with pytest.raises(ValueError, match="no stage"):
+            stages.dispatched(rows, both, folder, **wrong)
+    with pytest.raises(ValueError, match="aren't complete"):
+        stages.dispatched(rows, both, folders.work_folder(spark, "stages"), first="c")

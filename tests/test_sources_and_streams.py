@@ -206,3 +206,19 @@ def test_top_up_takes_batch_by_batch(spark):
     place = folders.work_folder(spark, "topped")
     stream = in_batches(spark, place, "k long", [(5,), (4,), (5,)], [(1,), (4,), (9,)], [(0,)])
     assert sorted(r.k for r in streams.topped_up(stream, "k", 3).collect()) == [1, 4, 5]
+
+
+def test_runs_of_tests(spark):
+    event = lambda kind, what, **more: json.dumps({"type": kind, "event": what, **more})
+    out = "\n".join([event("test", "ok", name="a"), "   Compiling", event("suite", "ok"), event("test", "failed", name="b"), event("test", "ok"), event("test", "started", name="c")])
+    rows = [(1, 101, out, "ignored"), (2, 101, "x" * 600 + "end", ""), (3, 1, "said", "e" * 10), (4, 0, None, None), (5, None, out, "slow"), (6, 2, None, None)]
+    found = {r.run: (r.exit_code, r.passed, r.failed, r.error) for r in files.test_runs(spark.createDataFrame(rows, "run int, exit_code int, stdout string, stderr string")).collect()}
+    assert found == {1: (101, ["a", "?"], ["b"], None), 2: (101, [], [], "x" * 497 + "end"), 3: (1, [], [], "e" * 10), 4: (0, [], [], None), 5: (-1, [], [], "timed out"), 6: (2, [], [], "")}
+
+
+def test_a_text_file_has_its_own_name(spark, tmp_path):
+    for text in ("old", "new"):
+        sinks.text_file(spark.createDataFrame([(f"{text} {i}",) for i in range(3)], "v string").coalesce(1), f"{tmp_path}/a/b/x.rs")
+    assert (tmp_path / "a/b/x.rs").read_text() == "new 0\nnew 1\nnew 2\n" and [p.name for p in (tmp_path / "a/b").iterdir() if p.suffix == ".rs"] == ["x.rs"]
+    with pytest.raises(FileNotFoundError):
+        folders.moved(spark, f"{tmp_path}/none-*", f"{tmp_path}/y")
