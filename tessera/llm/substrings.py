@@ -10,7 +10,8 @@ the whole window; those suffixes go one by one.
 A task builds the tree of a group on the words themselves: they get ranks, told apart by their bytes; suffixes that may have a twin are
 sorted by the ranks of their words, and neighbours that share `window` words hang from one internal node. A node with leaves of several
 documents is a repeat; repeats next to each other make the maximal ones. No hash decides: hashes only bring together what may be equal. A
-group with too many suffixes is taken by longer prefixes, one after another.
+group that is too large to be sorted at once, because the corpus is large or one window is in very many documents, is met in two steps: its blobs are dealt into slots by
+chunk, where of each window only the suffix of the smallest document stays, and what stays goes on to finer groups, by longer prefixes.
 
 Within a chunk of text the same trees tell which suffixes have an equal one in a smaller document; only the others are shipped, so that a passage
 which is in a third of all documents comes to a group once a chunk.
@@ -27,6 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.folders import work_folder, written
 from tessera.llm import words
 from tessera.llm.common import CHUNK_BYTES, chunks, long_array, released, text_bytes
 
@@ -41,7 +43,7 @@ GROUP_WINDOWS, GROUPS_EACH = 600_000, 8
 COMMON = 2
 #: Bytes that are compared at once.
 COMPARED = 1 << 20
-NONE = np.zeros(0, np.int64)
+NONE, ONE = np.zeros(0, np.int64), np.ones(1, np.int64)
 MARK_TYPE = "doc_id long, sum long, first long, n long"
 
 
@@ -181,6 +183,22 @@ def plan(counts: np.ndarray, partitions: int) -> tuple[np.ndarray, np.ndarray, n
     return first, parts, common
 
 
+def large(counts: np.ndarray, first: np.ndarray, parts: np.ndarray, group_windows: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each group, into how many slots it is dealt (1: it is met at once) and over how many finer groups what stays is spread.
+
+    A cell that goes over several groups may hold one window only, which then all falls to one of them; so each of these groups has slots for the whole cell.
+    """
+    n_groups = int((first + parts).max())
+    size, most = np.zeros(n_groups, np.int64), np.zeros(n_groups, np.int64)
+    alone = parts == 1
+    np.add.at(size, first[alone], counts[alone])
+    most[:] = size
+    for cell in np.flatnonzero(~alone).tolist():
+        own = slice(first[cell], first[cell] + parts[cell])
+        size[own], most[own] = -(-counts[cell] // parts[cell]), counts[cell]
+    return np.maximum(1, -(-most // group_windows)), np.maximum(1, -(-size // group_windows))
+
+
 def _pack(arrays: list[np.ndarray], text: bytes = b"", single: bool = False) -> bytes:
     """Arrays of integers, by bytes, and a text, compressed; the last array has numbers of windows, and single tells that each stretch is one."""
     head = zstandard.compress(b"".join(np.ascontiguousarray(a.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for a in arrays), 1)
@@ -188,6 +206,18 @@ def _pack(arrays: list[np.ndarray], text: bytes = b"", single: bool = False) ->
     return np.array([len(sizes)], "<i8").tobytes() + sizes.tobytes() + head + (zstandard.compress(text, 3) if text else b"")
 
 
+def _packed(text: bytes, starts, ends, at, n, ids, sums, place, window: int, single: bool) -> bytes:
+    """A blob of stretches: n suffixes from the word `at` on, which begin at a place of a document."""
+    order = np.lexsort((sums, ids))
+    new = np.ones(len(order), bool)
+    new[1:] = (ids[order][1:] != ids[order][:-1]) | (sums[order][1:] != sums[order][:-1])
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(new) - 1
+    lead = order[new]
+    stretches = b"\n".join([text[x:y] for x, y in zip(starts[at].tolist(), ends[at + n + window - 2].tolist(), strict=True)])
+    return _pack([np.diff(ids[lead], prepend=0), sums[lead], np.diff(back, prepend=0), place, n], stretches, single)
+
+
 def _unpack(blob: bytes) -> tuple[list[np.ndarray], bytes, bool]:
     n = int(np.frombuffer(blob, "<i8", 1)[0])
     _, size, single, *lengths = np.frombuffer(blob, "<i8", n, 8).tolist()
@@ -207,11 +237,11 @@ def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begins, np.diff(np.append(begins, len(doc)))
 
 
-def _ship(window: int, first: np.ndarray, parts: np.ndarray, common: np.ndarray):
-    """Packed stretches of suffixes by group; negative groups hold what a chunk has marked by itself."""
+def _ship(window: int, first: np.ndarray, parts: np.ndarray, common: np.ndarray, slots: np.ndarray = ONE):
+    """Packed stretches of suffixes by group, and the slot of a large group that the chunk falls to; negative groups hold what a chunk has marked by itself."""
     bits = np.uint64(64 - len(first).bit_length() + 1)
 
-    def blobs(ids, sums, data, offsets, base, order) -> Iterator[tuple[int, bytes]]:
+    def blobs(ids, sums, data, offsets, base, order) -> Iterator[tuple[int, bytes, int]]:
         starts, ends, before = words.split(data, offsets)
         docs, at = suffixes(before, order, window)
         if not len(docs):
@@ -222,7 +252,7 @@ def _ship(window: int, first: np.ndarray, parts: np.ndarray, common: np.ndarray)
         if len(gone):
             d, s = docs[gone], place[gone]
             b, n = _runs(d, s)
-            yield -1 - int(h[0] % np.uint64(1 << 20)), _pack([ids[d[b]], sums[d[b]], s[b], n])
+            yield -1 - int(h[0] % np.uint64(1 << 20)), _pack([ids[d[b]], sums[d[b]], s[b], n]), 0
             stay = np.ones(len(docs), bool)
             stay[gone] = False
             docs, at, place = docs[stay], at[stay], place[stay]
@@ -236,16 +266,11 @@ def _ship(window: int, first: np.ndarray, parts: np.ndarray, common: np.ndarray)
         begins = np.flatnonzero(new)
         counts = np.diff(np.append(begins, len(docs)))
         by = np.argsort(group[begins], kind="stable")
-        text = data.tobytes()
+        text, chunk = data.tobytes(), int(h[0] >> np.uint64(24))
         for own in np.split(by, np.flatnonzero(np.diff(group[begins[by]])) + 1) if len(by) else []:
             b, n = begins[own], counts[own]
-            used, inverse = np.unique(docs[b], return_inverse=True)
-            rank = np.argsort(ids[used], kind="stable")
-            back = np.empty(len(rank), np.int64)
-            back[rank] = np.arange(len(rank))
-            used = used[rank]
-            stretches = b"\n".join([text[x:y] for x, y in zip(starts[at[b]].tolist(), ends[at[b] + n + window - 2].tolist(), strict=True)])
-            yield int(group[b[0]]), _pack([np.diff(ids[used], prepend=0), sums[used], np.diff(back[inverse], prepend=0), place[b], n], stretches, bool(split[b[0]]))
+            g = int(group[b[0]])
+            yield g, _packed(text, starts, ends, at[b], n, ids[docs[b]], sums[docs[b]], place[b], window, bool(split[b[0]])), chunk % int(slots[min(g, len(slots) - 1)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,8 +281,8 @@ def _ship(window: int, first: np.ndarray, parts: np.ndarray, common: np.ndarray)
                 for data, offsets, base in units(part, whole, all_offsets, window - 1):
                     out = list(blobs(ids, sums, data, offsets, base, order))
                     if out:
-                        groups, packed = zip(*out, strict=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(packed, pa.binary())], names=["grp", "blob"])
+                        groups, packed, slot = zip(*out, strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(packed, pa.binary()), pa.array(slot, pa.int64())], names=["grp", "blob", "slot"])
 
     return lambda batches: released(run(batches))
 
@@ -267,11 +292,9 @@ def windows_of(blob: bytes) -> int:
     return int(np.frombuffer(blob, "<i8", 1, 8)[0])
 
 
-def repeats(blobs: list[bytes], window: int, turn: int = 0, turns: int = 1) -> tuple[np.ndarray, ...]:
-    """Of one group: document, text sum, first start and number of consecutive starts whose window also starts in a smaller document.
-
-    With turns, only of the suffixes whose path falls to this turn.
-    """
+def unpacked(blobs: list[bytes], window: int, turn: int = 0, turns: int = 1) -> tuple[np.ndarray, ...] | None:
+    """Of blobs, one after another: their bytes, words' starts and ends and names, and of each suffix its word, document, text sum and place. With turns, only of the
+    suffixes whose path falls to this turn."""
     held: list[list[np.ndarray]] = [[] for _ in range(8)]
     n_bytes = n_words = 0
     for blob in blobs:
@@ -282,8 +305,7 @@ def repeats(blobs: list[bytes], window: int, turn: int = 0, turns: int = 1) -> t
         ids, doc = np.cumsum(ids), np.cumsum(doc)
         lead = np.cumsum(n + window - 1) - (n + window - 1)
         if turns > 1:
-            path = words.grams(h, window)[lead] if single else words.mix(landmarks(h, window)[0][lead])
-            mine = np.flatnonzero(words.mix(path) % np.uint64(turns) == np.uint64(turn))
+            mine = np.flatnonzero(words.mix(paths(h, lead, window, single)) % np.uint64(turns) == np.uint64(turn))
             if not len(mine):
                 continue
             doc, place, n, lead = doc[mine], place[mine], n[mine], lead[mine]
@@ -296,32 +318,109 @@ def repeats(blobs: list[bytes], window: int, turn: int = 0, turns: int = 1) -> t
             out.append(x)
         n_bytes, n_words = n_bytes + len(data), n_words + len(h)
     if not n_words:
-        return (NONE,) * 4
+        return None
     held.reverse()
-    data, starts, ends, h, at, ids, sums, place = (np.concatenate(held.pop()) for _ in range(8))  # parts are let go one after another
-    hit = later(ids, *tree(data, starts, ends, h, at, window))
-    d, t, s = ids[hit], sums[hit], place[hit]
-    new = np.ones(len(hit), bool)
-    new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (s[1:] != s[:-1] + 1)
+    return tuple(np.concatenate(held.pop()) for _ in range(8))  # parts are let go one after another
+
+
+def paths(h: np.ndarray, at: np.ndarray, window: int, single: bool) -> np.ndarray:
+    """What decides where a suffix goes: the whole window if it goes by itself, else its landmark."""
+    return words.grams(h, window)[at] if single else words.mix(landmarks(h, window)[0][at])
+
+
+def _mark_runs(ids: np.ndarray, sums: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Document, text sum, first start and number of each run of consecutive starts."""
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (sums[1:] != sums[:-1]) | (place[1:] != place[:-1] + 1)
     b = np.flatnonzero(new)
-    return d[b], t[b], s[b], np.diff(np.append(b, len(hit)))
+    return ids[b], sums[b], place[b], np.diff(np.append(b, len(ids)))
 
 
-def _mark(window: int, group_windows: int):
-    def out(d, t, s, n):
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (d, t, s, n)], names=["doc_id", "sum", "first", "n"])
+def repeats(blobs: list[bytes], window: int, turn: int = 0, turns: int = 1) -> tuple[np.ndarray, ...]:
+    """Of one group: document, text sum, first start and number of consecutive starts whose window also starts in a smaller document.
 
-    def ended(held: list[bytes]) -> Iterator[pa.RecordBatch]:
-        turns = -(-sum(windows_of(blob) for blob in held) // group_windows)
-        for turn in range(turns):
-            yield out(*repeats(held, window, turn, turns))
+    With turns, only of the suffixes whose path falls to this turn.
+    """
+    found = unpacked(blobs, window, turn, turns)
+    if found is None:
+        return (NONE,) * 4
+    data, starts, ends, h, at, ids, sums, place = found
+    del found
+    hit = later(ids, *tree(data, starts, ends, h, at, window))
+    return _mark_runs(ids[hit], sums[hit], place[hit])
+
+
+def reduced(blobs: list[bytes], window: int, fan: int) -> tuple[tuple[np.ndarray, ...], list[tuple[int, bytes]]]:
+    """Of a part of a group: marks as in repeats, and what stays, packed by finer groups: of each window the suffixes of the smallest document."""
+    found = unpacked(blobs, window)
+    if found is None:
+        return (NONE,) * 4, []
+    single = _unpack(blobs[0])[2]
+    data, starts, ends, h, at, ids, sums, place = found
+    hit = later(ids, *tree(data, starts, ends, h, at, window))
+    stay = np.ones(len(at), bool)
+    stay[hit] = False
+    rest = np.flatnonzero(stay)
+    sub = (words.mix(paths(h, at[rest], window, single)) % np.uint64(fan)).astype(np.int64)
+    new = np.ones(len(rest), bool)
+    new[1:] = single | (at[rest][1:] != at[rest][:-1] + 1) | (ids[rest][1:] != ids[rest][:-1]) | (sums[rest][1:] != sums[rest][:-1]) | (place[rest][1:] != place[rest][:-1] + 1) | (sub[1:] != sub[:-1])
+    lead = np.flatnonzero(new)
+    counts, text, out = np.diff(np.append(lead, len(rest))), data.tobytes(), []
+    by = np.argsort(sub[lead], kind="stable")
+    for own in np.split(by, np.flatnonzero(np.diff(sub[lead[by]])) + 1) if len(by) else []:
+        b = rest[lead[own]]
+        out.append((int(sub[lead[own[0]]]), _packed(text, starts, ends, at[b], counts[own], ids[b], sums[b], place[b], window, single)))
+    return _mark_runs(ids[hit], sums[hit], place[hit]), out
+
+
+def _meet(window: int, group_windows: int, slots: np.ndarray, fans: np.ndarray):
+    """Groups that are met at once give their marks (without grp); a slot of a large group gives marks and blobs for finer groups, a stretch of suffixes at a time."""
+    base = np.append(0, np.cumsum(fans))
+
+    def marked(d, t, s, n) -> pa.RecordBatch:
+        none = [pa.nulls(len(d), pa.int64()), pa.nulls(len(d), pa.binary())]
+        return pa.RecordBatch.from_arrays([*(pa.array(np.asarray(x, np.int64)) for x in (d, t, s, n)), *none], names=["doc_id", "sum", "first", "n", "grp", "blob"])
+
+    def ended(group: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if slots[group] == 1:
+            turns = -(-sum(windows_of(blob) for blob in held) // group_windows)
+            for turn in range(turns):
+                yield marked(*repeats(held, window, turn, turns))
+            return
+        marks, rest = reduced(held, window, int(fans[group]))
+        yield marked(*marks)
+        if rest:
+            none = [pa.nulls(len(rest), pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([*none, pa.array([int(base[group]) + sub for sub, _ in rest]), pa.array([blob for _, blob in rest], pa.binary())], names=["doc_id", "sum", "first", "n", "grp", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, size = None, [], 0
+        for batch in batches:
+            for g, blob, slot in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                if g < 0:
+                    yield marked(*_unpack(blob.as_py())[0])
+                    continue
+                if held and ((g, slot) != key or slots[g] > 1 and size >= group_windows):
+                    yield from ended(key[0], held)
+                    held, size = [], 0
+                key = (g, slot)
+                held.append(blob.as_py())
+                size += windows_of(held[-1])
+        if held:
+            yield from ended(key[0], held)
+
+    return lambda batches: released(run(batches))
+
+
+def _mark(window: int, group_windows: int):
+    """Marks of groups that are met at once."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
         for batch in batches:
             for g, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if g < 0:
-                    yield out(*_unpack(blob.as_py())[0])
+                    yield marks(*_unpack(blob.as_py())[0])
                     continue
                 if held and g != group:
                     yield from ended(held)
@@ -331,7 +430,15 @@ def _mark(window: int, group_windows: int):
         if held:
             yield from ended(held)
 
-    return lambda batches: released(run(batches))
+    def marks(d, t, s, n):
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (d, t, s, n)], names=["doc_id", "sum", "first", "n"])
+
+    def ended(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        turns = -(-sum(windows_of(blob) for blob in held) // group_windows)
+        for turn in range(turns):
+            yield marks(*repeats(held, window, turn, turns))
+
+    return lambda batches: released(out(batches))
 
 
 def _kept(window: int, with_text: bool):
@@ -401,14 +508,23 @@ def _marks(summed: DataFrame, window: int, group_windows: int) -> DataFrame:
     counts = np.zeros(cells, np.int64)
     for row in counted.collect():  # MOST_CELLS numbers at most
         counts[row.slice : row.slice + SLICE] = np.frombuffer(row.counts, np.int64)
-    shipped = summed.mapInArrow(_ship(window, *plan(counts, partitions)), "grp long, blob binary").repartition("grp").sortWithinPartitions("grp")
-    return shipped.mapInArrow(_mark(window, group_windows), MARK_TYPE)
+    first, parts, common = plan(counts, partitions)
+    slots, fans = large(counts, first, parts, group_windows)
+    shipped = summed.mapInArrow(_ship(window, first, parts, common, slots), "grp long, blob binary, slot long")
+    if slots.max() == 1:
+        return shipped.select("grp", "blob").repartition("grp").sortWithinPartitions("grp").mapInArrow(_mark(window, group_windows), MARK_TYPE)
+    dealt = shipped.repartition("grp", "slot").sortWithinPartitions("grp", "slot")
+    met = written(dealt.mapInArrow(_meet(window, group_windows, slots, fans), f"{MARK_TYPE}, grp long, blob binary"), f"{work_folder(spark, 'substrings')}/met")
+    finer = met.where("grp IS NOT NULL").select("grp", "blob").repartition("grp").sortWithinPartitions("grp")
+    return met.where("grp IS NULL").drop("grp", "blob").union(finer.mapInArrow(_mark(window, group_windows), MARK_TYPE))
 
 
 def _summed_texts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """doc_id, raw, and a sum of the text that tells rows of one doc_id apart."""
+    """doc_id, raw, and a sum of the text that tells rows of one doc_id apart; 0 if no doc_id comes twice."""
+    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id")).where("doc_id IS NOT NULL")
+    once = ids.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("kinds")).first()
     raw = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("raw"))
-    return raw.withColumn("sum", F.xxhash64("raw").bitwiseAND(F.lit(0xFFFFFF)))
+    return raw.withColumn("sum", F.xxhash64("raw") if once.n > once.kinds else F.lit(0).cast("long"))
 
 
 def repeated_passages(docs: DataFrame, window: int = 13, group_windows: int = GROUP_WINDOWS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -441,7 +557,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False, g
 
     Words are `[^\\x20\\x09-\\x0D]+`; null and blank texts have none. A word goes if a window of `window` words covers it whose words
     also start in a document of smaller doc_id; kept words are joined by one space. Rows of one doc_id don't affect each other (two of them with
-    different texts are told apart by 24 bits); rows without doc_id stay whole and affect none. A text of any length that Spark holds (2 GB)
+    different texts are told apart by 64 bits); rows without doc_id stay whole and affect none. A text of any length that Spark holds (2 GB)
     is worked on in pieces of 4 MB. Other columns of docs are not looked at.
     """
     summed = _summed_texts(docs, text, doc_id)

@@ -480,3 +480,52 @@ def test_words_split_like_bytes():
     starts, ends, before = words.split(data, offsets)
     own = [[bytes(data[s:e]) for s, e in zip(starts[a:b], ends[a:b])] for a, b in pairwise(before)]
     assert own == [t.split() for t in texts]
+
+
+def _blob(text: bytes, doc: int, n: int = 1, single: bool = True) -> bytes:
+    data = np.frombuffer(text, np.uint8)
+    starts, ends, _ = words.split(data, np.array([0, len(data)]))
+    return substrings._packed(text, starts, ends, np.array([0]), np.array([n]), np.array([doc]), np.array([0]), np.array([0]), 13, single)
+
+
+def _met(blobs: list[bytes], group_windows: int, slots: int, fan: int) -> tuple[list, dict]:
+    """Marks, and blobs by finer group, of one large group."""
+    rows = sorted((i % slots, b) for i, b in enumerate(blobs))
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(rows)), pa.array([b for _, b in rows], pa.binary()), pa.array([s for s, _ in rows])], names=["grp", "blob", "slot"])
+    marks, finer = [], {}
+    for part in substrings._meet(13, group_windows, np.array([slots]), np.array([fan]))(iter([batch])):
+        for row in part.to_pylist():
+            if row["grp"] is None:
+                marks += [(row["doc_id"], row["first"] + i) for i in range(row["n"])]
+            else:
+                finer.setdefault(row["grp"], []).append(row["blob"])
+    return marks, finer
+
+
+def test_a_window_of_many_documents_is_reduced_before_it_meets():
+    blobs = [_blob(b" ".join(b"w%d" % i for i in range(13)), doc) for doc in range(1, 2001)]
+    marks, finer = _met(blobs, 100, 20, 1)
+    rest = [b for own in finer.values() for b in own]
+    assert len(rest) <= 40 and all(substrings.windows_of(b) <= 1 for b in rest)
+    last = substrings.repeats(rest, 13)
+    assert sorted([d for d, _ in marks] + last[0].tolist()) == list(range(2, 2001))
+
+
+def test_a_large_group_is_spread_over_finer_ones():
+    rng = random.Random(11)
+    texts = [b" ".join(b"x%d" % rng.randrange(10**6) for _ in range(112)) for _ in range(60)]
+    texts += [texts[i] for i in range(0, 60, 4)]
+    blobs = [_blob(t, i, n=100, single=False) for i, t in enumerate(texts)]
+    marks, finer = _met(blobs, 500, 15, 15)
+    assert len(finer) > 10 and max(sum(map(substrings.windows_of, own)) for own in finer.values()) < 1500
+    for own in finer.values():
+        d, _, s, n = substrings.repeats(own, 13)
+        marks += [(a, b + i) for a, b, k in zip(d.tolist(), s.tolist(), n.tolist(), strict=True) for i in range(k)]
+    assert sorted(marks) == [(60 + i, j) for i in range(15) for j in range(100)]
+
+
+def test_two_texts_of_one_doc_id_do_not_mix(spark):
+    base, other = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, base), (2, base + " x x"), (2, "y " + other), (3, other)]
+    got = {(r.doc_id, r.n_words): r.n_removed for r in substrings.remove_repeats(docs_frame(spark, rows)).collect()}
+    assert got == {(1, 40): 0, (2, 42): 40, (2, 41): 0, (3, 40): 40}
