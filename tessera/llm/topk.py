@@ -22,7 +22,7 @@ from tessera.folders import work_folder, written
 from tessera.llm.common import binary_parts, long_array
 
 #: Queries of a block and its bytes at most; scores that a task makes at once; queries in a row of histograms; bytes of vectors that a task holds.
-BINS, QUERY_BLOCK, BLOCK_BYTES, SCORED, SLICE, HELD = 256, 4096, 16 << 20, 1 << 21, 128, 64 << 20
+BINS, QUERY_BLOCK, BLOCK_BYTES, SCORED, SLICE, HELD = 1024, 4096, 16 << 20, 1 << 21, 128, 64 << 20
 LOWEST = np.iinfo(np.int64).min
 BOUNDS = "block int, q long, low long, high long, width long, missing long, fewer boolean"
 FOUND = "query_rid long, query_id long, rid long, vec_id long, score long"
@@ -84,12 +84,15 @@ def _histogram(folder: str, bounds: str, blocks: list[int], dim: int, exact: boo
         for block in blocks if len(rid) else ():
             limits = _table(bounds, block)
             low, high, width = (_numpy(limits, c) for c in ("low", "high", "width"))
-            total = np.zeros((len(low), BINS), np.int64)
+            total = np.zeros((len(low), BINS), np.int32)
             for _, s in _scores(_table(f"{folder}/queries", block), rid, vectors, exact):
                 rows, columns = np.nonzero((s >= low[:, None]) & (s < high[:, None]))
                 total += np.bincount(rows * BINS + (s[rows, columns] - low[rows]) // width[rows], minlength=total.size).reshape(total.shape)
-            at = list(range(0, len(low), SLICE))
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(at), pa.int32()), pa.array(at, pa.int64()), pa.array([total[i : i + SLICE].tobytes() for i in at], pa.binary())], names=["block", "slice", "counts"])
+            for at in range(0, len(low), SLICE):  # only bins that have scores are sent
+                own = total[at : at + SLICE].ravel()
+                hit = np.flatnonzero(own)
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([at], pa.int64()), pa.array([np.concatenate([hit.astype(np.int32), own[hit]]).tobytes()], pa.binary())], names=["block", "slice", "counts"])
 
     return run
 
@@ -102,10 +105,13 @@ def _narrowed(bounds: str):
         for batch in batches:
             data, at = binary_parts(batch.column(2))
             for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                counts = data[at[i] : at[i + 1]].view(np.int64).reshape(-1, BINS)
-                sums[key] = sums[key] + counts if key in sums else counts
+                bins, counts = data[at[i] : at[i + 1]].view(np.int32).reshape(2, -1)
+                if key not in sums:
+                    sums[key] = np.zeros(SLICE * BINS, np.int64)
+                sums[key][bins] += counts
         for (block, first), counts in sums.items():
-            limits = _table(bounds, block).slice(first, len(counts))
+            limits = _table(bounds, block).slice(first, SLICE)
+            counts = counts.reshape(SLICE, BINS)[: len(limits)]
             low, high, width, missing = (_numpy(limits, c) for c in ("low", "high", "width", "missing"))
             above = np.cumsum(counts[:, ::-1], axis=1)
             fewer = _numpy(limits, "fewer") | (above[:, -1] < missing)
@@ -170,15 +176,17 @@ def top_k(vectors: DataFrame, k: int, scale: float, query_mod: int, vec_id: str
     queries = queries.withColumn("q", F.row_number().over(Window.partitionBy("block").orderBy("rid")).cast("long") - 1)  # some `size` rows a block
     queries.select("rid", "vec_id", "v", "q", "block", "reach").write.partitionBy("block").parquet(f"{folder}/queries")
     asked = spark.read.parquet(f"{folder}/queries").select("block", "q", "reach")
-    blocks = sorted(r.block for r in asked.select("block").distinct().collect())  # a number for each block that has queries
+    sizes = sorted((r.block, r["count"]) for r in asked.groupBy("block").count().collect())  # two numbers for each block that has queries
+    blocks = [block for block, _ in sizes]
     start = asked.select("block", "q", (-F.col("reach")).alias("low"), (F.col("reach") + 1).alias("high"), F.ceil((2 * F.col("reach") + 1) / BINS).cast("long").alias("width"), F.lit(k).cast("long").alias("missing"), F.lit(False).alias("fewer"))
     start.write.partitionBy("block").parquet(f"{folder}/bounds-0")
+    none = spark.createDataFrame(sizes, "block int, n long").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SLICE).cast("long"))).alias("slice"), F.lit(b"").alias("counts"))  # also queries without a score have bounds
     tasks = max(spark.sparkContext.defaultParallelism, -(-facts["n"] * dim * 8 // HELD))
     dealt = base.repartition(tasks, "rid").persist(StorageLevel.DISK_ONLY)
     span, rounds = 2 * (int((facts["most"] * norm) ** 0.5 * (1 + 1e-9)) + 3) + 1, 0
     while span > 1:
         bounds = f"{folder}/bounds-{rounds}"
-        counts = dealt.mapInArrow(_histogram(folder, bounds, blocks, dim, exact), "block int, slice long, counts binary").repartition("block", "slice")
+        counts = dealt.mapInArrow(_histogram(folder, bounds, blocks, dim, exact), "block int, slice long, counts binary").union(none).repartition("block", "slice")
         counts.mapInArrow(_narrowed(bounds), BOUNDS).write.partitionBy("block").parquet(f"{folder}/bounds-{rounds + 1}")
         span, rounds = -(-span // BINS), rounds + 1
     found = written(dealt.mapInArrow(_select(folder, f"{folder}/bounds-{rounds}", blocks, dim, exact), FOUND), f"{folder}/found")
