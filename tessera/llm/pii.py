@@ -415,11 +415,19 @@ def added(base: Column, proposed: Column, model: Trees) -> Column:
     return let(sure, swept)
 
 
+@functools.lru_cache(maxsize=8)
+def expressions(application: str, model: Trees) -> tuple[Column, Column, Column]:
+    """Base spans and candidates of the column t_, and from both, as columns base_ and wide_, the added spans: array of (k, start, end). They have
+    tens of thousands of nodes, which take seconds to put together, so an application does that once."""
+    del application
+    new = F.transform(added(F.col("base_"), F.col("wide_"), model), lambda s: F.struct(s["k"].alias("k"), s["start"].alias("start"), s["end"].alias("end")))
+    return base_spans(F.col("t_")), candidates(F.col("t_")), new
+
+
 def with_spans(docs: DataFrame, model: Trees, text: Column) -> DataFrame:
     """docs with base_ and added_, arrays of (k, start, end)."""
-    out = docs.withColumn("base_", base_spans(text)).withColumn("wide_", candidates(text))
-    new = F.transform(added(F.col("base_"), F.col("wide_"), model), lambda s: F.struct(s["k"].alias("k"), s["start"].alias("start"), s["end"].alias("end")))
-    return out.withColumn("added_", new).drop("wide_")
+    base, wide, new = expressions(docs.sparkSession.sparkContext.applicationId, model)
+    return docs.withColumn("t_", text).withColumn("base_", base).withColumn("wide_", wide).withColumn("added_", new).drop("wide_", "t_")
 
 
 def written_spans(spans_: Column) -> Column:
