@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.folders import exists
-from tessera.functions import rust, text
+from tessera.functions import text
+from tessera.functions.rust import package
 
 BAD = "_malformed"
 #: Records of the files that evaluations and promotions write.
@@ -104,7 +105,7 @@ def source_files(spark: SparkSession, root: str, include: list[str], exclude: li
 
 def _manifest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame([x for value in batch["value"] for x in rust.package(value)], columns=["name", "deps"])
+        yield pd.DataFrame([x for value in batch["value"] for x in package(value)], columns=["name", "deps"])
 
 
 def manifests(spark: SparkSession, glob: str) -> DataFrame:
