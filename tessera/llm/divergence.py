@@ -68,22 +68,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lang, source = (part.column(i).dictionary_encode() for i in (0, 1))
                 pair = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
                 _, lead, group = np.unique(pair, return_index=True, return_inverse=True)
-                keys, n = np.unique(group[doc] * size + term, return_counts=True)
-                once = np.unique(doc * size + term)
-                docs = np.unique(group[once // size] * size + once % size, return_counts=True)[1]
+                own, times = np.unique(doc * size + term, return_counts=True)  # a document's terms
+                (keys,), n, docs = combined([group[own // size] * size + own % size], times, rows=True)
                 yield out(groups, lead[keys // size], coded.dictionary.take(pa.array(keys % size)), n, docs)
 
     return released(run())
 
 
-def combined(columns: list[np.ndarray], m: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray]:
-    """Each combination of columns once, and the sum of its multiplicities (one each, if not given)."""
-    order = np.lexsort(columns[::-1])
+def combined(columns: list[np.ndarray], m: np.ndarray | None, rows: bool = False) -> tuple:
+    """Each combination of columns once, and the sum of its multiplicities (one each, if not given); with rows, also how many rows it had."""
+    order = np.lexsort(columns[::-1]) if len(columns) > 1 else np.argsort(columns[0], kind="stable")
     columns = [c[order] for c in columns]
     new = np.ones(len(order), bool)
     new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
     lead = np.flatnonzero(new)
-    return [c[lead] for c in columns], np.add.reduceat(m[order], lead) if m is not None else np.diff(np.append(lead, len(order)))
+    many = np.diff(np.append(lead, len(order)))
+    found = [c[lead] for c in columns], np.add.reduceat(m[order], lead) if m is not None else many
+    return (*found, many) if rows else found
 
 
 def tallied(term: np.ndarray, group: np.ndarray, n: np.ndarray) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
