@@ -8,10 +8,17 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders made inside of `cleaned`, by its thread.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 @functools.cache
 def _own() -> str:
     """This process's temporary folder, gone when it ends."""
@@ -44,7 +51,26 @@ def work_folder(spark: SparkSession, what: str) -> str:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = f"file://{_own()}"
-    return f"{qualified(spark, base).rstrip('/')}/tessera-{what}-{uuid.uuid4().hex}"
+    folder = f"{qualified(spark, base).rstrip('/')}/tessera-{what}-{uuid.uuid4().hex}"
+    if (made := _MADE.get()) is not None:
+        made.append(folder)
+    return folder
+
+
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end and after an error too, the work folders that this thread made inside of it. Results are lazy, so write what is wanted before the end.
+
+    An inner one deletes its own folders only. Folders that were never written are passed over.
+    """
+    made: list[str] = []
+    outer = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(outer)
+        for folder in made:
+            remove(spark, folder)
 
 
 def written(df: DataFrame, path: str) -> DataFrame:

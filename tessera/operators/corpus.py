@@ -45,6 +45,12 @@ def held_out_samples(files: DataFrame, fraction: float = 0.15) -> DataFrame:
     return own.select("path", text.file_sample(F.col("path"), F.col("content")).alias("training_content"))
 
 
+def both_sides(files: DataFrame, fraction: float = 0.15, rate: float = 0.5) -> DataFrame:
+    """held_out, path, training_content of all files, from one look at each: what samples and held_out_samples give."""
+    plain, mode = text.file_sample(F.col("path"), F.col("content")), F.col("fim_mode")
+    return split(files, fraction, rate).select("held_out", "path", F.when(mode.isNull(), plain).otherwise(text.fim(plain, mode)).alias("training_content"))
+
+
 def merged(changes: DataFrame) -> DataFrame:
     """Changes with a time of merging."""
     return changes.where(F.coalesce(F.col("merged_at").cast("string"), F.lit("")) != "")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.folders import work_folder
-from tessera.functions import rust
+from tessera.functions import config, rust
 from tessera.operators import evaluation, graph, stages
+from tessera.plans.corpus_queries import FILES, MODE, table
 from tessera.plans.corpus_queries import files as source_rows
-from tessera.plans.corpus_queries import table
 from tessera.plans.registry import register
 from tessera.plans.result_queries import curve
 from tessera.plans.selection_queries import registry as registry_rows
@@ -112,6 +112,35 @@ def split_sinks(spark, sf_dir):
     return both.agg(F.countDistinct("path").alias("n"))
 
 
+@register("split_table", f"WITH {FILES} SELECT bucket % 100 < 15 AS held_out, path, ({MODE}) IS NOT NULL AS rewritten FROM files")
+def split_table(spark, sf_dir):
+    """Both sides, written in one pass, as they come back."""
+    path = f"{work_folder(spark, 'source')}/split"
+    sinks.split_table(source_rows(spark, sf_dir), path)
+    back = spark.read.schema("path string, training_content string, held_out boolean").option("mode", "FAILFAST").json(path)
+    return back.select("held_out", "path", F.col("training_content").rlike("^<.fim_(prefix|suffix).>").alias("rewritten"))
+
+
+SETTINGS = """s AS (SELECT 's' || s_suppkey AS config, * FROM supplier)
+SELECT config, 'name' AS key, s_name AS value FROM s UNION ALL SELECT config, 'train.steps', (s_suppkey * 10)::VARCHAR FROM s UNION ALL
+SELECT config, 'train.optimizer.betas', '[' || s_nationkey || ',' || s_suppkey || ']' FROM s UNION ALL SELECT config, 'train.optimizer.fused', (s_suppkey % 2 = 0)::VARCHAR FROM s UNION ALL
+SELECT config, 'train.resume', NULL FROM s UNION ALL SELECT config, 'stage-' || s_nationkey || '.on', 'true' FROM s WHERE s_suppkey % 3 = 0"""
+
+
+@register("config_settings", f"WITH {SETTINGS}")
+def config_settings(spark, sf_dir):
+    """Configurations of different fields, written as JSON lines, as rows of settings."""
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey").cast("string")
+    optimizer = F.concat(F.lit('{"betas":['), nation, F.lit(","), key.cast("string"), F.lit('],"fused":'), (key % 2 == 0).cast("string"), F.lit("}"))
+    train = F.concat(F.lit('{"steps":'), (key * 10).cast("string"), F.lit(',"resume":null,"optimizer":'), optimizer, F.lit("}"))
+    stage = F.when(key % 3 == 0, F.concat(F.lit(',"stage-'), nation, F.lit('":{"on":true}'))).otherwise(',"unused":{}')
+    body = F.concat(F.lit('{"name":"'), "s_name", F.lit('","train":'), train, stage, F.lit("}"))
+    own = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), key.cast("string")).alias("config"), body.alias("body"))
+    path = f"{work_folder(spark, 'source')}/settings"
+    sinks.json_lines(own, path)
+    return config.settings_rows(files.json_lines(spark, path, "config string, body string", strict=True))
+
+
 @register("eval_ids_recursive", "SELECT 't' || conv_id AS task_id FROM conversations WHERE conv_id % 2 = 0 UNION SELECT 'pr-' || conv_id FROM conversations WHERE conv_id % 2 = 1 AND conv_id > 0 UNION SELECT 'pr-' || s_suppkey FROM supplier WHERE s_suppkey > 0")
 def eval_ids_recursive(spark, sf_dir):
     """Ids of two folders: by field or by number, with broken lines between them."""

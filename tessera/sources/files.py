@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.folders import exists
-from tessera.functions import text
+from tessera.functions import config, text
 from tessera.functions.rust import package
 
 BAD = "_malformed"
@@ -103,6 +104,19 @@ def source_files(spark: SparkSession, root: str, include: list[str], exclude: li
     return rows.join(order, "name", "left").select("path", "content", "topo_rank")
 
 
+def _configuration(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        stem, suffix = batch["name"].str.rsplit(".", n=1, expand=True).reindex(columns=[0, 1]).to_numpy().T
+        yield pd.DataFrame({"config": stem, "body": [json.dumps(config.parsed(value, f".{x}"), default=str) for value, x in zip(batch["value"], suffix, strict=True)]})
+
+
+def configurations(spark: SparkSession, folder: str) -> DataFrame:
+    """config (a file's stem), body (JSON text) of the configuration files of a folder; see config.settings_rows. A file that can't be parsed is an error; other files are not looked at."""
+    pattern = "*.{" + ",".join(x[1:] for x in config.SUFFIXES) + "}"
+    found = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
+    return found.select(F.col("_metadata.file_name").alias("name"), "value").mapInPandas(_configuration, "config string, body string")
+
+
 def _manifest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         yield pd.DataFrame([x for value in batch["value"] for x in package(value)], columns=["name", "deps"])

@@ -48,3 +48,9 @@ def split_samples(files: DataFrame, train: str, held: str, fraction: float = 0.1
     """Training samples and, beside them, held-out ones, as JSON lines."""
     json_lines(corpus.samples(files, fraction, rate), train)
     json_lines(corpus.held_out_samples(files, fraction), held)
+
+
+def split_table(files: DataFrame, path: str, fraction: float = 0.15, rate: float = 0.5) -> None:
+    """Both sides of the split as JSON lines under path/held_out=false and path/held_out=true, in one pass and one commit; files without a path are on neither side."""
+    both = corpus.both_sides(files, fraction, rate).where("held_out IS NOT NULL")
+    both.write.mode("overwrite").partitionBy("held_out").json(path)

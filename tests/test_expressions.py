@@ -231,6 +231,38 @@ def test_config(spark, tmp_path):
         config.load(str(tmp_path), "none")
 
 
+def test_settings_rows(spark, tmp_path):
+    import json
+
+    from tessera.sources import files
+
+    rows = lambda *bodies, **more: sorted(tuple(r) for r in config.settings_rows(spark.createDataFrame([(f"c{i}", b) for i, b in enumerate(bodies)], "config string, body string"), **more).collect())
+    nested = {"x": 1, "t": 'a"b', "e": {}, "y": {"z": [1, {"q": "é"}], "n": None, "w": {"v": True, "f": 1.5}}}
+    assert rows(json.dumps(nested), None, "{}", "[1]") == [("c0", "t", 'a"b'), ("c0", "x", "1"), ("c0", "y.n", None), ("c0", "y.w.f", "1.5"), ("c0", "y.w.v", "true"), ("c0", "y.z", '[1,{"q":"é"}]'), ("c3", "", "[1]")]
+    assert rows() == [] and len(rows('{"a": 1}', '{"a": 1}')) == 2
+    for depth, broken, said in ((16, '{"a": ', "end-of-input"), (2, '{"a": {"b": {"c": 1}}}', "too many objects")):
+        with pytest.raises(Exception, match=said):  # the session may wrap it
+            rows(broken, depth=depth)
+    assert rows('{"a": {"b": {"c": 1}}}', depth=3) == [("c0", "a.b.c", "1")]
+
+    (tmp_path / "a.json").write_text('{"x": {"y": 1}}')
+    (tmp_path / "b.v2.toml").write_text("[t]\nn = 3\nday = 2024-01-02\n")
+    (tmp_path / "note.txt").write_text("not a setting")
+    want = [("a", "x.y", "1"), ("b.v2", "t.day", "2024-01-02"), ("b.v2", "t.n", "3")]
+    try:
+        import yaml  # noqa: F401
+
+        (tmp_path / "c.yaml").write_text("m:\n  lora: {r: 8}\n")
+        (tmp_path / "d.yml").write_text("")
+        want.append(("c", "m.lora.r", "8"))
+    except ImportError:
+        pass
+    assert sorted(tuple(r) for r in config.settings_rows(files.configurations(spark, str(tmp_path))).collect()) == want
+    for name in ("a.json", "b.v2.toml"):  # the same keys as on the driver
+        stem = name.rpartition(".")[0]
+        assert {k for k, _ in config.flatten(config.load(str(tmp_path), name))} == {k for c, k, _ in want if c == stem}
+
+
 def test_token_capture(spark):
     from tessera.operators import chat
 

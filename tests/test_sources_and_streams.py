@@ -130,6 +130,30 @@ def test_readers_of_shards_and_ids(spark, tmp_path):
     assert schema.names == ["x"]
 
 
+def test_cleaned(spark):
+    with pytest.raises(KeyError), folders.cleaned(spark):
+        outer, never = folders.work_folder(spark, "outer"), folders.work_folder(spark, "never")
+        folders.written(spark.range(2), f"{outer}/x")
+        with folders.cleaned(spark):
+            inner = folders.work_folder(spark, "inner")
+            folders.written(spark.range(2), f"{inner}/x")
+        assert not folders.exists(spark, inner) and folders.exists(spark, outer)
+        raise KeyError
+    assert not folders.exists(spark, outer) and not folders.exists(spark, never)
+    after = folders.work_folder(spark, "after")
+    assert folders.written(spark.range(2), f"{after}/x").count() == 2 and folders.remove(spark, after)
+
+
+def test_split_table(spark, tmp_path):
+    from tessera.operators import corpus
+
+    rows = spark.createDataFrame([(f"a/{i}.{'rs' if i % 3 else 'md'}", f"text {i} " * (i % 5)) for i in range(200)] + [("a/0.md", ""), (None, "x"), ("a/b.rs", None)], "path string, content string")
+    sinks.split_table(rows, f"{tmp_path}/split")
+    kind = "path string, training_content string"
+    both = [sorted(map(repr, spark.read.schema(kind).json(f"{tmp_path}/split/held_out={side}").collect())) for side in ("false", "true")]
+    assert both == [sorted(map(repr, x.collect())) for x in (corpus.samples(rows), corpus.held_out_samples(rows))] and all(both)
+
+
 def test_work_folders(spark, tmp_path, monkeypatch):
     own = folders.work_folder(spark, "test")
     assert own.startswith("file:///") and folders.written(spark.range(2), f"{own}/x").count() == 2
