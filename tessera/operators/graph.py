@@ -193,15 +193,22 @@ def topological_order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, most: int = 100) -> DataFrame:
-    """name, dep, distance of all nodes that can be reached from each other one along edges (name, dep), by a recursive query of `most` steps at most.
+    """name, dep, distance of all nodes that can be reached from each other one along edges (name, dep), in `most` steps at most.
 
-    A way doesn't come to a node twice, so cycles end; a node in a cycle reaches itself. More steps are an error of the query (RECURSION_LEVEL_LIMIT_EXCEEDED). For graphs of packages:
-    all ways are followed.
+    The reach doubles: a shortest way of more than n and at most 2n steps is one of exactly n steps and a shortest one behind it. So there are as many rounds as the longest distance has binary
+    digits, and each pair is kept once, however many ways lead to it. Cycles end, since only new pairs go on; a node in a cycle reaches itself. More steps are an error (RECURSION_LEVEL_LIMIT_EXCEEDED).
     """
-    query = f"""
-        WITH RECURSIVE way(name, dep, path) MAX RECURSION LEVEL {most} AS (
-          SELECT name, dep, array(dep) FROM {{edges}}
-          UNION ALL
-          SELECT way.name, e.dep, array_append(path, e.dep) FROM way JOIN {{edges}} e ON way.dep = e.name WHERE NOT array_contains(path, e.dep)
-        ) SELECT name, dep, min(size(path)) AS distance FROM way GROUP BY name, dep"""
-    return edges.sparkSession.sql(query, edges=edges.select("name", "dep").where("name IS NOT NULL AND dep IS NOT NULL").distinct())
+    folder, reach = work_folder(edges.sparkSession, "reach"), 1
+    known = written(edges.select("name", "dep").where("name IS NOT NULL AND dep IS NOT NULL").distinct().withColumn("distance", F.lit(1)), f"{folder}/{reach}")
+    while True:
+        last = known.where(F.col("distance") == reach)
+        if last.isEmpty():
+            return known
+        behind = known.select(F.col("name").alias("via"), F.col("dep").alias("to"), F.col("distance").alias("more"))
+        longer = last.join(behind, F.col("dep") == F.col("via")).select("name", F.col("to").alias("dep"), (F.col("more") + reach).alias("distance"))
+        new = known.union(longer).groupBy("name", "dep").agg(F.min("distance").alias("distance")).where(F.col("distance") > reach)
+        reach *= 2
+        new = written(new, f"{folder}/{reach}")
+        if reach > most and not new.where(F.col("distance") > most).isEmpty():
+            raise ValueError(f"RECURSION_LEVEL_LIMIT_EXCEEDED: a way has more than {most} steps")
+        known = known.union(new)

@@ -86,6 +86,17 @@ def test_reachable_packages(spark):
         graph.reachable(chain, most=4).collect()
 
 
+def test_reachable_packages_over_very_many_ways(spark):
+    pairs = [(i, x, y) for i in range(24) for x in "ab" for y in "ab"]  # 2^24 ways from one end to the other
+    edges = spark.createDataFrame([(f"{x}{i}", f"{y}{i + 1}") for i, x, y in pairs], "name string, dep string")
+    found = graph.reachable(edges)
+    assert {(r.name, r.dep): r.distance for r in found.collect()} == {(f"{x}{i}", f"{y}{j}"): j - i for i in range(25) for j in range(i + 1, 25) for x in "ab" for y in "ab"}
+    assert found.dtypes == [("name", "string"), ("dep", "string"), ("distance", "int")]
+    assert graph.reachable(edges, most=24).count() == found.count() and graph.reachable(edges.limit(0)).collect() == []
+    with pytest.raises(Exception, match="RECURSION_LEVEL_LIMIT"):
+        graph.reachable(edges, most=23).collect()
+
+
 @pytest.mark.parametrize("run", [None, "run"])
 def test_values_since_the_last_event(spark, run):
     rng = random.Random(6)
