@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Iterator
 
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from tessera.folders import work_folder, written
 from tessera.operators.scan import ranked
 
-#: Edges that one task joins into components at once.
-IN_ONE = 2_000_000
+#: Edges that one task joins into components at once; packages that one task orders at once, and rows of an order that it hands on at once.
+IN_ONE, ORDERED, ROWS = 2_000_000, 1_000_000, 10_000
 
 
 def smallest_members(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,50 +116,133 @@ def smallest_first(nodes: dict[str, set[str]]) -> list[str]:
 
 
 def _ordered(most: int):
-    """Each component's own order, with the largest name so far."""
+    """The own order of each group of packages, with the largest name so far. The rows come sorted by group."""
+    names, kinds = ["name", "rest", "high", "i"], (pa.string(), pa.bool_(), pa.string(), pa.int64())
+
+    def rows(group: dict[str, set[str]]) -> list[tuple]:
+        order, high, out = popped(group), "", []
+        for i, name in enumerate(order):
+            high = max(high, name)
+            out.append((name, False, high, i))
+        return out + [(name, True, name, 0) for name in set(group) - set(order)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(group: dict[str, set[str]]) -> pa.RecordBatch:
-            order, high, rows = popped(group), "", []
-            for i, name in enumerate(order):
-                high = max(high, name)
-                rows.append((name, False, high, i))
-            rows += [(name, True, name, 0) for name in set(group) - set(order)]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.bool_(), pa.string(), pa.int64()), strict=True)], names=["name", "rest", "high", "i"])
-
-        component, group = None, {}
+        def out() -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(held), ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held[at : at + ROWS], strict=True), kinds, strict=True)], names=names)
+            held.clear()
+
+        component, group, held = None, {}, []
         for batch in batches:
             for c, name, dep in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if group and c != component:
-                    yield out(group)
+                    held += rows(group)
                     group = {}
+                    if len(held) >= ROWS:
+                        yield from out()
                 component = c
                 group.setdefault(name, set())
                 if dep is not None:
                     group[name].add(dep)
                 if len(group) > most:
                     raise ValueError("a component has too many packages for one task: use topological_levels")
-        if group:
-            yield out(group)
+        held += rows(group)
+        yield from out()
 
     return run
 
 
-def topological_ranks(packages: DataFrame, most: int = 1_000_000) -> DataFrame:
+def _highest(names: DataFrame, edges: DataFrame) -> DataFrame:
+    """name, high of names (name) by edges (a, b) among them, distinct and without loops: the largest name of a node and all that it needs, directly or not. Nodes in or behind a cycle are left out.
+
+    Nodes that need one other are ways to the next node that needs none or several; ways double in length each round. The nodes that need several are peeled off by counts of open needs.
+    """
+    folder = work_folder(names.sparkSession, "highest")
+    needs = edges.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("to"))
+    known = written(names.join(needs, F.col("name") == F.col("a"), "left").select("name", F.coalesce("n", F.lit(0)).alias("n"), "to"), f"{folder}/needs")
+    ends = known.where("n <> 1").select(F.col("name").alias("to"), F.lit(True).alias("done"))
+    way = known.where("n = 1").select("name", "to").join(ends, "to", "left").select("name", "to", F.col("name").alias("high"), F.coalesce("done", F.lit(False)).alias("done"))
+    way, i, before = written(way, f"{folder}/way-0"), 0, None
+    while (left := way.where("NOT done").count()) and left != before:  # as many as before: only those in or behind a cycle
+        before, i = left, i + 1
+        on = way.select(F.col("name").alias("to"), F.col("to").alias("next"), F.col("high").alias("far"), F.col("done").alias("over"))
+        longer = way.where("NOT done").join(on, "to").select("name", F.col("next").alias("to"), F.greatest("high", "far").alias("high"), F.col("over").alias("done"))
+        way = written(way.where("done").union(longer), f"{folder}/way-{i}")
+    several, depth = known.where("n > 1").select("name", "n", F.col("name").alias("high")), 0
+    ready = written(known.where("n = 0").select("name", F.col("name").alias("high")), f"{folder}/levels/level=0")
+    if not several.isEmpty():
+        asked = edges.join(several.select(F.col("name").alias("a")), "a", "left_semi").join(way.withColumnRenamed("to", "via"), F.col("b") == F.col("name"), "left").where("done IS NULL OR done")
+        asked = written(asked.select("a", F.coalesce("via", "b").alias("via"), F.col("high").alias("top")), f"{folder}/asked")
+        while not ready.isEmpty():
+            met = asked.join(ready.select(F.col("name").alias("via"), F.col("high").alias("far")), "via").groupBy("a").agg(F.count("*").alias("met"), F.max(F.greatest("top", "far")).alias("far"))
+            state = several.join(met, F.col("name") == F.col("a"), "left").select("name", (F.col("n") - F.coalesce("met", F.lit(0))).alias("n"), F.greatest("high", "far").alias("high"))
+            depth += 1
+            state = written(state, f"{folder}/state-{depth}")
+            ready, several = written(state.where("n = 0").select("name", "high"), f"{folder}/levels/level={depth}"), state.where("n > 0")
+    done = names.sparkSession.read.schema("name string, high string, level int").option("basePath", f"{folder}/levels").parquet(f"{folder}/levels").select("name", "high")
+    far = way.where("done").join(done.select(F.col("name").alias("to"), F.col("high").alias("far")), "to")
+    return written(done.union(far.select("name", F.greatest("high", "far").alias("high"))), f"{folder}/highest")
+
+
+def _by_highest(names: DataFrame, edges: DataFrame, in_one: int) -> DataFrame:
+    """name, rest, high, more, i of a graph of any size: sorted by rest, high, more and i this is the order of smallest_first.
+
+    A largest name comes only when nothing else can come, so it is followed by just those that need it: the order goes by the largest name that a package is or needs (high). Those that share it are a
+    block, which begins with that name itself. A block that fits a task is ordered there; a larger one, without its first, is a graph that is divided in the same way (more: the largest names there).
+    """
+    folder, out, depth = work_folder(names.sparkSession, "blocks"), [], 0
+    names = names.select("name", F.array().cast("array<string>").alias("keys"))
+    while True:
+        high = names.join(_highest(names.select("name"), edges), "name", "left")
+        sizes = high.groupBy("high").agg(F.count("*").alias("size"))
+        keyed = high.join(sizes, "high", "left").select("name", "size", F.col("high").alias("block"), F.array_append("keys", F.coalesce("high", "name")).alias("keys"))
+        keyed = written(keyed, f"{folder}/{depth}-keyed")
+        place = [F.col("block").isNull().alias("rest"), F.element_at("keys", 1).alias("high"), F.slice("keys", 2, 1_000_000_000).alias("more")]
+        first = F.col("block").isNull() | (F.col("size") == 1) | (F.col("size") > in_one) & (F.col("name") == F.col("block"))
+        out.append(keyed.where(first).select("name", *place, F.lit(0).cast("long").alias("i")))
+        more = keyed.where(~first)
+        if more.isEmpty():
+            break
+        a, b = more.select(F.col("name").alias("a"), F.col("block").alias("block_a")), more.select(F.col("name").alias("b"), F.col("block").alias("block_b"))
+        edges = written(edges.join(a, "a").join(b, "b").where("block_a = block_b").select("a", "b"), f"{folder}/{depth}-edges")
+        small = more.where(F.col("size") <= in_one)
+        rows = small.join(edges, F.col("name") == F.col("a"), "left").select("block", "name", F.col("b").alias("dep")).repartition("block").sortWithinPartitions("block", "name")
+        placed = rows.mapInArrow(_ordered(in_one), "name string, rest boolean, high string, i long").select("name", "i")
+        out.append(small.join(placed, "name").select("name", *place, "i"))
+        names, depth = more.where(F.col("size") > in_one).select("name", "keys"), depth + 1
+        edges = edges.join(names.select(F.col("name").alias("a")), "a", "left_semi")
+        if names.isEmpty():
+            break
+    return functools.reduce(DataFrame.union, out)
+
+
+def topological_ranks(packages: DataFrame, most: int | None = None, in_one: int = ORDERED) -> DataFrame:
     """name, topo_rank of packages (name, deps: array of names): each after its dependencies, always the smallest name of those that could be next; packages in or behind a cycle end the order, by name.
 
     That order is defined one pop at a time, but only within a component of the graph: a component's next package comes as soon as it is the smallest of all that could come, so a package
-    comes right after the largest name before it in its own component. Tasks order the components, of `most` packages at most, and a sort by that name puts them together.
+    comes right after the largest name before it in its own component. Tasks order the components, of `in_one` packages at most, and a sort by that name puts them together. Larger
+    components are first divided into blocks by the largest name that a package is or needs (see _by_highest); with `most`, one of more packages than that is an error.
     Names that are no package, and a package's dependency on itself, don't count. Repeated names are one package with all their dependencies.
     """
+    folder = work_folder(packages.sparkSession, "order")
     own = packages.where("name IS NOT NULL").select(F.col("name").cast("string").alias("name"), "deps")
     names = own.select("name").distinct()
     edges = own.select(F.col("name").alias("a"), F.explode("deps").alias("b")).where("a <> b").join(names.withColumnRenamed("name", "b"), "b", "left_semi").select("a", "b").distinct()
-    edges = written(edges, f"{work_folder(packages.sparkSession, 'order')}/edges")
+    edges = written(edges, f"{folder}/edges")
     tied = components(edges)
+    sizes = tied.groupBy("component").agg(F.count("*").alias("size"))
+    if most is not None and not sizes.where(F.col("size") > most).isEmpty():
+        raise ValueError("a component has too many packages for one task: use topological_levels")
+    large = written(sizes.where(F.col("size") > in_one), f"{folder}/large")  # a row for each in_one packages at most
+    far = None
+    if not large.isEmpty():
+        inside = written(tied.join(F.broadcast(large), "component", "left_semi").select("node"), f"{folder}/inside")
+        far = _by_highest(inside.select(F.col("node").alias("name")), edges.join(inside, F.col("a") == F.col("node"), "left_semi"), in_one)
+        names, edges = names.join(inside, F.col("name") == F.col("node"), "left_anti"), edges.join(inside, F.col("a") == F.col("node"), "left_anti")
     rows = names.join(edges, F.col("name") == F.col("a"), "left").join(tied, F.col("name") == F.col("node"), "left").select(F.coalesce("component", "name").alias("c"), "name", F.col("b").alias("dep"))
-    ordered = rows.repartition("c").sortWithinPartitions("c", "name").mapInArrow(_ordered(most), "name string, rest boolean, high string, i long")
-    return ranked(ordered, "rest", "high", "i").select("name", F.col("rank_").alias("topo_rank"))
+    ordered = rows.repartition("c").sortWithinPartitions("c", "name").mapInArrow(_ordered(in_one), "name string, rest boolean, high string, i long")
+    ordered = ordered.select("name", "rest", "high", F.array().cast("array<string>").alias("more"), "i")
+    return ranked(ordered if far is None else ordered.union(far), "rest", "high", "more", "i").select("name", F.col("rank_").alias("topo_rank"))
 
 
 def topological_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:

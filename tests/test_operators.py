@@ -56,6 +56,15 @@ def test_orders_of_nothing_and_of_a_component_that_is_too_large(spark):
         graph.topological_ranks(chain, most=20).collect()
 
 
+def test_order_of_a_graph_without_cycles_beyond_a_task(spark):
+    rng = random.Random(9)
+    names = [f"n{i:02}" for i in range(40)]
+    rng.shuffle(names)
+    deps = {n: set(rng.sample(names[:i], min(i, rng.choice([0, 1, 1, 2, 3])))) for i, n in enumerate(names)}  # names that rise and fall along the edges
+    frame = spark.createDataFrame([(n, sorted(d)) for n, d in deps.items()], "name string, deps array<string>").repartition(3)
+    assert [r.name for r in graph.topological_ranks(frame, in_one=6).orderBy("topo_rank").collect()] == graph.smallest_first(deps)
+
+
 @pytest.mark.parametrize("in_one", [graph.IN_ONE, 0])
 def test_components(spark, in_one):
     rng = random.Random(4)
