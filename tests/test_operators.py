@@ -56,6 +56,13 @@ def test_orders_of_nothing_and_of_a_component_that_is_too_large(spark):
         graph.topological_ranks(chain, most=20).collect()
 
 
+@pytest.mark.parametrize(("seed", "in_one"), [(1, 1), (2, 3), (3, 1), (5, 8), (8, 2)])
+def test_order_of_components_beyond_a_task(spark, seed, in_one):
+    deps = packages(seed)
+    frame = spark.createDataFrame([(n, [*sorted(d), "zz"]) for n, d in deps.items()], "name string, deps array<string>").repartition(3)
+    assert [(r.name, r.topo_rank) for r in graph.topological_ranks(frame, in_one=in_one).orderBy("topo_rank").collect()] == [(n, i) for i, n in enumerate(graph.smallest_first(deps))]
+
+
 def test_order_of_a_graph_without_cycles_beyond_a_task(spark):
     rng = random.Random(9)
     names = [f"n{i:02}" for i in range(40)]
