@@ -10,6 +10,8 @@ from tessera.operators import chat, corpus, evaluation, tasks
 from tessera.plans.corpus_queries import table
 from tessera.plans.registry import register
 
+#: Lines that a task gathers into lists at once.
+LINES = 500_000
 CHEAP = tuple(f"Brand#{i}" for i in range(1, 16))
 CHEAP_SQL = "[" + ", ".join(f"'{c}'" for c in CHEAP) + "]"
 TASKS = f"""tasks AS (SELECT o_orderkey AS task_id, crates, len(crates) = 1 AS single_crate, CASE WHEN len(list_filter(crates, lambda x: NOT list_contains({CHEAP_SQL}, x))) = 0 THEN 'execution' ELSE 'pattern' END AS verify_mode
@@ -18,7 +20,9 @@ FROM (SELECT l_orderkey AS o_orderkey, list_sort(list_distinct(list(p_brand))) A
 
 def order_tasks(spark, sf_dir) -> DataFrame:
     """task_id, ord, crates, single_crate, verify_mode of orders."""
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = table(spark, sf_dir, "lineitem")
+    n = max(spark.sparkContext.defaultParallelism, lines.count() // LINES)  # lists are sorted by task to be merged: as many partitions as the lines need
+    lines = lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_brand").repartition(n, "l_orderkey")
     own = lines.groupBy(F.col("l_orderkey").alias("task_id")).agg(F.array_sort(F.collect_set("p_brand")).alias("crates"))
     return own.select("task_id", F.col("task_id").alias("ord"), "crates", (F.size("crates") == 1).alias("single_crate"), tasks.verify_mode(F.col("crates"), CHEAP).alias("verify_mode"))
 

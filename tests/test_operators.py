@@ -1,6 +1,7 @@
 """Operators against plain Python on small tables, empty ones included."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -485,3 +486,16 @@ def test_stages_go_on_behind_the_last_complete_one(spark):
             stages.dispatched(rows, both, folder, **wrong)
     with pytest.raises(ValueError, match="aren't complete"):
         stages.dispatched(rows, both, folders.work_folder(spark, "stages"), first="c")
+
+
+def test_lists_of_tasks_are_gathered_in_as_many_partitions_as_the_lines_need(spark, monkeypatch):
+    from tessera.plans import task_queries
+
+    folder, rows = "/root/testdata/sf0.001", []
+    for lines in (100, 10**9):
+        monkeypatch.setattr(task_queries, "LINES", lines)
+        own = task_queries.order_tasks(spark, folder)
+        rows.append(sorted(map(str, own.collect())))
+        n = max(spark.sparkContext.defaultParallelism, spark.read.parquet(f"{folder}/lineitem.parquet").count() // lines)
+        assert f"hashpartitioning(l_orderkey, {n})" in re.sub(r"#\d+L?", "", own._jdf.queryExecution().executedPlan().toString())
+    assert rows[0] == rows[1]
