@@ -279,3 +279,19 @@ def test_cost(spark):
     from tessera.operators import evaluation
 
     assert one(spark, evaluation.cost(F.col("m"), F.lit(2_000_000), {"api": 5.0}), m="api") == 10.0 and one(spark, evaluation.cost(F.col("m"), F.lit(9), {"api": 5.0}), m="own") == 0.0
+
+
+def test_a_batch_of_sources_is_not_held_as_objects():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    source = RUST + "// é" + "x" * 8_000 + "\n"
+    batch = pa.array([source, None, ""] * 500)
+    tracemalloc.start()
+    found = rust.top_level.func(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    own = [dict(zip(("start", "end", "bytes", "kind"), x, strict=True)) for x in rust.items(source)]
+    assert found.to_pylist() == [own, [], []] * 500 and rust.top_level.func(pa.array([], pa.string())).to_pylist() == []
+    assert peak < 2_000_000 < batch.nbytes / 2
