@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.folders import work_folder, written
@@ -216,6 +216,11 @@ def _by_highest(names: DataFrame, edges: DataFrame, in_one: int) -> DataFrame:
     return functools.reduce(DataFrame.union, out)
 
 
+def _label(name: str) -> Column:
+    """What stands for a name while components are found: a number of 64 bits. Names that share one fall into one component, which is ordered as it is with both apart."""
+    return F.xxhash64(name)
+
+
 def topological_ranks(packages: DataFrame, most: int | None = None, in_one: int = ORDERED) -> DataFrame:
     """name, topo_rank of packages (name, deps: array of names): each after its dependencies, always the smallest name of those that could be next; packages in or behind a cycle end the order, by name.
 
@@ -229,17 +234,19 @@ def topological_ranks(packages: DataFrame, most: int | None = None, in_one: int
     names = own.select("name").distinct()
     edges = own.select(F.col("name").alias("a"), F.explode("deps").alias("b")).where("a <> b").join(names.withColumnRenamed("name", "b"), "b", "left_semi").select("a", "b").distinct()
     edges = written(edges, f"{folder}/edges")
-    tied = components(edges)
-    sizes = tied.groupBy("component").agg(F.count("*").alias("size"))
+    tied = components(edges.select(_label("a").alias("a"), _label("b").alias("b")))
+    names = names.withColumn("node", _label("name")).join(tied, "node", "left").select("name", F.coalesce("component", "node").alias("c"))
+    names = written(names, f"{folder}/names")
+    sizes = names.groupBy("c").agg(F.count("*").alias("size"))
     if most is not None and not sizes.where(F.col("size") > most).isEmpty():
         raise ValueError("a component has too many packages for one task: use topological_levels")
     large = written(sizes.where(F.col("size") > in_one), f"{folder}/large")  # a row for each in_one packages at most
     far = None
     if not large.isEmpty():
-        inside = written(tied.join(F.broadcast(large), "component", "left_semi").select("node"), f"{folder}/inside")
-        far = _by_highest(inside.select(F.col("node").alias("name")), edges.join(inside, F.col("a") == F.col("node"), "left_semi"), in_one)
-        names, edges = names.join(inside, F.col("name") == F.col("node"), "left_anti"), edges.join(inside, F.col("a") == F.col("node"), "left_anti")
-    rows = names.join(edges, F.col("name") == F.col("a"), "left").join(tied, F.col("name") == F.col("node"), "left").select(F.coalesce("component", "name").alias("c"), "name", F.col("b").alias("dep"))
+        inside = written(names.join(F.broadcast(large), "c", "left_semi").select("name"), f"{folder}/inside")
+        far = _by_highest(inside, edges.join(inside, F.col("a") == F.col("name"), "left_semi"), in_one)
+        names, edges = names.join(F.broadcast(large), "c", "left_anti"), edges.join(inside, F.col("a") == F.col("name"), "left_anti")
+    rows = names.join(edges, F.col("name") == F.col("a"), "left").select("c", "name", F.col("b").alias("dep"))
     ordered = rows.repartition("c").sortWithinPartitions("c", "name").mapInArrow(_ordered(in_one), "name string, rest boolean, high string, i long")
     ordered = ordered.select("name", "rest", "high", F.array().cast("array<string>").alias("more"), "i")
     return ranked(ordered if far is None else ordered.union(far), "rest", "high", "more", "i").select("name", F.col("rank_").alias("topo_rank"))

@@ -64,6 +64,19 @@ def test_order_of_components_beyond_a_task(spark, seed, in_one):
     assert [(r.name, r.topo_rank) for r in graph.topological_ranks(frame, in_one=in_one).orderBy("topo_rank").collect()] == [(n, i) for i, n in enumerate(graph.smallest_first(deps))]
 
 
+@pytest.mark.parametrize("in_one", [1000, 4])
+def test_orders_do_not_depend_on_the_numbers_of_names(spark, monkeypatch, in_one):
+    deps = packages(5) | {"z1": {"z2"}, "z2": {"z1"}, "z3": {"z1"}, "a1": set()}
+    frame = spark.createDataFrame([(n, sorted(d)) for n, d in deps.items()], "name string, deps array<string>").repartition(3)
+    kinds = []
+    own = graph.components
+    monkeypatch.setattr(graph, "components", lambda edges, *more: kinds.append(edges.dtypes) or own(edges, *more))
+    for label in (graph._label, lambda name: F.length(name).cast("long"), lambda name: F.lit(7).cast("long")):  # few numbers, and one for all
+        monkeypatch.setattr(graph, "_label", label)
+        assert [r.name for r in graph.topological_ranks(frame, in_one=in_one).orderBy("topo_rank").collect()] == graph.smallest_first(deps)
+    assert kinds == 3 * [[("a", "bigint"), ("b", "bigint")]]  # not names
+
+
 def test_order_of_a_graph_without_cycles_beyond_a_task(spark):
     rng = random.Random(9)
     names = [f"n{i:02}" for i in range(40)]
