@@ -11,7 +11,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from tessera.llm import clusters, divergence, factors
+from tessera.llm import clusters, divergence, factors, queries
 
 TEXTS = "doc_id long, text string"
 
@@ -99,6 +99,28 @@ def test_repeats_of_short_null_and_no_texts(spark):
         factors.remove_repeated_bytes(spark.createDataFrame([], TEXTS), 0)
 
 
+def test_passages_of_over_fifty_words_go_from_400_bytes_on(spark, tmp_path):
+    """Each passage of 51 words is in two documents between different separators; what tells that it was caught is n_removed, n_bytes is the whole length."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows, gone = [], {}
+    for size in (330, 399, 400, 401, 600):
+        letters, more = divmod(size - 50, 51)
+        passage = " ".join(word(letters + (i < more)) for i in range(51))
+        assert len(passage) == size
+        for between in " \n":
+            gone[len(rows)] = size if size >= 400 else 0
+            rows.append((len(rows), between.join([*(word(7) for _ in range(30)), passage, *(word(7) for _ in range(30))])))
+    for _ in range(10):  # clean ones
+        gone[len(rows)] = 0
+        rows.append((len(rows), " ".join(word(7) for _ in range(100))))
+    spark.createDataFrame(rows, TEXTS).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in queries.QUERIES["op11_suffix_array_dedup"](spark, str(tmp_path)).collect()}
+    assert {i: r.n_removed for i, r in found.items()} == gone
+    assert {i: r.n_bytes for i, r in found.items()} == {i: len(t) for i, t in rows}
+    assert all(r.n_spans == (r.n_removed > 0) for r in found.values())
+
+
 def test_anchors_are_shared_by_equal_strings():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 100, 6000).astype(np.uint8)
